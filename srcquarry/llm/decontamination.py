@@ -2,14 +2,15 @@
 
 Index.  Terms are words in lower case without punctuation at their ends.  A posting holds an item and the term's BM25
 impact, divided by the score that the item's own text gets, so that 1 is the item itself.  Posting lists are ordered by
-item and cut into blocks with their largest impact.  Items are indexed by length band (64 words, then four times as many).
+item and cut into blocks with their largest impact.  Items are indexed by length band (16 words, then twice as many).
 
 Query.  Each text is cut into passages of twice its band's length, beginning every band's length, so that an item of the
-band lies whole within one of them.  Sums of the terms' largest impacts discard most passages at once; block-max WAND then
-finds all items above the threshold, skipping blocks that cannot reach it.
+band lies whole within one of them.  Upper bounds discard most passages at once: the sum of the largest impacts of the rare
+terms, and for the frequent ones no more than any item gets from all its frequent terms.  Block-max WAND then finds all
+items above the threshold, skipping blocks that cannot reach it.
 
 Verification.  An item's question is its text up to the last question mark or line break within it, else the first half;
-the rest is its answer.  A hit counts if enough of the word triples of both stand in the passage.
+the rest is its answer; halves also where either would have fewer than three words.  A hit counts if enough of the word triples of both stand in the passage.
 
 The index is built from at most ``shard`` bytes of items at a time and broadcast; a larger benchmark takes several passes
 over the texts, each with its own part of the items (and document frequencies of that part).
@@ -35,6 +36,7 @@ from srcquarry.llm.common import Memo, keyed_text, map_rows
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BLOCK = 16
 LEAST = 8
+FREQUENT = 3
 
 
 def terms(text: str) -> list[str]:
@@ -48,7 +50,7 @@ def triples(words: list) -> set[tuple]:
 def question_answer(text: str) -> tuple[list[str], list[str]]:
     body = text.strip()
     cut = max(body.rfind("?", 0, -1) + 1, body.rfind("\n"))
-    if cut > 0 and body[:cut].strip() and body[cut:].strip():
+    if cut > 0 and min(len(body[:cut].split()), len(body[cut:].split())) >= 3:
         return terms(body[:cut]), terms(body[cut:])
     words = terms(body)
     return words[: len(words) // 2], words[len(words) // 2 :]
@@ -57,9 +59,8 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 class Band:
     """Inverted index of the items of one length band."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], length: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], length: int, term: dict[str, int], k1: float = 1.2, b: float = 0.75):
         self.length, self.items = length, [i for i, *_ in items]
-        self.term: dict[str, int] = {}
         counts = [Counter(w for w in words if w) for _, words, _, _ in items]
         df = Counter(w for c in counts for w in c)
         mean = sum(len(words) for _, words, _, _ in items) / len(items)
@@ -69,13 +70,20 @@ class Band:
             impact = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in c.items()}
             whole = sum(impact.values())
             for w, x in impact.items():
-                lists[self.term.setdefault(w, len(self.term))].append((n, x / whole))
-        self.docs = [[n for n, _ in lists[t]] for t in range(len(self.term))]
-        self.impacts = [[x for _, x in lists[t]] for t in range(len(self.term))]
-        self.block_last = [[d[min(k + BLOCK, len(d)) - 1] for k in range(0, len(d), BLOCK)] for d in self.docs]
-        self.block_max = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
-        self.most = np.array([max(x) for x in self.impacts] + [0.0])  # the last is for words that no item has
-        number = lambda words: [self.term.get(w, -1) for w in words]
+                lists[term[w]].append((n, x / whole))
+        self.docs = {t: [n for n, _ in x] for t, x in lists.items()}
+        self.impacts = {t: [x for _, x in y] for t, y in lists.items()}
+        self.block_last = {t: [d[min(k + BLOCK, len(d)) - 1] for k in range(0, len(d), BLOCK)] for t, d in self.docs.items()}
+        self.block_max = {t: [max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for t, x in self.impacts.items()}
+        self.most = {t: max(x) for t, x in self.impacts.items()}
+        self.rare, self.frequent = np.zeros(len(term) + 1), np.zeros(len(term) + 1)  # the last is for words that no item has
+        gets = [0.0] * len(items)
+        for t, x in lists.items():
+            (self.frequent if len(x) >= FREQUENT else self.rare)[t] = self.most[t]
+            for n, y in x if len(x) >= FREQUENT else ():
+                gets[n] += y
+        self.common = max(gets)
+        number = lambda words: [term.get(w, -1) for w in words]
         self.question = [triples(number(q)) for _, _, q, _ in items]
         self.answer = [triples(number(a)) for _, _, _, a in items]
 
@@ -126,28 +134,37 @@ class Index:
         for i, text in sorted(items):
             words = terms(text or "")
             if len(words) >= least:
-                length = 64
+                length = 16
                 while length < len(words):
-                    length *= 4
+                    length *= 2
                 bands[length].append((i, words, *question_answer(text)))
-        self.bands = [Band(x, n) for n, x in sorted(bands.items())]
+        self.term: dict[str, int] = {}
+        for x in bands.values():
+            for _, words, _, _ in x:
+                for w in words:
+                    if w:
+                        self.term.setdefault(w, len(self.term))
+        self.bands = [Band(x, n, self.term) for n, x in sorted(bands.items())]
         self.memo = None
 
     def hits(self, text: str) -> list[tuple[int, int, float, float, float]]:
         """(item, first word of the passage, score, question overlap, answer overlap), the best passage of each item."""
         if self.memo is None:  # made in the worker
-            core = Memo(lambda w: EDGES.sub("", w), 1)
-            self.memo = [Memo(lambda w, t=b.term: t.get(core[w], -1), 700_000) for b in self.bands]
+            self.memo = Memo(lambda w: self.term.get(EDGES.sub("", w), -1), 700_000)
         words = text.lower().split()
         best: dict[int, tuple] = {}
-        for band, memo in zip(self.bands, self.memo):
-            ids = np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-            total = np.concatenate([[0.0], np.cumsum(band.most[ids])])
+        ids = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        known = np.flatnonzero(ids >= 0)
+        for band in self.bands:
+            # cumulated over the known words only
+            rare, frequent = (np.concatenate([[0.0], np.cumsum(x[ids[known]])]) for x in (band.rare, band.frequent))
             begin = np.arange(0, max(len(words), 1), band.length)
             end = np.minimum(begin + 2 * band.length, len(words))
-            for k in np.flatnonzero(total[end] - total[begin] >= self.threshold - 1e-9):
+            lo, hi = np.searchsorted(known, begin), np.searchsorted(known, end)
+            bound = rare[hi] - rare[lo] + np.minimum(frequent[hi] - frequent[lo], band.common)
+            for k in np.flatnonzero(bound >= self.threshold - 1e-9):
                 passage = ids[begin[k] : end[k]].tolist()
-                found = band.wand([t for t in dict.fromkeys(passage) if t >= 0], self.threshold)
+                found = band.wand([t for t in dict.fromkeys(passage) if t in band.docs], self.threshold)
                 there = triples(passage) if found else ()
                 for n, score in found:
                     q, a = (len(x & there) / len(x) for x in (band.question[n], band.answer[n]))
