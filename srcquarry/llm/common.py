@@ -45,8 +45,8 @@ def keyed_text(df: DataFrame, key: str = "doc_id", text: str = "text", *more: st
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list, list], dict]], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Run ``start()(keys, texts) -> {column: values}`` over Arrow batches; ``start`` is called once per task."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
     out = pa_schema(df.sparkSession, schema)
+    names = out.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()

@@ -5,9 +5,10 @@ impact, divided by the score that the item's own text gets, so that 1 is the ite
 item and cut into blocks with their largest impact.  Items are indexed by length band (16 words, then twice as many).
 
 Query.  Each text is cut into passages of twice its band's length, beginning every band's length, so that an item of the
-band lies whole within one of them.  Upper bounds discard most passages at once: the sum of the largest impacts of the rare
-terms, and for the frequent ones no more than any item gets from all its frequent terms.  Block-max WAND then finds all
-items above the threshold, skipping blocks that cannot reach it.
+band lies whole within one of them.  An upper bound discards most passages at once: an item gets no more than the impacts
+of its rare terms that stand in the passage, and all its frequent terms, whose sum is at most ``FREQUENT``.  For the rest,
+block-max WAND finds all items above the threshold, skipping blocks that cannot reach it.  Both work on whole Arrow batches
+of texts, so numpy's fixed cost is shared.
 
 Verification.  An item's question is its text up to the last question mark or line break within it, else the first half;
 the rest is its answer; halves also where either would have fewer than three words.  A hit counts if enough of the word triples of both stand in the passage.
@@ -25,6 +26,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,8 @@ from srcquarry.llm.common import Memo, keyed_text, map_rows
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BLOCK = 16
 LEAST = 8
-FREQUENT = 3
+#: Of an item's score, what its most frequent terms may sum up to; the bound below looks at the others only.
+FREQUENT = 0.3
 
 
 def terms(text: str) -> list[str]:
@@ -59,7 +62,7 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
 class Band:
     """Inverted index of the items of one length band."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], length: int, term: dict[str, int], k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], length: int, term: dict[str, int], common: Counter, k1: float = 1.2, b: float = 0.75):
         self.length, self.items = length, [i for i, *_ in items]
         counts = [Counter(w for w in words if w) for _, words, _, _ in items]
         df = Counter(w for c in counts for w in c)
@@ -76,13 +79,22 @@ class Band:
         self.block_last = {t: [d[min(k + BLOCK, len(d)) - 1] for k in range(0, len(d), BLOCK)] for t, d in self.docs.items()}
         self.block_max = {t: [max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for t, x in self.impacts.items()}
         self.most = {t: max(x) for t, x in self.impacts.items()}
-        self.rare, self.frequent = np.zeros(len(term) + 1), np.zeros(len(term) + 1)  # the last is for words that no item has
-        gets = [0.0] * len(items)
-        for t, x in lists.items():
-            (self.frequent if len(x) >= FREQUENT else self.rare)[t] = self.most[t]
-            for n, y in x if len(x) >= FREQUENT else ():
-                gets[n] += y
-        self.common = max(gets)
+        # essential terms of each item, rarest first, and the sum of the rest
+        self.rest, pairs = np.zeros(len(items)), []
+        for n, c in enumerate(counts):
+            got = {term[w]: self.impacts[term[w]][bisect_left(self.docs[term[w]], n)] for w in c}
+            left = FREQUENT
+            for t in sorted(got, key=lambda t: (-common[t], t)):
+                if left is not None and got[t] <= left:
+                    left -= got[t]
+                    self.rest[n] += got[t]
+                else:
+                    left = None
+                    pairs.append((t, n, got[t]))
+        pairs.sort()
+        self.many = np.bincount([t for t, _, _ in pairs], minlength=len(term) + 1)  # the last is for words that no item has
+        self.first = np.cumsum(self.many) - self.many
+        self.item, self.impact = np.array([n for _, n, _ in pairs], np.int64), np.array([x for _, _, x in pairs])
         number = lambda words: [term.get(w, -1) for w in words]
         self.question = [triples(number(q)) for _, _, q, _ in items]
         self.answer = [triples(number(a)) for _, _, _, a in items]
@@ -127,6 +139,22 @@ class Band:
         return out
 
 
+    def promising(self, ids: np.ndarray, starts: np.ndarray, base: np.ndarray, least: float) -> np.ndarray:
+        """Of the passages of all texts, numbered on from ``base`` of their text, those that some item may reach."""
+        at = np.flatnonzero(self.many[ids])
+        of = np.searchsorted(starts, at, "right") - 1
+        k = (at - starts[of]) // self.length
+        inner = k > 0  # a word stands in the passage that begins in its stretch and in the one before
+        terms, width = ids[at], len(self.many)
+        key = np.unique(np.concatenate([(base[of] + k) * width + terms, (base[of] + k - 1)[inner] * width + terms[inner]]))
+        passage, term = key // width, key % width
+        n = self.many[term]
+        posting = np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair, where = np.unique(np.repeat(passage, n) * len(self.items) + self.item[posting], return_inverse=True)
+        bound = np.bincount(where, self.impact[posting], len(pair)) + self.rest[pair % len(self.items)]
+        return np.unique(pair[bound >= least - 1e-9] // len(self.items))
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.6, least: int = LEAST):
         self.threshold, self.overlap = threshold, overlap
@@ -139,39 +167,39 @@ class Index:
                     length *= 2
                 bands[length].append((i, words, *question_answer(text)))
         self.term: dict[str, int] = {}
+        common: Counter = Counter()
         for x in bands.values():
             for _, words, _, _ in x:
-                for w in words:
+                for w in dict.fromkeys(words):
                     if w:
-                        self.term.setdefault(w, len(self.term))
-        self.bands = [Band(x, n, self.term) for n, x in sorted(bands.items())]
+                        common[self.term.setdefault(w, len(self.term))] += 1
+        self.bands = [Band(x, n, self.term, common) for n, x in sorted(bands.items())]
         self.memo = None
 
-    def hits(self, text: str) -> list[tuple[int, int, float, float, float]]:
-        """(item, first word of the passage, score, question overlap, answer overlap), the best passage of each item."""
+    def hits(self, texts: list[str]) -> list[list[tuple[int, int, float, float, float]]]:
+        """For each text (item, first word of the passage, score, question overlap, answer overlap), the best passage of each item."""
         if self.memo is None:  # made in the worker
             self.memo = Memo(lambda w: self.term.get(EDGES.sub("", w), -1), 700_000)
-        words = text.lower().split()
-        best: dict[int, tuple] = {}
-        ids = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
-        known = np.flatnonzero(ids >= 0)
+        words = [t.lower().split() for t in texts]
+        sizes = np.array([len(w) for w in words], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        best: list[dict[int, tuple]] = [{} for _ in texts]
         for band in self.bands:
-            # cumulated over the known words only
-            rare, frequent = (np.concatenate([[0.0], np.cumsum(x[ids[known]])]) for x in (band.rare, band.frequent))
-            begin = np.arange(0, max(len(words), 1), band.length)
-            end = np.minimum(begin + 2 * band.length, len(words))
-            lo, hi = np.searchsorted(known, begin), np.searchsorted(known, end)
-            bound = rare[hi] - rare[lo] + np.minimum(frequent[hi] - frequent[lo], band.common)
-            for k in np.flatnonzero(bound >= self.threshold - 1e-9):
-                passage = ids[begin[k] : end[k]].tolist()
+            stretches = -(-sizes // band.length)
+            base = np.cumsum(stretches) - stretches
+            for k in band.promising(ids, starts, base, self.threshold).tolist():
+                of = int(np.searchsorted(base, k, "right")) - 1
+                begin = (k - int(base[of])) * band.length
+                passage = ids[starts[of] + begin : starts[of] + min(begin + 2 * band.length, int(sizes[of]))].tolist()
                 found = band.wand([t for t in dict.fromkeys(passage) if t in band.docs], self.threshold)
                 there = triples(passage) if found else ()
                 for n, score in found:
                     q, a = (len(x & there) / len(x) for x in (band.question[n], band.answer[n]))
                     if q >= self.overlap and a >= self.overlap:
-                        hit = (round(float(score), 6), -int(begin[k]), round(q, 4), round(a, 4))
-                        best[band.items[n]] = max(best.get(band.items[n], hit), hit)
-        return [(i, -b, s, q, a) for i, (s, b, q, a) in sorted(best.items())]
+                        hit = (round(float(score), 6), -begin, round(q, 4), round(a, 4))
+                        best[of][band.items[n]] = max(best[of].get(band.items[n], hit), hit)
+        return [[(i, -b, s, q, a) for i, (s, b, q, a) in sorted(x.items())] for x in best]
 
 
 def shards(benchmark: DataFrame, size: int, item: str, text: str) -> list[DataFrame]:
@@ -191,7 +219,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
             x = index.value
 
             def work(keys, texts):
-                rows = [(k, h) for k, t in zip(keys, texts) if (h := x.hits(t))]
+                rows = [(k, h) for k, h in zip(keys, x.hits(texts)) if h]
                 return {key: [k for k, _ in rows], "hits": [[dict(zip(("item_id", "passage_start", "score", "question_overlap", "answer_overlap"), h)) for h in r] for _, r in rows]}
 
             return work
@@ -210,7 +238,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
         def run(batches, index=index):
             x = index.value
             for b in batches:
-                yield b.filter(pa.array([t is None or not x.hits(t) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not h for h in x.hits([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

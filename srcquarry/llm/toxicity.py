@@ -3,11 +3,11 @@
 Features are the distinct words of a text (lower case, punctuation stripped from both ends) and their beginnings of four
 to seven characters, hashed to 2^20 numbers.  The model has one weight for each feature, shared by all thresholds, and one
 threshold between neighbouring grades: P(grade > k) = sigmoid(w.x - theta_k), theta ascending.  Its likelihood is
-maximised with an L1 penalty by proximal gradient steps, after features that do not differ between clean and toxic rows
-have been screened out.  The output is the expected severity, the sum over k of P(grade > k).
+maximised with an L1 penalty by proximal gradient steps, after features whose shares among clean and toxic rows hardly
+differ have been screened out by a Spark aggregation.  The output is the expected severity, the sum over k of P(grade > k).
 
 Grades.  ``labels`` may hold a graded column; where it holds only toxic 0/1, grade 0 is clean, and toxic rows get 1 to 3 by
-how many distinct words of theirs are markers, that is, stand only in toxic rows of the sample.
+how many features of theirs are markers, that is, stand only in toxic rows of the sample.
 
 The classifier is fitted on at most ``sample`` labelled rows, those with the smallest hash of their id; all rows are scored.
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema
+from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema, stored
 
 SAMPLE = 12_000
 BITS = 20
+#: Expected severity from which a text counts as toxic; held-out figures are in the tests.
+CUT = 0.25
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -67,85 +68,79 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, penalty: float = 0.5, most: int = 4096, rounds: int = 300) -> Severity:
-    """``rows``: the feature numbers of each document; ``grades``: 0, 1, ... K."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, penalty: float = 0.5, rounds: int = 300) -> Severity:
+    """``rows``: the screened feature numbers of each document; ``grades``: 0, 1, ... K."""
     top = int(grades.max()) if len(grades) else 0
     if not top or not (grades == 0).any():
         return Severity({}, [])
-    flat = np.concatenate(rows).astype(np.int64)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    bad = grades > 0
-    n1, n0 = bad.sum(), (~bad).sum()
-    d1, d = np.bincount(flat[bad[of]], minlength=1 << BITS), np.bincount(flat, minlength=1 << BITS)
-    share = d / len(rows)
-    z = (d1 / n1 - (d - d1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero((d >= 4) & (np.abs(z) >= 5))
-    kept = np.sort(kept[np.argsort(-np.abs(z[kept]), kind="stable")[:most]])
-    column = np.full(1 << BITS, -1)
-    column[kept] = np.arange(len(kept))
-    some = column[flat] >= 0
-    col, row = column[flat[some]], of[some]
+    kept, col = np.unique(np.concatenate(rows).astype(np.int64), return_inverse=True)
+    seen = np.maximum(np.bincount(col, minlength=len(kept)), 1)
+    n1, n0 = (grades > 0).sum(), (grades == 0).sum()
     # thresholds are kept ascending as a first one and positive gaps
     w, n = np.zeros(len(kept)), len(rows)
     first, gaps = np.log((n0 + 1) / (n1 + 1)), np.full(top - 1, 0.5)
-    step = 0.0
     vw, vf, vg = np.zeros_like(w), 0.0, np.zeros(top - 1)
-    bound = np.bincount(row, minlength=n).max(initial=1)
+    step = 4.0 / np.bincount(of, minlength=n).max(initial=1)
     for _ in range(rounds):
         theta = first + np.concatenate([[0.0], np.cumsum(gaps)])
-        score = np.bincount(row, w[col], n)
+        score = np.bincount(of, w[col], n)
         above = sigmoid(score[:, None] - theta)  # P(grade > k)
         lo = np.concatenate([np.ones((n, 1)), above], 1)[np.arange(n), grades]  # P(grade >= y)
         hi = np.concatenate([above, np.zeros((n, 1))], 1)[np.arange(n), grades]  # P(grade > y)
         p = np.maximum(lo - hi, 1e-9)
         g_score = -(lo * (1 - lo) - hi * (1 - hi)) / p
         g_theta = np.array([((lo * (1 - lo) / p)[grades == k + 1].sum() - (hi * (1 - hi) / p)[grades == k].sum()) for k in range(top)])
-        step = 4.0 / bound
-        vw = 0.9 * vw - step * np.bincount(col, g_score[row], len(w)) / np.sqrt(np.maximum(d[kept], 1)) / 10
+        vw = 0.9 * vw - step * np.bincount(col, g_score[of], len(w)) / np.sqrt(seen) / 10
         vf = 0.9 * vf - g_theta.sum() / n
         vg = 0.9 * vg - np.array([g_theta[k:].sum() for k in range(1, top)]) / n
         w = w + vw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty / np.sqrt(np.maximum(d[kept], 1)), 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty / np.sqrt(seen), 0)
         first, gaps = first + vf, np.maximum(gaps + vg, 0.05)
     used = np.flatnonzero(np.abs(w) > 1e-6)
     return Severity({int(kept[i]): round(float(w[i]), 6) for i in used}, list(np.round(first + np.concatenate([[0.0], np.cumsum(gaps)]), 6)))
 
 
-def grades_of(rows: list[np.ndarray], toxic: np.ndarray, cuts: tuple[int, ...] = (8, 20)) -> np.ndarray:
+def grades_of(markers: np.ndarray, toxic: np.ndarray, cuts: tuple[int, ...] = (8, 20)) -> np.ndarray:
     """Grades for 0/1 labels: 1, and one more for each of ``cuts`` that the number of marker features reaches."""
-    clean, bad = Counter(), Counter()
-    for r, y in zip(rows, toxic):
-        (bad if y else clean).update(r.tolist())
-    markers = {f for f, n in bad.items() if n >= 5 and f not in clean}
-    n = np.array([sum(f in markers for f in r.tolist()) if y else 0 for r, y in zip(rows, toxic)])
-    return np.where(toxic > 0, 1 + sum((n >= c).astype(int) for c in cuts), 0)
+    return np.where(toxic > 0, 1 + sum((markers >= c).astype(int) for c in cuts), 0)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int, key: str, text: str, grade: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature numbers and label of at most ``sample`` rows."""
-    from pyspark.sql import Window  # noqa: F401
-
+def featured(docs: DataFrame, labels: DataFrame, sample: int, key: str, text: str, grade: str) -> DataFrame:
+    """(key, _y, f array<int>): the features of at most ``sample`` labelled rows."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(grade).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(grade).cast("int").alias("_y")).orderBy(F.xxhash64(key), key, "_y").limit(sample)
     texts = keyed_text(docs, key, text).join(F.broadcast(chosen), key)  # at most ``sample`` rows of two numbers
-    ddl = f"{key} long, y int, f binary"
+    ddl = f"{key} long, _y int, f array<int>"
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
         memo = feature_memo()
         for b in batches:
-            f = [np.array(sorted(set().union(*map(memo.__getitem__, set(t.lower().split())))), np.int32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, pa.binary())], schema=out)
-
-    got = sorted((r[0], r[1], bytes(r[2])) for r in texts.select(key, text, "_y").mapInArrow(run, ddl).collect())
-    return [np.frombuffer(f, np.int32) for _, _, f in got], np.array([y for _, y, _ in got], int)
+            f = [sorted(set().union(*map(memo.__getitem__, set(t.lower().split())))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, out.field(2).type)], schema=out)
 
+    return texts.select(key, text, "_y").mapInArrow(run, ddl)
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", grade: str = "toxic") -> Severity:
-    rows, y = labelled(docs, labels, sample, key, text, grade)
-    return fit(rows, grades_of(rows, y) if len(y) and y.max() <= 1 else y)
 
-
-def score(docs: DataFrame, model: Severity, cut: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = 4096, key: str = "doc_id", text: str = "text", grade: str = "toxic") -> Severity:
+    """Screen the features by the difference of their shares in toxic and clean rows (Spark), then fit the ``most`` best."""
+    rows = stored(featured(docs, labels, sample, key, text, grade), "toxic-sample")
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("_y") > 0).alias("n1"), F.max("_y").alias("top")).first()
+    if not n.n1 or n.n1 == n.n:
+        return Severity({}, [])
+    share = F.col("d") / n.n
+    z = (F.col("d1") / n.n1 - (F.col("d") - F.col("d1")) / (n.n - n.n1)) / F.sqrt(share * (1 - share) * (1 / n.n1 + 1 / (n.n - n.n1)))
+    seen = rows.select(F.explode("f").alias("f"), (F.col("_y") > 0).cast("int").alias("y")).groupBy("f").agg(F.count("*").alias("d"), F.sum("y").alias("d1"))
+    best = seen.where((F.col("d") >= 4) & (F.col("d") < n.n)).select("f", z.alias("z"), ((F.col("d1") == F.col("d")) & (F.col("d") >= 5)).alias("marker")).where(F.abs("z") >= 5).orderBy(F.abs("z").desc(), "f").limit(most).collect()
+    kept, markers = sorted(r.f for r in best), {r.f for r in best if r.marker}
+    inside = F.array_intersect("f", F.lit(kept).cast("array<int>")) if kept else F.array().cast("array<int>")
+    got = sorted((r[0], r[1], r[2]) for r in rows.select(key, "_y", inside).collect())  # at most ``sample`` short rows
+    y = np.array([y for _, y, _ in got], int)
+    grades = y if n.top > 1 else grades_of(np.array([sum(f in markers for f in r) for _, _, r in got]), y)
+    return fit([np.array(sorted(r), np.int64) for _, _, r in got], np.maximum(grades, 0))
+
+
+def score(docs: DataFrame, model: Severity, cut: float = CUT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, severity, toxic): expected severity of every text, and whether it reaches ``cut``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most`` weights
 
@@ -156,7 +151,7 @@ def score(docs: DataFrame, model: Severity, cut: float = 0.5, key: str = "doc_id
     return map_rows(keyed_text(docs, key, text), f"{key} long, severity double", start, key, text).withColumn("toxic", F.col("severity") >= cut)
 
 
-def clean(docs: DataFrame, model: Severity, cut: float = 0.5, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, model: Severity, cut: float = CUT, text: str = "text") -> DataFrame:
     """The rows of ``docs``, whole, whose severity is below ``cut``; a null text is clean."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
