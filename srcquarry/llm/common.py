@@ -25,12 +25,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps survive lost executors."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps survive lost executors.
+
+    The shuffle files behind it are not needed any more and go at once, so disk holds one step's and not all steps'.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 

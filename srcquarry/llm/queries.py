@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcquarry.llm import bpe, decontamination, quality_rules, secrets, token_counts, token_output, toxicity
+from srcquarry.llm import bpe, decontamination, ngram_join, quality_rules, secrets, token_counts, token_output, toxicity
 from srcquarry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op4_quality_rules, op5_toxicity, op6_decontamination, op7_secrets, op9_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_output, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_decontamination, op7_secrets, op9_token_counts, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
