@@ -25,8 +25,10 @@ import numpy as np
 import re
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from srcquarry.llm.common import Memo, keyed_text, map_rows
+from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema
 
 #: The pretoken pattern of byte-level BPE vocabularies and the white space of Unicode.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -204,3 +206,26 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         return work
 
     return map_rows(keyed_text(docs, key, text), f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string", start, key, text)
+
+
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the text replaced by its ids, their number, and digests of the ids and of what they decode to."""
+    import pyarrow as pa
+
+    more = [f for f in docs.schema.fields if f.name not in (key, text)]
+    at = docs.columns.index(text)
+    places = [docs.columns.index(f.name) for f in more]
+    new = pa_schema(docs.sparkSession, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    kept = docs.select(*(F.col(f"`{key}`").cast("long").alias(key) if c == key else F.col(f"`{c}`") for c in docs.columns))
+    ddl = StructType([*StructType.fromDDL(f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary").fields, *more])
+    own = docs.columns.index(key)
+
+    def run(batches):
+        c = codec(path)
+        for b in batches:
+            ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
+            made = [b.column(own), [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids], ids]
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, new)]
+            yield pa.RecordBatch.from_arrays([*arrays, *(b.column(i) for i in places)], schema=pa.schema([*new, *(b.schema.field(i) for i in places)]))
+
+    return kept.mapInArrow(run, ddl)

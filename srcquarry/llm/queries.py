@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcquarry.llm import bpe, chat_format, decontamination, ngram_join, quality_rules, secrets, token_counts, token_output, toxicity
+from srcquarry.llm import bpe, chat_format, decontamination, html_extract, ngram_join, quality_rules, secrets, token_counts, token_output, toxicity
 from srcquarry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,6 +18,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.model())
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_decontamination, op7_secrets, op8_chat_format, op9_token_counts, op10_bpe)}
+    return {f.__name__: f for f in (op1_token_output, op2_html_extract, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_decontamination, op7_secrets, op8_chat_format, op9_token_counts, op10_bpe)}
 
 
 #: Plain dialogues; texts that are tool calls in JSON do not occur in the shared tables.
