@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcquarry.plans import graph_queries, relational_queries
+from srcquarry.plans import graph_queries, relational_queries, source_queries
 
-ALL = graph_queries.QUERIES | relational_queries.QUERIES
+ALL = graph_queries.QUERIES | relational_queries.QUERIES | source_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

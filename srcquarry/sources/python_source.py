@@ -292,7 +292,7 @@ def read_files(spark: SparkSession, folder: str, repo: str = "repo", ignore: tup
 
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(folder)
     path = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + re.escape(folder.rstrip("/")) + "/", "")
-    out = raw.select(F.lit(repo).alias("repo"), path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    out = raw.select(F.lit(repo).alias("repo"), path.alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return out.where(~matches_path(F.col("path"), *ignore)) if ignore else out
 
 
