@@ -8,15 +8,17 @@ have them, so copies cost nothing further.
 Pigeonhole.  Nodes are dealt into size bands; a node also enters the next band if a partner may be there.  Two linked sets
 of a band differ by at most ``H`` tokens.  The band hashes tokens into segments.  A segment of kind 0 is indexed by its
 subset and lost by one differing token; a segment of kind 1 is indexed by its subset and all its one-deletion neighbours and
-lost only by two.  With kind 0 worth one unit and kind 1 two, ``H + 1 + 2 K`` units leave a common one even if either side
-drops ``K`` units, and each drops its least selective ones: empty segments, which all sets share, then the smallest.  How
-many segments are of which kind, and ``K``, is allocated by cost: signatures of a set, and expected collisions among what
-could not be dropped.
-
-Links.  In a bucket of equal signatures only members of different components matter.  First each node is verified against
-one pivot of its buckets (the one that shares most buckets with it), linear in the signatures; buckets that hold several
-components after that get another pivot; what still holds several is compared pair by pair across components.  So no link
-between different texts is lost, and a group of thousands of near copies never becomes all its pairs.
+lost only by two.  With kind 0 worth one unit and kind 1 two, ``H + T + 2 (K + F)`` units leave ``T`` common ones even if
+either side drops ``K + F`` units.  Each drops ``K`` at once, its empty and smallest segments, and ``F`` more when it is known
+how many sets have each signature: the most frequent ones, such as those of a passage that many documents share.  How many
+segments are of which kind, and ``K``, is allocated by cost: signatures of a set, and expected collisions.
+
+Links.  A pair is verified by its sizes, then by small parity sketches that bound its difference from below, then exactly.  In a
+bucket of equal signatures only members of different components matter.  First each node is verified against
+one pivot of its buckets (of the members with the largest buckets, the one that shares most with it), linear in the
+signatures; where comparing the rest pair
+by pair would cost more than that, other pivots follow.  Last, pairs of different components that share ``T`` units are
+verified.  So no link between different texts is lost, and thousands of near copies never become all their pairs.
 
 Cases: null and empty texts have the empty set, are linked with nothing and are their own component; rows that repeat a
 doc_id count by their own text each; a row with a null doc_id gets the component of its equal texts, null if it has none,
@@ -80,12 +82,14 @@ def most_apart(size: int, percent: int) -> int:
     return 2 * size * (100 - percent) // (100 + percent)
 
 
-def allocate(h: int, size: float, rows: int) -> tuple[int, int, int]:
-    """(segments of kind 1, of kind 0, units to drop) with the least cost for sets of about ``size`` tokens."""
+def allocate(h: int, size: float, rows: int) -> tuple[int, int, int, int, int]:
+    """(segments of kind 1, of kind 0, units to drop at once, by frequency, units in common) at the least cost."""
     best = None
+    small = h < 12  # short texts: few, long segments, all with neighbours, tell more than many short ones
+    common, spare = (1, 0) if small else (1 + min(4, h // 6), -(-h // 8))
     for drop in sorted({*range(0, 9), *(round(h * x) for x in (0.05, 0.08, 0.12, 0.18, 0.25))}):
-        units = h + 1 + 2 * drop
-        for ones in sorted({0, 1, 2, 3, units // 8, units // 4, units // 2, (units + 1) // 2}):
+        units = h + common + 2 * (drop + spare)
+        for ones in [(units + 1) // 2] if small else sorted({0, *(x for x in (1, 2, 3, units // 8, units // 4) if units - 2 * x >= 2 * spare)}):
             zeros = max(0, units - 2 * ones)
             if 2 * (ones - 1) >= units and ones > 0 or ones + zeros == 0:
                 continue
@@ -100,7 +104,7 @@ def allocate(h: int, size: float, rows: int) -> tuple[int, int, int]:
             cost = signatures + PAIR_COST * left * left * rows / (ones + zeros)
             if best is None or cost < best[0]:
                 best = (cost, ones, zeros, drop)
-    return best[1:]
+    return (*best[1:], spare, common)
 
 
 class Partition:
@@ -118,7 +122,7 @@ class Partition:
     def bands(self, n: int) -> range:
         return range(self.band(n), self.band(100 * n // self.percent) + 1)
 
-    def plan(self, band: int) -> tuple[int, int, int] | None:
+    def plan(self, band: int) -> tuple[int, int, int, int, int] | None:
         """None: only equal sets are linked."""
         if band not in self.plans:
             self.band(self.low[-1])
@@ -127,12 +131,13 @@ class Partition:
             self.plans[band] = allocate(h, math.sqrt(low * high), self.rows) if h else None
         return self.plans[band]
 
-    def signatures(self, tokens: np.ndarray) -> list[np.ndarray]:
+    def signatures(self, tokens: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+        """(signatures, slot, how many of them are of kind 0) for each band; a slot holds (band, F, T)."""
         out = []
         for band in self.bands(len(tokens)):
             if (plan := self.plan(band)) is None:
                 continue
-            ones, zeros, drop = plan
+            ones, zeros, drop, spare, common = plan
             with np.errstate(over="ignore"):
                 mixed = mix(tokens + GOLDEN * U(2 * band + 3))
                 segment = ((mixed >> U(32)) * U(ones + zeros)) >> U(32)
@@ -150,11 +155,12 @@ class Partition:
                     kept[i] = False
                     left -= 2
                 kept[ones + np.argsort(count[ones:], kind="stable")[:left]] = False
-                got = [mix(subset + salt)[kept]]
+                own = mix(subset + salt)
+                got = [own[ones:][kept[ones:]], own[:ones][kept[:ones]]]
                 near = np.flatnonzero((segment < ones) & kept[segment])
                 if len(near):
                     got.append(mix(subset[segment[near]] - value[near] + salt[segment[near]]))
-            out.append(np.concatenate(got))
+            out.append((np.concatenate(got), (band << 20) + (spare << 4) + common, len(got[0])))
         return out
 
 
@@ -182,16 +188,16 @@ def nodes_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def signatures_of(docs: DataFrame, text: str, width: int, percent: int, rows: int) -> DataFrame:
-    """(sig, node) of every set; a set that a task has met lately is not written again."""
-    ddl = "sig long, node long"
+    """(sig, node, slot, units) of every set; a set that a task has met lately is not written again."""
+    ddl = "sig long, node long, slot int, units int"
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
         shingler, partition, met = Shingler(width), Partition(rows, percent), set()
         for b in batches:
-            texts = [t for t in b.column(0).to_pylist()]
+            texts = b.column(0).to_pylist()
             for k in range(0, len(texts), 1000):
-                sigs, nodes, sizes = [], [], []
+                sigs, nodes, slots, sizes, units = [], [], [], [], []
                 for s in shingler.sets(texts[k : k + 1000]):
                     if not len(s):
                         continue
@@ -201,43 +207,81 @@ def signatures_of(docs: DataFrame, text: str, width: int, percent: int, rows: in
                     if len(met) > 200_000:
                         met.clear()
                     met.add(node)
-                    for x in partition.signatures(s):
+                    for x, slot, zeros in partition.signatures(s):
                         sigs.append(x)
                         nodes.append(node)
+                        slots.append(slot)
                         sizes.append(len(x))
+                        units.append(np.where(np.arange(len(x)) < zeros, 1, 2).astype(np.int32))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.repeat(np.array(slots, np.int32), sizes)), pa.array(np.concatenate(units))], schema=out)
 
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, ddl)
 
 
+def shared_buckets(signatures: DataFrame) -> DataFrame:
+    """(sig, node, slot, units, weight) of signatures that several nodes have, without the ``F`` most frequent ones of each node
+    and band.  A node's weight is how many rows its buckets have: the middle of a group of near copies weighs most."""
+    by = Window.partitionBy("sig")
+    some = signatures.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).withColumn("n", F.count("*").over(by)).where("lo <> hi").drop("lo", "hi")
+    some = stored(some, "signatures")  # what a few documents share
+    place = F.row_number().over(Window.partitionBy("node", "slot", "units").orderBy(F.desc("n"), "sig"))
+    weight = F.sum("n").over(Window.partitionBy("node", "slot"))
+    return some.withColumn("weight", weight).withColumn("place", place).where("units = 2 OR place > (slot >> 4) & 65535").select("sig", "node", "slot", "units", "weight")
+
+
+def parity_of(tokens: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of tokens falls on it.  Each token that two sets do not share flips one bit at most."""
+    bits = 64
+    while bits < 1.3 * len(tokens):
+        bits *= 2
+    return np.packbits((np.bincount((tokens & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_linked(x: bytes, y: bytes, na: int, nb: int, percent: int) -> bool:
+    """False only if the parities differ in more bits than two linked sets of these sizes have different tokens."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(b) > len(a):  # a place modulo half the bits
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) <= (na + nb) * (100 - percent) // (100 + percent)
+
+
 def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(node, tokens binary) of the given documents."""
-    ddl = "node long, tokens binary"
+    """(node, size, parity, tokens) of the given documents."""
+    ddl = "node long, size long, parity binary, tokens binary"
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
         shingler = Shingler(width)
         for b in batches:
-            sets = [s.tobytes() for s in shingler.sets(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)[0]) for s in sets], pa.int64()), pa.array(sets, pa.binary())], schema=out)
+            sets = shingler.sets(b.column(1).to_pylist())
+            raw = [s.tobytes() for s in sets]
+            nodes = [int(np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)[0]) for s in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_of(s) for s in sets], pa.binary()), pa.array(raw, pa.binary())], schema=out)
 
     return keyed_text(docs, key, text).mapInArrow(run, ddl)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
-    """The rows of (a, b) that are linked.  A pivot ``a`` of many pairs is spread over ``salts`` keys."""
+def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+    """The rows of (a, b) that are linked: by size, then by parity, then by the sets themselves."""
     out = pa_schema(pairs.sparkSession, "a long, b long")
 
-    def run(batches):
-        for b in batches:
-            yes = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=out).filter(pa.array(yes, pa.bool_()))
+    def kept(pairs: DataFrame, column: str, test) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                yes = [test(*row) for row in zip(*(b.column(c).to_pylist() for c in ("x", "y", "na", "nb")))]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=out).filter(pa.array(yes, pa.bool_()))
+
+        # a pivot of many pairs is spread over several keys
+        salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
+        right = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col(column).alias("y")), "b").withColumn("salt", salt)
+        pivots = pairs.select("a", salt.alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col(column).alias("x")), "a")
+        return right.join(pivots, ["a", "salt"]).select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
 
-    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b").withColumn("salt", salt)
-    pivots = pairs.select("a", salt.alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    return right.join(pivots, ["a", "salt"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    size = nodes.select("node", "size")
+    fits = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    close = stored(kept(stored(fits, "pairs"), "parity", lambda x, y, na, nb: may_be_linked(x, y, na, nb, percent)), "pairs")
+    return kept(close, "tokens", lambda x, y, na, nb: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -267,50 +311,53 @@ def relabelled(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
     return stored(old.unionByName(more.join(comps.select("node"), "node", "left_anti")), "components")
 
 
-def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, key: str, text: str, stars: int = 2) -> DataFrame | None:
-    """(node, comp) of the nodes that are linked with others."""
+def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, key: str, text: str, most: int = 8) -> DataFrame | None:
+    """(node, comp) of the nodes that are linked with others; ``most``: pairs that a row of the buckets may cost at the end."""
     # the partition is set by the order of magnitude of the collection
     rows = 1 << max(10, docs.count().bit_length())
     by = Window.partitionBy("sig")
-    buckets = stored(signatures_of(docs, text, width, percent, rows).withColumn("pivot", F.min("node").over(by)).withColumn("other", F.max("node").over(by)).where("pivot <> other").select("sig", "node", "pivot"), "buckets")
-    pairs = buckets.where("pivot <> node").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    # one pivot for each node: the one with most buckets in common
-    chosen = stored(pairs.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "pairs")
+    buckets = stored(shared_buckets(signatures_of(docs, text, width, percent, rows)), "buckets")
+    first = buckets.withColumn("pivot", F.max(F.struct("weight", "node")).over(by)["node"]).where("pivot <> node").groupBy("node", "pivot").agg(F.sum("units").alias("n"))
+    # one pivot for each node: the one with most in common
+    chosen = stored(first.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "pairs")
     if chosen.isEmpty():
         return None
     involved = buckets.select("node").distinct().join(nodes, "node").select(F.col("rep").alias(key))
     sets = stored(sets_of(docs.where(F.col(key).isNotNull()).join(involved, key, "left_semi"), key, text, width).dropDuplicates(["node"]), "sets")
-    edges = stored(verified(chosen, sets, percent), "edges")
+    edges = stored(verified(chosen, sets, nodes, percent), "edges")
     comps = None if edges.isEmpty() else relabelled(None, edges)
-    rest = buckets.select("sig", "node").distinct()
-    for turn in range(stars + 1):
-        held = rest.select("sig", "node")
-        held = held.withColumn("comp", F.col("node")) if comps is None else held.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        held = held.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi")
-        if turn < stars:  # a pivot that changes from turn to turn, and its component
-            held = held.withColumn("first", F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).over(by))
-            rest = stored(held.select("sig", "node", "comp", F.col("first.node").alias("pivot"), F.col("first.comp").alias("home")), "buckets")
-            found = rest.where("comp <> home").groupBy("node", "home").agg(F.max_by("pivot", F.xxhash64("sig")).alias("a")).select("a", F.col("node").alias("b"))
-        else:
-            rest = stored(held.select("sig", "node", "comp"), "buckets")
-            other = rest.toDF("sig", "b", "comp_b")
-            found = rest.join(other, "sig").where("node < b AND comp <> comp_b").select(F.col("node").alias("a"), "b").distinct()
-        if rest.isEmpty():
-            break
-        edges = verified(found, sets, percent)
+    turn, before = 0, None
+    while True:
+        held = buckets.withColumn("comp", F.col("node")) if comps is None else buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        held = held.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").drop("lo", "hi")
+        held = stored(held.withColumn("first", F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).over(by)), "buckets")
+        cost = held.groupBy("sig").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if not cost.rows:
+            return comps
+        last = cost.pairs <= most * cost.rows or before is not None and cost.pairs > before / 2  # other pivots help no more
+        if last:
+            mine = held.select("sig", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "slot", "units")
+            theirs = held.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+            found = mine.join(theirs, "sig").where("a < b AND comp_a <> comp_b").groupBy("a", "b", "slot").agg(F.sum("units").alias("n")).where("n >= slot & 15").select("a", "b").distinct()
+        else:  # a pivot that changes from turn to turn, and its component
+            away = held.where("comp <> first.comp").groupBy("node", F.col("first.node").alias("a")).agg(F.sum("units").alias("n"))
+            found = away.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("node").alias("b"))
+        edges = verified(found, sets, nodes, percent)
         if comps is not None:
             for side in ("a", "b"):
                 edges = edges.join(comps.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("comp", side)).drop("comp")
         edges = stored(edges.where("a <> b").distinct(), "edges")
         if not edges.isEmpty():
             comps = relabelled(comps, edges)
-    return comps
+        if last:
+            return comps
+        turn, before = turn + 1, cost.pairs
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the smallest key reachable by links."""
     rows = stored(nodes_of(docs, key, text, width), "nodes")
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.min("n_shingles").alias("size"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     nodes = stored(nodes, "nodes")
     if not nodes.where("lo <> hi").isEmpty():
         raise ValueError("two sets have the same 64-bit hash; give another seed")
