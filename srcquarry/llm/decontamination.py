@@ -17,7 +17,7 @@ The index is built from at most ``shard`` bytes of items at a time and broadcast
 over the texts, each with its own part of the items (and document frequencies of that part).
 
 Cases: null or empty texts and items match nothing; items with fewer than ``least`` words are too short to tell and are
-left out; repeated items are reported each; the result has one row for each document and item, the best passage.
+left out; a null item_id is reported as null; items that repeat an id are one; the result has one row for each document and item, the best passage.
 """
 
 from __future__ import annotations
@@ -159,7 +159,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.6, least: int = LEAST):
         self.threshold, self.overlap = threshold, overlap
         bands = defaultdict(list)
-        for i, text in sorted(items):
+        for i, text in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
             words = terms(text or "")
             if len(words) >= least:
                 length = 16
@@ -199,7 +199,7 @@ class Index:
                     if q >= self.overlap and a >= self.overlap:
                         hit = (round(float(score), 6), -begin, round(q, 4), round(a, 4))
                         best[of][band.items[n]] = max(best[of].get(band.items[n], hit), hit)
-        return [[(i, -b, s, q, a) for i, (s, b, q, a) in sorted(x.items())] for x in best]
+        return [[(i, -b, s, q, a) for i, (s, b, q, a) in sorted(x.items(), key=lambda y: (y[0] is not None, y[0] or 0))] for x in best]
 
 
 def shards(benchmark: DataFrame, size: int, item: str, text: str) -> list[DataFrame]:
