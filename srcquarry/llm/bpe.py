@@ -209,13 +209,16 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with the text replaced by its ids, their number, and digests of the ids and of what they decode to."""
+    """The rows of ``docs`` with the text replaced by its ids, their number, and digests of the ids and of what they decode to.
+
+    Columns of ``docs`` that have the name of a new one are replaced by it.
+    """
     import pyarrow as pa
 
-    more = [f for f in docs.schema.fields if f.name not in (key, text)]
+    new = pa_schema(docs.sparkSession, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    more = [f for f in docs.schema.fields if f.name not in (text, *new.names)]
     at = docs.columns.index(text)
     places = [docs.columns.index(f.name) for f in more]
-    new = pa_schema(docs.sparkSession, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     kept = docs.select(*(F.col(f"`{key}`").cast("long").alias(key) if c == key else F.col(f"`{c}`") for c in docs.columns))
     ddl = StructType([*StructType.fromDDL(f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary").fields, *more])
     own = docs.columns.index(key)
