@@ -72,13 +72,19 @@ class WordEncoder:
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.simple = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
-        of = {b: c for c, b in byte_alphabet().items()}
-        model = self.library.model
-        self.piece = Memo(lambda piece: array("I", [t.id for t in model.tokenize("".join(of[b] for b in piece.encode()))]).tobytes(), 600_000)
-        self.word = Memo(lambda word: b"".join(map(self.piece.__getitem__, self.pieces.findall(word))), 600_000)
+        self.of = {b: c for c, b in byte_alphabet().items()}
+        self.word = Memo(self._word, 400_000)  # words and the pieces of words with punctuation
         #: The pretokens of this vocabulary, for lower-cased text of the first 256 code points.
         self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
+    def _word(self, word: str) -> bytes:
+        pieces = self.pieces.findall(word)
+        if len(pieces) != 1:
+            return b"".join(map(self.word.__getitem__, pieces))
+        piece = pieces[0]
+        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.of.__getitem__, piece.encode()))  # printable ASCII stands for itself
+        return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.simple and not any(s in text for s in self.special) and not any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for space
