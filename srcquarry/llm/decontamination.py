@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, keyed_text, map_rows
+from srcquarry.llm.common import Memo, chunks, keyed_text, map_rows
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BLOCK = 16
@@ -178,8 +178,11 @@ class Index:
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, float, float, float]]]:
         """For each text (item, first word of the passage, score, question overlap, answer overlap), the best passage of each item."""
+        return [h for part in chunks(texts) for h in self._hits(part)]
+
+    def _hits(self, texts: list[str]) -> list[list[tuple[int, int, float, float, float]]]:
         if self.memo is None:  # made in the worker
-            self.memo = Memo(lambda w: self.term.get(EDGES.sub("", w), -1), 700_000)
+            self.memo = Memo(lambda w: self.term.get(EDGES.sub("", w), -1), 400_000)
         words = [t.lower().split() for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(sizes) - sizes

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, keyed_text, pa_schema, stored
+from srcquarry.llm.common import Memo, chunks, keyed_text, pa_schema, stored
 
 PERCENT, WIDTH, RATIO = 85, 4, 1.35
 #: The cost of one expected colliding pair, in signatures.
@@ -57,9 +57,12 @@ class Shingler:
 
     def __init__(self, width: int = WIDTH):
         self.width = width
-        self.word = Memo(xxhash.xxh3_64_intdigest, 700_000)
+        self.word = Memo(xxhash.xxh3_64_intdigest, 400_000)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
+        return [s for part in chunks(texts) for s in self._sets(part)]
+
+    def _sets(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.encode().lower().split() for t in texts]  # of bytes: just A-Z, and just the six ASCII spaces
         flat = np.fromiter(map(self.word.__getitem__, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
         with np.errstate(over="ignore"):
@@ -204,7 +207,7 @@ def signatures_of(docs: DataFrame, text: str, width: int, percent: int, rows: in
                     node = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
                     if node in met:
                         continue
-                    if len(met) > 200_000:
+                    if len(met) > 100_000:
                         met.clear()
                     met.add(node)
                     for x, slot, zeros in partition.signatures(s):

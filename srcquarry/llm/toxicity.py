@@ -17,7 +17,6 @@ labels of one document count as often as they stand; labels without a document a
 
 from __future__ import annotations
 
-import functools
 import re
 
 import numpy as np
@@ -43,17 +42,12 @@ def _features(word: str) -> tuple[int, ...]:
     return tuple(xxhash.xxh32_intdigest(f) & ((1 << BITS) - 1) for f in forms)
 
 
-@functools.cache
-def feature_memo() -> Memo:
-    return Memo(_features, 500_000)
-
-
 class Severity:
     """The fitted model: sparse weights and ascending thresholds."""
 
     def __init__(self, weights: dict[int, float], thresholds: list[float]):
         self.weights, self.thresholds = weights, np.array(thresholds)
-        self.word = Memo(lambda w: tuple(f for f in _features(w) if f in weights), 700_000)
+        self.word = Memo(lambda w: tuple(f for f in _features(w) if f in weights), 400_000)
 
     def __reduce__(self):
         return Severity, (self.weights, list(self.thresholds))
@@ -114,7 +108,7 @@ def featured(docs: DataFrame, labels: DataFrame, sample: int, key: str, text: st
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
-        memo = feature_memo()
+        memo = Memo(_features, 200_000)
         for b in batches:
             f = [sorted(set().union(*map(memo.__getitem__, set(t.lower().split())))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, out.field(2).type)], schema=out)
