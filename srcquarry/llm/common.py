@@ -76,6 +76,13 @@ def pa_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def chunks(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     """``texts`` in turn, in lists of about ``chars`` characters: split words take ten times the memory of their text."""
     held, n = [], 0

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, chunks, keyed_text, pa_schema, stored
+from srcquarry.llm.common import Memo, chunks, keyed_text, pa_schema, slices, stored
 
 PERCENT, WIDTH, RATIO = 85, 4, 1.35
 #: The cost of one expected colliding pair, in signatures.
@@ -181,7 +181,7 @@ def nodes_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(width)
-        for b in batches:
+        for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())
             halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             none = np.array([not len(s) for s in sets], bool)
@@ -256,7 +256,7 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
     def run(batches):
         shingler = Shingler(width)
-        for b in batches:
+        for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())
             raw = [s.tobytes() for s in sets]
             nodes = [int(np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)[0]) for s in raw]
@@ -271,7 +271,7 @@ def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int,
 
     def kept(pairs: DataFrame, column: str, test) -> DataFrame:
         def run(batches):
-            for b in batches:
+            for b in slices(batches):
                 yes = [test(*row) for row in zip(*(b.column(c).to_pylist() for c in ("x", "y", "na", "nb")))]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=out).filter(pa.array(yes, pa.bool_()))
 
