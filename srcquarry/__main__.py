@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import argparse
-import json
 import sys
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from srcquarry import api
 from srcquarry.plans import report
 
-FORMATS = {"json": report.as_json, "text": report.as_text, "markdown": lambda f: report.as_text(f, markdown=True), "sarif": lambda f: json.dumps(report.as_sarif(f), indent=2), "plan": lambda f: json.dumps(report.fix_plan(f), indent=2)}
+FORMATS = {"json": report.json_parts, "text": lambda f: [report.as_text(f)], "markdown": lambda f: [report.as_text(f, markdown=True)], "sarif": report.sarif_parts, "plan": report.plan_parts}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -35,7 +35,7 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     if a.command == "graph":
-        return emit(report.graph_text(r.edges, "dot" if a.format == "dot" else "mermaid"), a.output)
+        return emit(report.graph_parts(r.edges, "dot" if a.format == "dot" else "mermaid"), a.output)
     found = api.analyze(r)
     if a.since:
         found = report.in_scope(found, api.changed_since(spark, a.folder, a.since), r.duplicates, r.cycles, r.modules)
@@ -44,13 +44,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     found = report.filtered(found, a.min_confidence, a.min_severity, a.command if a.command in report.COMMANDS else None)
     new = report.compared(found, spark.read.json(a.baseline))[0] if a.baseline else None
-    emit(FORMATS.get(a.format, report.as_text)(found), a.output)
+    emit(FORMATS.get(a.format, FORMATS["text"])(found), a.output)
     modules = r.modules.agg({"*": "count", "parse_error": "count"}).first()
     return 3 if modules[0] and modules[0] == modules[1] else report.exit_code(found, a.fail_on, new)
 
 
-def emit(text: str, output: str | None) -> int:
-    Path(output).write_text(text, encoding="utf-8") if output else print(text)
+def emit(parts: Iterable[str], output: str | None) -> int:
+    if output:
+        with Path(output).open("w", encoding="utf-8") as f:
+            f.writelines(parts)
+    else:
+        sys.stdout.writelines(parts)
+        print()
     return 0
 
 

@@ -1,13 +1,17 @@
 """What is made of findings: summaries, filters, baselines, scopes and documents.
 
-Tables stay DataFrames; a document (JSON, SARIF, text, a plan) is built on the driver from at most ``limit`` findings.
+Tables stay DataFrames.  A document for machines (JSON, SARIF, a plan, a graph) holds every finding or edge: its items are a
+DataFrame of texts, and ``*_parts`` yield the document piece by piece, so that the driver holds one partition of them at a time.
+Only the reports for readers (text, markdown) stop at ``limit`` findings, and say so.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from srcquarry.functions.text import ranked
@@ -91,9 +95,35 @@ def rows(findings: DataFrame, limit: int) -> tuple[list[dict], int]:
     return [r.asDict() for r in findings.orderBy(*order()).limit(limit).collect()], findings.count()
 
 
-def as_json(findings: DataFrame, limit: int = 10_000) -> str:
-    shown, n = rows(findings, limit)
-    return json.dumps({"summary": summary(findings).first().asDict(), "issues": shown, "truncated": n > len(shown)}, indent=2, sort_keys=True)
+def lines(items: DataFrame) -> Iterator[str]:
+    return (r.value for r in items.toLocalIterator())
+
+
+def listed(items: Iterable[str]) -> Iterator[str]:
+    """A JSON list, one item in a line."""
+    yield "["
+    for n, x in enumerate(items):
+        yield f"{',' if n else ''}\n{x}"
+    yield "]"
+
+
+def as_object(*fields: str | Column) -> Column:
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")
+
+
+def json_items(findings: DataFrame) -> DataFrame:
+    """(value): each finding as JSON, in order."""
+    return findings.orderBy(*order()).select(as_object(*sorted(findings.columns)))
+
+
+def json_parts(findings: DataFrame) -> Iterator[str]:
+    yield f'{{"summary": {json.dumps(summary(findings).first().asDict(), sort_keys=True)}, "truncated": false, "issues": '
+    yield from listed(lines(json_items(findings)))
+    yield "}"
+
+
+def as_json(findings: DataFrame) -> str:
+    return "".join(json_parts(findings))
 
 
 def as_text(findings: DataFrame, limit: int = 200, markdown: bool = False) -> str:
@@ -103,34 +133,79 @@ def as_text(findings: DataFrame, limit: int = 200, markdown: bool = False) -> st
     return "\n".join(out + ([f"... {n - len(shown)} more"] if n > len(shown) else []))
 
 
-def as_sarif(findings: DataFrame, limit: int = 10_000) -> dict:
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """(id, rule, place) of the rules that occur, sorted; places begin at 0."""
+    return findings.select("id", "rule").distinct().withColumn("place", F.row_number().over(Window.orderBy("id", "rule")) - 1)
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(value): each finding as a SARIF result, in order."""
+    level = F.coalesce(*(F.when(F.col("severity") == k, v) for k, v in LEVELS.items()), F.lit("warning"))
+    region = F.struct(F.greatest(F.lit(1), F.coalesce("line", F.lit(1))).alias("startLine"))
+    location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    return findings.join(F.broadcast(sarif_rules(findings)), ["id", "rule"]).orderBy(*order()).select(
+        as_object(
+            F.col("id").alias("ruleId"), F.col("place").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
+            F.struct(F.col("fingerprint").alias("stable")).alias("partialFingerprints"), F.array(location).alias("locations"),
+        )
+    )
+
+
+def sarif_parts(findings: DataFrame) -> Iterator[str]:
+    rules = [{"id": r.id, "name": r.rule} for r in sarif_rules(findings).orderBy("place").collect()]
+    yield f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {{"driver": {{"name": "srcquarry", "rules": {json.dumps(rules)}}}}}, "results": '
+    yield from listed(lines(sarif_results(findings)))
+    yield "}]}"
+
+
+def as_sarif(findings: DataFrame) -> dict:
     """A SARIF 2.1.0 log; rules are the sorted ones that occur, results point to them by place."""
-    shown, _ = rows(findings, limit)
-    ids = sorted({(r["id"], r["rule"]) for r in shown})
-    place = {i: n for n, (i, _) in enumerate(ids)}
-    results = [
-        {
-            "ruleId": r["id"], "ruleIndex": place[r["id"]], "level": LEVELS.get(r["severity"], "warning"), "message": {"text": r["message"]}, "partialFingerprints": {"stable": r["fingerprint"]},
-            "locations": [{"physicalLocation": {"artifactLocation": {"uri": r["path"]}, "region": {"startLine": max(1, r["line"] or 1)}}}],
-        }
-        for r in shown
-    ]
-    return {"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "srcquarry", "rules": [{"id": i, "name": n} for i, n in ids]}}, "results": results}]}
-
-
-def fix_plan(findings: DataFrame, limit: int = 10_000) -> dict:
-    """The four buckets, always all there, with what to do about each finding."""
-    shown, n = rows(findings, limit)
+    return json.loads("".join(sarif_parts(findings)))
+
+
+def plan_items(findings: DataFrame) -> DataFrame:
+    """(bucket, value): what to do about each finding, bucket by bucket in order."""
+    item = as_object("rule", F.col("path").alias("file"), "line", "symbol", "fingerprint", F.col("message").alias("one_liner"))
+    return findings.where(F.col("decision").isin(*BUCKETS)).orderBy(ranked(F.col("decision"), BUCKETS), *order()).select(F.col("decision").alias("bucket"), item)
+
+
+def plan_parts(findings: DataFrame) -> Iterator[str]:
     sizes = {r.bucket: r.n for r in buckets(findings).collect()}
-    item = lambda r: {"rule": r["rule"], "file": r["path"], "line": r["line"], "symbol": r["symbol"], "fingerprint": r["fingerprint"], "one_liner": r["message"]}
-    return {"summary": {"total": n, **{f"{b}_count": sizes[b] for b in BUCKETS}}, **{b: [item(r) for r in shown if r["decision"] == b] for b in BUCKETS}}
+    yield f'{{"summary": {json.dumps({"total": findings.count(), **{f"{b}_count": sizes[b] for b in BUCKETS}})}'
+    left = list(BUCKETS)
+    for bucket, items in groupby(plan_items(findings).toLocalIterator(), key=lambda r: r.bucket):
+        while left[0] != bucket:
+            yield f', "{left.pop(0)}": []'
+        yield f', "{left.pop(0)}": '
+        yield from listed(r.value for r in items)
+    yield from (f', "{b}": []' for b in left)
+    yield "}"
+
+
+def fix_plan(findings: DataFrame) -> dict:
+    """The four buckets, always all there, with what to do about each finding."""
+    return json.loads("".join(plan_parts(findings)))
 
 
-def graph_text(edges: DataFrame, kind: str = "mermaid", limit: int = 5000) -> str:
-    pairs = [(r[0], r[1]) for r in edges.select("importer", "target").distinct().orderBy("importer", "target").limit(limit).collect()]
+def graph_lines(edges: DataFrame, kind: str = "mermaid") -> DataFrame:
+    """(value): each edge once, in order."""
+    a, b = F.col("importer"), F.col("target")
     if kind == "dot":
-        return "\n".join(["digraph imports {", *(f'  "{a}" -> "{b}";' for a, b in pairs), "}"])
-    return "\n".join(["graph TD", *(f'  {a.replace(".", "_")}["{a}"] --> {b.replace(".", "_")}["{b}"]' for a, b in pairs)])
+        line = F.format_string('  "%s" -> "%s";', a, b)
+    else:
+        line = F.format_string('  %s["%s"] --> %s["%s"]', F.replace(a, F.lit("."), F.lit("_")), a, F.replace(b, F.lit("."), F.lit("_")), b)
+    return edges.select(a, b).distinct().orderBy(a, b).select(line.alias("value"))
+
+
+def graph_parts(edges: DataFrame, kind: str = "mermaid") -> Iterator[str]:
+    yield "digraph imports {" if kind == "dot" else "graph TD"
+    yield from (f"\n{x}" for x in lines(graph_lines(edges, kind)))
+    if kind == "dot":
+        yield "\n}"
+
+
+def graph_text(edges: DataFrame, kind: str = "mermaid") -> str:
+    return "".join(graph_parts(edges, kind))
 
 
 def context(modules: DataFrame, edges: DataFrame, findings: DataFrame, k: int = 20) -> dict[str, DataFrame]:

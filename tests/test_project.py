@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import textwrap
 
 import pytest
@@ -131,6 +132,34 @@ def test_reports(spark, found, repos):
     assert {("duplicate-code", "one.py"), ("circular-dependency", "left.py"), ("boundary-violation", "logic.py"), ("unused-module", "two.py")} <= scope and ("unused-module", "one.py") not in scope
 
 
+def test_documents_hold_everything(spark, found, tmp_path):
+    rule = "concat('rule-', lpad(id % 30, 2, '0'))"
+    many = spark.range(10_050).selectExpr(
+        "'a' AS repo", f"{rule} AS rule", f"{rule} AS id", "concat('p', id % 7, '.py') AS path", "IF(id % 5 = 0, NULL, CAST(id % 900 AS INT)) AS line", "IF(id % 3 = 0, NULL, 's') AS symbol",
+        "concat('say \"é\" ', id) AS message", "'high' AS confidence", "element_at(array('error', 'warning', 'info'), CAST(id % 3 + 1 AS INT)) AS severity", "concat('f', id) AS fingerprint",
+        "IF(id < 10, 'blocking', 'manual_only') AS decision", "'imports' AS category",
+    )
+    whole = json.loads(report.as_json(many))
+    assert len({x["fingerprint"] for x in whole["issues"]}) == len(whole["issues"]) == whole["summary"]["total_issues"] == 10_050 and not whole["truncated"]
+    run = report.as_sarif(many)["runs"][0]
+    ids = [x["id"] for x in run["tool"]["driver"]["rules"]]
+    assert len(run["results"]) == 10_050 and ids == sorted(ids) and len(ids) == 30
+    assert all(ids[x["ruleIndex"]] == x["ruleId"] and x["locations"][0]["physicalLocation"]["region"]["startLine"] >= 1 for x in run["results"])
+    plan = report.fix_plan(many)
+    assert [len(plan[b]) for b in report.BUCKETS] == [plan["summary"][f"{b}_count"] for b in report.BUCKETS] == [0, 0, 10, 10_040]
+    edges = spark.range(5_020).selectExpr("concat('m.a', id) AS importer", "concat('m.b', id) AS target")
+    for kind in ("mermaid", "dot"):
+        assert sum(" -> " in x or " --> " in x for x in report.graph_text(edges, kind).splitlines()) == 5_020
+    assert '  m_a7["m.a7"] --> m_b7["m.b7"]' in report.graph_text(edges) and '  "m.a7" -> "m.b7";' in report.graph_text(edges, "dot")
+    shown = [r.asDict() for r in found.orderBy(*report.order()).collect()]
+    assert json.loads(report.as_json(found))["issues"] == json.loads(json.dumps(shown))
+    from srcquarry.__main__ import FORMATS, emit
+
+    emit(FORMATS["sarif"](many), str(tmp_path / "log.sarif"))
+    assert len(json.loads((tmp_path / "log.sarif").read_text(encoding="utf-8"))["runs"][0]["results"]) == 10_050
+    assert report.as_text(many).endswith("... 9850 more")
+
+
 def test_planned_imports(spark, repos):
     plans = [("shop.right", "shop.main"), ("shop.one", "shop.store.nothing"), ("shop.one", "shop.left.VALUE as v"), ("shop.core.logic", "shop.store.db.connect"), ("shop.one", "json"), ("shop.one", "declaredthing"), ("shop.one", "otherthing.x"), ("shop.store.db", "shop.core.logic"), ("shop.one", "shop.Public")]
     got = {(r.importer, r.raw): r.bucket for r in predict.verify_imports(repos, spark.createDataFrame([("a", i, n) for i, n in plans], "repo string, importer string, raw string")).collect()}
