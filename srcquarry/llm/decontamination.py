@@ -13,8 +13,10 @@ of texts, so numpy's fixed cost is shared.
 Verification.  An item's question is its text up to the last question mark or line break within it, else the first half;
 the rest is its answer; halves also where either would have fewer than three words.  A hit counts if enough of the word triples of both stand in the passage.
 
-The index is built from at most ``shard`` bytes of items at a time and broadcast; a larger benchmark takes several passes
-over the texts, each with its own part of the items (and document frequencies of that part).
+The index is built from about ``shard`` bytes of items at a time and broadcast; a larger benchmark takes several passes over the
+texts, each with its own part of the items.  Document frequencies, item counts and mean lengths are those of the whole
+benchmark in every pass, and scores are summed exactly, so the result does not depend on the number of passes.  A pass is
+finished and its index released before the next.
 
 Cases: null or empty texts and items match nothing; items with fewer than ``least`` words are too short to tell and are
 left out; a null item_id is reported as null; items that repeat an id are one; the result has one row for each document and item, the best passage.
@@ -26,20 +28,25 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, chunks, keyed_text, map_rows
+from srcquarry.llm.common import Memo, chunks, keyed_text, map_rows, stored
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BLOCK = 16
 LEAST = 8
 #: Of an item's score, what its most frequent terms may sum up to; the bound below looks at the others only.
 FREQUENT = 0.3
+#: Bounds are summed in any order; this is more than they may round.
+SLACK = 1e-9
 
 
 def terms(text: str) -> list[str]:
@@ -59,18 +66,33 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
+def band_of(words: list) -> int:
+    length = 16
+    while length < len(words):
+        length *= 2
+    return length
+
+
+class Stats(NamedTuple):
+    """What BM25 needs to know of all items of a band: how many, their words, and in how many of them each term stands."""
+
+    items: int
+    words: int
+    df: dict[str, int]
+
+
 class Band:
-    """Inverted index of the items of one length band."""
+    """Inverted index of items of one length band; ``stats`` are those of the whole benchmark, by default of ``items``."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], length: int, term: dict[str, int], common: Counter, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, items: list[tuple[int, list[str], list[str], list[str]]], length: int, term: dict[str, int], common: Counter, stats: Stats | None = None, k1: float = 1.2, b: float = 0.75):
         self.length, self.items = length, [i for i, *_ in items]
         counts = [Counter(w for w in words if w) for _, words, _, _ in items]
-        df = Counter(w for c in counts for w in c)
-        mean = sum(len(words) for _, words, _, _ in items) / len(items)
+        stats = stats or Stats(len(items), sum(len(words) for _, words, _, _ in items), Counter(w for c in counts for w in c))
+        df, mean = stats.df, stats.words / stats.items
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for n, c in enumerate(counts):
             norm = k1 * (1 - b + b * sum(c.values()) / mean)
-            impact = {w: math.log(1 + (len(items) - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in c.items()}
+            impact = {w: math.log(1 + (stats.items - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + norm) for w, f in c.items()}
             whole = sum(impact.values())
             for w, x in impact.items():
                 lists[term[w]].append((n, x / whole))
@@ -109,7 +131,7 @@ class Band:
             bound, pivot = 0.0, None
             for k, t in enumerate(live):
                 bound += most[t]
-                if bound >= least:
+                if bound >= least - SLACK:
                     pivot = docs[t][at[t]]
                     break
             if pivot is None:
@@ -119,10 +141,10 @@ class Band:
             head = live[: k + 1]
             # blocks that hold the pivot
             where = [bisect_left(last[t], pivot, at[t] // BLOCK) for t in head]
-            if sum(block[t][j] for t, j in zip(head, where) if j < len(last[t])) >= least:
+            if sum(block[t][j] for t, j in zip(head, where) if j < len(last[t])) >= least - SLACK:
                 to = pivot
                 if docs[live[0]][at[live[0]]] == pivot:
-                    score = sum(impacts[t][at[t]] for t in head)
+                    score = math.fsum(impacts[t][at[t]] for t in head)
                     if score >= least:
                         out.append((pivot, score))
                     to = pivot + 1
@@ -152,20 +174,17 @@ class Band:
         posting = np.repeat(self.first[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         pair, where = np.unique(np.repeat(passage, n) * len(self.items) + self.item[posting], return_inverse=True)
         bound = np.bincount(where, self.impact[posting], len(pair)) + self.rest[pair % len(self.items)]
-        return np.unique(pair[bound >= least - 1e-9] // len(self.items))
+        return np.unique(pair[bound >= least - SLACK] // len(self.items))
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.6, least: int = LEAST):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.6, least: int = LEAST, stats: dict[int, Stats] | None = None):
         self.threshold, self.overlap = threshold, overlap
         bands = defaultdict(list)
         for i, text in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
             words = terms(text or "")
             if len(words) >= least:
-                length = 16
-                while length < len(words):
-                    length *= 2
-                bands[length].append((i, words, *question_answer(text)))
+                bands[band_of(words)].append((i, words, *question_answer(text)))
         self.term: dict[str, int] = {}
         common: Counter = Counter()
         for x in bands.values():
@@ -173,7 +192,7 @@ class Index:
                 for w in dict.fromkeys(words):
                     if w:
                         common[self.term.setdefault(w, len(self.term))] += 1
-        self.bands = [Band(x, n, self.term, common) for n, x in sorted(bands.items())]
+        self.bands = [Band(x, n, self.term, common, stats and stats[n]) for n, x in sorted(bands.items())]
         self.memo = None
 
     def hits(self, texts: list[str]) -> list[list[tuple[int, int, float, float, float]]]:
@@ -205,18 +224,50 @@ class Index:
         return [[(i, -b, s, q, a) for i, (s, b, q, a) in sorted(x.items(), key=lambda y: (y[0] is not None, y[0] or 0))] for x in best]
 
 
-def shards(benchmark: DataFrame, size: int, item: str, text: str) -> list[DataFrame]:
+def counted(items: DataFrame, item: str, text: str, least: int = LEAST) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """((band, term, df, parts) of all items, ``parts`` those in which the term stands; band -> (items, words))."""
+
+    def run(batches):
+        for b in batches:
+            out = {"band": [], "part": [], "words": [], "terms": []}
+            for part, t in zip(b.column("part").to_pylist(), b.column(text).to_pylist()):
+                words = terms(t)
+                if len(words) >= least:
+                    for k, x in zip(out, (band_of(words), part, len(words), list({w for w in words if w}))):
+                        out[k].append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out["band"], pa.int64()), pa.array(out["part"], pa.int64()), pa.array(out["words"], pa.int64()), pa.array(out["terms"], pa.list_(pa.string()))], names=list(out))
+
+    held = stored(items.select("part", text).mapInArrow(run, "band long, part long, words long, terms array<string>"), "items")
+    sizes = {r.band: (r.n, r.words) for r in held.groupBy("band").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()}
+    each = held.select("band", "part", F.explode("terms").alias("term"))
+    return stored(each.groupBy("band", "term").agg(F.count("*").alias("df"), F.collect_set("part").alias("parts")), "terms"), sizes
+
+
+def indexes(benchmark: DataFrame, size: int, item: str, text: str, threshold: float, overlap: float) -> Iterator[tuple[Broadcast, bool]]:
+    """(broadcast index, whether it is the only one): each part of the benchmark in turn, the one before released."""
+    sc = benchmark.sparkSession.sparkContext
     held = benchmark.select(F.col(item).cast("long").alias(item), F.coalesce(F.col(text), F.lit("")).alias(text))
     n = max(1, math.ceil((held.agg(F.sum(F.octet_length(text))).first()[0] or 0) / size))
-    return [held if n == 1 else held.where(F.pmod(F.xxhash64(item), F.lit(n)) == k) for k in range(n)]
+    if n == 1:
+        yield sc.broadcast(Index([tuple(r) for r in held.collect()], threshold, overlap)), True
+        return
+    held = held.withColumn("part", F.pmod(F.xxhash64(item), F.lit(n)))
+    counts, sizes = counted(held, item, text)
+    for k in range(n):
+        stats = {band: Stats(*x, {}) for band, x in sizes.items()}
+        for r in counts.where(F.array_contains("parts", F.lit(k).cast("long"))).select("band", "term", "df").toLocalIterator():
+            stats[r.band].df[r.term] = r.df
+        index = sc.broadcast(Index([tuple(r) for r in held.where(F.col("part") == k).drop("part").collect()], threshold, overlap, stats=stats))
+        del stats
+        yield index, False
+        index.destroy()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard: int = 16 << 20, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """(key, item_id, passage_start, score, question_overlap, answer_overlap): every verified hit of every text."""
     out = None
     ddl = f"{key} long, hits array<struct<item_id: bigint, passage_start: bigint, score: double, question_overlap: double, answer_overlap: double>>"
-    for part in shards(benchmark, shard, item, "text"):
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], threshold, overlap))
+    for index, only in indexes(benchmark, shard, item, "text", threshold, overlap):
 
         def start(index=index):
             x = index.value
@@ -228,20 +279,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
             return work
 
         found = map_rows(keyed_text(docs, key, text), ddl, start, key, text).select(key, F.inline("hits"))
+        if only:
+            return found
+        found = stored(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.6, shard: int = 16 << 20, text: str = "text", item: str = "item_id") -> DataFrame:
     """The rows of ``docs``, whole, that no item leaks into; rows with a null text stay."""
-    at = docs.columns.index(text)
-    for part in shards(benchmark, shard, item, "text"):
-        index = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part.collect()], threshold, overlap))
+    at, held, gone = docs.columns.index(text), None, None
+    for index, only in indexes(benchmark, shard, item, "text", threshold, overlap):
 
         def run(batches, index=index):
             x = index.value
             for b in batches:
                 yield b.filter(pa.array([not h for h in x.hits([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        def marked(batches, index=index):
+            x = index.value
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(h) for h in x.hits([t or "" for t in b.column(1).to_pylist()])], pa.bool_()))], names=["row"])
+
+        if only:
+            return docs.mapInArrow(run, docs.schema)
+        if held is None:  # ids may be null or repeat: rows are numbered, once
+            held = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+        found = stored(held.select("row", F.col("doc")[text].alias("text")).mapInArrow(marked, "row long"), "leaking")
+        gone = found if gone is None else gone.unionByName(found)
+    return held.join(gone, "row", "left_anti").select("doc.*")

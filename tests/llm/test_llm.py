@@ -307,6 +307,23 @@ def test_leaks_awkward(spark, docs, sf):
     assert decontamination.leaks(docs, bench.limit(0)).count() == 0 and decontamination.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_shards_change_nothing(spark):
+    r = random.Random(12)
+    vocabulary = [f"t{i}" for i in range(300)]
+    items = [(i if i else None, " ".join(r.choices(vocabulary[: r.choice((40, 300))], k=r.randint(8, 40)))) for i in range(150)]
+    texts = []
+    for k in range(300):  # partial copies around the threshold
+        words = r.choice(items)[1].split()
+        texts.append((k % 280, " ".join(w if r.random() < 0.75 else "other" for w in words)))
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([*texts, (None, None)], "doc_id long, text string")
+    hits = lambda **more: sorted((tuple(x) for x in decontamination.leaks(docs, bench, overlap=0.2, **more).collect()), key=str)
+    kept = lambda **more: sorted((tuple(x) for x in decontamination.without_leaks(docs, bench, overlap=0.2, **more).collect()), key=str)
+    whole, rest = hits(), kept()
+    assert 50 < len(whole) and 50 < len(rest) < 250 and (None, None) in rest
+    for size in (3000, 8000):
+        assert hits(shard=size) == whole and kept(shard=size) == rest
+
+
 # 7: secrets
 
 
