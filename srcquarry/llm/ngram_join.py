@@ -375,10 +375,15 @@ def ngram_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key:
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, whole, that stand for their component: those whose key is its component_id, or null."""
-    found = ngram_join(docs, percent, width, key, text)
-    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    """The rows of ``docs``, whole: of each component the first by key (null last) and row order, and all rows without shingles.
+
+    Keys may repeat or be null, so rows are numbered and the numbers are joined.
+    """
+    held = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")), "numbered")
+    found = ngram_join(held.select("row", F.col("doc")[text].alias("text")), percent, width, "row", "text")
+    keys = held.select("row", F.col("doc")[key].cast("long").alias("key"))
+    first = found.join(keys, "row").groupBy("component_id").agg(F.min(F.struct(F.col("key").isNull(), F.col("key"), F.col("row")))["row"].alias("row"))
+    return held.join(first, "row", "left_semi").select("doc.*")
 
 
 def brute(texts: dict[int, str | None], percent: int = PERCENT, width: int = WIDTH) -> dict[int, tuple[int, int]]:

@@ -179,6 +179,15 @@ def test_join_awkward(spark, docs):
     assert kept.columns == docs.columns and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_representatives_are_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(200)) for x in "abc")
+    rows = [(5, a), (1, a + " end"), (5, b), (7, c), (7, c), (None, c + " end"), (None, "only here"), (None, "only here"), (9, None), (9, None), (2, "")]
+    kept = ngram_join.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a + " end"), (5, b), (7, c), (None, "only here"), (9, None), (9, None), (2, "")])
+    nulls = [(None, a), (None, a + " end"), (None, b)]
+    assert ngram_join.representatives(spark.createDataFrame(nulls, "doc_id long, text string")).count() == 2
+
+
 # 4: quality rules
 
 
