@@ -18,8 +18,10 @@ texts, each with its own part of the items.  Document frequencies, item counts a
 benchmark in every pass, and scores are summed exactly, so the result does not depend on the number of passes.  A pass is
 finished and its index released before the next.
 
-Cases: null or empty texts and items match nothing; items with fewer than ``least`` words are too short to tell and are
-left out; a null item_id is reported as null; items that repeat an id are one; the result has one row for each document and item, the best passage.
+Short items.  An item with fewer than ``least`` words is no matter of scores: it is found where its whole word sequence stands
+in a text, by hashes of all stretches of its length, which are then compared word by word.  Its score and overlaps are 1.
+
+Cases: null or empty texts and items, and items of punctuation only, match nothing; a null item_id is reported as null; items that repeat an id are one; the result has one row for each document and item, the best passage.
 """
 
 from __future__ import annotations
@@ -66,6 +68,14 @@ def question_answer(text: str) -> tuple[list[str], list[str]]:
     return words[: len(words) // 2], words[len(words) // 2 :]
 
 
+def windows(ids: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each ``n`` ids in a row."""
+    count, out = max(0, len(ids) - n + 1), np.uint64(0)
+    for j in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + count].astype(np.uint64)
+    return out
+
+
 def band_of(words: list) -> int:
     length = 16
     while length < len(words):
@@ -180,18 +190,26 @@ class Band:
 class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float = 0.6, overlap: float = 0.6, least: int = LEAST, stats: dict[int, Stats] | None = None):
         self.threshold, self.overlap = threshold, overlap
-        bands = defaultdict(list)
+        bands, short = defaultdict(list), []
         for i, text in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
             words = terms(text or "")
             if len(words) >= least:
                 bands[band_of(words)].append((i, words, *question_answer(text)))
-        self.term: dict[str, int] = {}
+            elif any(words):
+                short.append((i, words))
+        self.term: dict[str, int] = {"": 0}  # punctuation only: in no posting list, and not the same as an unknown word
         common: Counter = Counter()
         for x in bands.values():
             for _, words, _, _ in x:
                 for w in dict.fromkeys(words):
                     if w:
                         common[self.term.setdefault(w, len(self.term))] += 1
+        #: number of words -> hash -> (item, words)
+        self.short: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+        for i, words in short:
+            ids = np.array([self.term.setdefault(w, len(self.term)) for w in words], np.int64)
+            self.short[len(words)][int(windows(ids, len(words))[0])].append((i, words))
+        self.short = {n: dict(x) for n, x in self.short.items()}
         self.bands = [Band(x, n, self.term, common, stats and stats[n]) for n, x in sorted(bands.items())]
         self.memo = None
 
@@ -207,6 +225,15 @@ class Index:
         starts = np.cumsum(sizes) - sizes
         ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
         best: list[dict[int, tuple]] = [{} for _ in texts]
+        for n, known in self.short.items():
+            hashes = windows(ids, n)
+            for at in np.flatnonzero(np.isin(hashes, np.array(list(known), np.uint64))).tolist():
+                of = int(np.searchsorted(starts, at, "right")) - 1
+                begin = at - int(starts[of])
+                stretch = [EDGES.sub("", w) for w in words[of][begin : begin + n]]
+                for i, item in known[int(hashes[at])]:
+                    if stretch == item:
+                        best[of].setdefault(i, (1.0, -begin, 1.0, 1.0))
         for band in self.bands:
             stretches = -(-sizes // band.length)
             base = np.cumsum(stretches) - stretches

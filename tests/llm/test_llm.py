@@ -333,6 +333,18 @@ def test_shards_change_nothing(spark):
         assert hits(shard=size) == whole and kept(shard=size) == rest
 
 
+def test_short_items():
+    items = [(1, "What is Zorb?"), (2, "zorb - nine"), (3, "?!"), (4, "nine"), (None, "Zorb is what"), (5, "one two three four five six seven")]
+    texts = ["", "So: what is (Zorb)? What is zorb", "zorb nine", "Zorb -- nine.", "zorb foo nine", "what is", "zorb", "?!", "x one two three four five six seven y"]
+    got = [[(i, at) for i, at, *rest in h if rest == [1.0, 1.0, 1.0]] for h in decontamination.Index(items).hits(texts)]
+    assert got == [[], [(1, 1)], [(4, 1)], [(2, 0), (4, 2)], [(4, 2)], [], [], [], [(5, 1)]]
+
+
+def test_unknown_words_are_not_punctuation():
+    item = " ".join(f"w{i} -" for i in range(20))
+    assert decontamination.Index([(1, item)]).hits([item])[0] and not decontamination.Index([(1, item)]).hits([item.replace("-", "other")])[0]
+
+
 # 7: secrets
 
 
