@@ -8,10 +8,11 @@ longer prefix, and the change of its token count is written on the transition.
 transitions are made when first reached and kept in a table, as lazy automata do; the count of a pretoken is the sum along
 its path.
 
-Composition.  A long text is cut into blocks of fixed size anywhere.  White space after other text resets the tokenizer,
-so a block maps any entry state to: what its head (before its first reset) adds on from that state, the count between its
-first and last reset, and the tail after the last reset, which is the exit state.  Such maps compose associatively, and a
-recursive doubling scan gives the counts of all prefixes.
+Composition.  A long text is cut into blocks of fixed size anywhere.  White space after other text resets the tokenizer, so a
+block is its head (the text before its first reset), the count between its first and last reset, and its tail (the text after
+the last reset).  Two blocks are composed by counting the text at their seam anew; this is associative, and a recursive
+doubling scan in one Python call composes them.  These are text seams, not maps from entry to exit states of the transducer,
+which always begins in state 0; a long text is counted within one task, and one without white space at once at its end.
 
 Cases: null and empty texts have 0 tokens; a special string in a text is one token; texts without any white space,
 repeated rows and extra columns make no difference.
