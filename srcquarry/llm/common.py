@@ -43,7 +43,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    read = spark.read.schema(schema).parquet(path)
+    read.scratch_path = path
+    return read
+
+
+def discard(*spent: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for df in spent:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -13,11 +13,14 @@ either side drops ``K + F`` units.  Each drops ``K`` at once, its empty and smal
 how many sets have each signature: the most frequent ones, such as those of a passage that many documents share.  How many
 segments are of which kind, and ``K``, is allocated by cost: signatures of a set, and expected collisions.
 
-Links.  A pair is verified by its sizes, then by small parity sketches that bound its difference from below, then exactly.  In a
-bucket of equal signatures only members of different components matter.  First each node is verified against
-one pivot of its buckets (of the members with the largest buckets, the one that shares most with it), linear in the
-signatures; where comparing the rest pair
-by pair would cost more than that, other pivots follow.  Last, pairs of different components that share ``T`` units are
+Links.  Each node is first verified against one pivot of its buckets (of the members with the largest buckets, the one that
+shares most with it); in what follows only members of different components matter.  A pair is verified by its sizes, then by
+small parity sketches that bound its difference from below, then exactly.  Pairs of a bucket of up to ``SMALL`` members are
+verified where they share ``T`` units.  The members of a larger bucket, a passage of many documents or a family of texts just
+short of the threshold, are told apart by what they differ in from the bucket's pivot: two sets differ from one another exactly
+as their differences from a third do.  If neither is the pivot's own link, two linked ones have more such differences together
+than they may differ in, so they share some; in an order of the differences, rarest first, those that come before the first
+shared one are not shared, and so are at most as many as the two may differ in.  Just the pairs that meet in such a place are
 verified.  So no link between different texts is lost, and thousands of near copies never become all their pairs.
 
 Cases: null and empty texts have the empty set, are linked with nothing and are their own component; rows that repeat a
@@ -36,9 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, chunks, keyed_text, pa_schema, slices, stored
+from srcquarry.llm.common import Memo, chunks, discard, keyed_text, pa_schema, slices, stored
 
 PERCENT, WIDTH, RATIO = 85, 4, 1.35
+#: Buckets of up to so many members are compared pair by pair.
+SMALL = 8
 #: The cost of one expected colliding pair, in signatures.
 PAIR_COST = 4.0
 U = np.uint64
@@ -174,6 +179,19 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def halves_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The 128-bit hash of each set as two integers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+
+
+def named(halves: np.ndarray, clashes: frozenset[int]) -> np.ndarray:
+    """The node of each hash: its first half, or where several sets share that, both halves mixed."""
+    if not clashes:
+        return halves[:, 0]
+    both = mix(halves[:, 0].astype(np.uint64) ^ mix(halves[:, 1].astype(np.uint64))).astype(np.int64)
+    return np.where(np.isin(halves[:, 0], list(clashes)), both, halves[:, 0])
+
+
 def nodes_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """(key, n_shingles, node, check): two 64-bit halves of the hash of each document's set; null without shingles."""
     ddl = f"{key} long, n_shingles long, node long, check long"
@@ -183,41 +201,37 @@ def nodes_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())
-            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+            halves = halves_of(sets)
             none = np.array([not len(s) for s in sets], bool)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(halves[:, i], mask=none) for i in (0, 1))], schema=out)
 
     return keyed_text(docs, key, text).mapInArrow(run, ddl)
 
 
-def signatures_of(docs: DataFrame, text: str, width: int, percent: int, rows: int) -> DataFrame:
+def signatures_of(docs: DataFrame, text: str, width: int, percent: int, rows: int, clashes: frozenset[int]) -> DataFrame:
     """(sig, node, slot, units) of every set; a set that a task has met lately is not written again."""
     ddl = "sig long, node long, slot int, units int"
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
         shingler, partition, met = Shingler(width), Partition(rows, percent), set()
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for k in range(0, len(texts), 1000):
-                sigs, nodes, slots, sizes, units = [], [], [], [], []
-                for s in shingler.sets(texts[k : k + 1000]):
-                    if not len(s):
-                        continue
-                    node = int(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0])
-                    if node in met:
-                        continue
-                    if len(met) > 100_000:
-                        met.clear()
-                    met.add(node)
-                    for x, slot, zeros in partition.signatures(s):
-                        sigs.append(x)
-                        nodes.append(node)
-                        slots.append(slot)
-                        sizes.append(len(x))
-                        units.append(np.where(np.arange(len(x)) < zeros, 1, 2).astype(np.int32))
-                if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.repeat(np.array(slots, np.int32), sizes)), pa.array(np.concatenate(units))], schema=out)
+        for b in slices(batches):
+            sets = [s for s in shingler.sets(b.column(0).to_pylist()) if len(s)]
+            sigs, nodes, slots, sizes, units = [], [], [], [], []
+            for s, node in zip(sets, named(halves_of(sets), clashes).tolist()):
+                if node in met:
+                    continue
+                if len(met) > 100_000:
+                    met.clear()
+                met.add(node)
+                for x, slot, zeros in partition.signatures(s):
+                    sigs.append(x)
+                    nodes.append(node)
+                    slots.append(slot)
+                    sizes.append(len(x))
+                    units.append(np.where(np.arange(len(x)) < zeros, 1, 2).astype(np.int32))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes)), pa.array(np.repeat(np.array(slots, np.int32), sizes)), pa.array(np.concatenate(units))], schema=out)
 
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(run, ddl)
 
@@ -226,11 +240,14 @@ def shared_buckets(signatures: DataFrame) -> DataFrame:
     """(sig, node, slot, units, weight) of signatures that several nodes have, without the ``F`` most frequent ones of each node
     and band.  A node's weight is how many rows its buckets have: the middle of a group of near copies weighs most."""
     by = Window.partitionBy("sig")
-    some = signatures.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).withColumn("n", F.count("*").over(by)).where("lo <> hi").drop("lo", "hi")
-    some = stored(some, "signatures")  # what a few documents share
+    some = signatures.withColumn("lo", F.min("node").over(by)).withColumn("hi", F.max("node").over(by)).where("lo <> hi").select("sig", "node", "slot", "units").distinct()
+    some = stored(some.withColumn("n", F.count("*").over(by)), "signatures")  # what a few documents share
     place = F.row_number().over(Window.partitionBy("node", "slot", "units").orderBy(F.desc("n"), "sig"))
     weight = F.sum("n").over(Window.partitionBy("node", "slot"))
-    return some.withColumn("weight", weight).withColumn("place", place).where("units = 2 OR place > (slot >> 4) & 65535").select("sig", "node", "slot", "units", "weight")
+    kept = some.withColumn("weight", weight).withColumn("place", place).where("units = 2 OR place > (slot >> 4) & 65535").select("sig", "node", "slot", "units", "weight")
+    kept = stored(kept, "buckets")
+    discard(some)
+    return kept
 
 
 def parity_of(tokens: np.ndarray) -> bytes:
@@ -249,7 +266,7 @@ def may_be_linked(x: bytes, y: bytes, na: int, nb: int, percent: int) -> bool:
     return int(np.bitwise_count(a ^ b).sum()) <= (na + nb) * (100 - percent) // (100 + percent)
 
 
-def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+def sets_of(docs: DataFrame, key: str, text: str, width: int, clashes: frozenset[int]) -> DataFrame:
     """(node, size, parity, tokens) of the given documents."""
     ddl = "node long, size long, parity binary, tokens binary"
     out = pa_schema(docs.sparkSession, ddl)
@@ -258,14 +275,21 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())
-            raw = [s.tobytes() for s in sets]
-            nodes = [int(np.frombuffer(xxhash.xxh3_128_digest(s), np.int64)[0]) for s in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_of(s) for s in sets], pa.binary()), pa.array(raw, pa.binary())], schema=out)
+            nodes = named(halves_of(sets), clashes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
 
     return keyed_text(docs, key, text).mapInArrow(run, ddl)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+def joined(pairs: DataFrame, sets: DataFrame, column: str, salts: int = 16) -> DataFrame:
+    """(a, b, x, y, na, nb): ``column`` and size of both; a pivot ``a`` of many pairs is spread over several keys."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
+    right = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col(column).alias("y")), "b").withColumn("salt", salt)
+    pivots = pairs.select("a", salt.alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col(column).alias("x")), "a")
+    return right.join(pivots, ["a", "salt"]).select("a", "b", "x", "y", "na", "nb")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The rows of (a, b) that are linked: by size, then by parity, then by the sets themselves."""
     out = pa_schema(pairs.sparkSession, "a long, b long")
 
@@ -275,16 +299,48 @@ def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int,
                 yes = [test(*row) for row in zip(*(b.column(c).to_pylist() for c in ("x", "y", "na", "nb")))]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], schema=out).filter(pa.array(yes, pa.bool_()))
 
-        # a pivot of many pairs is spread over several keys
-        salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-        right = pairs.join(sets.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col(column).alias("y")), "b").withColumn("salt", salt)
-        pivots = pairs.select("a", salt.alias("salt")).distinct().join(sets.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col(column).alias("x")), "a")
-        return right.join(pivots, ["a", "salt"]).select("a", "b", "x", "y", "na", "nb").mapInArrow(run, "a long, b long")
+        return joined(pairs, sets, column).mapInArrow(run, "a long, b long")
 
     size = nodes.select("node", "size")
-    fits = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    close = stored(kept(stored(fits, "pairs"), "parity", lambda x, y, na, nb: may_be_linked(x, y, na, nb, percent)), "pairs")
-    return kept(close, "tokens", lambda x, y, na, nb: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
+    fits = stored(pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b"), "pairs")
+    close = stored(kept(fits, "parity", lambda x, y, na, nb: may_be_linked(x, y, na, nb, percent)), "pairs")
+    edges = stored(kept(close, "tokens", lambda x, y, na, nb: similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)), "edges")
+    discard(fits, close)
+    return edges
+
+
+def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, apart, diff): the tokens that just one of a pivot ``a`` and a node ``b`` has, and their number."""
+    ddl = "a long, b long, na long, nb long, apart long, diff array<long>"
+    out = pa_schema(pairs.sparkSession, ddl)
+
+    def run(batches):
+        for b in slices(batches):
+            rows = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
+            diff = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in rows]
+            size = np.array([len(d) for d in diff], np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(diff)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(size), flat], schema=out)
+
+    return joined(pairs, sets, "tokens").mapInArrow(run, ddl)
+
+
+def apart_alike(apart: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of nodes in different components that may be linked, by their differences from a common pivot.
+
+    Nodes are n, other tokens before a shared one ``at``.  Of two nodes, one has at most half as many of them as the two may
+    differ in, so such rows are joined with all.
+    """
+    tokens = apart.select("a", F.col("b").alias("n"), F.col("nb").alias("size"), "apart", F.explode("diff").alias("token"))
+    many = tokens.groupBy("a", "token").agg(F.count("*").alias("df")).where("df > 1")
+    own = Window.partitionBy("a", "n")
+    at = F.col("apart") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
+    rows = tokens.join(many, ["a", "token"]).withColumn("at", at).where(f"{percent} * at <= {100 - percent} * size")
+    held = stored(rows.join(comps, F.col("n") == F.col("node"), "left").select("a", "token", "n", "size", "at", F.coalesce("comp", "n").alias("comp")), "differences")
+    few = held.where(f"2 * {percent} * at <= {100 - percent} * size").toDF("a1", "token1", "n1", "size1", "at1", "comp1")
+    meet = F.expr(f"a = a1 AND token = token1 AND comp <> comp1 AND {100 + percent} * (at + at1) <= {100 - percent} * (size + size1) AND 100 * least(size, size1) >= {percent} * greatest(size, size1)")
+    found = few.join(held, meet)
+    return found.select(F.least("n", "n1").alias("a"), F.greatest("n", "n1").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -297,81 +353,67 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = stored(small, name)
+        spent, now = now, stored(small, name)
+        discard(spent)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first())
         if new == mark and new[0] == new[2]:  # a forest of stars that no longer changes
             return now.select(F.col("u").alias("node"), F.col("v").alias("comp"))
         mark = new
 
 
-def relabelled(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """``comps`` after more edges between its components."""
-    more = components(edges)
-    if comps is None:
-        return more
-    further = more.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    old = comps.join(further, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-    return stored(old.unionByName(more.join(comps.select("node"), "node", "left_anti")), "components")
-
-
-def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, key: str, text: str, most: int = 8) -> DataFrame | None:
-    """(node, comp) of the nodes that are linked with others; ``most``: pairs that a row of the buckets may cost at the end."""
+def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, key: str, text: str, clashes: frozenset[int]) -> DataFrame | None:
+    """(node, comp) of the nodes that are linked with others."""
     # the partition is set by the order of magnitude of the collection
-    rows = 1 << max(10, docs.count().bit_length())
+    rows = 1 << max(10, nodes.count().bit_length())
     by = Window.partitionBy("sig")
-    buckets = stored(shared_buckets(signatures_of(docs, text, width, percent, rows)), "buckets")
+    buckets = shared_buckets(signatures_of(docs, text, width, percent, rows, clashes))
     first = buckets.withColumn("pivot", F.max(F.struct("weight", "node")).over(by)["node"]).where("pivot <> node").groupBy("node", "pivot").agg(F.sum("units").alias("n"))
     # one pivot for each node: the one with most in common
     chosen = stored(first.groupBy("node").agg(F.max(F.struct("n", "pivot")).alias("best")).select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), "pairs")
     if chosen.isEmpty():
         return None
     involved = buckets.select("node").distinct().join(nodes, "node").select(F.col("rep").alias(key))
-    sets = stored(sets_of(docs.where(F.col(key).isNotNull()).join(involved, key, "left_semi"), key, text, width).dropDuplicates(["node"]), "sets")
-    edges = stored(verified(chosen, sets, nodes, percent), "edges")
-    comps = None if edges.isEmpty() else relabelled(None, edges)
-    turn, before = 0, None
-    while True:
-        held = buckets.withColumn("comp", F.col("node")) if comps is None else buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        held = held.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").drop("lo", "hi")
-        held = stored(held.withColumn("first", F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).over(by)), "buckets")
-        cost = held.groupBy("sig").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        if not cost.rows:
-            return comps
-        last = cost.pairs <= most * cost.rows or before is not None and cost.pairs > before / 2  # other pivots help no more
-        if last:
-            mine = held.select("sig", F.col("node").alias("a"), F.col("comp").alias("comp_a"), "slot", "units")
-            theirs = held.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            found = mine.join(theirs, "sig").where("a < b AND comp_a <> comp_b").groupBy("a", "b", "slot").agg(F.sum("units").alias("n")).where("n >= slot & 15").select("a", "b").distinct()
-        else:  # a pivot that changes from turn to turn, and its component
-            away = held.where("comp <> first.comp").groupBy("node", F.col("first.node").alias("a")).agg(F.sum("units").alias("n"))
-            found = away.groupBy("node").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", F.col("node").alias("b"))
-        edges = verified(found, sets, nodes, percent)
-        if comps is not None:
-            for side in ("a", "b"):
-                edges = edges.join(comps.withColumnRenamed("node", side), side, "left").withColumn(side, F.coalesce("comp", side)).drop("comp")
-        edges = stored(edges.where("a <> b").distinct(), "edges")
-        if not edges.isEmpty():
-            comps = relabelled(comps, edges)
-        if last:
-            return comps
-        turn, before = turn + 1, cost.pairs
+    sets = stored(sets_of(docs.where(F.col(key).isNotNull()).join(involved, key, "left_semi"), key, text, width, clashes).dropDuplicates(["node"]), "sets")
+    edges = verified(chosen, sets, nodes, percent)
+    discard(chosen)
+    comps = components(edges)
+    held = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(nodes.select("node", "size"), "node")
+    held = held.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").drop("lo", "hi")
+    held = stored(held.withColumn("members", F.count("*").over(by)).withColumn("pivot", F.max(F.struct("weight", "node")).over(by)["node"]), "buckets")
+    discard(buckets)
+    small, large = held.where(F.col("members") <= SMALL), held.where(F.col("members") > SMALL)
+    mine = small.select("sig", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("na"), "slot", "units")
+    theirs = small.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("nb"))
+    meet = mine.join(theirs, "sig").where(f"a < b AND comp_a <> comp_b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    found = meet.groupBy("a", "b", "slot").agg(F.sum("units").alias("n")).where("n >= slot & 15").select("a", "b")
+    pivots = stored(large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    apart = stored(differences(pivots, sets), "differences")
+    direct = apart.where(f"{100 + percent} * apart <= {100 - percent} * (na + nb)").select("a", "b")
+    found = stored(found.union(apart_alike(apart, comps, percent)).distinct(), "pairs")
+    return components(edges.union(direct).union(verified(found, sets, nodes, percent)))
 
 
 def ngram_join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row; component_id is the smallest key reachable by links."""
     rows = stored(nodes_of(docs, key, text, width), "nodes")
-    nodes = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("rep"), F.min("n_shingles").alias("size"), F.min("check").alias("lo"), F.max("check").alias("hi"))
-    nodes = stored(nodes, "nodes")
-    if not nodes.where("lo <> hi").isEmpty():
-        raise ValueError("two sets have the same 64-bit hash; give another seed")
-    comps = links(docs, nodes, percent, width, key, text)
+    alike = rows.where(F.col("node").isNotNull())
+    # sets with equal first halves of their hashes: 1 expected among 6 billion sets
+    clashes = frozenset(r.node for r in alike.groupBy("node").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("node").collect())
+    if clashes:
+        both = F.udf(lambda a, b: int(named(np.array([[a, b]], np.int64), clashes)[0]), "long")
+        alike = alike.withColumn("node", F.when(F.col("node").isin(list(clashes)), both("node", "check")).otherwise(F.col("node")))
+    nodes = stored(alike.groupBy("node").agg(F.min(key).alias("rep"), F.min("n_shingles").alias("size")), "nodes")
+    # one document signs for all with its set; keys that repeat with different sets all sign
+    copies = stored(alike.join(nodes, "node").groupBy(key).agg(F.min(F.col(key) > F.col("rep")).alias("copy")).where("copy").select(key), "copies")
+    comps = links(docs.join(copies, key, "left_anti"), nodes, percent, width, key, text, clashes)
     if comps is None:
         whole = nodes.select("node", F.col("rep").alias("component_id"))
     else:
         of = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = of.groupBy("comp").agg(F.min("rep").alias("component_id"))
         whole = of.join(least, "comp").select("node", "component_id")
-    return rows.join(whole, "node", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    found = alike.join(whole, "node").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return found.union(rows.where(F.col("node").isNull()).select(key, "n_shingles", F.col(key).alias("component_id")))
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:

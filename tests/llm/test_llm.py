@@ -203,6 +203,34 @@ def quality_brute(t: str | None):
             covered.update(k for i in v for k in range(i, i + 5))
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), len(w) < 10 or 100 * len(covered) > 20 * len(w)
 
+def test_families_short_of_the_threshold(spark):
+    """Texts with a few edits of one template, most of them not linked, a passage of many texts, and copies in every partition."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    template, passage = [r.choice(words) for _ in range(150)], [r.choice(words) for _ in range(60)]
+    texts = {}
+    for i in range(260):
+        if i % 4 == 3:
+            t = [r.choice(words) for _ in range(r.randint(3, 30))] + passage + [r.choice(words) for _ in range(r.randint(0, 12))]
+        else:
+            t = list(template)
+            for _ in range(r.randint(0, 7)):
+                k = r.randrange(len(t))
+                t[k : k + r.randint(0, 2)] = [r.choice(words) for _ in range(r.randint(0, 2))]
+        texts[i] = " ".join(t)
+    texts |= {1000 + i: texts[i % 10] for i in range(100)}
+    want = ngram_join.brute(texts)
+    assert 100 < len({c for _, c in want.values()}) < 250
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(16)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()} == want
+
+
+def test_clashing_hashes():
+    a, b = [7, 1], [7, 2]
+    got = ngram_join.named(np.array([a, b, [8, 3]], np.int64), frozenset([7]))
+    assert len(set(got.tolist())) == 3 and got[2] == 8
+
+
 
 def test_quality(spark, sf, docs, texts):
     for df in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
