@@ -375,18 +375,20 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, key: str,
     involved = buckets.select("node").distinct().join(nodes, "node").select(F.col("rep").alias(key))
     sets = stored(sets_of(docs.where(F.col(key).isNotNull()).join(involved, key, "left_semi"), key, text, width, clashes).dropDuplicates(["node"]), "sets")
     edges = verified(chosen, sets, nodes, percent)
-    discard(chosen)
     comps = components(edges)
     held = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(nodes.select("node", "size"), "node")
     held = held.withColumn("lo", F.min("comp").over(by)).withColumn("hi", F.max("comp").over(by)).where("lo <> hi").drop("lo", "hi")
-    held = stored(held.withColumn("members", F.count("*").over(by)).withColumn("pivot", F.max(F.struct("weight", "node")).over(by)["node"]), "buckets")
+    held = stored(held.withColumn("members", F.count("*").over(by)), "buckets")
     discard(buckets)
     small, large = held.where(F.col("members") <= SMALL), held.where(F.col("members") > SMALL)
     mine = small.select("sig", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("size").alias("na"), "slot", "units")
     theirs = small.select("sig", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("nb"))
     meet = mine.join(theirs, "sig").where(f"a < b AND comp_a <> comp_b AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
     found = meet.groupBy("a", "b", "slot").agg(F.sum("units").alias("n")).where("n >= slot & 15").select("a", "b")
-    pivots = stored(large.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    # the pivot of a bucket is the one that most of its members were verified against, so a node has few of them
+    large = large.join(chosen.toDF("own", "node"), "node", "left").withColumn("own", F.coalesce("own", "node")).withColumn("votes", F.count("*").over(Window.partitionBy("sig", "own")))
+    large = large.withColumn("a", F.max(F.struct("votes", "own")).over(by)["own"])
+    pivots = stored(large.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     apart = stored(differences(pivots, sets), "differences")
     direct = apart.where(f"{100 + percent} * apart <= {100 - percent} * (na + nb)").select("a", "b")
     found = stored(found.union(apart_alike(apart, comps, percent)).distinct(), "pairs")
