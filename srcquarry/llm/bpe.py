@@ -15,7 +15,6 @@ default; lone very long words are encoded without being remembered; repeated row
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 from array import array
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema
+from srcquarry.llm.common import Memo, held, keyed_text, map_rows, pa_schema, slices
 
 #: The pretoken pattern of byte-level BPE vocabularies and the white space of Unicode.
 PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -98,14 +97,9 @@ class Compatible(dict):
         return ok
 
 
-@functools.cache
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
-
-
 class Codec:
     def __init__(self, path: str):
-        self.vocab = v = vocabulary(path)
+        self.vocab = v = Vocabulary(path)
         self.match = ahocorasick.Automaton()
         for b, i in v.ids.items():
             self.match.add_word(b.decode("latin-1"), (i, len(b)))
@@ -166,10 +160,9 @@ class Codec:
         return self.flat[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
 
 
-@functools.cache
 def codec(path: str) -> Codec:
     """One per Python worker, kept between tasks."""
-    return Codec(path)
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +218,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         c = codec(path)
-        for b in batches:
+        for b in slices(batches):
             ids = [c.encode(t or "") for t in b.column(at).to_pylist()]
             made = [b.column(own), [len(i) // 4 for i in ids], [hashlib.sha256(i).hexdigest() for i in ids], [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids], ids]
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(made, new)]

@@ -71,7 +71,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[[list, lis
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for b in batches:
+        for b in slices(batches):
             got = work(b.column(key).to_pylist(), b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(got[n], out.field(n).type) for n in names], schema=out)
 
@@ -105,6 +105,25 @@ def chunks(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
         yield held
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make()`` gives, kept by this Python worker until another ``key`` is asked for.
+
+    Workers outlive stages: the models of stages that follow each other do not pile up.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def released() -> None:
+    """Called at the start of tasks that hold no such model: the one of an earlier stage goes."""
+    _held.clear()
+
+
 class Memo(dict):
     """A dict that computes what it lacks and holds at most ``limit`` entries: half of them new, half of the generation before,
     from which what is asked again returns."""

@@ -40,7 +40,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, chunks, keyed_text, map_rows, stored
+from srcquarry.llm.common import Memo, chunks, keyed_text, map_rows, released, slices, stored
 
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 BLOCK = 16
@@ -297,6 +297,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap
     for index, only in indexes(benchmark, shard, item, "text", threshold, overlap):
 
         def start(index=index):
+            released()
             x = index.value
 
             def work(keys, texts):
@@ -319,13 +320,15 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     for index, only in indexes(benchmark, shard, item, "text", threshold, overlap):
 
         def run(batches, index=index):
+            released()
             x = index.value
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not h for h in x.hits([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
         def marked(batches, index=index):
+            released()
             x = index.value
-            for b in batches:
+            for b in slices(batches):
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(h) for h in x.hits([t or "" for t in b.column(1).to_pylist()])], pa.bool_()))], names=["row"])
 
         if only:

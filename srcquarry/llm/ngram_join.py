@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, chunks, discard, keyed_text, pa_schema, slices, stored
+from srcquarry.llm.common import Memo, chunks, discard, keyed_text, pa_schema, released, slices, stored
 
 PERCENT, WIDTH, RATIO = 85, 4, 1.35
 #: Buckets of up to so many members are compared pair by pair.
@@ -198,6 +198,7 @@ def nodes_of(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
+        released()
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())
@@ -214,6 +215,7 @@ def signatures_of(docs: DataFrame, text: str, width: int, percent: int, rows: in
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
+        released()
         shingler, partition, met = Shingler(width), Partition(rows, percent), set()
         for b in slices(batches):
             sets = [s for s in shingler.sets(b.column(0).to_pylist()) if len(s)]
@@ -272,6 +274,7 @@ def sets_of(docs: DataFrame, key: str, text: str, width: int, clashes: frozenset
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
+        released()
         shingler = Shingler(width)
         for b in slices(batches):
             sets = shingler.sets(b.column(1).to_pylist())

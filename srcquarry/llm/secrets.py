@@ -12,7 +12,6 @@ Null and empty texts have no spans.  Texts of any length are scanned whole.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 import random
@@ -24,7 +23,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, keyed_text, map_rows
+from srcquarry.llm.common import Memo, held, keyed_text, map_rows, slices
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -108,9 +107,9 @@ class Scanner:
         return sorted(found)
 
 
-@functools.cache
 def scanner() -> Scanner:
-    return Scanner(labelled_samples())
+    """One per Python worker, kept between tasks."""
+    return held(("secrets",), lambda: Scanner(labelled_samples()))
 
 
 def written(spans: Iterable[tuple[int, int, int]]) -> str:
@@ -158,7 +157,7 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str
         import pyarrow as pa
 
         s = scanner()
-        for b in batches:
+        for b in slices(batches):
             texts = [None if t is None else redact(t, s.spans(t), mark) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, b.schema.field(i).type) if i == at else b.column(i) for i in range(len(names))], schema=b.schema)
 

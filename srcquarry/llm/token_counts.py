@@ -20,15 +20,14 @@ repeated rows and extra columns make no difference.
 
 from __future__ import annotations
 
-import functools
 import re
 
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.bpe import CHUNKS, PRETOKENS, SPACE, vocabulary
-from srcquarry.llm.common import Memo, keyed_text, map_rows
+from srcquarry.llm.bpe import CHUNKS, PRETOKENS, SPACE, Vocabulary
+from srcquarry.llm.common import Memo, held, keyed_text, map_rows
 
 BLOCK = 1 << 16
 RESET = re.compile(f"(?<=[^{SPACE}])(?=[{SPACE}])")
@@ -38,7 +37,7 @@ class Transducer:
     """Counts BPE tokens of a pretoken byte by byte."""
 
     def __init__(self, path: str, limit: int = 3_000_000):
-        self.vocab = v = vocabulary(path)
+        self.vocab = v = Vocabulary(path)
         self.limit = limit
         self.child: dict[int, int] = {}  # node << 8 | byte -> node
         self.token: list[int] = [-1]
@@ -145,9 +144,9 @@ class Counter:
         return n
 
 
-@functools.cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    """One per Python worker, kept between tasks."""
+    return held(("counts", path), lambda: Counter(path))
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:

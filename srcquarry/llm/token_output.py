@@ -15,7 +15,6 @@ empty table gives an empty table; a null doc_id comes first.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcquarry.llm.bpe import byte_alphabet
-from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema, scratch, stored
+from srcquarry.llm.common import Memo, held, keyed_text, map_rows, pa_schema, scratch, stored
 
 BLOCK_IDS = 1 << 16
 BLOCK = "part int, start long, docs array<long>, lengths array<long>, control binary, data binary"
@@ -96,9 +95,9 @@ class WordEncoder:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
 
-@functools.cache
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    """One per Python worker, kept between tasks."""
+    return held(("words", path), lambda: WordEncoder(path))
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> DataFrame:

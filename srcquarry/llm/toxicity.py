@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema, stored
+from srcquarry.llm.common import Memo, keyed_text, map_rows, pa_schema, released, slices, stored
 
 SAMPLE = 12_000
 BITS = 20
@@ -108,8 +108,9 @@ def featured(docs: DataFrame, labels: DataFrame, sample: int, key: str, text: st
     out = pa_schema(docs.sparkSession, ddl)
 
     def run(batches):
+        released()
         memo = Memo(_features, 200_000)
-        for b in batches:
+        for b in slices(batches):
             f = [sorted(set().union(*map(memo.__getitem__, set(t.lower().split())))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(f, out.field(2).type)], schema=out)
 
@@ -139,6 +140,7 @@ def score(docs: DataFrame, model: Severity, cut: float = CUT, key: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ``most`` weights
 
     def start():
+        released()
         m = shared.value
         return lambda keys, texts: {key: keys, "severity": [round(m.expected(t), 4) for t in texts]}
 
@@ -150,8 +152,9 @@ def clean(docs: DataFrame, model: Severity, cut: float = CUT, text: str = "text"
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
     def run(batches):
+        released()
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([t is None or m.expected(t) < cut for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

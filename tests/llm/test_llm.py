@@ -454,7 +454,7 @@ def test_bpe_equals_library(byte_library, texts):
 
 
 def test_pieces_equal_plain_merging():
-    v, c, r = bpe.vocabulary(BYTE), bpe.codec(BYTE), random.Random(9)
+    v, c, r = bpe.Vocabulary(BYTE), bpe.codec(BYTE), random.Random(9)
     for _ in range(1500):
         piece = bytes(r.choice(b"abcdethinor \xc3\xa9\xff019") for _ in range(r.randint(1, 24)))
         assert c.piece(piece.decode("latin-1")) == v.merge(piece) and token_counts.counter(BYTE).dfa.count(piece) == len(v.merge(piece))
