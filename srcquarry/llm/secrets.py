@@ -1,13 +1,14 @@
 """Secret scans (operator 7): fixed patterns, then character Markov models of random strings and ordinary identifiers.
 
-Base kinds (assign, access, hex) are patterns whose matches are taken from left to right.  For all other long words, two
-character models of order 2 are compared: one trained on labelled random strings, one on labelled ordinary identifiers.
-The score of a word is the sum over its characters of the log-likelihood ratio; a word is a secret (kind "random") if its
-score for each character and its whole score are both above the thresholds.  A word that overlaps a base span is never
-added again.
+Base kinds (assign, access, hex) are patterns whose matches are taken from left to right.  For all other words of ``SHORTEST``
+characters and more, two character models of order 2 are compared: one trained on labelled random strings, one on labelled
+ordinary identifiers, compounds and numbers.  The score of a word is the sum over its characters of the log-likelihood ratio;
+a word is a secret (kind "random") if its score for each character and its whole score are both above the thresholds.  Of a
+word that overlaps base spans only the parts that they leave are asked about.  Plain numbers are labelled ordinary.
 
 Spans are kind:start:end in code points, end exclusive, by start and then by kind in the order assign, access, hex, random.
-Null and empty texts have no spans.  Texts of any length are scanned whole.
+Null and empty texts have no spans; rows that repeat an id stand as often as they do; an empty table gives an empty table; other
+columns are not read (``scan``) or kept as they are (``redacted``).  Texts of any length are scanned whole, in linear time.
 """
 
 from __future__ import annotations
@@ -29,15 +30,25 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same matches as runs of [0-9a-f]+ that have 32 or more
-WORDS = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Words of at least so many characters are asked about.
+SHORTEST = 16
+WORDS = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: Frequent parts of words of four languages.
+PARTS = (
+    "ing tion ment ness able ible less ful est ers the and with for ough ight ence ance ist ism ity ous ive ate ize ship ward"
+    " sch keit heit lich ung ein ver ent ge be zu auf ab chen lein tz pf cht nder ander erei schaft"
+    " eau que eux oi ou ai ette elle ieux oire able age esse eur ure aux"
+    " ly wh th he in er an re on at en nd or nt st sh ll"
+    " cion dad ado ido ando iendo mente ero era oso osa ito ita ura aje anza"
+).split()
 
 
 def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     """(text, 1 if random): random strings of several alphabets, and identifiers, words, paths and numbers."""
     r = random.Random(seed)
     up, low, dig = string.ascii_uppercase, string.ascii_lowercase, string.digits
-    alphabets = (dig + "abcdef", dig + "ABCDEF", up + low + dig, up + low + dig + "+/", up + dig, low + dig, up + low + dig + "_-")
-    out = [("".join(r.choices(a, k=r.randint(20, 64))), 1) for a in alphabets for _ in range(n // len(alphabets))]
+    alphabets = (dig + "abcdef", dig + "ABCDEF", up + low + dig, up + low + dig + "+/", up + dig, low + dig, up + low + dig + "_-", low, up, up + low, dig + "+/=_-")
+    out = [("".join(r.choices(a, k=r.randint(SHORTEST, 64))), 1) for a in alphabets for _ in range(n // len(alphabets))]
     syllables = [c + v + e for c in "b c d f g h l m n p r s t v w st tr pl th sh ch".split() + [""] for v in "a e i o u ou ea io ee ie".split() for e in ("", "n", "r", "s", "t", "l", "nd", "ng")]
     common = "get set is has to from of by with the and on read write user name value index count list map key data file path time date size type node item task work page text line word code test main init load save open close send next last first max min sum error event token request response handler manager factory service client server config buffer stream".split()
     word = lambda: r.choice(common) if r.random() < 0.5 else "".join(r.choices(syllables, k=r.randint(1, 5)))
@@ -46,6 +57,10 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
         lambda w: "-".join(w), lambda w: "/".join(w), lambda w: "_".join(w).upper(), lambda w: "".join(w), lambda w: "_".join(w) + str(r.randint(0, 99)),
     )
     out += [(r.choice(styles)([word() for _ in range(r.randint(2, 8))]), 0) for _ in range(n)]
+    # long compounds in any case, also of parts that seldom meet, and plain numbers
+    grown = lambda: "".join(r.choice(PARTS if r.random() < 0.6 else syllables) for _ in range(r.randint(3, 12)))
+    out += [(r.choice((str.lower, str.upper, str.title))(grown()), 0) for _ in range(3 * n)]
+    out += [("".join(r.choices(dig, k=r.randint(4, 30))), 0) for _ in range(n // 2)]
     out += [(r.choice("-=_+/") * r.randint(20, 60), 0) for _ in range(n // 20)]
     out += [("".join(r.choices(dig, k=r.randint(1, 4))) * r.randint(6, 20), 0) for _ in range(n // 40)]
     out += [(f"{r.randint(1990, 2040)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" * 2, 0) for _ in range(n // 40)]
@@ -76,10 +91,20 @@ class MarkovModel:
         return sum(self.log[t[i - k : i + 1]] for i in range(k, len(t)))
 
 
+def merged(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, _, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 class Scanner:
     """``per_char`` and ``least`` bound the log-likelihood ratio of a secret; see tests for held-out accuracy."""
 
-    def __init__(self, samples: list[tuple[str, int]], per_char: float = 0.25, least: float = 8.0):
+    def __init__(self, samples: list[tuple[str, int]], per_char: float = 1.0, least: float = 8.0):
         self.random = MarkovModel(t for t, y in samples if y)
         self.ordinary = MarkovModel(t for t, y in samples if not y)
         self.per_char, self.least = per_char, least
@@ -88,9 +113,6 @@ class Scanner:
         return self.random.score(text) - self.ordinary.score(text)
 
     def is_random(self, word: str) -> bool:
-        # letters of one case, or no letter at all: an ordinary word or number; the models need not be asked
-        if word.isalpha() and (word.islower() or word.isupper() or word.istitle()) or not any(map(str.isalpha, word)):
-            return False
         ratio = self.ratio(word)
         return ratio >= self.least and ratio >= self.per_char * len(word)
 
@@ -100,10 +122,22 @@ class Scanner:
         if "AKIA" in text:
             found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-        base = sorted(found)
+        base, k = merged(sorted(found)), 0
         for m in WORDS.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in base) and self.is_random(m[0]):
-                found.append((m.start(), 3, m.end()))
+            at = m.start()
+            while k < len(base) and base[k][1] <= at:
+                k += 1
+            j = k
+            while True:  # the word, or what base spans leave of it
+                to = min(m.end(), base[j][0]) if j < len(base) else m.end()
+                if to - at >= SHORTEST and self.is_random(text[at:to]):
+                    found.append((at, 3, to))
+                if to == m.end():
+                    break
+                at = base[j][1]
+                j += 1
+                if at >= m.end():
+                    break
         return sorted(found)
 
 
@@ -116,20 +150,12 @@ def written(spans: Iterable[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def merged(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, _, e in spans:
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 def redact(text: str, spans: Iterable[tuple[int, int, int]], mark: str) -> str:
-    for s, e in reversed(merged(spans)):
-        text = f"{text[:s]}{mark}{text[e:]}"
-    return text
+    out, at = [], 0
+    for s, e in merged(spans):
+        out += (text[at:s], mark)
+        at = e
+    return "".join((*out, text[at:]))
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -399,6 +399,37 @@ def test_secret_models_held_out():
     assert sum(map(s.is_random, random_words)) >= 0.93 * len(random_words) and sum(map(s.is_random, plain)) <= 0.01 * len(plain)
 
 
+def test_secret_words_of_one_case():
+    s, r = secrets.scanner(), random.Random(4)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789+/=_-"):
+        for n in (16, 24, 40):
+            assert sum(s.is_random("".join(r.choices(alphabet, k=n))) for _ in range(300)) >= 285
+    assert not any(map(s.is_random, ["internationalization", "Rechtsschutzversicherung", "ANTICONSTITUTIONNELLEMENT", "4041894974608795", "=" * 40]))
+
+
+def test_secret_words_beside_base_spans(texts):
+    """Added spans against a version that asks about every uncovered stretch of every word, and one in time linear in the text."""
+    s, r = secrets.scanner(), random.Random(6)
+    key = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    odd = [f"{key(30)}/password={'x' * 9} {key(20)}", f"{key(18)}AKIA{'B2' * 8}", f"token=abcdefgh {key(40)}", "f" * 40 + key(24), " ".join(key(k) for k in range(10, 30))]
+    for t in [*texts.values(), *odd]:
+        t = t or ""
+        base = [(a, b) for a, _, b in secrets_brute(t)]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", t):
+            if m.end() - m.start() < secrets.SHORTEST:
+                continue
+            free = [i for i in range(m.start(), m.end()) if not any(a <= i < b for a, b in base)]
+            while free:
+                k = next((k for k in range(1, len(free)) if free[k] != free[0] + k), len(free))
+                if k >= secrets.SHORTEST and s.is_random(t[free[0] : free[0] + k]):
+                    want.append((free[0], 3, free[0] + k))
+                free = free[k:]
+        assert [x for x in s.spans(t) if x[1] == 3] == want, t
+    assert sum(x[1] == 3 for t in odd for x in s.spans(t)) >= 6
+    assert secrets.redact("abcdef", [(1, 0, 3), (2, 2, 4)], "#") == "a#ef" and secrets.redact("", [], "#") == ""
+
+
 def test_secret_tables(spark, docs):
     rows = {r.doc_id: r for r in secrets.scan(docs).collect()}
     assert rows[98].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[98].spans == "" and len(rows) == docs.select("doc_id").distinct().count()
