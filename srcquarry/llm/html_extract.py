@@ -2,7 +2,8 @@
 
 Blocks.  A page is cut at the tags of block elements; what lies between two such tags is a leaf block, with the elements that
 are open around it.  Scripts, styles, comments, the head and void elements have no text.  Character references are decoded,
-white space in a block becomes one space, empty blocks are skipped.  Unclosed and stray tags are read as browsers do.
+white space in a block becomes one space, empty blocks are skipped.  Unclosed and stray tags are read as browsers do.  Formulas,
+objects, media and noscript are elements like others.
 
 Model.  Features of a block: each ancestor's tag, the words of its class, id and role, pairs of an ancestor with the section
 it stands in, the innermost block tag, and of the text: length, share inside links, last character, cue words.  The chain
@@ -11,7 +12,8 @@ backward sums, Adam); the best labels of a page are found by Viterbi.  The label
 bounded sample (``TRAIN`` pages) of layouts with known main text.
 
 Cases: null and empty pages have the empty text; a page cut off anywhere keeps what was read; text without any tag is one
-block; very long pages are read whole in linear time; repeated rows and extra columns make no difference.
+block; very long pages and deep nesting are read whole in linear time; of equal labellings the one with more main text, from the
+end, is taken; repeated rows and extra columns make no difference.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import functools
 import html
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +34,10 @@ from srcquarry.llm.common import Memo, pa_schema
 
 TRAIN = 700
 #: Elements by how they part text.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template title svg math object canvas audio video xmp".split())
+#: Elements whose content is no markup, or no part of the page, with what ends them.
+RAW = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in "script style template title xmp".split()}
 SECTIONS = frozenset("article aside body footer form header main nav section".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CUES = frozenset("©|copyright|rights|reserved|cookie|cookies|privacy|terms|subscribe|newsletter|sign|login|log|share|advertisement|sponsored|reply|replies|comment|comments|posted|related|read|more|menu|home|search|previous|next|tags|follow".split("|"))
@@ -46,10 +51,35 @@ def names_in(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({w for m in NAMES.finditer(attributes) for w in PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[1]).lower())})) if "=" in attributes else ()
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
-    """(open elements as (tag, names), text, characters inside links) of each leaf block."""
-    out: list[tuple[tuple, str, int]] = []
-    stack: list[tuple[str, tuple]] = []
+class Place:
+    """An open element and those around it; elements share their ancestors, so a block's place costs nothing to keep."""
+
+    __slots__ = ("around", "tag", "names", "depth", "section", "inner")
+
+    def __init__(self, around: Place | None, tag: str, names: tuple[str, ...]):
+        self.around, self.tag, self.names, self.depth = around, tag, names, around.depth + 1 if around else 0
+        self.section = tag if tag in SECTIONS else names[0] if names else around.section if around else "body"
+        self.inner = tag if tag in BLOCKS else around.inner if around else "body"
+
+    def own(self) -> list[str]:
+        """Features of this element alone and of it within the section around it."""
+        out = [f"t:{self.tag}", *(f"n:{n}" for n in self.names)]
+        return out + [f"{self.around.section if self.around else 'body'}>{x}" for x in out]
+
+    def leaf(self) -> tuple[str, str]:
+        return f"inner:{self.inner}", f"in:{self.section}>{self.inner}"
+
+
+PAGE = Place(None, "", ())
+
+
+def blocks(page: str) -> list[tuple[Place, str, int]]:
+    """(innermost open element, text, characters inside links) of each leaf block."""
+    out: list[tuple[Place, str, int]] = []
+    stack: list[Place] = [PAGE]
+    tops: list[int] = []  # where the stack's block elements are
+    opened: list[Counter] = [Counter()]  # open inline elements since each of them
+    whole: Counter = Counter()  # open block elements
     parts: list[str] = []
     linked = links = 0
     names = Memo(names_in, 10_000)
@@ -60,15 +90,21 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(stack), text, linked))
+                out.append((stack[-1], text, linked))
             parts.clear()
         linked = 0
 
     def close(upto: int):
         nonlocal links
-        for tag, _ in stack[upto:]:
+        while len(stack) > upto:
+            tag = stack.pop().tag
             links -= tag == "a"
-        del stack[upto:]
+            if tag in BLOCKS:
+                tops.pop()
+                opened.pop()
+                whole[tag] -= 1
+            else:
+                opened[-1][tag] -= 1
 
     while True:
         m = MARKUP.search(page, at)
@@ -86,60 +122,50 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                 head = True
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at) if not m[2].endswith("/") else None
                 if not m[2].endswith("/"):
+                    end = RAW[tag].search(page, at)
                     at = end.end() if end else len(page)
                 parts.append(" ")
                 continue
             if tag in BLOCKS:
                 head = False
                 flush()
-                shut = CLOSES.get(tag)
-                for k in range(len(stack) - 1, -1, -1):
-                    t = stack[k][0]
-                    if t == "p" or shut and t in shut:
-                        close(k)
-                        break
-                    if t in BLOCKS:
-                        break
+                above = stack[tops[-1]].tag if tops else ""
+                if above == "p" or above in CLOSES.get(tag, ()):
+                    close(tops[-1])
             elif tag == "br":
                 parts.append(" ")
             if tag not in VOID:
-                stack.append((tag, names[m[2]]))
+                if tag in BLOCKS:
+                    tops.append(len(stack))
+                    opened.append(Counter())
+                    whole[tag] += 1
+                else:
+                    opened[-1][tag] += 1
+                stack.append(Place(stack[-1], tag, names[m[2]]))
                 links += tag == "a"
         elif m[3]:
             tag = m[3].lower()
             if tag == "head":
                 head = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag in BLOCKS:
-                        flush()
-                    close(k)
-                    break
-                if tag not in BLOCKS and stack[k][0] in BLOCKS:  # a stray inline end tag
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+            if tag in BLOCKS:
+                flush()
+            if whole[tag] if tag in BLOCKS else opened[-1][tag] > 0:  # else a stray end tag
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
     flush()
     return out
 
 
-@functools.lru_cache(100_000)
-def place_features(stack: tuple) -> tuple[str, ...]:
-    found, section, inner = {"bias"}, "body", "body"
-    for tag, names in stack:
-        if tag in BLOCKS:
-            inner = tag
-        own = [f"t:{tag}", *(f"n:{n}" for n in names)]
-        found.update(own)
-        found.update(f"{section}>{x}" for x in own)
-        if tag in SECTIONS:
-            section = tag
-        elif names:
-            section = names[0]
-    return (*sorted(found), f"inner:{inner}", f"in:{section}>{inner}")
+def place_features(place: Place) -> tuple[str, ...]:
+    """All distinct features of the elements around a block."""
+    found, leaf = {"bias"}, place.leaf()
+    while place is not PAGE:
+        found.update(place.own())
+        place = place.around
+    return (*sorted(found), *leaf)
 
 
 def text_features(text: str, linked: int) -> list[str]:
@@ -155,17 +181,37 @@ class Crf:
 
     def __init__(self, weights: dict[str, float], chain: np.ndarray):
         self.weights, self.chain = weights, chain
-        self.place = Memo(lambda s: sum(weights.get(f, 0.0) for f in place_features(s)), 100_000, 1 << 20)
 
     def __reduce__(self):
         return Crf, (self.weights, self.chain)
 
-    def labels(self, found: list[tuple[tuple, str, int]]) -> list[int]:
-        """Viterbi."""
+    def places(self, found: list[tuple[Place, str, int]]) -> Iterator[float]:
+        """The scores of ``place_features`` of each block.  Blocks stand in page order, so each element is entered and left once."""
+        get, path, seen, score = self.weights.get, [PAGE], Counter(), self.weights.get("bias", 0.0)
+        for place, _, _ in found:
+            enter = []
+            while place is not PAGE and not (place.depth < len(path) and path[place.depth] is place):
+                enter.append(place)
+                place = place.around
+            while len(path) > place.depth + 1:
+                for f in path.pop().own():
+                    seen[f] -= 1
+                    if not seen[f]:
+                        score -= get(f, 0.0)
+            for e in reversed(enter):
+                path.append(e)
+                for f in e.own():
+                    seen[f] += 1
+                    if seen[f] == 1:
+                        score += get(f, 0.0)
+            yield score + sum(get(f, 0.0) for f in path[-1].leaf())
+
+    def labels(self, found: list[tuple[Place, str, int]]) -> list[int]:
+        """Viterbi; of equal scores, the block and the one before it count as main text."""
         get, ((c00, c01), (c10, c11)) = self.weights.get, self.chain.tolist()
         zero, one, back = 0.0, 0.0, []
-        for k, (stack, text, linked) in enumerate(found):
-            u = self.place[stack] + sum(get(f, 0.0) for f in text_features(text, linked))
+        for k, ((_, text, linked), of) in enumerate(zip(found, self.places(found))):
+            u = of + sum(get(f, 0.0) for f in text_features(text, linked))
             if not k:
                 zero, one = 0.0, u
                 continue
@@ -265,6 +311,8 @@ def labelled_pages(n: int = TRAIN, seed: int = 5) -> list[tuple[str, set[str]]]:
             return f"<{(t := r.choice(('div', 'div', 'aside', 'section', 'p')))}{attr('ad', 'ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'ad-slot', 'sponsor')}>{inner}</{t}>"
 
         def notice() -> str:
+            if r.random() < 0.1:
+                return f"<noscript>{r.choice((words(3, 20), f'<p>{words(3, 20)}</p>'))}</noscript>"
             inner = r.choice((words(3, 30), f"<p>{words(3, 30)}</p>")) + (f"<button>{words(1, 2, '')}</button>" if r.random() < 0.5 else "")
             return f"<div{attr('notice', 'cookie', 'cookie-banner', 'alert', 'consent', 'gdpr', 'popup', 'warning', 'modal', 'paywall', 'message')}>{inner}</div>"
 

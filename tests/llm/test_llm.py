@@ -78,7 +78,25 @@ def test_token_files(spark, docs):
 # 2: pages
 
 
+def test_html_nesting_is_linear():
+    """Four times the page takes about four times as long, with unclosed, stray and void elements of every kind."""
+    import time
+
+    crf = html_extract.model()
+    for unit in ("<div class=a{0}>x", "<i>x", "<b><div><i>x</b>y", "<i>x<hr>", "<div>x</b></i>", "<p><i>x<li>y</ul>"):
+        took = []
+        for n in (2000, 8000):
+            page = "".join(unit.format(k) for k in range(n)) + "</b>" * n
+            began = time.process_time()
+            found = html_extract.blocks(page)
+            assert found and len(crf.labels(found)) == len(found)
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.1, (unit, took)
+
+
 def test_html_blocks():
+    fallback = "<article><p>It is <math><mi>x</mi> + 1</math> here<video>no video</video><svg><title>icon</title></svg></p><object>alt<p>after</article>"
+    assert [t for _, t, _ in html_extract.blocks(fallback)] == ["It is x + 1 hereno video", "alt", "after"]
     page = "<html><head><title>no</title></head><body><nav><a href=x>Menu</a></nav><p>One &amp; <b>two</b>\n three<br>four<p>five<script>var t='<p>';</script><ul><li>a<li>b</ul>tail &copy <!-- no --><textarea>x</textarea> cut <p"
     assert [t for _, t, _ in html_extract.blocks(page)] == ["Menu", "One & two three four", "five", "a", "b", "tail ©", "x", "cut"]
     assert html_extract.blocks("") == [] and [t for _, t, _ in html_extract.blocks("just text")] == ["just text"]
@@ -97,8 +115,12 @@ def test_html_held_out():
 
 def test_viterbi_is_best():
     crf, r = html_extract.model(), random.Random(3)
+    for page, _ in html_extract.labelled_pages(40, 8):  # scores taken along the page are those of the blocks' features
+        some = html_extract.blocks(page)
+        want = [sum(crf.weights.get(f, 0) for f in html_extract.place_features(s)) for s, _, _ in some]
+        assert np.allclose(list(crf.places(some)), want)
     found = html_extract.blocks(html_extract.labelled_pages(1, 5)[0][0])[:9]
-    score = lambda ys: sum((crf.place[s] + sum(crf.weights.get(f, 0) for f in html_extract.text_features(t, n))) * y for (s, t, n), y in zip(found, ys)) + sum(crf.chain[a, b] for a, b in zip(ys, ys[1:]))
+    score = lambda ys: sum(sum(crf.weights.get(f, 0) for f in (*html_extract.place_features(s), *html_extract.text_features(t, n))) * y for (s, t, n), y in zip(found, ys)) + sum(crf.chain[a, b] for a, b in zip(ys, ys[1:]))
     best = score(crf.labels(found))
     assert all(score([r.randint(0, 1) for _ in found]) <= best + 1e-9 for _ in range(300))
 
