@@ -313,17 +313,19 @@ def verified(pairs: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int)
 
 
 def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, na, nb, apart, diff): the tokens that just one of a pivot ``a`` and a node ``b`` has, and their number."""
-    ddl = "a long, b long, na long, nb long, apart long, diff array<long>"
+    """(a, b, na, nb, diff): the tokens that just one of a pivot ``a`` and a node ``b`` has, those of ``b`` first."""
+    ddl = "a long, b long, na long, nb long, diff array<long>"
     out = pa_schema(pairs.sparkSession, ddl)
 
     def run(batches):
         for b in slices(batches):
-            rows = zip(b.column("x").to_pylist(), b.column("y").to_pylist())
-            diff = [np.setxor1d(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), assume_unique=True) for x, y in rows]
-            size = np.array([len(d) for d in diff], np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(diff)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(size), flat], schema=out)
+            diff = []
+            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                diff += np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+            ends = np.concatenate([[0], np.cumsum([len(d) for d in diff])])[::2]
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(diff)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), flat], schema=out)
 
     return joined(pairs, sets, "tokens").mapInArrow(run, ddl)
 
@@ -331,19 +333,20 @@ def differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def apart_alike(apart: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs of nodes in different components that may be linked, by their differences from a common pivot.
 
-    Nodes are n, other tokens before a shared one ``at``.  Of two nodes, one has at most half as many of them as the two may
-    differ in, so such rows are joined with all.
+    Differences are ordered: those that a node has come before those that it lacks, and those that many nodes of the pivot share
+    come last, the most shared ones at the end.  Any fixed order loses nothing, so a sample of the nodes tells which these are.  Of two nodes, one has at most
+    half as many differences before the first shared one as the two may differ in; such rows are joined with all.
     """
-    tokens = apart.select("a", F.col("b").alias("n"), F.col("nb").alias("size"), "apart", F.explode("diff").alias("token"))
-    many = tokens.groupBy("a", "token").agg(F.count("*").alias("df")).where("df > 1")
-    own = Window.partitionBy("a", "n")
-    at = F.col("apart") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token")) - 1
-    rows = tokens.join(many, ["a", "token"]).withColumn("at", at).where(f"{percent} * at <= {100 - percent} * size")
+    some = apart.where(F.pmod(F.xxhash64("b"), F.lit(8)) == 0)
+    usual = some.select("a", F.explode("diff").alias("token")).groupBy("a", "token").agg(F.count("*").alias("n")).join(some.groupBy("a").agg(F.count("*").alias("of")), "a")
+    usual = usual.where("n > 1 AND 32 * n >= of").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("usual"))  # at most 32 times the mean difference
+    rows = apart.join(usual, "a", "left").withColumn("usual", F.coalesce(F.col("usual.token"), F.array().cast("array<long>")))
+    first = F.slice(F.concat(F.array_except("diff", "usual"), F.array_intersect("usual", "diff")), F.lit(1), F.floor(F.col("nb") * (100 - percent) / percent).cast("int") + 1)
+    rows = rows.select("a", F.col("b").alias("n"), F.col("nb").alias("size"), F.posexplode(first).alias("at", "token"))
     held = stored(rows.join(comps, F.col("n") == F.col("node"), "left").select("a", "token", "n", "size", "at", F.coalesce("comp", "n").alias("comp")), "differences")
     few = held.where(f"2 * {percent} * at <= {100 - percent} * size").toDF("a1", "token1", "n1", "size1", "at1", "comp1")
     meet = F.expr(f"a = a1 AND token = token1 AND comp <> comp1 AND {100 + percent} * (at + at1) <= {100 - percent} * (size + size1) AND 100 * least(size, size1) >= {percent} * greatest(size, size1)")
-    found = few.join(held, meet)
-    return found.select(F.least("n", "n1").alias("a"), F.greatest("n", "n1").alias("b")).distinct()
+    return few.join(held, meet).select(F.least("n", "n1").alias("a"), F.greatest("n", "n1").alias("b")).distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -393,7 +396,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, key: str,
     large = large.withColumn("a", F.max(F.struct("votes", "own")).over(by)["own"])
     pivots = stored(large.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
     apart = stored(differences(pivots, sets), "differences")
-    direct = apart.where(f"{100 + percent} * apart <= {100 - percent} * (na + nb)").select("a", "b")
+    direct = apart.where(f"{100 + percent} * size(diff) <= {100 - percent} * (na + nb)").select("a", "b")
     found = stored(found.union(apart_alike(apart, comps, percent)).distinct(), "pairs")
     return components(edges.union(direct).union(verified(found, sets, nodes, percent)))
 
