@@ -38,7 +38,15 @@ def main(argv: list[str] | None = None) -> int:
         return emit(report.graph_parts(r.edges, "dot" if a.format == "dot" else "mermaid"), a.output)
     found = api.analyze(r)
     if a.since:
-        found = report.in_scope(found, api.changed_since(spark, a.folder, a.since), r.duplicates, r.cycles, r.modules)
+        try:
+            changed = api.changed_since(spark, a.folder, a.since, ignore=r.project.ignore)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
+        if changed is None:
+            print("--since is not available outside a Git repository; everything is reported", file=sys.stderr)
+        else:
+            found = report.in_scope(found, changed, r.duplicates, r.cycles, r.modules)
     if a.command == "baseline":
         report.baseline_of(found).write.mode("overwrite").json(a.baseline or f"{a.folder}/.srcquarry-baseline")
         return 0

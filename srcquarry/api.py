@@ -6,7 +6,9 @@ import subprocess
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from srcquarry.functions import text
 from srcquarry.plans import report, rules
 from srcquarry.plans.resolve import Repositories
 from srcquarry.sources.declarations import Project, declarations, project_of
@@ -33,15 +35,31 @@ def analyze(r: Repositories) -> DataFrame:
     return rules.findings(r)
 
 
-def changed_since(spark: SparkSession, folder: str, ref: str, repo: str = "repo") -> DataFrame:
-    """(repo, path) of the Python files that differ from ``ref``: committed, staged, unstaged and untracked ones."""
-
-    def git(*args: str) -> list[str]:
-        return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True, timeout=30).stdout.splitlines()
-
-    base = git("rev-parse", "--verify", f"{ref}^{{commit}}")[0]
-    names = {*git("diff", "--name-only", "--find-renames", "--diff-filter=ACMR", f"{base}...HEAD"), *git("diff", "--name-only", "--diff-filter=ACMR"), *git("diff", "--name-only", "--cached", "--diff-filter=ACMR"), *git("ls-files", "--others", "--exclude-standard")}
-    return spark.createDataFrame([(repo, n) for n in sorted(names) if n.endswith(".py")], "repo string, path string")
+def changed_since(spark: SparkSession, folder: str, ref: str, repo: str = "repo", ignore: tuple[str, ...] = ()) -> DataFrame | None:
+    """(repo, path) of the Python files below ``folder`` that differ from ``ref``: committed, staged, unstaged and untracked ones.
+
+    Paths are relative to ``folder``, which may lie anywhere in its repository; ignored ones are left out.  Null where the folder
+    is in no Git repository or Git cannot compare: then everything counts.  An unknown ``ref`` raises ValueError.
+    """
+
+    def git(*args: str) -> list[str] | None:
+        try:
+            got = subprocess.run(["git", "-C", folder, *args], capture_output=True, timeout=30)
+        except (FileNotFoundError, subprocess.TimeoutExpired):
+            return None
+        return None if got.returncode else [x for x in got.stdout.decode("utf-8", "replace").split("\0" if "-z" in args else "\n") if x]
+
+    if git("rev-parse", "--git-dir") is None:
+        return None
+    if (base := git("rev-parse", "--verify", "--quiet", f"{ref}^{{commit}}")) is None:
+        raise ValueError(f"ref not found: {ref}")
+    compared = ("diff", "-z", "--name-only", "--relative", "--find-renames", "--diff-filter=ACMR")
+    found = [git(*compared, f"{base[0]}...HEAD"), git(*compared, "HEAD"), git("ls-files", "-z", "--others", "--exclude-standard")]
+    if found[0] is None:
+        return None
+    names = sorted({n for part in found for n in part or () if n.endswith(".py")})
+    changed = spark.createDataFrame([(repo, n) for n in names], "repo string, path string")
+    return changed.where(~text.matches_path(F.col("path"), *ignore)) if ignore else changed
 
 
 __all__ = ["Project", "analyze", "changed_since", "open_folder", "report", "repositories"]

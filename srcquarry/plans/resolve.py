@@ -145,13 +145,17 @@ class Repositories:
         passed = known.where("is_package AND symbol IS NOT NULL AND NOT submodule AND exact").select("repo", F.col("module").alias("package"), F.coalesce("alias", "symbol").alias("exported"), F.col("target_module").alias("origin"), F.col("symbol").alias("origin_name"))
         refs = own.unionByName(taken).unionByName(used).groupBy("repo", "module", "name").pivot("scope", ["production", "tests", "type_only"]).agg(F.count(F.lit(1)))
         counts = refs.select("repo", "module", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("production", "tests", "type_only")))
-        # what is used through a package's re-export counts at its origin; chains are followed step by step
-        step = counts
+        # what is used through a package's re-export counts at its origin; chains are followed step by step, and end where they
+        # come to a name that they have passed, as packages may re-export from one another
+        name_at = lambda module, name: F.concat_ws(":", module, name)
+        step, passed = counts.withColumn("seen", F.array(name_at("module", "name"))), passed.distinct()
         while True:
-            step = stored(step.join(passed.distinct(), (step.repo == passed.repo) & (step.module == passed.package) & (step.name == passed.exported)).select(step.repo, F.col("origin").alias("module"), F.col("origin_name").alias("name"), "production", "tests", "type_only").where("module <> package OR name <> exported"), "exports")
+            onward = step.join(passed, (step.repo == passed.repo) & (step.module == passed.package) & (step.name == passed.exported)).where(~F.array_contains("seen", name_at("origin", "origin_name")))
+            step = onward.select(step.repo, F.col("origin").alias("module"), F.col("origin_name").alias("name"), "production", "tests", "type_only", F.array_append("seen", name_at("origin", "origin_name")).alias("seen"))
+            step = stored(step, "exports")
             if step.isEmpty():
                 break
-            counts = counts.unionByName(step)
+            counts = counts.unionByName(step.drop("seen"))
         counts = counts.groupBy("repo", "module", "name").agg(*(F.sum(c).alias(c) for c in ("production", "tests", "type_only")))
         listed = self.of_modules("exports").select("repo", "module", "name").distinct().withColumn("listed", F.lit(True))
         again = passed.select("repo", F.col("origin").alias("module"), F.col("origin_name").alias("name")).distinct().withColumn("reexported", F.lit(True))

@@ -53,6 +53,14 @@ def parse_errors(r: Repositories) -> DataFrame:
     return finding(r.modules.where("parse_error IS NOT NULL"), "parse-error", "error", "high", F.concat(F.lit("File does not parse: "), "parse_error"), line=F.col("error_line"))
 
 
+def config_errors(r: Repositories) -> DataFrame | None:
+    """Settings that do not hold, once for each repository of the run."""
+    if not r.project.config_errors:
+        return None
+    wrong = r.modules.select("repo").distinct().withColumn("e", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.lit(m).alias("text")) for k, m in r.project.config_errors))))
+    return finding(wrong, "config-error", "error", "high", F.concat_ws(": ", "e.key", "e.text"), path=F.lit("pyproject.toml"), target=F.col("e.key"))
+
+
 def import_findings(r: Repositories) -> DataFrame:
     i = r.imports if r.project.include_tests else r.imports.where("NOT is_test")
     dynamic = finding(i.where("NOT literal"), "dynamic-import", "info", "low", F.lit("Import target is not a literal"), line=F.col("line"))
@@ -219,9 +227,11 @@ def fingerprinted(findings: DataFrame) -> DataFrame:
 
 def findings(r: Repositories) -> DataFrame:
     """All findings: (COLUMNS, id, category, fingerprint, decision)."""
-    parts = [parse_errors(r), import_findings(r), *([] if r.project.include_tests else [production_imports_tests(r)]), circular(r), unused_modules(r), unused_symbols(r)]
+    parts = [parse_errors(r), *(e for e in [config_errors(r)] if e is not None), import_findings(r), *([] if r.project.include_tests else [production_imports_tests(r)]), circular(r), unused_modules(r), unused_symbols(r)]
     parts += [dependencies(r)] if r.declared is not None else []
     parts += [duplicates(r), *(b for b in [boundaries(r)] if b is not None), complexity(r)]
     found = reduce(DataFrame.unionByName, parts)
     found = found.unionByName(hotspots(r, found))
+    if r.project.disabled:
+        found = found.where(~F.col("rule").isin(*r.project.disabled))
     return classified(fingerprinted(with_suppressions(found, r)))

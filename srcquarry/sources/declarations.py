@@ -6,7 +6,7 @@ import configparser
 import re
 import tomllib
 from collections.abc import Iterable
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,29 @@ class Project:
     max_file_lines: int = 800
     hotspot_score: int = 50
     boundaries: tuple[Boundary, ...] = ()
+    #: Rules that are switched off, and (setting, what is wrong with it) of settings that do not hold.
+    disabled: tuple[str, ...] = ()
+    config_errors: tuple[tuple[str, str], ...] = ()
+
+
+#: Settings by section, with the field they set where its name differs.
+SETTINGS = {
+    "": {"roots": "", "entry": "", "include_tests": "", "markers": "", "ignore": ""},
+    "dead_code": {"ignore_symbols": "ignored_symbols", "entry_symbols": ""},
+    "dependencies": {"include_optional": "", "include_dev": "", "report_type_only_missing": "", "report_test_only_missing": "", "ignore": "ignored_packages", "import_map": ""},
+    "dupes": {"mode": "strict_duplicates", "min_lines": "", "min_tokens": "", "max_groups": ""},
+    "health": {"max_cyclomatic": "", "max_cognitive": "", "max_function_lines": "", "max_file_lines": "", "hotspot_score_threshold": "hotspot_score"},
+}
+#: Switches that turn rules off when they are false.
+SWITCHES = {
+    "dead_code.enabled": ("unused-module", "unused-symbol"), "dead_code.detect_unused_modules": ("unused-module",), "dead_code.detect_unused_symbols": ("unused-symbol",),
+    "dependencies.enabled": ("missing-runtime-dependency", "missing-type-dependency", "missing-test-dependency", "dev-dependency-used-in-runtime", "optional-dependency-used-in-runtime", "runtime-dependency-used-only-in-tests", "runtime-dependency-used-only-for-types", "unused-runtime-dependency"),
+    "dependencies.check_missing": ("missing-runtime-dependency", "missing-type-dependency", "missing-test-dependency", "dev-dependency-used-in-runtime", "optional-dependency-used-in-runtime"),
+    "dependencies.check_unused": ("runtime-dependency-used-only-in-tests", "runtime-dependency-used-only-for-types", "unused-runtime-dependency"),
+    "dupes.enabled": ("duplicate-code",), "health.enabled": ("high-cyclomatic-complexity", "high-cognitive-complexity", "large-function", "large-file", "risky-hotspot"),
+}
+#: Settings that are read elsewhere or change nothing here.
+ACCEPTED = frozenset("namespace_packages framework_heuristics frameworks dead_code.treat_init_as_entry dead_code.ignore_decorated dead_code.ignore_protocol_methods dead_code.ignore_dunder_methods dead_code.confidence_for_init_exports dupes.ignore_docstrings baseline.path".split())
 
 
 def normal(name: str) -> str:
@@ -76,18 +99,54 @@ def requirement(line: str) -> str | None:
 
 
 def project_of(text: str, section: str = "srcquarry", base: Project = Project()) -> Project:
-    """The settings of ``[tool.<section>]`` of a pyproject file; unknown names raise ValueError."""
-    own = dict(tomllib.loads(text).get("tool", {}).get(section, {}))
-    rules = own.pop("boundaries", {}).get("rules", [])
-    flat: dict = {}
-    for k, v in own.items():
-        flat |= v if isinstance(v, dict) else {k: v}
-    flat = {{"hotspot_score_threshold": "hotspot_score"}.get(k, k): tuple(v) if isinstance(v, list) else v for k, v in flat.items()}
-    unknown = set(flat) - {f.name for f in fields(Project)}
-    if unknown:
-        raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
-    many = lambda x: tuple(x) if isinstance(x, list) else (x,)
-    return replace(base, **flat, boundaries=tuple(Boundary(r["name"], many(r["from"]), many(r["disallow"]), r.get("severity", "warning")) for r in rules))
+    """The settings of ``[tool.<section>]`` of a pyproject file; ``section`` may be dotted.
+
+    Each setting belongs to its section.  One that is unknown, of the wrong type or out of range keeps its default and is listed
+    in ``config_errors``; a file that is no TOML raises ValueError.
+    """
+    own = tomllib.loads(text).get("tool", {})
+    for part in section.split("."):
+        own = own.get(part, {})
+    given, errors, off = {}, [], []
+    for name, value in own.items():
+        if name in SETTINGS and not isinstance(value, dict):
+            errors.append((name, "Expected a table."))
+        elif name in SETTINGS or name == "baseline":
+            given |= {f"{name}.{k}": v for k, v in value.items()}
+        elif name != "boundaries":
+            given[name] = value
+    put: dict = {}
+    for name, value in given.items():
+        table, _, key = name.rpartition(".")
+        if name in SWITCHES and isinstance(value, bool):
+            off += [] if value else SWITCHES[name]
+        elif name == "dupes.mode":
+            if value in ("strict", "mild", "structural"):
+                put["strict_duplicates"] = value == "strict"
+            else:
+                errors.append((name, f"Unsupported duplicate mode: {value}"))
+        elif key in SETTINGS.get(table, {}):
+            at = SETTINGS[table][key] or key
+            known = getattr(base, at)
+            if isinstance(known, bool) != isinstance(value, bool) or not isinstance(value, {tuple: list}.get(type(known), type(known))) or isinstance(value, list) and not all(isinstance(x, str) for x in value):
+                errors.append((name, f"Expected {'a list of strings' if isinstance(known, tuple) else 'a table' if isinstance(known, dict) else 'true or false' if isinstance(known, bool) else 'a positive integer'}, got {value!r}."))
+            elif isinstance(known, int) and not isinstance(known, bool) and value <= 0:
+                errors.append((name, f"Expected a positive integer, got {value!r}."))
+            else:
+                put[at] = tuple(value) if isinstance(value, list) else {**known, **value} if isinstance(value, dict) else value
+        elif name not in ACCEPTED:
+            errors.append((name, "Unknown setting." if name not in SWITCHES else f"Expected true or false, got {value!r}."))
+    many = lambda x: tuple(x) if isinstance(x, list) else (x,) if x else ()
+    rules = []
+    for r in own.get("boundaries", {}).get("rules", []):
+        b = Boundary(str(r.get("name", "boundary-rule")), many(r.get("from", r.get("from_patterns"))), many(r.get("disallow")), str(r.get("severity", "warning")))
+        at = f"boundaries.rules.{b.name}"
+        if b.severity not in ("info", "warning", "error"):
+            errors.append((f"{at}.severity", f"Unsupported boundary severity: {b.severity}"))
+            b = replace(b, severity="warning")
+        errors += [(f"{at}.{k}", f"Boundary rule has no {k} patterns.") for k, v in (("from", b.sources), ("disallow", b.disallow)) if not v]
+        rules += [b] if b.sources and b.disallow else []
+    return replace(base, **put, boundaries=tuple(rules), disabled=tuple(dict.fromkeys(off)), config_errors=tuple(errors))
 
 
 def declared_in(path: str, text: str) -> Iterable[tuple[str, str]]:

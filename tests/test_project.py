@@ -175,7 +175,75 @@ def test_declarations_and_settings():
     p = project_of('[tool.srcquarry]\nroots = ["lib"]\n[tool.srcquarry.health]\nmax_cyclomatic = 4\n[[tool.srcquarry.boundaries.rules]]\nname = "r"\nfrom = "a/*"\ndisallow = ["b"]\n')
     assert p.roots == ("lib",) and p.max_cyclomatic == 4 and p.boundaries[0].sources == ("a/*",)
     with pytest.raises(ValueError):
-        project_of("[tool.srcquarry]\nnothing = 1\n")
+        project_of("[tool.srcquarry\n")
+
+
+def test_settings_belong_to_their_sections():
+    p = project_of("""
+        [tool.fallen.python]
+        ignore = ["gen/**"]
+        nothing = 1
+        frameworks = ["auto"]
+        [tool.fallen.python.dependencies]
+        ignore = ["pytest"]
+        import_map = {thing = "the-thing"}
+        check_missing = false
+        include_dev = "yes"
+        [tool.fallen.python.dead_code]
+        ignore_symbols = ["A"]
+        [tool.fallen.python.dupes]
+        mode = "odd"
+        min_lines = 0
+        [[tool.fallen.python.boundaries.rules]]
+        name = "r"
+        from = "a/*"
+        disallow = ["b"]
+        severity = "fatal"
+        [[tool.fallen.python.boundaries.rules]]
+        name = "empty"
+        """, "fallen.python")
+    assert p.ignore == ("gen/**",) and p.ignored_packages == ("pytest",) and p.ignored_symbols == ("A",)
+    assert p.import_map["thing"] == "the-thing" and p.import_map["yaml"] == "pyyaml" and not p.include_dev and p.min_lines == 6
+    assert "missing-runtime-dependency" in p.disabled and "unused-runtime-dependency" not in p.disabled
+    assert p.boundaries == (Boundary("r", ("a/*",), ("b",)),)
+    assert [k for k, _ in p.config_errors] == ["nothing", "dependencies.include_dev", "dupes.mode", "dupes.min_lines", "boundaries.rules.r.severity", "boundaries.rules.empty.from", "boundaries.rules.empty.disallow"]
+
+
+def test_packages_that_reexport_from_one_another(spark):
+    files = {"a/__init__.py": "from b import X\n", "b/__init__.py": "from a import X\n", "use.py": "from a import X\nX()\n", "c/__init__.py": "from c.d import Y as Z\n", "c/d.py": "Y = 1\n", "main.py": "from c import Z\nimport use\n"}
+    wrong = Project(config_errors=(("dupes.mode", "Unsupported duplicate mode: odd"),), disabled=("unused-module",))
+    r = api.repositories(spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo string, path string, text string"), wrong)
+    assert {(x.module, x.name): x.production for x in r.symbols.collect()}["c.d", "Y"] == 1
+    got = {(x.rule, x.message) for x in api.analyze(r).collect()}
+    assert ("config-error", "dupes.mode: Unsupported duplicate mode: odd") in got and "unused-module" not in {k for k, _ in got}
+
+
+def test_changed_since(spark, tmp_path):
+    import subprocess
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    paths = lambda df: sorted(r.path for r in df.collect())
+    sub = tmp_path / "sub"
+    sub.mkdir()
+    assert api.changed_since(spark, str(sub), "HEAD") is None
+    git("init", "-q")
+    for n in ("a", "b", "c"):
+        (sub / f"{n}.py").write_text("x = 1\n")
+    (tmp_path / "top.py").write_text("")
+    git("add", ".")
+    git("commit", "-qm", "one")
+    (sub / "a.py").write_text("x = 2\n")
+    git("commit", "-qam", "two")
+    (sub / "b.py").write_text("x = 3\n")
+    (sub / "new é.py").write_text("")
+    (sub / "venv").mkdir()
+    (sub / "venv" / "z.py").write_text("")
+    (tmp_path / "top.py").write_text("y = 1\n")
+    (sub / "c.py").unlink()
+    assert paths(api.changed_since(spark, str(sub), "HEAD~1", ignore=Project().ignore)) == ["a.py", "b.py", "new é.py"]
+    assert paths(api.changed_since(spark, str(tmp_path), "HEAD")) == ["sub/b.py", "sub/new é.py", "sub/venv/z.py", "top.py"]
+    with pytest.raises(ValueError):
+        api.changed_since(spark, str(sub), "no-such-ref")
 
 
 def test_rules_are_numbered():
