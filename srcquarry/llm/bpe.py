@@ -91,7 +91,7 @@ class Compatible(dict):
 
     def __missing__(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
-        if len(self) >= 700_000:
+        if len(self) >= 400_000:
             self.clear()
         ok = self[pair] = self.vocab.merge(self.vocab.bytes[left] + self.vocab.bytes[right]) == [left, right]
         return ok
@@ -112,7 +112,7 @@ class Codec:
         self.flat = np.frombuffer(b"".join(v.bytes), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum(self.length)])
         self.pretokens = regex.compile(PRETOKENS)
-        self.chunk = Memo(self._chunk, 500_000)
+        self.chunk = Memo(self._chunk, 300_000)
 
     def _chunk(self, chunk: str) -> bytes:
         ids = array("I")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -114,14 +115,17 @@ def held(key: tuple, make: Callable[[], object]) -> object:
     Workers outlive stages: the models of stages that follow each other do not pile up.
     """
     if key not in _held:
-        _held.clear()
+        released()
         _held[key] = make()
     return _held[key]
 
 
 def released() -> None:
-    """Called at the start of tasks that hold no such model: the one of an earlier stage goes."""
-    _held.clear()
+    """Called at the start of tasks that hold no such model: the one of an earlier stage goes, and its memory to the system."""
+    if _held:
+        _held.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):

@@ -47,7 +47,7 @@ class Severity:
 
     def __init__(self, weights: dict[int, float], thresholds: list[float]):
         self.weights, self.thresholds = weights, np.array(thresholds)
-        self.word = Memo(lambda w: tuple(f for f in _features(w) if f in weights), 400_000)
+        self.word = Memo(lambda w: tuple(f for f in _features(w) if f in weights), 200_000)
 
     def __reduce__(self):
         return Severity, (self.weights, list(self.thresholds))
