@@ -171,8 +171,10 @@ class Band:
         return out
 
 
-    def promising(self, ids: np.ndarray, starts: np.ndarray, base: np.ndarray, least: float) -> np.ndarray:
-        """Of the passages of all texts, numbered on from ``base`` of their text, those that some item may reach."""
+    def promising(self, ids: np.ndarray, starts: np.ndarray, base: np.ndarray, count: int, least: float) -> np.ndarray:
+        """Of the ``count`` passages of all texts, numbered on from ``base`` of their text, those that some item may reach."""
+        if self.rest.max(initial=0.0) >= least - SLACK:  # frequent terms alone may do
+            return np.arange(count)
         at = np.flatnonzero(self.many[ids])
         of = np.searchsorted(starts, at, "right") - 1
         k = (at - starts[of]) // self.length
@@ -237,7 +239,7 @@ class Index:
         for band in self.bands:
             stretches = -(-sizes // band.length)
             base = np.cumsum(stretches) - stretches
-            for k in band.promising(ids, starts, base, self.threshold).tolist():
+            for k in band.promising(ids, starts, base, int(stretches.sum()), self.threshold).tolist():
                 of = int(np.searchsorted(base, k, "right")) - 1
                 begin = (k - int(base[of])) * band.length
                 passage = ids[starts[of] + begin : starts[of] + min(begin + 2 * band.length, int(sizes[of]))].tolist()
