@@ -121,8 +121,8 @@ def with_depths(events: DataFrame) -> DataFrame:
 def formatted(events: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv_id, turn, seq, kind, call_id, depth, linked, valid, problems, json) of every event."""
     e = with_depths(events).withColumn("problems", F.when(F.col("kind") == "call", problems(schemas)))
-    # fields in the order of their names; null ones are left out
-    call = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "name", "role"))
+    # fields in the order of their names; null ones are left out; arguments that are no JSON are kept as they stand
+    call = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), F.when(F.try_parse_json("arguments").isNull(), F.col("arguments")).alias("arguments_text"), "call_id", "name", "role"))
     rest = F.to_json(F.struct("call_id", "content", "role"))
     return e.select("conv_id", "turn", "seq", "kind", "call_id", "depth", "linked", (F.size("problems") == 0).alias("valid"), "problems", F.when(F.col("kind") == "call", call).otherwise(rest).alias("json"))
 

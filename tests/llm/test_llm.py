@@ -395,6 +395,19 @@ def test_unknown_words_are_not_punctuation():
     assert decontamination.Index([(1, item)]).hits([item])[0] and not decontamination.Index([(1, item)]).hits([item.replace("-", "other")])[0]
 
 
+def test_low_thresholds_lose_no_hit():
+    """Passages that only hold an item's frequent terms are asked about where the threshold is that low."""
+    r = random.Random(8)
+    common, rare = [f"c{i}" for i in range(6)], [f"r{i}" for i in range(4000)]
+    items = [(i, " ".join(r.sample(common, 4) + r.sample(rare, 8))) for i in range(60)]
+    index = decontamination.Index(items, threshold=0.05, overlap=0.0)
+    text = " ".join(r.choice(common) for _ in range(40))
+    band = index.bands[0]
+    words = [index.term.get(w, -1) for w in text.split()]
+    want = {band.items[n] for at in range(0, len(words), band.length) for n, _ in band.wand([t for t in dict.fromkeys(words[at : at + 2 * band.length]) if t in band.docs], 0.05)}
+    assert want and {h[0] for h in index.hits([text])[0]} == want
+
+
 # 7: secrets
 
 
@@ -491,6 +504,8 @@ def test_tool_calls(spark):
     assert got["d", "call"] == (None, False, ["y: missing"]) and got["lost", "result"] == (None, False, None) and got["e", "call"][0] is None and got["f", "result"][0] is None
     assert next(r.json for r in out if r.call_id == "a" and r.kind == "call") == '{"arguments":{"x":1,"y":2},"call_id":"a","name":"add","role":"assistant"}'
     assert len(out) == len(rows) + 3 and chat_format.format_chats(df.limit(0)).count() == 0
+    broken = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "add", "arguments": "{broken"}]}))], "conv_id long, turn long, role string, text string")
+    assert [(r.valid, r.json) for r in chat_format.format_chats(broken, schema, dialogues=False).collect()] == [(False, '{"arguments_text":"{broken","call_id":"a","name":"add","role":"assistant"}')]
     both = chat_format.format_chats(df, schema).collect()
     assert sum(r.kind == "call" and r.call_id == "2:1" for r in both) == 2
 
