@@ -528,11 +528,43 @@ def test_pieces_equal_plain_merging():
         assert c.piece(piece.decode("latin-1")) == v.merge(piece) and token_counts.counter(BYTE).dfa.count(piece) == len(v.merge(piece))
 
 
-def test_block_scan(byte_library):
-    n, r = token_counts.Counter(BYTE, 7), random.Random(5)
-    for _ in range(150):
-        t = "".join(r.choice(["a", "the", " ", "  ", "\n", "é", "1", "'s", "!", "　"]) for _ in range(r.randint(0, 80)))
-        assert n.count(t) == len(byte_library.encode(t, add_special_tokens=False).ids), repr(t)
+def by_blocks(n, text):
+    rows = list(n.blocks(text))
+    return sum(k for *_, k in rows) + n.total([n.map_of(sure, before, "" if k else piece) for _, sure, before, piece, k in rows])
+
+
+@pytest.mark.parametrize("block,look", [(7, 5), (3, 1), (40, 30)])
+def test_block_maps(byte_library, block, look):
+    n, r = token_counts.Counter(BYTE, block, look), random.Random(5)
+    for _ in range(250):
+        some = r.sample(["a", "the", " ", "  ", "\n", "é", "1", "'", "'s", "'re", "ll", "v", "!", "　", "--", "<|endoftext|>"], r.randint(1, 12))
+        t = "".join(r.choice(some) for _ in range(r.randint(0, 80)))
+        assert by_blocks(n, t) == n.count(t) == len(byte_library.encode(t, add_special_tokens=False).ids), repr(t)
+
+
+def test_uniform_texts_by_blocks(byte_library):
+    n = token_counts.Counter(BYTE, 500, 90)
+    for t in ["a" * 4001, " " * 3001 + "x", "-=" * 2000, "日本語" * 900, "'" * 1600, "\n" * 2500, "abcdefgh" * 700]:
+        assert by_blocks(n, t) == len(byte_library.encode(t, add_special_tokens=False).ids), t[:9]
+
+
+def test_unexpected_states_extend_maps():
+    n = token_counts.Counter(BYTE, 100, 1)  # one place to start from: most states are not expected
+    for t in ["-" * 777, "a" * 501, "internationalization" * 60]:
+        maps = [n.map_of(sure, before, piece) for _, sure, before, piece, _ in n.blocks(t)]
+        assert sum(kept is not None for _, kept in maps) > 3 and n.total(maps) == n.count(t)
+
+
+def test_word_encoder_of_other_rules(tmp_path):
+    import json
+
+    spec = json.load(open(WORD))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = "[\\p{L}]+|[\\p{N}]+|[^\\s\\p{L}\\p{N}]+"
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    e = token_output.WordEncoder(str(path))
+    assert token_output.WordEncoder(WORD).simple and not e.simple
+    assert e.encode("it's 123") == array("I", e.library.encode("it's 123", add_special_tokens=False).ids).tobytes()
 
 
 def test_bpe_tables(spark, docs, byte_library):
@@ -542,8 +574,12 @@ def test_bpe_tables(spark, docs, byte_library):
         ids = byte_library.encode(r.text or "", add_special_tokens=False).ids
         want[r.doc_id, len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(byte_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()] += 1
     assert rows == want
-    counts = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(docs, BYTE).collect())
-    assert Counter((k, n) for k, n, *_ in want.elements()) == Counter((k, n) for k, _, n, _ in counts.elements()) and all(o == (n > 1024) for _, _, n, o in counts)
+    sizes = Counter((r.doc_id, len((r.text or "").encode())) for r in docs.select("doc_id", "text").collect())
+    for of in (token_counts.token_counts(docs, BYTE), token_counts.token_counts(docs, BYTE, block=300, look=40)):
+        counts = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in of.collect())
+        assert Counter((k, n) for k, n, *_ in want.elements()) == Counter((k, n) for k, _, n, _ in counts.elements()) and all(o == (n > 1024) for _, _, n, o in counts)
+        assert sizes == Counter((k, n) for k, n, *_ in counts.elements())
+    assert token_counts.token_counts(docs.limit(0), BYTE).count() == 0
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs.where("doc_id < 3"), BYTE), BYTE).collect()}
     assert back == {0: "", 1: " ", 2: "\n\n"}
     assert bpe.round_trip(docs.limit(0), BYTE).count() == 0 and bpe.encoded(docs, BYTE).count() == docs.count()
