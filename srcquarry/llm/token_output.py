@@ -34,6 +34,16 @@ BLOCK = "part int, start long, docs array<long>, lengths array<long>, control bi
 #: Row c: the four lengths that control byte c holds.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
+#: The normaliser and pre-tokenizer that ``WordEncoder`` may stand in for; of any other file the library encodes whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
@@ -69,8 +79,8 @@ class WordEncoder:
             spec = json.load(f)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.size = 1 + max([*spec["model"]["vocab"].values(), *(x["id"] for x in spec["added_tokens"])])
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.simple = kinds == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+        flags = {x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")}
+        self.simple = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and flags <= {False}
         self.of = {b: c for c, b in byte_alphabet().items()}
         self.word = Memo(self._word, 400_000)  # words and the pieces of words with punctuation
         #: The pretokens of this vocabulary, for lower-cased text of the first 256 code points.
