@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,3 +91,31 @@ def shortest_path(edges: DataFrame, start, goal) -> list:
         step = edges.where(F.col("src") == path[-1]).join(levels.where(F.col("hops") == hops), edges.dst == levels.node)
         path.append(step.agg(F.min("dst")).first()[0])
     return path
+
+
+def round_trips(edges: DataFrame) -> DataFrame:
+    """(scc_id, path): a closed walk from the least node of each component of (scc_id, src, dst), at each node to the least
+    neighbour that was not met yet, until the first is a neighbour.  Where all neighbours were met it goes to the least of them and from there to the first node,
+    even if no edge leads there.  One component is one row of its edges."""
+    sides = edges.distinct().groupBy("scc_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("to"))
+    whole = sides.groupBy("scc_id").agg(F.collect_list(F.struct("src", "to")).alias("near"))
+
+    def walk(near: dict) -> list:
+        first = min(near)
+        path, met = [first], {first}
+        while True:
+            to = near.get(path[-1], [])
+            if first in to and len(path) > 1:
+                return [*path, first]
+            new = next((x for x in to if x not in met), None)
+            if new is None:
+                return [*path, *to[:1], first]
+            path.append(new)
+            met.add(new)
+
+    def run(batches):
+        for b in batches:
+            walks = [walk({x["src"]: x["to"] for x in near}) for near in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(walks, pa.list_(pa.string()))], names=["scc_id", "path"])
+
+    return whole.mapInArrow(run, "scc_id string, path array<string>")

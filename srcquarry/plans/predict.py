@@ -29,7 +29,8 @@ def verify_imports(r: Repositories, planned: DataFrame) -> DataFrame:
     p = p.withColumn("symbol", F.when(F.col("target_module") != F.col("name"), F.substring("name", F.length("target_module") + 2, F.length("name"))))
     names = r.symbols.select("repo", F.col("module").alias("target_module"), F.col("name").alias("symbol"))
     passed = r.imports.where("is_package").select("repo", F.col("module").alias("target_module"), F.coalesce("alias", "symbol", "raw").alias("symbol"))
-    known = names.unionByName(passed).distinct().withColumn("known", F.lit(True))
+    stars = r.exported.select("repo", F.col("module").alias("target_module"), F.col("name").alias("symbol"))
+    known = names.unionByName(passed).unionByName(stars).distinct().withColumn("known", F.lit(True))
     p = stored(p.join(known, ["repo", "target_module", "symbol"], "left"), "planned")
     # all targets' reach in one closure over the graph that the targets span
     back = p.where("target_module IS NOT NULL AND target_module <> importer").select(F.concat_ws(":", "repo", "target_module").alias("start"), F.concat_ws(":", "repo", "importer").alias("goal")).distinct()

@@ -21,11 +21,20 @@ from srcquarry.sources.scratch import stored
 #: File names by which a module is started.
 ENTRY_FILES = "__main__.py main.py app.py manage.py asgi.py wsgi.py server.py cli.py worker.py".split()
 
+#: Frameworks that imports and declarations name, and file names that belong to one.
+FRAMEWORKS = "celery click django fastapi flask pydantic pytest sqlalchemy typer".split()
+DJANGO_FILES = "settings.py urls.py asgi.py wsgi.py".split()
+CONFIDENCES = ("low", "medium", "high")
+
 
 def node(module: str = "module") -> Column:
     return F.concat_ws(":", "repo", module)
 
 
+def rank(column: str) -> Column:
+    return text.ranked(F.col(column), CONFIDENCES)
+
+
 def is_test(path: Column) -> Column:
     return path.rlike(r"(^|/)tests?/|(^|/)test_[^/]*$|_test\.py$|(^|/)conftest\.py$")
 
@@ -129,6 +138,81 @@ class Repositories:
         """(node, scc_id, size), type-checking imports included."""
         return stored(graph.cyclic(self.edges.select("src", "dst").distinct()), "cycles")
 
+    @cached_property
+    def exported(self) -> DataFrame:
+        """What packages pass on: (repo, module, name, line, source, confidence, complete, origin_module, origin_symbol, explicit).
+
+        A named import passes on its name, unless a whole ``__all__`` leaves it out.  A star passes on what its target passes on,
+        if that is a package that does, else the target's ``__all__``, else, least surely, its public symbols.  Stars of stars
+        are followed until nothing new comes; a record that has been met is not followed again, so rings of packages end.
+        """
+        local = self.imports.where("is_package AND classification = 'local' AND symbol IS NOT NULL")
+        names = self.of_modules("exports").groupBy("repo", "module", "name").agg(F.max("whole").alias("whole"))
+        listed = names.select("repo", "module", "name").withColumn("explicit", F.lit(True))
+        whole = names.groupBy("repo", "module").agg(F.max("whole").alias("complete"))
+        sure = self.project.init_exports
+        key = ["repo", "module", "name", "source", "origin_module", "origin_symbol"]
+        columns = [*key, "line", "confidence", "complete"]
+        named = local.where("symbol <> '*'").select("repo", "module", F.coalesce("alias", "symbol").alias("name"), F.lit("direct-reexport").alias("source"), F.col("target_module").alias("origin_module"), F.col("symbol").alias("origin_symbol"), "line", F.lit(sure).alias("confidence"))
+        named = named.join(whole, ["repo", "module"], "left").withColumn("complete", F.coalesce("complete", F.lit(False))).join(listed, ["repo", "module", "name"], "left").where("NOT complete OR explicit").select(columns)
+        stars = local.where("symbol = '*' AND target_module <> module").groupBy("repo", "module", "target_module").agg(F.min("line").alias("line"))
+        passing = local.select("repo", F.col("module").alias("target_module")).distinct()
+        final = stars.join(passing, ["repo", "target_module"], "left_anti")
+        target = lambda df: df.withColumnRenamed("module", "target_module")
+        star = lambda df, confidence, complete: df.select("repo", "module", "name", F.lit("star-reexport").alias("source"), F.col("target_module").alias("origin_module"), F.col("name").alias("origin_symbol"), "line", F.lit(confidence).alias("confidence"), F.lit(complete).alias("complete"))
+        by_list = final.join(target(names.select("repo", "module", "name")), ["repo", "target_module"])
+        public = target(self.of_modules("symbols").where("NOT name LIKE '\\_%'").select("repo", "module", "name").distinct())
+        by_name = final.join(target(names.select("repo", "module").distinct()), ["repo", "target_module"], "left_anti").join(public, ["repo", "target_module"])
+        first = lambda df: df.groupBy(key).agg(*(F.min_by(c, "line").alias(c) for c in columns if c not in key))
+        known = front = stored(first(named.unionByName(star(by_list, sure, True)).unionByName(star(by_name, "low", False)).select(columns)), "exported")
+        while not front.isEmpty():
+            new = stars.join(target(front).drop("line", "source"), ["repo", "target_module"]).withColumn("source", F.lit("star-reexport"))
+            new = new.withColumn("confidence", F.when(rank("confidence") > CONFIDENCES.index(sure), sure).otherwise(F.col("confidence"))).select(columns)
+            front = stored(first(new).join(known, key, "left_anti").select(columns), "exported")
+            known = known.unionByName(front)
+        return stored(known.join(listed, ["repo", "module", "name"], "left").withColumn("explicit", F.coalesce("explicit", F.lit(False))), "exported")
+
+    @cached_property
+    def frameworks(self) -> DataFrame:
+        """(repo, framework): declared, imported, or told by a call or a file's name."""
+        m, file = self.modules, F.col("file")
+        told = F.array_compact(F.array(
+            F.when((F.col("path") == "manage.py") | file.isin(*DJANGO_FILES) | F.col("path").rlike("(^|/)management/commands/"), "django"),
+            F.when((file == "conftest.py") | file.startswith("test_"), "pytest"),
+        ))
+        found = m.select("repo", F.explode(F.concat(told, "framework_hints")).alias("framework"))
+        found = found.unionByName(self.imports.select("repo", F.substring_index("raw", ".", 1).alias("framework")).where(F.col("framework").isin(*FRAMEWORKS)))
+        if self.declared is not None:
+            found = found.unionByName(self.declared.where("scope <> 'script'").select("repo", F.col("name").alias("framework")).where(F.col("framework").isin(*FRAMEWORKS)))
+        return found.distinct()
+
+    @cached_property
+    def states(self) -> DataFrame:
+        """(repo, module, reachable, referenced, entrypoint_managed, public_api, framework_managed, dynamic_uncertain) of every module."""
+        here = lambda df, module, flag: df.select("repo", F.col(module).alias("module")).distinct().withColumn(flag, F.lit(True))
+        called = self.imports.where("kind = 'dynamic' AND target_module <> module")
+        flags = [
+            here(self.edges, "target", "referenced"), here(self.entries, "module", "entrypoint_managed"),
+            here(self.exported.select("repo", "module").unionByName(self.of_modules("exports").select("repo", "module")), "module", "public_api"), here(called, "target_module", "called"),
+        ]
+        m = self.modules.withColumn("node", node()).join(self.reached.select("node", F.lit(True).alias("reachable")), "node", "left")
+        for f in flags:
+            m = m.join(f, ["repo", "module"], "left")
+        own = {"framework_managed": F.size("framework_hints") > 0, "dynamic_uncertain": (F.col("dynamic_hints") > 0) | F.coalesce("called", F.lit(False))}
+        known = ("reachable", "referenced", "entrypoint_managed", "public_api")
+        return m.withColumns({c: F.coalesce(c, F.lit(False)) for c in known} | own).select("repo", "module", *known, *own)
+
+    @cached_property
+    def cycle_paths(self) -> DataFrame:
+        """(scc_id, repo, members, path, steps): a way round each cycle from its first member, and the first edge of each step."""
+        inside = self.edges.join(self.cycles.select(F.col("node").alias("src"), "scc_id"), "src").join(self.cycles.select(F.col("node").alias("dst"), F.col("scc_id").alias("other")), "dst").where("scc_id = other")
+        walks = graph.round_trips(inside.select("scc_id", F.col("importer").alias("src"), F.col("target").alias("dst")))
+        step = F.posexplode(F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(a.alias("importer"), b.alias("target"))))
+        steps = walks.select("scc_id", step.alias("at", "step")).select("scc_id", "at", "step.importer", "step.target")
+        edge = inside.groupBy("scc_id", "importer", "target").agg(F.min_by(F.struct("path", "line"), F.struct("path", "line", "symbol")).alias("e"), F.some("type_checking").alias("typed"))
+        rows = steps.join(edge, ["scc_id", "importer", "target"]).groupBy("scc_id").agg(F.array_sort(F.collect_list(F.struct("at", "importer", "target", "e.path", "e.line", "typed"))).alias("steps"))
+        return stored(ordered_members(self.cycles).join(walks, "scc_id").join(rows, "scc_id"), "cycle-paths")
+
     @cached_property
     def symbols(self) -> DataFrame:
         """Top-level names with how often production, tests and type checking refer to them, and what exports them."""
@@ -142,7 +226,7 @@ class Repositories:
         # the last import of a local name counts
         names = known.where("symbol IS NULL OR submodule").groupBy("repo", "module", local.alias("base")).agg(F.max_by("target_module", "seq").alias("target_module"))
         used = self.of_modules("attr_refs").join(names, ["repo", "module", "base"]).select("repo", F.col("target_module").alias("module"), F.col("attr").alias("name"), scope.alias("scope"))
-        passed = known.where("is_package AND symbol IS NOT NULL AND NOT submodule AND exact").select("repo", F.col("module").alias("package"), F.coalesce("alias", "symbol").alias("exported"), F.col("target_module").alias("origin"), F.col("symbol").alias("origin_name"))
+        passed = self.exported.select("repo", F.col("module").alias("package"), F.col("name").alias("exported"), F.col("origin_module").alias("origin"), F.col("origin_symbol").alias("origin_name"))
         refs = own.unionByName(taken).unionByName(used).groupBy("repo", "module", "name").pivot("scope", ["production", "tests", "type_only"]).agg(F.count(F.lit(1)))
         counts = refs.select("repo", "module", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("production", "tests", "type_only")))
         # what is used through a package's re-export counts at its origin; chains are followed step by step, and end where they
@@ -158,7 +242,8 @@ class Repositories:
             counts = counts.unionByName(step.drop("seen"))
         counts = counts.groupBy("repo", "module", "name").agg(*(F.sum(c).alias(c) for c in ("production", "tests", "type_only")))
         listed = self.of_modules("exports").select("repo", "module", "name").distinct().withColumn("listed", F.lit(True))
-        again = passed.select("repo", F.col("origin").alias("module"), F.col("origin_name").alias("name")).distinct().withColumn("reexported", F.lit(True))
+        again = self.exported.groupBy("repo", F.col("origin_module").alias("module"), F.col("origin_symbol").alias("name")).agg(F.lit(True).alias("reexported"), F.max(rank("confidence")).alias("public"))
+        again = again.withColumn("public_confidence", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("public") + 1)).drop("public")
         s = s.join(counts, ["repo", "module", "name"], "left").join(listed, ["repo", "module", "name"], "left").join(again, ["repo", "module", "name"], "left")
         return stored(s.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("production", "tests", "type_only")} | {c: F.coalesce(c, F.lit(False)) for c in ("listed", "reexported")}), "symbols")
 

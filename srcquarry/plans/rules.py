@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from srcquarry.functions import text
 from srcquarry.operators import aggregates
-from srcquarry.plans.resolve import Repositories, node, ordered_members
+from srcquarry.plans.resolve import CONFIDENCES, Repositories, node
 
 #: Number and category of each rule.
 RULES = {
@@ -20,7 +20,7 @@ RULES = {
     "duplicate-code": ("PY050", "duplication"), "high-cyclomatic-complexity": ("PY060", "complexity"), "high-cognitive-complexity": ("PY061", "complexity"), "large-function": ("PY062", "complexity"), "large-file": ("PY063", "complexity"),
     "boundary-violation": ("PY070", "architecture"), "framework-entrypoint-detected": ("PY080", "frameworks"), "risky-hotspot": ("PY090", "complexity"),
 }
-SEVERITIES, CONFIDENCES = ("info", "warning", "error"), ("low", "medium", "high")
+SEVERITIES = ("info", "warning", "error")
 #: Basenames of modules that frameworks load by name.
 LOADED_BY_NAME = "settings config urls admin apps models schemas serializers views tasks conftest".split()
 #: Suppression names that stand for several rules.
@@ -75,12 +75,11 @@ def production_imports_tests(r: Repositories) -> DataFrame:
 
 
 def circular(r: Repositories) -> DataFrame:
-    groups = ordered_members(r.cycles)
-    inside = r.edges.join(r.cycles.select(F.col("node").alias("src"), "scc_id"), "src").join(r.cycles.select(F.col("node").alias("dst"), F.col("scc_id").alias("other")), "dst").where("scc_id = other")
-    first = inside.groupBy("scc_id").agg(F.min_by(F.struct("path", "line", "importer"), F.struct("src", "path", "line")).alias("e"), F.some("type_checking").alias("typed"))
-    c = groups.join(first, "scc_id")
+    """One finding for each cycle, with a way round it; its place is the first import of the way in its first file."""
     names = F.transform("members", lambda m: F.substring_index(m, ":", -1))
-    return finding(c, "circular-dependency", "warning", "high", F.concat(F.lit("Import cycle: "), F.array_join(names, " -> ")), path=F.col("e.path"), line=F.col("e.line"), module=F.col("e.importer"), target=F.array_join(names, ","), flags=F.when(F.col("typed"), F.array(F.lit("typed"))).otherwise(F.array().cast("array<string>")))
+    typed = F.when(F.exists("steps", lambda s: s["typed"]), F.array(F.lit("typed"))).otherwise(F.array().cast("array<string>"))
+    c = r.cycle_paths.withColumn("at", F.col("steps")[0]).withColumnRenamed("path", "way")
+    return finding(c, "circular-dependency", "warning", "high", F.concat(F.lit("Import cycle: "), F.array_join("way", " -> ")), path=F.array_min(F.transform("steps", lambda s: s["path"])), line=F.col("at.line"), module=names[0], target=F.array_join(names, ","), flags=typed)
 
 
 def unused_modules(r: Repositories) -> DataFrame:

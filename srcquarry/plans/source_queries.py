@@ -52,9 +52,69 @@ def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.complexity(Repositories(part_files(spark, sf_dir), PROJECT)).groupBy(F.col("repo").alias("brand"), "rule").agg(F.count("*").alias("n"))
 
 
+
+def ring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer whose key three divides, in the repository of its nation, three modules that import one another in a ring."""
+    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    rows = c.select(F.format_string("nation%d", "c_nationkey").alias("repo"), "c_custkey", F.inline(F.expr("array(struct('a' AS m, 'from app import k%d_c, k%d_b' AS t), struct('b' AS m, 'import app.k%d_c' AS t), struct('c' AS m, 'from app import k%d_a, k%d_a' AS t))")))
+    return rows.select("repo", F.format_string("src/app/k%d_%s.py", "c_custkey", "m").alias("path"), F.replace("t", F.lit("%d"), F.col("c_custkey").cast("string")).alias("text"))
+
+
+def region_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package for each region that passes on its nations by a star (odd ones by ``__all__``), and ``world``, which passes on all
+    regions' stars; ``ring`` and ``world`` pass on one another."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.format_string("N%d", "n_nationkey"))).alias("names"))
+    body = F.array_join(F.transform("names", lambda x: F.concat(x, F.lit(" = 1"))), "\n")
+    listed = F.when(F.col("n_regionkey") % 2 == 1, F.concat(F.lit("\n__all__ = ['"), F.array_join("names", "', '"), F.lit("']"))).otherwise("")
+    k = F.col("n_regionkey")
+    inner = n.select(F.format_string("r%d/impl.py", k).alias("path"), F.concat(body, F.lit("\n_hidden = 1"), listed).alias("text"))
+    outer = n.select(F.format_string("r%d/__init__.py", k).alias("path"), F.format_string("from r%d.impl import *\n", k).alias("text"))
+    world = n.agg(F.array_join(F.array_sort(F.collect_list(F.format_string("from r%d import *", k))), "\n").alias("t")).select(F.lit("world/__init__.py").alias("path"), F.concat("t", F.lit("\nfrom ring import *\n")).alias("text"))
+    ring = n.limit(1).select(F.lit("ring/__init__.py").alias("path"), F.lit("from world import *\n").alias("text"))
+    return inner.unionByName(outer).unionByName(world).unionByName(ring).select(F.lit("regions").alias("repo"), "path", "text")
+
+
+def framework_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier a file of the repository of its nation, whose name or text tells a framework by the remainder of its key."""
+    s, at = table(spark, sf_dir, "supplier"), F.col("s_suppkey") % 11
+    path = F.when(at == 0, F.format_string("src/s%d/urls.py", "s_suppkey")).when(at == 1, F.format_string("tests/test_s%d.py", "s_suppkey")).otherwise(F.format_string("src/s%d.py", "s_suppkey"))
+    text = F.when(at == 2, "import sqlalchemy.orm\n").when(at == 3, "from web import FastAPI\napp = FastAPI()\n").otherwise("import sqlite3\n")
+    return s.select(F.format_string("nation%d", "s_nationkey").alias("repo"), path.alias("path"), text.alias("text"))
+
+
+def source_cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways round all import cycles, with how many of their steps an edge proves."""
+    c = Repositories(ring_files(spark, sf_dir), PROJECT).cycle_paths
+    return c.select("repo", F.array_join("path", " -> ").alias("way"), F.size("steps").alias("steps"), F.size("members").alias("members"))
+
+
+def source_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Repositories(region_packages(spark, sf_dir), PROJECT).exported
+    return e.select("module", "name", "source", "origin_module", "origin_symbol", "confidence", "complete", "explicit")
+
+
+def source_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repositories(framework_files(spark, sf_dir), Project(include_tests=True)).frameworks
+
+
+def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many modules of the nations' graph are reached from its entry, imported, started."""
+    s = Repositories(nation_files(spark, sf_dir), PROJECT).states
+    return s.groupBy("reachable", "referenced", "entrypoint_managed").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     source_import_edges: f"WITH {EDGES_SQL} SELECT src, dst FROM edges WHERE src <> dst",
     source_unused_modules: REACH_SQL + " SELECT n_nationkey AS node, 'high' AS confidence FROM nation WHERE n_nationkey NOT IN (SELECT n FROM reach)",
     source_complexity: "SELECT p_brand AS brand, p_partkey, (1 + p_size % 7)::INT AS cyclomatic, (p_size % 7)::INT AS cognitive, (2 + 2 * (p_size % 7))::INT AS lines FROM part",
     source_findings: "SELECT p_brand AS brand, 'high-cyclomatic-complexity' AS rule, count(*) AS n FROM part WHERE 1 + p_size % 7 > 4 GROUP BY 1",
+    source_cycle_paths: """SELECT 'nation' || c_nationkey AS repo, printf('app.k%d_a -> app.k%d_b -> app.k%d_c -> app.k%d_a', c_custkey, c_custkey, c_custkey, c_custkey) AS way,
+        3::INT AS steps, 3::INT AS members FROM customer WHERE c_custkey % 3 = 0""",
+    source_exports: """WITH own AS (SELECT 'r' || n_regionkey AS region, 'N' || n_nationkey AS name, n_regionkey % 2 = 1 AS complete FROM nation)
+        SELECT module, name, 'star-reexport' AS source, region || '.impl' AS origin_module, name AS origin_symbol, 'low' AS confidence, complete, false AS explicit
+        FROM (SELECT *, region AS module FROM own UNION ALL SELECT *, 'world' FROM own UNION ALL SELECT *, 'ring' FROM own)""",
+    source_frameworks: """SELECT DISTINCT 'nation' || s_nationkey AS repo, CASE s_suppkey % 11 WHEN 0 THEN 'django' WHEN 1 THEN 'pytest' WHEN 2 THEN 'sqlalchemy' ELSE 'fastapi' END AS framework
+        FROM supplier WHERE s_suppkey % 11 < 4""",
+    source_states: REACH_SQL + """ SELECT n_nationkey IN (SELECT n FROM reach) AS reachable, n_nationkey IN (SELECT dst FROM edges WHERE src <> dst) AS referenced, n_nationkey = 0 AS entrypoint_managed, count(*) AS n
+        FROM nation GROUP BY 1, 2, 3""",
 }

@@ -42,6 +42,7 @@ class Project:
     include_tests: bool = False
     entry_symbols: tuple[str, ...] = ENTRY_SYMBOLS
     ignored_symbols: tuple[str, ...] = IGNORED_SYMBOLS
+    init_exports: str = "low"  # how sure an export of a package's __init__ is
     markers: tuple[str, ...] = ("srcquarry",)
     ignore: tuple[str, ...] = IGNORE
     include_optional: bool = True

@@ -29,7 +29,7 @@ FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 SCHEMA = """repo string, path string, line_count int, generated boolean, parse_error string, error_line int, error_column int, dynamic_hints int, framework_hints array<string>,
 imports array<struct<seq: int, raw: string, symbol: string, alias: string, level: int, line: int, kind: string, in_function: boolean, type_checking: boolean, guarded: boolean, literal: boolean>>,
 symbols array<struct<name: string, kind: string, line: int, end_line: int, bases: array<string>, decorated: boolean, framework_managed: boolean>>,
-exports array<struct<name: string, line: int>>,
+exports array<struct<name: string, line: int, whole: boolean>>,
 functions array<struct<name: string, line: int, end_line: int>>,
 nodes array<struct<func: string, func_line: int, kind: string, nesting: int, arity: int>>,
 name_refs array<string>, attr_refs array<struct<base: string, attr: string, line: int>>,
@@ -177,7 +177,7 @@ class Reader(ast.NodeVisitor):
         for t in targets:
             if isinstance(t, ast.Name):
                 if t.id == "__all__" and not self.depth:
-                    self.exports += [dict(name=n, line=node.lineno) for n in literal_names(node.value)]
+                    self.exports += [dict(name=n, line=node.lineno, whole=True) for n in literal_names(node.value)]
                 self.symbol(t.id, "assignment", node)
         if node.value is not None:
             self.visit(node.value)
@@ -190,7 +190,7 @@ class Reader(ast.NodeVisitor):
 
     def visit_AugAssign(self, node):
         if isinstance(node.target, ast.Name) and node.target.id == "__all__" and not self.depth:
-            self.exports += [dict(name=n, line=node.lineno) for n in literal_names(node.value)]
+            self.exports += [dict(name=n, line=node.lineno, whole=False) for n in literal_names(node.value)]
         self.visit(node.value)
 
     def visit_Name(self, node):
@@ -214,7 +214,7 @@ class Reader(ast.NodeVisitor):
                 self.add_import(node, "", kind="dynamic", literal=False)
         if name in ("__all__.append", "__all__.extend") and not self.depth and node.args:
             got = [node.args[0].value] if isinstance(node.args[0], ast.Constant) and isinstance(node.args[0].value, str) else literal_names(node.args[0])
-            self.exports += [dict(name=n, line=node.lineno) for n in got]
+            self.exports += [dict(name=n, line=node.lineno, whole=False) for n in got]
         if tail(name) in FRAMEWORK_CALLS:
             self.hints.add(FRAMEWORK_CALLS[tail(name)])
         self.generic_visit(node)

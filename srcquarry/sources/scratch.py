@@ -15,6 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; a new local folder only where that is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        known = spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="srcquarry-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

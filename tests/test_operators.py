@@ -96,3 +96,10 @@ def test_stream(spark, sf, tmp_path):
     q = found.writeStream.format("memory").queryName("seen_once").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination()
     assert sorted(r.fingerprint for r in spark.table("seen_once").collect()) == ["a", "b"]
+
+
+def test_round_trips(spark):
+    edges = [("x", *e) for e in ("ab", "ac", "bc", "ca")] + [("y", *e) for e in ("ab", "bc", "cb", "bd", "da")] + [("z", *e) for e in ("ab", "bd", "dc", "cd", "cb", "ba", "bc")]
+    edges += [("w", *e) for e in ("ab", "bc", "cb", "be", "ea")]
+    got = {r.scc_id: "".join(r.path) for r in graph.round_trips(spark.createDataFrame(edges, "scc_id string, src string, dst string")).collect()}
+    assert got == {"x": "abca", "y": "abcba", "z": "aba", "w": "abcba"}

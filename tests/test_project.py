@@ -218,6 +218,24 @@ def test_packages_that_reexport_from_one_another(spark):
     assert ("config-error", "dupes.mode: Unsupported duplicate mode: odd") in got and "unused-module" not in {k for k, _ in got}
 
 
+def test_exports_and_states(spark):
+    files = {
+        "p/__init__.py": "from p.a import one, two\nfrom p.b import *\nfrom p.c import *\n__all__ = ['one']\n",
+        "p/a.py": "def one(): pass\ndef two(): pass\n", "p/b.py": "def three(): pass\ndef _four(): pass\n", "p/c.py": "def five(): pass\ndef six(): pass\n__all__ = ['five']\n__all__ += ['six']\n",
+        "q/__init__.py": "from p import *\nfrom q import sub\n", "q/sub.py": "import importlib\nimportlib.import_module('late')\n", "late.py": "", "main.py": "from q import three\nthree()\n",
+        "ring/__init__.py": "from q import *\nfrom ring import *\n",
+    }
+    r = api.repositories(spark.createDataFrame([("r", p, t) for p, t in files.items()], "repo string, path string, text string"), Project(init_exports="medium"))
+    got = {(x.module, x.name): (x.source[0], x.origin_module, x.confidence, x.complete, x.explicit) for x in r.exported.collect()}
+    p = {"one": ("p.a", "medium", True), "three": ("p.b", "low", False), "five": ("p.c", "medium", True), "six": ("p.c", "medium", True)}
+    want = {("p", n): ("d" if n == "one" else "s", *v, n == "one") for n, v in p.items()} | {(m, n): ("s", *v, False) for m in ("q", "ring") for n, v in p.items()}
+    assert got == want | {("q", "sub"): ("d", "q.sub", "medium", False, False), ("ring", "sub"): ("s", "q.sub", "medium", False, False)}
+    s = {(x.module, x.name): (x.production, x.reexported, x.public_confidence) for x in r.symbols.collect()}
+    assert s["p.b", "three"] == (1, True, "low") and s["p.a", "two"] == (0, False, None) and s["p.c", "six"] == (0, True, "medium")
+    m = {x.module: x for x in r.states.collect()}
+    assert m["late"].dynamic_uncertain and m["q.sub"].referenced and m["p"].public_api and not m["p.a"].public_api and m["main"].entrypoint_managed and m["p.b"].reachable and not m["ring"].reachable
+
+
 def test_changed_since(spark, tmp_path):
     import subprocess
 
