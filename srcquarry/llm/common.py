@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a new one where that is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a new local one where that is unset (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        known = spark.sparkContext.getCheckpointDir()
+    if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="srcquarry-")
         spark.conf.set("spark.checkpoint.dir", known)
         spark.sparkContext.setCheckpointDir(known)
