@@ -83,7 +83,7 @@ SWITCHES = {
     "dupes.enabled": ("duplicate-code",), "health.enabled": ("high-cyclomatic-complexity", "high-cognitive-complexity", "large-function", "large-file", "risky-hotspot"),
 }
 #: Settings that are read elsewhere or change nothing here.
-ACCEPTED = frozenset("namespace_packages framework_heuristics frameworks dead_code.treat_init_as_entry dead_code.ignore_decorated dead_code.ignore_protocol_methods dead_code.ignore_dunder_methods dead_code.confidence_for_init_exports dupes.ignore_docstrings baseline.path".split())
+ACCEPTED = frozenset("namespace_packages framework_heuristics frameworks dead_code.treat_init_as_entry dead_code.ignore_decorated dead_code.ignore_protocol_methods dead_code.ignore_dunder_methods dupes.ignore_docstrings baseline.path".split())
 
 
 def normal(name: str) -> str:
@@ -126,6 +126,11 @@ def project_of(text: str, section: str = "srcquarry", base: Project = Project())
                 put["strict_duplicates"] = value == "strict"
             else:
                 errors.append((name, f"Unsupported duplicate mode: {value}"))
+        elif name == "dead_code.confidence_for_init_exports":
+            if value in ("low", "medium", "high"):
+                put["init_exports"] = value
+            else:
+                errors.append((name, f"Unsupported confidence: {value}"))
         elif key in SETTINGS.get(table, {}):
             at = SETTINGS[table][key] or key
             known = getattr(base, at)

@@ -209,6 +209,13 @@ def test_settings_belong_to_their_sections():
     assert [k for k, _ in p.config_errors] == ["nothing", "dependencies.include_dev", "dupes.mode", "dupes.min_lines", "boundaries.rules.r.severity", "boundaries.rules.empty.from", "boundaries.rules.empty.disallow"]
 
 
+def test_confidence_of_exports_is_a_setting():
+    text = "[tool.srcquarry.dead_code]\nconfidence_for_init_exports = '%s'\n"
+    good, bad = project_of(text % "high"), project_of(text % "sure")
+    assert good.init_exports == "high" and not good.config_errors
+    assert bad.init_exports == "low" and [k for k, _ in bad.config_errors] == ["dead_code.confidence_for_init_exports"]
+
+
 def test_packages_that_reexport_from_one_another(spark):
     files = {"a/__init__.py": "from b import X\n", "b/__init__.py": "from a import X\n", "use.py": "from a import X\nX()\n", "c/__init__.py": "from c.d import Y as Z\n", "c/d.py": "Y = 1\n", "main.py": "from c import Z\nimport use\n"}
     wrong = Project(config_errors=(("dupes.mode", "Unsupported duplicate mode: odd"),), disabled=("unused-module",))
