@@ -333,7 +333,7 @@ def test_bound_discards_no_hit():
     for band in index.bands:
         stretches = -(-sizes // band.length)
         base = np.cumsum(stretches) - stretches
-        promising = set(band.promising(ids, starts, base, 0.5).tolist())
+        promising = set(band.promising(ids, starts, base, int(stretches.sum()), 0.5).tolist())
         for d, w in enumerate(words):
             for k in range(stretches[d]):
                 part = dict.fromkeys(t for t in w[k * band.length : (k + 2) * band.length] if t in band.docs)
