@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from srcquarry.llm import bpe, chat_format, decontamination, html_extract, ngram_join, quality_rules, secrets, token_counts, token_output, toxicity
+from srcquarry.llm import (
+    bpe,
+    chat_format,
+    conversation_repair,
+    conversation_trie,
+    decontamination,
+    fingerprints,
+    html_extract,
+    ngram_join,
+    quality_rules,
+    secrets,
+    token_counts,
+    token_output,
+    toxicity,
+)
 from srcquarry.llm.common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,8 +69,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.borrowed_heads_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damaged(conversations), conversations)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_html_extract, op3_ngram_join, op4_quality_rules, op5_toxicity, op6_decontamination, op7_secrets, op8_chat_format, op9_token_counts, op10_bpe)}
+    every = (
+        op1_token_output,
+        op2_html_extract,
+        op3_ngram_join,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_decontamination,
+        op7_secrets,
+        op8_chat_format,
+        op9_token_counts,
+        op10_bpe,
+        op11_prefix_trie,
+        op12_fingerprints,
+        op13_structure_repair,
+    )
+    return {f.__name__: f for f in every}
 
 
 #: Plain dialogues; texts that are tool calls in JSON do not occur in the shared tables.
