@@ -4,8 +4,8 @@ A text's shingles are its windows of five words (``[^\\x20\\x09-\\x0D]+``; a tex
 shingle is hashed once to 64 bits; the upper 8 bits name one of 256 bins, and a bin keeps its least hash: sorted hashes are
 grouped by bin, so that is the first of each run.  An empty bin borrows from the bin that its own fixed sequence of pseudo
 random tries first finds filled, independently of the other empty bins (optimal densification); after ``TRIES`` tries it takes
-the filled bin that ranks least by a hash of both bins, which always exists.  Of each bin the low 4 bits are stored, 16 bins
-to a long, written as 256 hexadecimal digits.
+the filled bin that ranks least by a hash of both bins, which always exists.  Of each bin the low 4 bits are stored (of its
+hash mixed with the bin's number), 16 bins to a long, written as 256 hexadecimal digits.
 
 Likeness of two fingerprints: the share of equal bins, less the chance 1/16 that differing bins agree (bias correction), cut
 to 0..1.  The standard error is below 0.04.
@@ -51,14 +51,16 @@ def firsts(hashes: str) -> Column:
 
 
 def low_bits(least: str, filled: str) -> Column:
-    """The stored bits of all bins: ``least`` hashes of the ``filled`` bins, borrowed where a bin is not among them."""
-    mask = (1 << BITS) - 1
+    """The stored bits of all bins: of ``least`` hashes of the ``filled`` bins, borrowed where a bin is not among them.
+
+    A hash is mixed with the bin that stores it, so that bins that borrow the same hash still agree by chance one by one.
+    """
     tries = ", ".join(f"get(own, CAST(xxhash64(b, {t}) & {BINS - 1} AS int))" for t in range(TRIES))
-    ranked = f"array_min(transform({least}, x -> (xxhash64(b, {BIN_OF.format('x')}) & {~mask}) | (x & {mask}))) & {mask}"
-    own = f"transform(sequence(0, {BINS - 1}), b -> CAST(get({least}, array_position({filled}, b - {BINS // 2}) - 1) & {mask} AS bigint))"
-    full = f"transform({least}, x -> x & {mask})"
+    ranked = f"array_min(transform({least}, x -> struct(xxhash64(b, {BIN_OF.format('x')}) AS r, x AS x))).x"
+    own = f"transform(sequence(0, {BINS - 1}), b -> get({least}, CAST(array_position({filled}, b - {BINS // 2}) AS int) - 1))"
     borrowed = f"element_at(transform(array({own}), own -> transform(sequence(0, {BINS - 1}), b -> coalesce(get(own, b), {tries}, {ranked}))), 1)"
-    return F.expr(f"CASE WHEN size({least}) = {BINS} THEN {full} WHEN size({least}) > 0 THEN {borrowed} END")
+    hashes = f"CASE WHEN size({least}) = {BINS} THEN {least} WHEN size({least}) > 0 THEN {borrowed} END"
+    return F.expr(f"transform({hashes}, (x, b) -> xxhash64(x, b) & {(1 << BITS) - 1})")
 
 
 def packed(bits: str) -> Column:
