@@ -24,6 +24,28 @@ def reachable(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "
             seen = stored(seen, "reach")
 
 
+def reachable_views(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, views): in which views of a graph each node is reached, as bits.
+
+    ``edges`` (src, dst, views) hold in the views whose bits they carry, ``start`` (node, views) begins in them.  One frontier
+    serves all views: a node is visited again only with bits that are new to it.
+    """
+    every = lambda df: df.groupBy("node").agg(F.bit_or("views").alias("views"))
+    edges = stored(edges.groupBy("src", "dst").agg(F.bit_or("views").alias("on")).where("on <> 0"), "edges")
+    seen = front = stored(every(start.select("node", "views")).where("views <> 0"), "views")
+    rounds = 0
+    while not front.isEmpty():
+        rounds += 1
+        step = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), F.col("views").bitwiseAND(F.col("on")).alias("views"))
+        known = every(seen).withColumnRenamed("views", "old")
+        fresh = F.col("views").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0))))
+        front = stored(every(step).join(known, "node", "left").select("node", fresh.alias("views")).where("views <> 0"), "views")
+        seen = seen.unionByName(front)
+        if rounds % 10 == 0:
+            seen = stored(every(seen), "views")
+    return every(seen)
+
+
 def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the least label of all nodes that reach each node along (src, dst), its own included."""
     front = now = stored(labels, "labels")

@@ -1,14 +1,13 @@
-"""Duplicate token windows of source files: candidates as joins, the final choice as a stream over each repository."""
+"""Duplicate token windows of source files: candidates as joins, the final choice by rounds over the lines they claim."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FRAGMENT = "struct<path: string, first: int, last: int>"
+from srcquarry.operators.greedy import first_fit
+from srcquarry.operators.windows import top_per_group
+from srcquarry.sources.scratch import stored
 
 
 def windows(rows: DataFrame, size: int, min_lines: int) -> DataFrame:
@@ -34,32 +33,16 @@ def candidates(rows: DataFrame, size: int, min_lines: int) -> DataFrame:
 
 
 def accepted(found: DataFrame, most: int) -> DataFrame:
-    """Groups in order of length, path, start and digest, without those whose set of files was taken or that touch taken lines.
+    """The groups that a pass in order of lines (most first), path, start and digest takes, each by its first fragment: without
+    those whose set of files was taken or that touch a taken line; of each repository the first ``most``.
 
-    Each choice depends on all before; a repository's groups are read as a sorted stream, and what is remembered is bounded by
-    ``most`` accepted groups.
+    A group claims its lines and its set of files; ``first_fit`` settles the claims of all repositories at once.
     """
     first = F.col("fragments")[0]
-    longest = F.array_max(F.transform("fragments", lambda f: f["last"] - f["first"] + 1))
-    order = found.select("repo", "digest", "fragments", (-longest).alias("o1"), first["path"].alias("o2"), first["first"].alias("o3"))
-    schema = order.schema
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repo, sets, taken, n = None, set(), {}, 0
-        started = False
-        for b in batches:
-            keep = []
-            for r, fragments in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if not started or r != repo:
-                    repo, sets, taken, n, started = r, set(), {}, 0, True
-                files = frozenset(f["path"] for f in fragments)
-                fits = n < most and files not in sets and not any(f["first"] <= hi and lo <= f["last"] for f in fragments for lo, hi in taken.get(f["path"], ()))
-                if fits:
-                    n += 1
-                    sets.add(files)
-                    for f in fragments:
-                        taken.setdefault(f["path"], []).append((f["first"], f["last"]))
-                keep.append(fits)
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    return order.repartition("repo").sortWithinPartitions("repo", "o1", "o2", "o3", "digest").mapInArrow(run, schema).select("repo", "digest", "fragments")
+    order = F.struct((first["first"] - first["last"]).alias("lines"), first["path"].alias("path"), first["first"].alias("first"), F.col("digest").alias("digest"))
+    g = stored(found.select("repo", "digest", "fragments", order.alias("o")), "groups")
+    lines = g.select("repo", "digest", "o", F.inline("fragments")).select("repo", "digest", "o", "path", F.explode(F.sequence("first", "last")).alias("line"))
+    files = F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform("fragments", lambda f: f["path"]))), "\0"))
+    claims = lines.unionByName(g.select("repo", "digest", "o", files.alias("path"), F.lit(0).alias("line")))
+    kept = first_fit(claims, ["repo", "digest"], ["repo", "path", "line"], "o")
+    return top_per_group(g.join(kept, ["repo", "digest"], "left_semi"), ["repo"], most, F.col("o")).select("repo", "digest", "fragments")

@@ -25,6 +25,8 @@ ENTRY_FILES = "__main__.py main.py app.py manage.py asgi.py wsgi.py server.py cl
 FRAMEWORKS = "celery click django fastapi flask pydantic pytest sqlalchemy typer".split()
 DJANGO_FILES = "settings.py urls.py asgi.py wsgi.py".split()
 CONFIDENCES = ("low", "medium", "high")
+#: Bits of the views of the import graph.
+RUNTIME, STATE = 1, 2
 
 
 def node(module: str = "module") -> Column:
@@ -129,9 +131,15 @@ class Repositories:
         return stored(joins.first_of_branches(keyed, "node").select("repo", "module", "reason", "confidence", "node"), "entries")
 
     @cached_property
+    def views(self) -> DataFrame:
+        """(node, views) of what the entries reach, as bits: ``RUNTIME`` without type-checking imports, ``STATE`` with them."""
+        on = F.when(F.col("type_checking"), STATE).otherwise(RUNTIME | STATE)
+        return stored(graph.reachable_views(self.edges.select("src", "dst", on.alias("views")), self.entries.select("node", F.lit(RUNTIME | STATE).alias("views"))), "views")
+
+    @property
     def reached(self) -> DataFrame:
         """Nodes that run when the entries do: type-checking imports do not count."""
-        return stored(graph.reachable(self.edges.where("NOT type_checking").select("src", "dst").distinct(), self.entries.select("node")), "reached")
+        return self.views.where(F.col("views").bitwiseAND(F.lit(RUNTIME)) != 0).select("node")
 
     @cached_property
     def cycles(self) -> DataFrame:
@@ -195,7 +203,8 @@ class Repositories:
             here(self.edges, "target", "referenced"), here(self.entries, "module", "entrypoint_managed"),
             here(self.exported.select("repo", "module").unionByName(self.of_modules("exports").select("repo", "module")), "module", "public_api"), here(called, "target_module", "called"),
         ]
-        m = self.modules.withColumn("node", node()).join(self.reached.select("node", F.lit(True).alias("reachable")), "node", "left")
+        state = self.views.where(F.col("views").bitwiseAND(F.lit(STATE)) != 0).select("node", F.lit(True).alias("reachable"))
+        m = self.modules.withColumn("node", node()).join(state, "node", "left")
         for f in flags:
             m = m.join(f, ["repo", "module"], "left")
         own = {"framework_managed": F.size("framework_hints") > 0, "dynamic_uncertain": (F.col("dynamic_hints") > 0) | F.coalesce("called", F.lit(False))}
@@ -226,21 +235,9 @@ class Repositories:
         # the last import of a local name counts
         names = known.where("symbol IS NULL OR submodule").groupBy("repo", "module", local.alias("base")).agg(F.max_by("target_module", "seq").alias("target_module"))
         used = self.of_modules("attr_refs").join(names, ["repo", "module", "base"]).select("repo", F.col("target_module").alias("module"), F.col("attr").alias("name"), scope.alias("scope"))
-        passed = self.exported.select("repo", F.col("module").alias("package"), F.col("name").alias("exported"), F.col("origin_module").alias("origin"), F.col("origin_symbol").alias("origin_name"))
         refs = own.unionByName(taken).unionByName(used).groupBy("repo", "module", "name").pivot("scope", ["production", "tests", "type_only"]).agg(F.count(F.lit(1)))
         counts = refs.select("repo", "module", "name", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("production", "tests", "type_only")))
-        # what is used through a package's re-export counts at its origin; chains are followed step by step, and end where they
-        # come to a name that they have passed, as packages may re-export from one another
-        name_at = lambda module, name: F.concat_ws(":", module, name)
-        step, passed = counts.withColumn("seen", F.array(name_at("module", "name"))), passed.distinct()
-        while True:
-            onward = step.join(passed, (step.repo == passed.repo) & (step.module == passed.package) & (step.name == passed.exported)).where(~F.array_contains("seen", name_at("origin", "origin_name")))
-            step = onward.select(step.repo, F.col("origin").alias("module"), F.col("origin_name").alias("name"), "production", "tests", "type_only", F.array_append("seen", name_at("origin", "origin_name")).alias("seen"))
-            step = stored(step, "exports")
-            if step.isEmpty():
-                break
-            counts = counts.unionByName(step.drop("seen"))
-        counts = counts.groupBy("repo", "module", "name").agg(*(F.sum(c).alias(c) for c in ("production", "tests", "type_only")))
+        counts = through_exports(counts, self.exported)
         listed = self.of_modules("exports").select("repo", "module", "name").distinct().withColumn("listed", F.lit(True))
         again = self.exported.groupBy("repo", F.col("origin_module").alias("module"), F.col("origin_symbol").alias("name")).agg(F.lit(True).alias("reexported"), F.max(rank("confidence")).alias("public"))
         again = again.withColumn("public_confidence", F.element_at(F.array(*map(F.lit, CONFIDENCES)), F.col("public") + 1)).drop("public")
@@ -272,6 +269,30 @@ class Repositories:
         return self.all_modules[1]
 
 
+SCOPES = ("production", "tests", "type_only")
+
+
+def through_exports(counts: DataFrame, exported: DataFrame) -> DataFrame:
+    """``counts`` (repo, module, name, SCOPES) with what packages pass on added at its origin.
+
+    Packages pass on in the order of their names, each record once, what was counted at its name by then.  A count thus goes on
+    only from a package to a later one, so the records, cut to such steps, form no ring.  All counts that meet at a name in a
+    round go on as one sum: a round has at most a row for each record, however many ways lead to it, and rounds number as the
+    longest chain of re-exports.  A package that passes on a name of its own counts for that name and no further.
+    """
+    sums = [F.sum(c).alias(c) for c in SCOPES]
+    records = exported.where("origin_module IS NOT NULL AND origin_symbol IS NOT NULL").groupBy("repo", "module", "name", "origin_module", "origin_symbol")
+    records = stored(records.agg(F.count("*").alias("times")), "records")
+    step = counts
+    while True:
+        sent = step.join(records, ["repo", "module", "name"]).groupBy("repo", F.col("origin_module").alias("module"), F.col("origin_symbol").alias("name"), (F.col("module") < F.col("origin_module")).alias("later"))
+        sent = stored(sent.agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in SCOPES)), "passed-on")
+        if sent.isEmpty():
+            return counts.groupBy("repo", "module", "name").agg(*sums)
+        counts = counts.unionByName(sent.drop("later"))
+        step = sent.where("later").drop("later")
+
+
 def ordered_members(cycles: DataFrame) -> DataFrame:
     """(scc_id, repo, members) of each cycle; a component is as large as the cycle it reports."""
     return cycles.groupBy("scc_id").agg(F.array_sort(F.collect_list("node")).alias("members")).select("scc_id", F.substring_index("scc_id", ":", 1).alias("repo"), "members")

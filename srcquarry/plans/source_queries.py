@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,10 +99,78 @@ def source_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Repositories(framework_files(spark, sf_dir), Project(include_tests=True)).frameworks
 
 
+def state_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nations' modules again: imports of odd nations are for types only, and the key tells what else a module does."""
+    line = F.when(F.col("dst") % 2 == 1, F.format_string("if TYPE_CHECKING:\n    from app import n%d", "dst")).otherwise(F.format_string("from app import n%d", "dst"))
+    lines = edges(spark, sf_dir).groupBy(F.col("src").alias("n_nationkey")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("imports"))
+    k = F.col("n_nationkey")
+    more = F.concat(
+        F.when(k % 7 == 3, "from web import FastAPI\napp = FastAPI()\n").otherwise(""),
+        F.when(k % 6 == 5, "import importlib\nimportlib.import_module(name)\n").otherwise(""),
+        F.when(k % 4 == 1, "VALUE = 1\n__all__ = ['VALUE']\n").otherwise(""),
+    )
+    n = table(spark, sf_dir, "nation").join(lines, "n_nationkey", "left")
+    body = F.concat(F.lit("from typing import TYPE_CHECKING\n"), F.coalesce("imports", F.lit("")), F.lit("\n"), more)
+    return n.select(F.lit("nations").alias("repo"), F.format_string("src/app/n%d.py", k).alias("path"), body.alias("text"))
+
+
 def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many modules of the nations' graph are reached from its entry, imported, started."""
-    s = Repositories(nation_files(spark, sf_dir), PROJECT).states
-    return s.groupBy("reachable", "referenced", "entrypoint_managed").agg(F.count("*").alias("n"))
+    """The six states of the nations' modules: imports for types count for reach."""
+    s = Repositories(state_files(spark, sf_dir), PROJECT).states
+    return s.select(number("module").cast("int").alias("node"), "reachable", "referenced", "entrypoint_managed", "public_api", "framework_managed", "dynamic_uncertain")
+
+
+def source_reached_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What runs and what is only known to types, of the same modules, by one search."""
+    v = Repositories(state_files(spark, sf_dir), PROJECT).views
+    return v.select(number("node").cast("int").alias("node"), (F.col("views") % 2 == 1).alias("runs"), (F.col("views") >= 2).alias("known"))
+
+
+def reexport_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages ``r<region>`` pass on their nations' names, ``api`` and ``world`` pass on those; a customer's module uses its
+    nation's name through one of the three."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.format_string("N%d", "n_nationkey"))).alias("names"))
+    k = F.col("n_regionkey")
+    inner = n.select(F.format_string("r%d/impl.py", k).alias("path"), F.array_join(F.transform("names", lambda x: F.concat(x, F.lit(" = 1"))), "\n").alias("text"))
+    outer = n.select(F.format_string("r%d/__init__.py", k).alias("path"), F.concat(F.format_string("from r%d.impl import ", k), F.array_join("names", ", ")).alias("text"))
+    passing = n.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.format_string("from r%d import ", k), F.array_join("names", ", ")))), "\n").alias("text"))
+    whole = passing.select(F.explode(F.array(F.lit("api/__init__.py"), F.lit("world/__init__.py"))).alias("path"), "text")
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(region), "c_nationkey")  # a nation for each row of a table of 25
+    way = F.when(F.col("c_custkey") % 3 == 0, "api").when(F.col("c_custkey") % 3 == 1, "world").otherwise(F.format_string("r%d", k))
+    users = c.select(F.format_string("users/c%d.py", "c_custkey").alias("path"), F.concat(F.lit("from "), way, F.format_string(" import N%d\n", "c_nationkey")).alias("text"))
+    return inner.unionByName(outer).unionByName(whole).unionByName(users).select(F.lit("regions").alias("repo"), "path", "text")
+
+
+def source_reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of the nations' names at their origin: ``api`` comes before the regions' packages and counts, ``world`` after them."""
+    s = Repositories(reexport_files(spark, sf_dir), PROJECT).symbols
+    return s.where("module LIKE 'r%.impl'").select("module", "name", F.col("production").cast("long").alias("uses"))
+
+
+def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each part a file in the repository of its brand: thirty lines that parts of one size modulo 5 share, and forty that
+    those with remainder 0 or 1 share."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_size") % 5
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("a"), k.cast("string"), F.lit("_"), i.cast("string"), F.lit(" = b * "), i.cast("string"))), "\n")
+    both = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("c"), i.cast("string"), F.lit(" = (\n    d + "), i.cast("string"), F.lit("\n)"))), "\n")
+    return p.select(F.col("p_brand").alias("repo"), F.format_string("src/app/p%d.py", "p_partkey").alias("path"), F.concat(own, F.lit("\n"), F.when(k < 2, both).otherwise("")).alias("text"))
+
+
+def source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted groups of equal code: one for each set of files."""
+    d = Repositories(duplicate_files(spark, sf_dir), replace(PROJECT, strict_duplicates=True)).duplicates
+    files = F.array_sort(F.array_distinct(F.transform("fragments", lambda f: f["path"])))
+    return d.select(F.col("repo").alias("brand"), F.size(files).cast("long").alias("files"), number_of(files[0]).alias("first_part"))
+
+
+def number_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"(\d+)\.py$", 1).cast("long")
+
+
+STATE_SQL = f"""WITH RECURSIVE {EDGES_SQL},
+    reach(n) AS (SELECT 0 UNION SELECT dst FROM edges JOIN reach ON src = n),
+    runs(n) AS (SELECT 0 UNION SELECT dst FROM edges JOIN runs ON src = n WHERE dst % 2 = 0)"""
 
 
 QUERIES = {
@@ -115,6 +185,13 @@ QUERIES = {
         FROM (SELECT *, region AS module FROM own UNION ALL SELECT *, 'world' FROM own UNION ALL SELECT *, 'ring' FROM own)""",
     source_frameworks: """SELECT DISTINCT 'nation' || s_nationkey AS repo, CASE s_suppkey % 11 WHEN 0 THEN 'django' WHEN 1 THEN 'pytest' WHEN 2 THEN 'sqlalchemy' ELSE 'fastapi' END AS framework
         FROM supplier WHERE s_suppkey % 11 < 4""",
-    source_states: REACH_SQL + """ SELECT n_nationkey IN (SELECT n FROM reach) AS reachable, n_nationkey IN (SELECT dst FROM edges WHERE src <> dst) AS referenced, n_nationkey = 0 AS entrypoint_managed, count(*) AS n
-        FROM nation GROUP BY 1, 2, 3""",
+    source_states: STATE_SQL
+    + """ SELECT n_nationkey AS node, n_nationkey IN (SELECT n FROM reach) AS reachable, n_nationkey IN (SELECT dst FROM edges WHERE src <> dst) AS referenced,
+        n_nationkey = 0 AS entrypoint_managed, n_nationkey % 4 = 1 AS public_api, n_nationkey % 7 = 3 AS framework_managed, n_nationkey % 6 = 5 AS dynamic_uncertain FROM nation""",
+    source_reached_views: STATE_SQL + " SELECT n AS node, n IN (SELECT n FROM runs) AS runs, true AS known FROM reach",
+    source_reference_counts: """SELECT 'r' || n_regionkey || '.impl' AS module, 'N' || n_nationkey AS name, count(c_custkey) FILTER (c_custkey % 3 <> 1) AS uses
+        FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""",
+    source_duplicates: """WITH p AS (SELECT p_brand AS brand, p_size % 5 AS k, 'src/app/p' || p_partkey || '.py' AS path FROM part),
+        sets AS (SELECT brand, list(path ORDER BY path) AS paths FROM p GROUP BY brand, k UNION SELECT brand, list(path ORDER BY path) FROM p WHERE k < 2 GROUP BY brand)
+        SELECT brand, len(paths) AS files, regexp_extract(paths[1], '(\\d+)\\.py$', 1)::BIGINT AS first_part FROM sets WHERE len(paths) > 1""",
 }

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,14 +27,45 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_lock = threading.Lock()
+#: By session: how many writes are under way, and the setting before the first of them.
+_writes: dict[int, tuple[int, str]] = {}
+
+
+@contextmanager
+def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
+    """``CLEANUP`` holds while a write is under way; the last of several at once puts the session's own setting back."""
+    key = spark._jsparkSession.hashCode()
+    with _lock:
+        n, before = _writes.get(key, (0, ""))
+        if not n:
+            before = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writes[key] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writes.pop(key)
+            if n > 1:
+                _writes[key] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    read = spark.read.schema(schema).parquet(path)
+    read.scratch_path = path
+    return read
+
+
+def discard(*spent: DataFrame) -> None:
+    """Delete tables of ``stored`` that no later step reads."""
+    for df in spent:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

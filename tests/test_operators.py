@@ -7,8 +7,9 @@ import random
 from pyspark.sql import functions as F
 
 from srcquarry.functions import text
-from srcquarry.operators import aggregates, graph, joins, windows
-from srcquarry.plans import resolve  # noqa: F401
+from srcquarry.operators import aggregates, graph, greedy, joins, windows
+from srcquarry.plans import resolve
+from srcquarry.sources import scratch
 from srcquarry.streaming import evidence
 
 
@@ -103,3 +104,67 @@ def test_round_trips(spark):
     edges += [("w", *e) for e in ("ab", "bc", "cb", "be", "ea")]
     got = {r.scc_id: "".join(r.path) for r in graph.round_trips(spark.createDataFrame(edges, "scc_id string, src string, dst string")).collect()}
     assert got == {"x": "abca", "y": "abcba", "z": "aba", "w": "abcba"}
+
+
+def test_first_fit_equals_the_sorted_pass(spark):
+    r = random.Random(11)
+    rows, want = [], set()
+    for repo in range(6):
+        groups = [(r.randint(0, 5), f"d{i}", {r.randint(0, 60) for _ in range(r.randint(1, 5))}) for i in range(40)]
+        taken: set[int] = set()
+        for size, name, places in sorted(groups, key=lambda g: g[:2]):
+            rows += [(repo, name, p, (size, name)) for p in places]
+            if not places & taken:
+                taken |= places
+                want.add((repo, name))
+    claims = spark.createDataFrame(rows, "repo int, name string, place int, o struct<size: int, name: string>")
+    got = greedy.first_fit(claims.unionByName(claims), ["repo", "name"], ["repo", "place"], "o").collect()
+    assert {(g.repo, g.name) for g in got} == want and len(got) == len(want)
+    assert greedy.first_fit(claims.limit(0), ["repo", "name"], ["repo", "place"], "o").collect() == []
+
+
+def test_reachable_views(spark):
+    r = random.Random(12)
+    edges = [(r.randint(0, 40), r.randint(0, 40), r.randint(0, 3)) for _ in range(90)]
+    starts = [(0, 3), (1, 1), (2, 2), (99, 2)]
+    want = {}
+    for bit in (1, 2):
+        stack = [n for n, v in starts if v & bit]
+        seen = set()
+        while stack:
+            n = stack.pop()
+            if n not in seen:
+                seen.add(n)
+                want[n] = want.get(n, 0) | bit
+                stack += [b for a, b, v in edges if a == n and v & bit]
+    got = graph.reachable_views(spark.createDataFrame(edges, "src int, dst int, views int"), spark.createDataFrame(starts, "node int, views int"))
+    assert {r.node: r.views for r in got.collect()} == want
+
+
+def test_counts_through_exports(spark):
+    """Equal to a pass over the packages in order, with rings, diamonds and records that stand twice."""
+    r = random.Random(13)
+    names = [f"p{i}" for i in range(9)]
+    records = [(r.choice(names), r.choice("xy"), r.choice(names), r.choice("xy")) for _ in range(40)]
+    records = [x for x in records if x[0] != x[2]]
+    counts = {(m, n): [r.randint(0, 3), r.randint(0, 2), r.randint(0, 1)] for m in names for n in "xy" if r.random() < 0.7}
+    start = [("repo", *k, *v) for k, v in counts.items()]
+    for package in sorted(names):
+        for m, n, to, symbol in records:
+            if m == package and (m, n) in counts:
+                there = counts.setdefault((to, symbol), [0, 0, 0])
+                for i, c in enumerate(counts[m, n]):
+                    there[i] += c
+    given = spark.createDataFrame(start, "repo string, module string, name string, production long, tests long, type_only long")
+    exported = spark.createDataFrame([("repo", *x) for x in records], "repo string, module string, name string, origin_module string, origin_symbol string")
+    got = resolve.through_exports(given, exported).collect()
+    assert {(g.module, g.name): [g.production, g.tests, g.type_only] for g in got} == counts
+
+
+def test_writes_at_once_leave_the_setting(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    before = spark.conf.get(scratch.CLEANUP, "false")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda n: scratch.stored(spark.range(n), "many").count(), range(1, 13)))
+    assert spark.conf.get(scratch.CLEANUP, "false") == before
