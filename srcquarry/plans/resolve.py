@@ -65,6 +65,8 @@ class Repositories:
         name = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, r"\.py$", ""), r"(^|/)__init__$", ""), "/", ".")
         rows = self.raw.select("repo", "path", name.alias("module"), F.substring_index("path", "/", -1).alias("file"), "line_count", "generated", "parse_error", "error_line", "error_column", "dynamic_hints", F.coalesce("framework_hints", F.array().cast("array<string>")).alias("framework_hints"), is_test(path).alias("is_test"), path.rlike("(^|/)migrations/").alias("is_migration"))
         rows = rows.withColumn("is_package", F.col("file") == "__init__.py").where("module <> ''")
+        if not self.project.namespace_packages:
+            rows = in_packages(rows.withColumn("inner", inner)).drop("inner")
         return tuple(stored(x, "modules") for x in joins.first_rows(rows, ["repo", "module"], "path"))
 
     @property
@@ -192,7 +194,10 @@ class Repositories:
         found = found.unionByName(self.imports.select("repo", F.substring_index("raw", ".", 1).alias("framework")).where(F.col("framework").isin(*FRAMEWORKS)))
         if self.declared is not None:
             found = found.unionByName(self.declared.where("scope <> 'script'").select("repo", F.col("name").alias("framework")).where(F.col("framework").isin(*FRAMEWORKS)))
-        return found.distinct()
+        chosen = set(self.project.frameworks)
+        if not self.project.framework_heuristics or "none" in chosen:
+            return found.distinct().limit(0)
+        return found.distinct() if "auto" in chosen else found.where(F.col("framework").isin(*chosen)).distinct()
 
     @cached_property
     def states(self) -> DataFrame:
@@ -269,6 +274,23 @@ class Repositories:
         return self.all_modules[1]
 
 
+def in_packages(rows: DataFrame) -> DataFrame:
+    """Of modules with their path ``inner`` below the root, those all of whose folders there hold an ``__init__.py``.
+
+    Each folder is asked for once: of the folders on a module's way as many as there are must be packages.
+    """
+    folder = F.regexp_replace("inner", r"/?[^/]*$", "")
+    root = F.expr("substring(path, 1, length(path) - length(inner))")
+    rows = rows.withColumn("folder", folder).withColumn("under", root)
+    parts = F.split("folder", "/")
+    ways = rows.where("folder <> ''").select("repo", "under", "folder").distinct()
+    ways = ways.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("step"))
+    packages = rows.where("is_package").select("repo", "under", F.col("folder").alias("step")).distinct().withColumn("package", F.lit(True))
+    whole = ways.join(packages, ["repo", "under", "step"], "left").groupBy("repo", "under", "folder").agg(F.every(F.coalesce("package", F.lit(False))).alias("whole"))
+    kept = rows.join(whole.where("whole"), ["repo", "under", "folder"], "left_semi").unionByName(rows.where("folder = ''"))
+    return kept.drop("folder", "under")
+
+
 SCOPES = ("production", "tests", "type_only")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from srcquarry.functions import text
 from srcquarry.operators import aggregates
-from srcquarry.plans.resolve import CONFIDENCES, Repositories, node
+from srcquarry.plans.resolve import CONFIDENCES, Repositories, node, rank
 
 #: Number and category of each rule.
 RULES = {
@@ -83,7 +83,7 @@ def circular(r: Repositories) -> DataFrame:
 
 
 def unused_modules(r: Repositories) -> DataFrame:
-    eligible = r.modules.where("parse_error IS NULL AND NOT is_package AND NOT is_migration AND NOT generated AND NOT path RLIKE '/management/commands/'" + ("" if r.project.include_tests else " AND NOT is_test"))
+    eligible = r.modules.where("parse_error IS NULL AND" + (" NOT is_package AND" if r.project.init_is_entry else "") + " NOT is_migration AND NOT generated AND NOT path RLIKE '/management/commands/'" + ("" if r.project.include_tests else " AND NOT is_test"))
     started = r.entries.select("repo").distinct()
     left = eligible.join(started, "repo", "left_semi").withColumn("node", node()).join(r.reached.select("node"), "node", "left_anti")
     explicit = "high" if r.project.entry else "medium"
@@ -100,9 +100,13 @@ def unused_symbols(r: Repositories) -> DataFrame:
         scripts = r.declared.where("scope = 'script' AND name LIKE '%:%'").select("repo", F.substring_index("name", ":", 1).alias("module"), F.substring_index("name", ":", -1).alias("name")).distinct()
         s = s.join(scripts, ["repo", "module", "name"], "left_anti")
     name, assigned = F.col("name"), F.col("kind") == "assignment"
+    dunder = name.startswith("__") & name.endswith("__")
+    protocol = F.exists("bases", lambda b: F.substring_index(b, ".", -1) == "Protocol")
+    public = F.coalesce(rank("public_confidence") >= CONFIDENCES.index("medium"), F.lit(False))
     skipped = (
-        name.isin(*p.ignored_symbols) | name.startswith("_") | F.exists("bases", lambda b: F.substring_index(b, ".", -1) == "Protocol") | F.col("path").rlike("/management/commands/")
-        | F.col("listed") | F.col("framework_managed") | F.col("decorated") | F.col("is_package") | (assigned & F.col("framework")) | (F.coalesce("entry", F.lit(False)) & name.isin(*p.entry_symbols))
+        name.isin(*p.ignored_symbols) | (dunder if p.ignore_dunders else F.lit(False)) | (name.startswith("_") & ~dunder) | (protocol if p.ignore_protocols else F.lit(False))
+        | F.col("path").rlike("/management/commands/") | F.col("listed") | public | F.col("framework_managed") | (F.col("decorated") if p.ignore_decorated else F.lit(False))
+        | F.col("is_package") | (assigned & F.col("framework")) | (F.coalesce("entry", F.lit(False)) & name.isin(*p.entry_symbols))
     )
     unused = F.col("production") == 0
     if p.include_tests:
@@ -110,7 +114,7 @@ def unused_symbols(r: Repositories) -> DataFrame:
     else:
         unused = unused & ~F.col("is_test")
     s = s.where(~skipped & unused & ~F.col("generated") & ~F.col("is_migration") & F.col("parse_error").isNull()).dropDuplicates(["repo", "module", "name", "line"])
-    confidence = case((assigned | F.col("reexported") | (F.col("type_only") > 0) | (F.col("tests") > 0), "low"), otherwise="medium")
+    confidence = case((assigned | F.col("decorated") | F.col("reexported") | (F.col("type_only") > 0) | (F.col("tests") > 0), "low"), otherwise="medium")
     return finding(s, "unused-symbol", F.when(confidence == "medium", "warning").otherwise("info"), confidence, F.concat(F.lit("Nothing uses "), "name"), line=F.col("line"), symbol=name)
 
 

@@ -43,6 +43,14 @@ class Project:
     entry_symbols: tuple[str, ...] = ENTRY_SYMBOLS
     ignored_symbols: tuple[str, ...] = IGNORED_SYMBOLS
     init_exports: str = "low"  # how sure an export of a package's __init__ is
+    init_is_entry: bool = True
+    ignore_decorated: bool = True
+    ignore_protocols: bool = True
+    ignore_dunders: bool = True
+    namespace_packages: bool = True
+    framework_heuristics: bool = True
+    frameworks: tuple[str, ...] = ("auto",)
+    baseline: str = ""
     markers: tuple[str, ...] = ("srcquarry",)
     ignore: tuple[str, ...] = IGNORE
     include_optional: bool = True
@@ -68,11 +76,21 @@ class Project:
 
 #: Settings by section, with the field they set where its name differs.
 SETTINGS = {
-    "": {"roots": "", "entry": "", "include_tests": "", "markers": "", "ignore": ""},
-    "dead_code": {"ignore_symbols": "ignored_symbols", "entry_symbols": ""},
+    "": dict.fromkeys("roots entry include_tests markers ignore namespace_packages framework_heuristics frameworks".split(), ""),
+    "dead_code": {
+        "ignore_symbols": "ignored_symbols", "entry_symbols": "", "treat_init_as_entry": "init_is_entry", "ignore_decorated": "",
+        "ignore_protocol_methods": "ignore_protocols", "ignore_dunder_methods": "ignore_dunders", "confidence_for_init_exports": "init_exports",
+    },
     "dependencies": {"include_optional": "", "include_dev": "", "report_type_only_missing": "", "report_test_only_missing": "", "ignore": "ignored_packages", "import_map": ""},
     "dupes": {"mode": "strict_duplicates", "min_lines": "", "min_tokens": "", "max_groups": ""},
     "health": {"max_cyclomatic": "", "max_cognitive": "", "max_function_lines": "", "max_file_lines": "", "hotspot_score_threshold": "hotspot_score"},
+    "baseline": {"path": "baseline"},
+}
+#: What settings with a choice may say, and how a wrong one is called.
+CHOICES = {
+    "dupes.mode": (("strict", "mild", "structural"), "duplicate mode"),
+    "dead_code.confidence_for_init_exports": (("low", "medium", "high"), "confidence"),
+    "frameworks": (("auto", "django", "fastapi", "flask", "celery", "pytest", "click", "typer", "none"), "framework value"),
 }
 #: Switches that turn rules off when they are false.
 SWITCHES = {
@@ -82,8 +100,8 @@ SWITCHES = {
     "dependencies.check_unused": ("runtime-dependency-used-only-in-tests", "runtime-dependency-used-only-for-types", "unused-runtime-dependency"),
     "dupes.enabled": ("duplicate-code",), "health.enabled": ("high-cyclomatic-complexity", "high-cognitive-complexity", "large-function", "large-file", "risky-hotspot"),
 }
-#: Settings that are read elsewhere or change nothing here.
-ACCEPTED = frozenset("namespace_packages framework_heuristics frameworks dead_code.treat_init_as_entry dead_code.ignore_decorated dead_code.ignore_protocol_methods dead_code.ignore_dunder_methods dupes.ignore_docstrings baseline.path".split())
+#: Settings that are taken and change nothing: a string is one token, whether it documents or not.
+ACCEPTED = frozenset({"dupes.ignore_docstrings"})
 
 
 def normal(name: str) -> str:
@@ -99,60 +117,93 @@ def requirement(line: str) -> str | None:
     return normal(m[1]) if m else None
 
 
+def expected(known: object) -> str:
+    kinds = {bool: "true or false", tuple: "a list of strings", dict: "a table of strings", str: "a string"}
+    return kinds.get(type(known), "a positive integer")
+
+
+def fitting(known: object, value: object) -> object:
+    """``value`` as a value for a setting that now is ``known``; None if it is of another type or out of range."""
+    strings = lambda values: all(isinstance(x, str) for x in values)
+    if isinstance(known, bool):
+        return value if isinstance(value, bool) else None
+    if isinstance(known, int):
+        return value if isinstance(value, int) and not isinstance(value, bool) and value > 0 else None
+    if isinstance(known, tuple):
+        value = [value] if isinstance(value, str) else value
+        return tuple(value) if isinstance(value, list) and strings(value) else None
+    if isinstance(known, dict):
+        return {**known, **value} if isinstance(value, dict) and strings(value.values()) else None
+    return value if isinstance(value, str) else None
+
+
 def project_of(text: str, section: str = "srcquarry", base: Project = Project()) -> Project:
     """The settings of ``[tool.<section>]`` of a pyproject file; ``section`` may be dotted.
 
     Each setting belongs to its section.  One that is unknown, of the wrong type or out of range keeps its default and is listed
-    in ``config_errors``; a file that is no TOML raises ValueError.
+    in ``config_errors``; only a file that is no TOML raises ValueError.
     """
-    own = tomllib.loads(text).get("tool", {})
-    for part in section.split("."):
-        own = own.get(part, {})
-    given, errors, off = {}, [], []
+    own, errors, given = tomllib.loads(text), [], {}
+    for part in ("tool", *section.split(".")):
+        own = own.get(part, {}) if isinstance(own, dict) else own
+    if not isinstance(own, dict):
+        errors.append((section, f"Expected a table, got {own!r}."))
+        own = {}
     for name, value in own.items():
-        if name in SETTINGS and not isinstance(value, dict):
-            errors.append((name, "Expected a table."))
-        elif name in SETTINGS or name == "baseline":
-            given |= {f"{name}.{k}": v for k, v in value.items()}
-        elif name != "boundaries":
+        if name not in SETTINGS and name != "boundaries":
             given[name] = value
-    put: dict = {}
+        elif not isinstance(value, dict):
+            errors.append((name, f"Expected a table, got {value!r}."))
+        elif name != "boundaries":
+            given |= {f"{name}.{k}": v for k, v in value.items()}
+    put, off = {}, []
     for name, value in given.items():
         table, _, key = name.rpartition(".")
-        if name in SWITCHES and isinstance(value, bool):
-            off += [] if value else SWITCHES[name]
-        elif name == "dupes.mode":
-            if value in ("strict", "mild", "structural"):
-                put["strict_duplicates"] = value == "strict"
-            else:
-                errors.append((name, f"Unsupported duplicate mode: {value}"))
-        elif name == "dead_code.confidence_for_init_exports":
-            if value in ("low", "medium", "high"):
-                put["init_exports"] = value
-            else:
-                errors.append((name, f"Unsupported confidence: {value}"))
-        elif key in SETTINGS.get(table, {}):
-            at = SETTINGS[table][key] or key
-            known = getattr(base, at)
-            if isinstance(known, bool) != isinstance(value, bool) or not isinstance(value, {tuple: list}.get(type(known), type(known))) or isinstance(value, list) and not all(isinstance(x, str) for x in value):
-                errors.append((name, f"Expected {'a list of strings' if isinstance(known, tuple) else 'a table' if isinstance(known, dict) else 'true or false' if isinstance(known, bool) else 'a positive integer'}, got {value!r}."))
-            elif isinstance(known, int) and not isinstance(known, bool) and value <= 0:
-                errors.append((name, f"Expected a positive integer, got {value!r}."))
+        at = SETTINGS.get(table, {}).get(key)
+        if name in SWITCHES:
+            off += SWITCHES[name] if value is False else ()
+            errors += [] if isinstance(value, bool) else [(name, f"Expected true or false, got {value!r}.")]
+        elif at is not None:
+            choices, called = CHOICES.get(name, (None, ""))
+            known = "" if name == "dupes.mode" else getattr(base, at or key)
+            fit = fitting(known, value)
+            wrong = [x for x in (fit if isinstance(fit, tuple) else [fit]) if choices and fit is not None and x not in choices]
+            if fit is None:
+                errors.append((name, f"Expected {expected(known)}, got {value!r}."))
+            elif wrong:
+                errors.append((name, f"Unsupported {called}: {wrong[0]}"))
             else:
-                put[at] = tuple(value) if isinstance(value, list) else {**known, **value} if isinstance(value, dict) else value
+                put[at or key] = fit == "strict" if name == "dupes.mode" else fit
         elif name not in ACCEPTED:
-            errors.append((name, "Unknown setting." if name not in SWITCHES else f"Expected true or false, got {value!r}."))
-    many = lambda x: tuple(x) if isinstance(x, list) else (x,) if x else ()
-    rules = []
-    for r in own.get("boundaries", {}).get("rules", []):
-        b = Boundary(str(r.get("name", "boundary-rule")), many(r.get("from", r.get("from_patterns"))), many(r.get("disallow")), str(r.get("severity", "warning")))
-        at = f"boundaries.rules.{b.name}"
-        if b.severity not in ("info", "warning", "error"):
-            errors.append((f"{at}.severity", f"Unsupported boundary severity: {b.severity}"))
-            b = replace(b, severity="warning")
-        errors += [(f"{at}.{k}", f"Boundary rule has no {k} patterns.") for k, v in (("from", b.sources), ("disallow", b.disallow)) if not v]
-        rules += [b] if b.sources and b.disallow else []
-    return replace(base, **put, boundaries=tuple(rules), disabled=tuple(dict.fromkeys(off)), config_errors=tuple(errors))
+            errors.append((name, "Unknown setting."))
+    rules = own["boundaries"].get("rules", []) if isinstance(own.get("boundaries"), dict) else []
+    boundaries, more = boundary_rules(rules)
+    return replace(base, **put, boundaries=boundaries, disabled=tuple(dict.fromkeys(off)), config_errors=(*errors, *more))
+
+
+def boundary_rules(rules: object) -> tuple[tuple[Boundary, ...], list[tuple[str, str]]]:
+    """The rules that hold, and what is wrong with the others."""
+    kept, errors = [], []
+    if not isinstance(rules, list):
+        return (), [("boundaries.rules", f"Expected a list of tables, got {rules!r}.")]
+    for n, r in enumerate(rules):
+        if not isinstance(r, dict):
+            errors.append((f"boundaries.rules.{n}", f"Expected a table, got {r!r}."))
+            continue
+        name, severity = str(r.get("name", "boundary-rule")), str(r.get("severity", "warning"))
+        at = f"boundaries.rules.{name}"
+        if severity not in ("info", "warning", "error"):
+            errors.append((f"{at}.severity", f"Unsupported boundary severity: {severity}"))
+            severity = "warning"
+        patterns = []
+        for key, value in (("from", r.get("from", r.get("from_patterns", []))), ("disallow", r.get("disallow", []))):
+            fit = fitting((), value)
+            if not fit:
+                errors.append((f"{at}.{key}", f"Boundary rule has no {key} patterns." if fit == () else f"Expected a list of strings, got {value!r}."))
+            patterns.append(fit or ())
+        if all(patterns):
+            kept.append(Boundary(name, *patterns, severity))
+    return tuple(kept), errors
 
 
 def declared_in(path: str, text: str) -> Iterable[tuple[str, str]]:

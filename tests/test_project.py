@@ -281,3 +281,59 @@ def test_folder(spark, tmp_path):
         (tmp_path / p).write_text(textwrap.dedent(t).lstrip("\n"))
     r = api.open_folder(spark, str(tmp_path), project=PROJECT)
     assert {x.module for x in r.modules.collect()} >= {"shop.main", "shop.core.logic", "tests.test_shop"}
+
+
+WRONG = [
+    ('[tool.srcquarry]\nbaseline = "x"', "baseline"),
+    ("[tool]\nsrcquarry = 1", "srcquarry"),
+    ("[tool.srcquarry]\nboundaries = 3", "boundaries"),
+    ("[tool.srcquarry.boundaries]\nrules = [1]", "boundaries.rules.0"),
+    ("[tool.srcquarry.boundaries]\nrules = 3", "boundaries.rules"),
+    ("tool = 3", "srcquarry"),
+    ("[tool.srcquarry]\ndead_code = []", "dead_code"),
+    ("[tool.srcquarry.dead_code]\nignore_decorated = 1", "dead_code.ignore_decorated"),
+    ("[tool.srcquarry.dead_code]\nenabled = 'no'", "dead_code.enabled"),
+    ("[tool.srcquarry.dupes]\nmode = 4", "dupes.mode"),
+    ("[tool.srcquarry.dupes]\nmin_lines = true", "dupes.min_lines"),
+    ("[tool.srcquarry]\nframeworks = ['rails']", "frameworks"),
+    ("[tool.srcquarry]\nroots = [1]", "roots"),
+    ("[tool.srcquarry.dependencies]\nimport_map = {a = 1}", "dependencies.import_map"),
+    ("[[tool.srcquarry.boundaries.rules]]\nname = 'r'\nfrom = 1\ndisallow = 'x'", "boundaries.rules.r.from"),
+    ("[tool.srcquarry]\nnope = 1", "nope"),
+]
+
+
+@pytest.mark.parametrize("text, key", WRONG)
+def test_wrong_settings_become_findings(text, key):
+    p = project_of(text)
+    assert [k for k, _ in p.config_errors] == [key]
+    assert {**vars(p), "config_errors": ()} == vars(Project())
+
+
+SYMBOLS = {
+    "src/app/main.py": "from app import tool\n",
+    "src/app/tool.py": "from typing import Protocol\n@cached\ndef decorated():\n    return 1\nclass Shape(Protocol):\n    pass\n__extra__ = 1\n_inner = 2\n",
+    "src/bare/loose.py": "x = 1\n",
+    "src/app/__init__.py": "",
+    "src/lone/__init__.py": "",
+    "src/web.py": "import flask\nimport celery\n",
+}
+
+
+def test_accepted_settings_have_an_effect(spark):
+    files = spark.createDataFrame([("a", p, t) for p, t in SYMBOLS.items()], "repo string, path string, text string")
+
+    def look(settings: str):
+        return api.repositories(files, project_of("[tool.srcquarry]\nentry = ['src/app/main.py']\n" + settings))
+
+    symbols = lambda r: {(x.symbol, x.confidence) for x in rules.unused_symbols(r).where("module = 'app.tool'").collect()}
+    plain, open_ = look(""), look("[tool.srcquarry.dead_code]\nignore_decorated = false\nignore_protocol_methods = false\nignore_dunder_methods = false\ntreat_init_as_entry = false\n")
+    assert symbols(plain) == set()
+    assert symbols(open_) == {("decorated", "low"), ("Shape", "medium"), ("__extra__", "low")}
+    modules = lambda r: {x.module for x in rules.unused_modules(r).collect()}
+    assert "lone" not in modules(plain) and "lone" in modules(open_)
+    known = lambda r: {x.module for x in r.modules.collect()}
+    assert known(plain) - known(look("namespace_packages = false\n")) == {"bare.loose"}
+    frameworks = lambda r: {x.framework for x in r.frameworks.collect()}
+    assert frameworks(plain) == {"flask", "celery"} and frameworks(look("frameworks = ['flask']\n")) == {"flask"}
+    assert frameworks(look("framework_heuristics = false\n")) == frameworks(look("frameworks = 'none'\n")) == set()
