@@ -35,32 +35,60 @@ BUCKET, QUANTILES = 512, 4096
 BIN_OF = "shiftright({}, 56)"  # -128 to 127
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Sorted 64-bit hashes of the text's shingles."""
-    trimmed = F.trim(text, F.lit(" \t\n\x0b\x0c\r"))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
-    windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 5), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(5))))
-    short = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.size(w), F.lit(1)), F.lit(1)), lambda i: F.xxhash64(w))
-    each = lambda w: F.when(F.size(w) >= 5, windows(w)).when(F.size(w) > 0, short(w)).otherwise(F.array().cast("array<long>"))
-    return F.array_sort(F.element_at(F.transform(F.array(words), each), 1))
+def words(text: str) -> str:
+    trimmed = f"trim(BOTH '{SPACE}' FROM {text})"
+    return f"CASE WHEN {trimmed} = '' THEN CAST(array() AS array<string>) ELSE split({trimmed}, '[\\\\x20\\\\x09-\\\\x0D]+') END"
+
+
+def windows(w: str) -> str:
+    """Hashes of the windows of five words, in order; none for fewer words."""
+    each = ", ".join(f"get({w}, i + {k})" for k in range(5))
+    return f"CASE WHEN size({w}) >= 5 THEN transform(sequence(0, size({w}) - 5), i -> xxhash64({each})) ELSE CAST(array() AS array<bigint>) END"
+
+
+def or_whole(hashes: str, w: str) -> str:
+    """``hashes``, or for one to four words the hash of all of them."""
+    return f"CASE WHEN size({w}) BETWEEN 1 AND 4 THEN array(xxhash64({w})) ELSE {hashes} END"
+
+
+def edited_windows(df: DataFrame) -> DataFrame:
+    """Adds ``_ew``, the words of the end of the edited text, and ``_eh``, hashes of all its windows.
+
+    Windows of whole words before the cut are those of the text (``_h`` of the words ``_w`` of ``_t``).  Only the last four
+    words there, what is left of a word at the cut, and ``_donor`` are split and hashed.  ``_cut`` is the length that stays.
+    """
+    df = df.withColumn("_gone", F.expr(words("substring(_t, _cut + 1, length(_t))")))
+    df = df.withColumn("_open", F.expr(f"_cut > 0 AND trim(BOTH '{SPACE}' FROM substring(_t, _cut, 1)) <> ''"))
+    df = df.withColumn("_inside", F.expr(f"_open AND trim(BOTH '{SPACE}' FROM substring(_t, _cut + 1, 1)) <> ''"))
+    df = df.withColumn("_whole", F.expr("size(_w) - size(_gone) - CASE WHEN _open AND NOT _inside THEN 1 ELSE 0 END"))
+    piece = "CASE WHEN _inside THEN substring(_w[_whole], 1, length(_w[_whole]) - length(_gone[0])) WHEN _open THEN _w[_whole] ELSE '' END"
+    end = f"concat(array_join(slice(_w, greatest(_whole - 3, 1), least(_whole, 4)), ' '), ' ', {piece}, _donor)"
+    df = df.withColumn("_end", F.expr(end)).withColumn("_ew", F.expr(words("_end")))
+    hashes = f"CASE WHEN _whole > 4 THEN concat(slice(_h, 1, _whole - 4), {windows('_ew')}) ELSE {or_whole(windows('_ew'), '_ew')} END"
+    return df.withColumn("_eh", F.expr(hashes))
 
 
 def firsts(hashes: str) -> Column:
-    """The least hash of each filled bin, in order of bins."""
+    """The least hash of each filled bin, in order of bins, of sorted hashes."""
     return F.expr(f"filter({hashes}, (x, i) -> i = 0 OR {BIN_OF.format('x')} <> {BIN_OF.format(f'{hashes}[i - 1]')})")
 
 
-def low_bits(least: str, filled: str) -> Column:
-    """The stored bits of all bins: of ``least`` hashes of the ``filled`` bins, borrowed where a bin is not among them.
+def with_gaps(least: str) -> Column:
+    """The ``least`` hashes in an array of all bins, null where a bin is empty."""
+    bin_at = lambda i: f"CAST({BIN_OF.format(f'get({least}, {i})')} AS int)"
+    none = "CAST(NULL AS bigint)"
+    run = f"concat(array(get({least}, i)), array_repeat({none}, coalesce({bin_at('i + 1')}, {BINS // 2}) - {bin_at('i')} - 1))"
+    return F.expr(f"concat(array_repeat({none}, {bin_at('0')} + {BINS // 2}), flatten(transform(sequence(0, size({least}) - 1), i -> {run})))")
+
+
+def low_bits(least: str, own: str) -> Column:
+    """The stored bits of all bins: of their ``own`` hashes, borrowed from other bins where there is none.
 
     A hash is mixed with the bin that stores it, so that bins that borrow the same hash still agree by chance one by one.
     """
-    tries = ", ".join(f"get(own, CAST(xxhash64(b, {t}) & {BINS - 1} AS int))" for t in range(TRIES))
+    tries = ", ".join(f"get({own}, CAST(xxhash64(b, {t}) & {BINS - 1} AS int))" for t in range(TRIES))
     ranked = f"array_min(transform({least}, x -> struct(xxhash64(b, {BIN_OF.format('x')}) AS r, x AS x))).x"
-    own = f"transform(sequence(0, {BINS - 1}), b -> get({least}, CAST(array_position({filled}, b - {BINS // 2}) AS int) - 1))"
-    borrowed = f"element_at(transform(array({own}), own -> transform(sequence(0, {BINS - 1}), b -> coalesce(get(own, b), {tries}, {ranked}))), 1)"
-    hashes = f"CASE WHEN size({least}) = {BINS} THEN {least} WHEN size({least}) > 0 THEN {borrowed} END"
-    return F.expr(f"transform({hashes}, (x, b) -> xxhash64(x, b) & {(1 << BITS) - 1})")
+    return F.expr(f"transform({own}, (x, b) -> xxhash64(coalesce(x, {tries}, {ranked}), b) & {(1 << BITS) - 1})")
 
 
 def packed(bits: str) -> Column:
@@ -70,15 +98,22 @@ def packed(bits: str) -> Column:
     return F.expr(f"CASE WHEN {bits} IS NOT NULL THEN transform(sequence(0, {longs - 1}), g -> {one}) END")
 
 
-def with_fingerprint(df: DataFrame, text: Column, to: str) -> DataFrame:
-    """``df`` with a column ``to``: array<long>, null where the text has no word.
+def with_fingerprint(df: DataFrame, hashes: str, to: str) -> DataFrame:
+    """``df`` with a column ``to``: array<long> of the column ``hashes`` of a text's shingles, null where it has none.
 
     The steps are columns of their own, so that each is worked out once.
     """
     kept = df.columns
-    df = df.withColumn("_hashes", shingle_hashes(text)).withColumn("_least", firsts("_hashes"))
-    df = df.withColumn("_filled", F.expr(f"transform(_least, x -> CAST({BIN_OF.format('x')} AS int))"))
-    return df.withColumn("_bits", low_bits("_least", "_filled")).withColumn(to, packed("_bits")).select(*kept, to)
+    df = df.withColumn("_sorted", F.sort_array(hashes)).withColumn("_least", firsts("_sorted"))
+    df = df.withColumn("_own", F.when(F.size("_least") > 0, with_gaps("_least")))
+    return df.withColumn("_bits", low_bits("_least", "_own")).withColumn(to, packed("_bits")).select(*kept, to)
+
+
+def fingerprint_of(df: DataFrame, text: str, to: str) -> DataFrame:
+    """``df`` with the fingerprint of its column ``text`` as ``to``."""
+    kept = df.columns
+    df = df.withColumn("_w", F.expr(words(f"coalesce({text}, '')"))).withColumn("_h", F.expr(or_whole(windows("_w"), "_w")))
+    return with_fingerprint(df, "_h", to).select(*kept, to)
 
 
 def written(fingerprint: str) -> Column:
@@ -120,26 +155,27 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     The edited text has its last quarter (rounded down) replaced by as many first code points of the next document, or all it
     has; the next document is that of the next id, of the last one the first.
     """
-    d = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    d = bucketed(with_fingerprint(d, F.col("_t"), "_f"), key)
+    d = bucketed(docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias("_t")), key)
 
-    # one exchange of texts; the window is one bucket
+    # one exchange of texts; the windows are of one bucket
     order = Window.partitionBy("_q", "_b").orderBy(F.col(key), F.col("_t"))
-    d = d.repartition("_q", "_b").withColumn("_next", F.lead(F.struct("_t", "_f")).over(order)).withColumn("_at", F.row_number().over(order))
+    d = d.repartition("_q", "_b").withColumn("_next", F.lead("_t").over(order)).withColumn("_at", F.row_number().over(order))
     whole = F.col("_next").isNotNull()
-    n = F.length("_t").cast("long")
-    quarter = lambda size: F.floor(size / 4).cast("int")
-    edited = F.concat(F.substring("_t", F.lit(1), (n - quarter(n)).cast("int")), F.substring(F.col("_next._t"), F.lit(1), quarter(n)))
-
-    def finished(df: DataFrame) -> DataFrame:
-        df = with_fingerprint(df.withColumn("_e", edited), F.col("_e"), "_g")
-        df = df.withColumn("_nf", F.col("_next._f")).withColumn("n_chars", n).withColumn("edited_sha256", F.sha2("_e", 256))
-        return df.withColumn("near_edited", likeness("_f", "_g")).withColumn("near_next", likeness("_f", "_nf"))
 
-    # texts stay only in the first and last rows of buckets
-    edge = (F.col("_at") == 1) | ~whole
-    first = finished(d).withColumn("_next", F.when(whole, F.struct(F.lit(True).alias("known"))))
-    first = stored(first.withColumn("_t", F.when(edge, F.col("_t"))).drop("_e", "_nf"), "fingerprints")
+    def edited(df: DataFrame) -> DataFrame:
+        """Adds the edited text's columns, from ``_t``, its words and hashes, and ``_next``."""
+        n = F.length("_t")
+        quarter = F.floor(n / 4).cast("int")
+        df = df.withColumn("n_chars", n.cast("long")).withColumn("_cut", n - quarter).withColumn("_donor", F.expr("substring(_next, 1, length(_t) - _cut)"))
+        df = df.withColumn("edited_sha256", F.sha2(F.expr("concat(substring(_t, 1, _cut), _donor)"), 256))
+        return with_fingerprint(edited_windows(df), "_eh", "_g").withColumn("near_edited", likeness("_f", "_g"))
+
+    d = d.withColumn("_w", F.expr(words("_t"))).withColumn("_h", F.expr(or_whole(windows("_w"), "_w")))
+    done = edited(with_fingerprint(d, "_h", "_f"))
+    # texts stay only in the first and last rows of buckets; then a row is short and knows its next one's fingerprint
+    done = done.select(key, "_q", "_b", "_at", F.when((F.col("_at") == 1) | ~whole, F.col("_t")).alias("_t"), whole.alias("_known"), "_f", "_g", "n_chars", "edited_sha256", "near_edited")
+    after = Window.partitionBy("_q", "_b").orderBy("_at")
+    first = stored(done.withColumn("_nf", F.lead("_f").over(after)).withColumn("near_next", likeness("_f", "_nf")).drop("_nf"), "fingerprints")
 
     heads = first.where("_at = 1").select("_q", "_b", F.struct("_t", "_f").alias("_head"))
     within = Window.partitionBy("_q").orderBy("_b")
@@ -148,10 +184,12 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     leads = heads.where("_k = 1").select("_q", F.col("_head").alias("_lead"))  # at most one for each quantile
     turn = Window.orderBy("_q")
     leads = leads.withColumn("_after", F.coalesce(F.lead("_lead").over(turn), F.first("_lead").over(turn))).drop("_lead")
-    links = heads.join(leads, "_q").select("_q", "_b", F.coalesce("_follows", "_after").alias("_next"))
-    tails = first.where("_next IS NULL").select("_q", "_b", key, "_t", "_f").join(links, ["_q", "_b"])
+    links = heads.join(leads, "_q").select("_q", "_b", F.coalesce("_follows", "_after").alias("_link"))
+    tails = first.where("NOT _known").select("_q", "_b", key, "_t", "_f").join(links, ["_q", "_b"]).withColumn("_next", F.col("_link._t")).withColumn("_nf", F.col("_link._f"))
+    tails = tails.withColumn("_w", F.expr(words("_t"))).withColumn("_h", F.expr(or_whole(windows("_w"), "_w")))
+    tails = edited(tails).withColumn("near_next", likeness("_f", "_nf"))
     result = [key, "n_chars", "edited_sha256", "_f", "_g", "near_edited", "near_next"]
-    both = first.where("_next IS NOT NULL").select(*result).unionByName(finished(tails).select(*result))
+    both = first.where("_known").select(*result).unionByName(tails.select(*result))
     out = both.select(key, "n_chars", "edited_sha256", written("_f").alias("fingerprint"), written("_g").alias("edited_fingerprint"), "near_edited", "near_next")
     out = stored(out, "fingerprinted")
     discard(first, heads)

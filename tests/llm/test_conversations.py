@@ -149,6 +149,16 @@ def assert_fingerprints(got, rows):
     assert errors.max() < 0.16 and errors.mean() < 0.03
 
 
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark):
+    r = random.Random(15)
+    texts = ["".join(r.choice(["a", "bb", "ç", " ", " ", "\n", " \t "]) for _ in range(r.randint(0, 90))) for _ in range(700)]
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x.edited_fingerprint for x in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    edits = spark.createDataFrame([(i, e) for i, _, e, _ in brute_edits(rows)], "doc_id long, text string")
+    want = fingerprints.fingerprint_of(edits, "text", "f").select("doc_id", fingerprints.written("f").alias("f"))
+    assert got == {x.doc_id: x.f for x in want.collect()}
+
+
 def test_fingerprint_query(spark, sf):
     rows = [(r[0], r[1]) for r in rows_of(spark, sf, "documents")]
     assert_fingerprints(queries.op12_fingerprints(spark, sf).collect(), rows)
@@ -175,7 +185,7 @@ def test_densification_fills_and_agrees(spark):
         other = words[: len(words) - r.randint(0, len(words) // 2)] + [f"b{r.random()}" for _ in range(r.randint(0, 9))]
         rows.append((" ".join(words), " ".join(other)))
     df = spark.createDataFrame(rows, "a string, b string")
-    df = fingerprints.with_fingerprint(fingerprints.with_fingerprint(df, F.col("a"), "f"), F.col("b"), "g")
+    df = fingerprints.fingerprint_of(fingerprints.fingerprint_of(df, "a", "f"), "b", "g")
     errors = [x.near - jaccard(shingles(x.a), shingles(x.b)) for x in df.select("a", "b", fingerprints.likeness("f", "g").alias("near")).collect()]
     assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.12
 
