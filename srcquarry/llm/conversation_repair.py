@@ -153,57 +153,62 @@ def edited(rows: DataFrame) -> DataFrame:
     that they start from, and one after the last turn for inserts at the end (no initial of a turn)."""
     schema = f"conv_id long, position long, {SUMMARY}, {EDIT}"
     out = pa_schema(rows.sparkSession, schema)
-    names = out.names
-    faults = MUST_GO | CUT | BLANK | REPEATED
+    counted = [f.split()[0] for f in SUMMARY.split(", ")]
+    legal = np.zeros(16, bool)
+    legal[[0 * 4 + 1, 1 * 4 + 2, 2 * 4 + 1]] = True  # su, ua, au
 
-    def conversation(conv_id, turns: np.ndarray, missing: np.ndarray, classes: np.ndarray, layers: Layers) -> Iterator[pa.RecordBatch]:
+    def summary(turns: np.ndarray, missing: np.ndarray, classes: np.ndarray, cost: int, audit: str) -> tuple:
         known = turns[~missing]  # in order, so equal turns stand together
-        gaps = int(known[-1]) - int(known[0]) + 1 - (1 + int(np.count_nonzero(np.diff(known)))) if len(known) else 0
+        gaps = int(known[-1]) - int(known[0]) + 1 - (1 + int(np.count_nonzero(known[1:] != known[:-1]))) if len(known) else 0
         kind = classes & 3
-        pair = kind[:-1] * 4 + kind[1:]
-        illegal = int(np.count_nonzero(~np.isin(pair, (0 * 4 + 1, 1 * 4 + 2, 2 * 4 + 1))))
-        cost, codes, states, n, last = layers.repair(classes & (3 | MUST_GO | CUT))
-        audit = "".join([CODES[c] for c in codes]) + "I" * n
-        counts = [int(np.count_nonzero(classes & f)) for f in (BLANK, REPEATED, CUT)]
-        summary = dict(zip((f.split()[0] for f in SUMMARY.split(", ")), (gaps, *counts, illegal, cost, audit)))
-        yield pa.RecordBatch.from_arrays([pa.array([{"conv_id": conv_id, "position": 0, **summary}.get(c)], out.field(c).type) for c in names], schema=out)
-        codes, states = [CODES[c] for c in codes] + ["I" * n], states + [last]
-        for k in range(0, len(codes), 20_000):
-            part = codes[k : k + 20_000]
-            values = {"conv_id": [conv_id] * len(part), "position": range(k + 1, k + 1 + len(part)), "code": part, "after": states[k : k + 20_000]}
-            yield pa.RecordBatch.from_arrays([pa.array(values[c], out.field(c).type) if c in values else pa.nulls(len(part), out.field(c).type) for c in names], schema=out)
-
-    def packed(made: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in made:
-            held.append(b)
-            n += b.num_rows
-            if n >= 20_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    def all_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layers, parts, open_id = Layers(), [], None
-        for b in slices(batches, 20_000):
-            ids, null = b.column("conv_id").fill_null(0).to_numpy(), b.column("conv_id").is_null().to_numpy(zero_copy_only=False)
-            turns, classes = b.column("turn"), b.column("class").to_numpy()
-            missing, turns = turns.is_null().to_numpy(zero_copy_only=False), turns.fill_null(0).to_numpy()
-            starts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (null[1:] != null[:-1])) + 1).tolist(), len(ids)]
-            for a, e in zip(starts, starts[1:]):
-                this = None if null[a] else int(ids[a])
-                if parts and this != open_id:
-                    yield from conversation(open_id, *map(np.concatenate, zip(*parts)), layers)
-                    parts = []
-                open_id = this
-                parts.append((turns[a:e], missing[a:e], classes[a:e]))
-        if parts:
-            yield from conversation(open_id, *map(np.concatenate, zip(*parts)), layers)
-
-    assert faults & 3 == 0
-    by_order = rows.select("conv_id", "position", "turn", "class").repartition("conv_id").sortWithinPartitions("conv_id", "position")
-    return by_order.mapInArrow(lambda batches: packed(all_of(batches)), schema)
+        illegal = int(np.count_nonzero(~legal[kind[:-1] * 4 + kind[1:]]))
+        return gaps, *(int(np.count_nonzero(classes & f)) for f in (BLANK, REPEATED, CUT)), illegal, cost, audit
+
+    def repaired(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        """Columns of whole conversations' rows, those of a long conversation in parts."""
+        layers = Layers()
+        for conv_id, turns, missing, classes in whole(batches):
+            cost, codes, states, n, last = layers.repair(classes & (3 | MUST_GO | CUT))
+            codes, states = [CODES[c] for c in codes] + ["I" * n], states + [last]
+            yield {"conv_id": [conv_id], "position": [0]} | {c: [v] for c, v in zip(counted, summary(turns, missing, classes, cost, "".join(codes)))}
+            for k in range(0, len(codes), 20_000):
+                part = codes[k : k + 20_000]
+                yield {"conv_id": [conv_id] * len(part), "position": range(k + 1, k + 1 + len(part)), "code": part, "after": states[k : k + 20_000]}
+
+    def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in out.names}
+        for rows_of in repaired(batches):
+            n = len(rows_of["conv_id"])
+            for c, column in held.items():
+                column += rows_of.get(c) or [None] * n
+            if len(held["conv_id"]) >= 20_000:
+                yield pa.RecordBatch.from_pydict(held, schema=out)
+                held = {c: [] for c in out.names}
+        if held["conv_id"]:
+            yield pa.RecordBatch.from_pydict(held, schema=out)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as many tasks even if the numbers are few bytes
+    by_order = rows.select("conv_id", "position", "turn", "class").repartition(n, "conv_id").sortWithinPartitions("conv_id", "position")
+    return by_order.mapInArrow(packed, schema)
+
+
+def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(conv_id, turns, which of them are null, classes) of each conversation of sorted batches."""
+    parts, open_id = [], None
+    for b in slices(batches, 20_000):
+        ids, null = b.column("conv_id").fill_null(0).to_numpy(), b.column("conv_id").is_null().to_numpy(zero_copy_only=False)
+        turns, classes = b.column("turn"), b.column("class").to_numpy()
+        missing, turns = turns.is_null().to_numpy(zero_copy_only=False), turns.fill_null(0).to_numpy()
+        starts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]) | (null[1:] != null[:-1])) + 1).tolist(), len(ids)]
+        for a, e in zip(starts, starts[1:]):
+            this = None if null[a] else int(ids[a])
+            if parts and this != open_id:
+                yield open_id, *map(np.concatenate, zip(*parts))
+                parts = []
+            open_id = this
+            parts.append((turns[a:e], missing[a:e], classes[a:e]))
+    if parts:
+        yield open_id, *map(np.concatenate, zip(*parts))
 
 
 def repaired_turns(rows: DataFrame, edits: DataFrame) -> DataFrame:
