@@ -9,7 +9,8 @@ Model.  Features of a block: each ancestor's tag, the words of its class, id and
 it stands in, the innermost block tag, and of the text: length, share inside links, last character, cue words.  The chain
 adds a weight for each pair of neighbouring labels.  Weights maximise the penalised likelihood of labelled pages (forward and
 backward sums, Adam); the best labels of a page are found by Viterbi.  The labelled pages are drawn by ``labelled_pages``, a
-bounded sample (``TRAIN`` pages) of layouts with known main text.
+bounded sample (``TRAIN`` pages) of layouts with known main text, over half of them without an element or name that tells the
+article.  Features of fewer than three pages have no weight.
 
 Cases: null and empty pages have the empty text; a page cut off anywhere keeps what was read; text without any tag is one
 block; very long pages and deep nesting are read whole in linear time; of equal labellings the one with more main text, from the
@@ -30,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.llm.common import Memo, pa_schema
+from srcquarry.llm.common import Memo, pa_schema, slices
 
-TRAIN = 700
+TRAIN = 2400
 #: Elements by how they part text.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html iframe label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -170,7 +171,8 @@ def place_features(place: Place) -> tuple[str, ...]:
 
 def text_features(text: str, linked: int) -> list[str]:
     n = text.count(" ") + 1
-    out = [f"len:{(n > 1) + (n > 3) + (n > 8) + (n > 20) + (n > 50)}", f"link:{0 if not linked else 1 if 2 * linked < len(text) else 2}", f"end:{text[-1] if text[-1] in '.!?:,;' else 'x'}"]
+    link = 0 if not linked else 1 if 2 * linked < len(text) else 2
+    out = [f"link:{link}>{min(n, 6)}", f"len:{(n > 1) + (n > 3) + (n > 8) + (n > 20) + (n > 50)}", f"link:{link}", f"end:{text[-1] if text[-1] in '.!?:,;' else 'x'}"]
     if n <= 20:
         out += [f"cue:{w}" for w in CUES.intersection(text.lower().split())]
     return out
@@ -230,39 +232,53 @@ class Crf:
         return "\n".join(t for (_, t, _), y in zip(found, self.labels(found)) if y)
 
 
-def train(pages: list[tuple[str, set[str]]], rounds: int = 120, penalty: float = 0.02, rate: float = 0.15) -> Crf:
+def train(pages: list[tuple[str, set[str]]], rounds: int = 120, penalty: float = 0.01, rate: float = 0.15) -> Crf:
     """``pages``: html and the texts of its main blocks."""
-    rows, numbers = [], {}
+    rows, on = [], Counter()
     for page, main in pages:
-        found = blocks(page)
+        found = [((*place_features(p), *text_features(t, k)), int(t in main)) for p, t, k in blocks(page)]
         if found:
-            rows.append([([numbers.setdefault(f, len(numbers)) for f in (*place_features(s), *text_features(t, n))], int(t in main)) for s, t, n in found])
-    longest, n = max(map(len, rows)), len(rows)
-    there, gold = np.zeros((n, longest), bool), np.zeros((n, longest), int)
+            rows.append(found)
+            on.update({f for fs, _ in found for f in fs})
+    # names of one page alone say nothing about others
+    numbers = {f: i for i, f in enumerate(sorted(f for f, k in on.items() if k >= 3))}
+    rows = [[([numbers[f] for f in fs if f in numbers], y) for fs, y in r] for r in rows]
+    rows.sort(key=len, reverse=True)  # so the pages that have a block at a place come first
+    longest, n = len(rows[0]), len(rows)
+    there, gold = np.zeros((longest, n), bool), np.zeros((longest, n), int)  # a row for each place in a page
     cell, feature = [], []
     for i, r in enumerate(rows):
         for t, (fs, y) in enumerate(r):
-            there[i, t], gold[i, t] = True, y
-            cell += [i * longest + t] * len(fs)
+            there[t, i], gold[t, i] = True, y
+            cell += [t * n + i] * len(fs)
             feature += fs
     cell, feature = np.array(cell), np.array(feature)
     w, chain = np.zeros(len(numbers)), np.zeros((2, 2))
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(chain), np.zeros_like(chain)]
-    pair = there[:, 1:] & there[:, :-1]
+    pair = there[1:] & there[:-1]
+    seen = np.zeros((2, 2))
+    np.add.at(seen, (gold[:-1][pair], gold[1:][pair]), 1)
+    alive, last = there.sum(1).tolist(), (there.sum(0) - 1, np.arange(n))
     for step in range(1, rounds + 1):
-        u = np.stack([np.zeros((n, longest)), np.bincount(cell, w[feature], n * longest).reshape(n, longest)], 2)
-        forward, backward = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
-        forward[:, 0] = u[:, 0]
+        u = np.bincount(cell, w[feature], n * longest).reshape(longest, n)
+        (c00, c01), (c10, c11) = chain
+        forward, backward = np.zeros((2, longest, n)), np.zeros((2, longest, n))
+        forward[1, 0] = u[0]
         for t in range(1, longest):
-            forward[:, t] = np.where(there[:, t, None], u[:, t] + np.logaddexp.reduce(forward[:, t - 1, :, None] + chain, 1), forward[:, t - 1])
+            m = alive[t]
+            a, b = forward[0, t - 1, :m], forward[1, t - 1, :m]
+            forward[0, t, :m] = np.logaddexp(a + c00, b + c10)
+            forward[1, t, :m] = np.logaddexp(a + c01, b + c11) + u[t, :m]
         for t in range(longest - 2, -1, -1):
-            backward[:, t] = np.where(there[:, t + 1, None], np.logaddexp.reduce(chain + (u[:, t + 1] + backward[:, t + 1])[:, None, :], 2), 0.0)
-        whole = np.logaddexp.reduce(forward[:, -1], 1)
-        share = np.exp(forward + backward - whole[:, None, None])[:, :, 1] * there
-        both = np.exp(forward[:, :-1, :, None] + chain + (u[:, 1:] + backward[:, 1:])[:, :, None, :] - whole[:, None, None, None]) * pair[:, :, None, None]
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
-        grads = (np.bincount(feature, ((gold - share) * there).ravel()[cell], len(w)) / n - penalty / n * w, (seen - both.sum((0, 1))) / n - penalty / n * chain)
+            m = alive[t + 1]
+            a, b = backward[0, t + 1, :m], backward[1, t + 1, :m] + u[t + 1, :m]
+            backward[0, t, :m] = np.logaddexp(c00 + a, c01 + b)
+            backward[1, t, :m] = np.logaddexp(c10 + a, c11 + b)
+        whole = np.logaddexp(forward[0][last], forward[1][last])
+        share = np.exp(np.where(there, forward[1] + backward[1] - whole, -np.inf))
+        after = (backward[0, 1:], u[1:] + backward[1, 1:])
+        both = np.array([[np.exp((forward[x, :-1] + chain[x, y] + after[y] - whole)[pair]).sum() for y in (0, 1)] for x in (0, 1)])
+        grads = (np.bincount(feature, ((gold - share) * there).ravel()[cell], len(w)) / n - penalty / n * w, (seen - both) / n - penalty / n * chain)
         for k, (x, g) in enumerate(zip((w, chain), grads)):
             moments[2 * k] = 0.9 * moments[2 * k] + 0.1 * g
             moments[2 * k + 1] = 0.99 * moments[2 * k + 1] + 0.01 * g * g
@@ -274,10 +290,11 @@ def labelled_pages(n: int = TRAIN, seed: int = 5) -> list[tuple[str, set[str]]]:
     """Pages of many layouts in invented words, each with the texts of its main blocks."""
     r = random.Random(seed)
     syllables = "an ber ch de en er ez ga he ie la mi nt on or que ra sch th ti ung ve wa ción é ü ж".split()
-    word = lambda: "".join(r.choices(syllables, k=r.randint(1, 4)))
+    pool = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(5000)]
+    word = lambda: r.choice(pool)
 
     def words(lo: int, hi: int, end: str = ".") -> str:
-        w = [word() for _ in range(r.randint(lo, hi))]
+        w = r.choices(pool, k=r.randint(lo, hi))
         if r.random() < 0.1:
             w = [x + r.choice(("***", "%%%", "$$$", "!!", " |")) for x in w]
         return " ".join(w).capitalize() + end
@@ -286,11 +303,11 @@ def labelled_pages(n: int = TRAIN, seed: int = 5) -> list[tuple[str, set[str]]]:
         main: set[str] = set()
 
         def own(text: str) -> str:
-            main.add(" ".join(text.split()))
+            main.add(" ".join(re.sub("<br/?>", " ", text).split()))
             return text
 
         def prose() -> str:
-            return own(words(1, r.choice((1, 3, 8, 30, 90)), r.choice((".", ".", ".", "!", "?", "", ":"))))
+            return own(words(1, r.choice((1, 3, 8, 16, 20, 30, 60, 90)), r.choice((".", ".", ".", ".", ".", "!", "?", "", ":"))))
 
         def link(text: str) -> str:
             return f'<a href="/{word()}">{text}</a>'
@@ -303,11 +320,15 @@ def labelled_pages(n: int = TRAIN, seed: int = 5) -> list[tuple[str, set[str]]]:
             return r.choice((f"<nav><ul>{items}</ul></nav>", f"<ul{attr('menu', 'navbar', 'nav-links', 'main-menu', 'breadcrumbs')}>{items}</ul>", f"<div{attr('menu', 'nav', 'navigation', 'topnav')}><ul>{items}</ul></div>", f'<div role="navigation">{items}</div>'))
 
         def header() -> str:
-            inner = r.choice((f"<h1>{words(1, 4, '')}</h1>", f"<p>{words(1, 6, '')}</p>", f"<div>{link(words(1, 3, ''))}</div>", words(1, 4, ""))) + (menu() if r.random() < 0.4 else "")
+            inner = r.choice((f"<h1>{words(1, 4, '')}</h1>", f"<p>{words(1, 6, '')}</p>", f"<div>{link(words(1, 3, ''))}</div>", link(words(1, 3, "")), words(1, 4, ""))) + (menu() if r.random() < 0.4 else "")
+            if r.random() < 0.2:
+                return f"<{(t := r.choice(('div', 'div', 'p')))}>{link(words(1, 3, ''))}</{t}>"
+            if r.random() < 0.05:
+                return f'<div role="banner">{inner}</div>'
             return r.choice((f"<header>{inner}</header>", f"<div{attr('header', 'site-header', 'masthead', 'banner', 'top-bar', 'logo')}>{inner}</div>"))
 
         def advert() -> str:
-            inner = r.choice((words(2, 40), f"<p>{words(2, 30)}</p>", link(words(2, 10, ""))))
+            inner = r.choice((words(2, 25), f"<p>{words(2, 25)}</p>", link(words(2, 10, ""))))
             return f"<{(t := r.choice(('div', 'div', 'aside', 'section', 'p')))}{attr('ad', 'ad', 'ads', 'advert', 'advertisement', 'sponsored', 'promo', 'ad-slot', 'sponsor')}>{inner}</{t}>"
 
         def notice() -> str:
@@ -331,10 +352,12 @@ def labelled_pages(n: int = TRAIN, seed: int = 5) -> list[tuple[str, set[str]]]:
 
         def footer() -> str:
             inner = r.choice((f"&copy; {word()} &middot; {words(1, 20)}", f"<p>&copy; {words(1, 8)}</p>", f"<p>{words(2, 30)}</p>", "<ul>" + f"<li>{link(words(1, 3, ''))}</li>" * r.randint(1, 4) + "</ul>"))
+            if r.random() < 0.05:
+                return f'<div role="contentinfo">{inner}</div>'
             return r.choice((f"<footer>{inner}</footer>", f"<footer{attr('site-footer', 'footer')}>{inner}</footer>", f"<div{attr('footer', 'copyright', 'bottom', 'legal', 'credits')}>{inner}</div>"))
 
-        def body() -> str:
-            out = r.choice((f"<h1>{own(words(1, 9, r.choice(('', '.'))))}</h1>", f"<h1>{own(words(1, 9, ''))}</h1>", f"<header><h1>{own(words(1, 9, ''))}</h1></header>", f"<h2>{own(words(1, 9, ''))}</h2>", ""))
+        def body(headed: float = 0.8, plain: bool = False) -> str:
+            out = "" if r.random() >= headed else r.choice((f"<h1>{own(words(1, 9, r.choice(('', '.'))))}</h1>", f"<h1>{own(words(1, 9, ''))}</h1>", f"<h1>{own(words(1, 9, ''))}</h1>" if plain else f"<header><h1>{own(words(1, 9, ''))}</h1></header>", f"<h2>{own(words(1, 9, ''))}</h2>"))
             for _ in range(r.choice((1, 2, 4, 8, 14))):
                 x = r.random()
                 if x < 0.68:
@@ -364,17 +387,41 @@ def labelled_pages(n: int = TRAIN, seed: int = 5) -> list[tuple[str, set[str]]]:
                     out += form()
             return out + (comments() if r.random() < 0.15 else "")
 
-        inner = body()
+        def lines() -> str:
+            """Text that only line breaks or nothing at all part: one block."""
+            return own(r.choice(("<br>", "<br/>\n", "\n\n")).join(words(4, 60) for _ in range(r.randint(1, 5)))).replace("\n\n", "\n")
+
+        def nest(inner: str) -> str:
+            """Elements around the text whose names say nothing, with or without the rest of the page inside."""
+            for _ in range(r.randint(1, 4)):
+                tag = r.choice(("div", "div", "div", "section", "section", "center", "span", "td", "td", "dl"))
+                name = r.choice(("", attr("wrapper", "container", "row", "col", "inner", "outer", "page", "grid", "box", "left", "w"), attr(word())))
+                if tag == "td":
+                    beside = r.choice(("", f"<td>{menu()}</td>", f"<td>{sidebar()}</td>", f"<td{name}>{link(words(1, 2, ''))}</td>", f"<td{name}>{link(words(1, 3, ''))}<br>{link(words(1, 3, ''))}</td>"))
+                    inner = f"<table{name}><tr>{beside}<td>{inner}</td></tr></table>"
+                elif tag == "dl":
+                    inner = f"<div><div{name}>{inner}</div></div>"
+                else:
+                    inner = f"<{tag}{name}>{inner}</{tag}>"
+            return inner
+
         kind = r.random()
-        if kind < 0.45:
+        inner = lines() if kind >= 0.94 else body(0.8 if kind < 0.44 else 0.4, kind >= 0.44)
+        if kind < 0.2:
             inner = f"<article>{inner}</article>"
-        elif kind < 0.6:
+        elif kind < 0.28:
             inner = f"<main>{r.choice((inner, f'<article>{inner}</article>', f'<div>{inner}</div>'))}</main>"
-        elif kind < 0.9:
+        elif kind < 0.44:
             inner = f"<div{attr('content', 'main-content', 'post', 'entry-content', 'story', 'article-body', 'post-body', 'main', 'text', 'page-content')}>{inner}</div>"
+        elif kind < 0.64 or 0.94 <= kind < 0.97:
+            inner = nest(inner)
+        if kind >= 0.98:  # a page of text
+            return inner, main
         top = [f() for f in (header, menu, notice, advert) if r.random() < 0.5]
         low = [f() for f in (sidebar, comments, advert, form, footer) if r.random() < 0.45]
         r.shuffle(top)
+        if kind >= 0.44 and r.random() < 0.3:  # one wrapper around all of the page
+            inner, top, low = nest("".join(top) + inner + "".join(low)), [], []
         out = f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{words(1, 6, '')}</title><style>p{{margin:0}}</style><script>var t='<p>';</script></head><body>{''.join(top)}<!-- x -->{inner}{''.join(low)}</body></html>"
         return (out[: r.randint(len(out) // 2, len(out))] if r.random() < 0.05 else out), main
 
@@ -394,7 +441,7 @@ def extract(pages: DataFrame, crf: Crf, key: str = "page_id", url: str = "url",
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches, 100):
             texts, counts, mains = [], [], []
             for p in b.column(2).to_pylist():
                 found = blocks(p)

@@ -4,7 +4,9 @@ Base kinds (assign, access, hex) are patterns whose matches are taken from left
 characters and more, two character models of order 2 are compared: one trained on labelled random strings, one on labelled
 ordinary identifiers, compounds and numbers.  The score of a word is the sum over its characters of the log-likelihood ratio;
 a word is a secret (kind "random") if its score for each character and its whole score are both above the thresholds.  Of a
-word that overlaps base spans only the parts that they leave are asked about.  Plain numbers are labelled ordinary.
+word that overlaps base spans only the parts that they leave are asked about, without the dots around them.  Plain numbers,
+runs of keys and of the alphabet, drawn-out words and accession numbers are labelled ordinary; UUIDs, ISBNs and words of fewer
+than ``DIFFERENT`` characters are never random.
 
 Spans are kind:start:end in code points, end exclusive, by start and then by kind in the order assign, access, hex, random.
 Null and empty texts have no spans; rows that repeat an id stand as often as they do; an empty table gives an empty table; other
@@ -32,7 +34,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the same matches as runs of [0-9a-f]+ that have 32 or more
 #: Words of at least so many characters are asked about.
 SHORTEST = 16
-WORDS = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+WORDS = re.compile(rf"[A-Za-z0-9+/_=.-]{{{SHORTEST},}}")
+#: Numbers that name things openly: UUIDs and ISBNs.
+OPEN = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|ISBN[-_]?[0-9X-]{10,17}", re.I)
+#: Words of fewer different characters are patterns, not random.
+DIFFERENT = 6
+#: Rows of keys and runs of letters and digits.
+RUNS = "qwertyuiop asdfghjkl zxcvbnm qwertzuiop azertyuiop yxcvbnm abcdefghijklmnopqrstuvwxyz 0123456789 1234567890 1qaz2wsx3edc4rfv5tgb".split()
 #: Frequent parts of words of four languages.
 PARTS = (
     "ing tion ment ness able ible less ful est ers the and with for ough ight ence ance ist ism ity ous ive ate ize ship ward"
@@ -64,6 +72,20 @@ def labelled_samples(n: int = 4000, seed: int = 11) -> list[tuple[str, int]]:
     out += [(r.choice("-=_+/") * r.randint(20, 60), 0) for _ in range(n // 20)]
     out += [("".join(r.choices(dig, k=r.randint(1, 4))) * r.randint(6, 20), 0) for _ in range(n // 40)]
     out += [(f"{r.randint(1990, 2040)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}" * 2, 0) for _ in range(n // 40)]
+    # dots inside: keys in parts, and hosts, files, modules, versions
+    dotted = lambda: ".".join("".join(r.choices(up + low + dig + "_-", k=r.randint(6, 40))) for _ in range(r.randint(2, 3)))
+    out += [(dotted(), 1) for _ in range(n // 10)] + [("".join(r.choices(up + low + dig + ".", k=r.randint(SHORTEST, 64))), 1) for _ in range(n // 10)]
+    ends = "com org net html py json txt de fr es io csv md".split()
+    out += [(r.choice(styles)([word() for _ in range(r.randint(1, 3))]) + r.choice((".", "/")) + ".".join(word() for _ in range(r.randint(1, 4))) + "." + r.choice(ends), 0) for _ in range(n // 2)]
+    out += [(".".join(str(r.randint(0, 99)) for _ in range(r.randint(2, 6))), 0) for _ in range(n // 40)]
+    # runs of keys and of the alphabet, drawn-out words, accession numbers
+    runs = lambda: "".join((x[::-1] if r.random() < 0.3 else x)[r.randint(0, 4) :] for x in r.choices(RUNS, k=r.randint(1, 4)))
+    out += [(r.choice((str.lower, str.lower, str.upper))(runs()), 0) for _ in range(n // 4)]
+    for _ in range(n // 4):
+        w = word()
+        at = r.randrange(len(w))
+        out.append((w[:at] + w[at] * r.randint(4, 30) + w[at:], 0))
+    out += [("".join(r.choices(up, k=r.randint(1, 4))) + r.choice(("", "_", "-", ":")) + "".join(r.choices(dig, k=r.randint(6, 20))), 0) for _ in range(n // 8)]
     return [x for x in out if len(x[0]) >= 4]
 
 
@@ -104,7 +126,7 @@ def merged(spans: Iterable[tuple[int, int, int]]) -> list[tuple[int, int]]:
 class Scanner:
     """``per_char`` and ``least`` bound the log-likelihood ratio of a secret; see tests for held-out accuracy."""
 
-    def __init__(self, samples: list[tuple[str, int]], per_char: float = 1.0, least: float = 8.0):
+    def __init__(self, samples: list[tuple[str, int]], per_char: float = 0.95, least: float = 8.0):
         self.random = MarkovModel(t for t, y in samples if y)
         self.ordinary = MarkovModel(t for t, y in samples if not y)
         self.per_char, self.least = per_char, least
@@ -113,6 +135,8 @@ class Scanner:
         return self.random.score(text) - self.ordinary.score(text)
 
     def is_random(self, word: str) -> bool:
+        if len(set(word)) < DIFFERENT or OPEN.fullmatch(word.strip("+/_=.-")):
+            return False
         ratio = self.ratio(word)
         return ratio >= self.least and ratio >= self.per_char * len(word)
 
@@ -130,8 +154,9 @@ class Scanner:
             j = k
             while True:  # the word, or what base spans leave of it
                 to = min(m.end(), base[j][0]) if j < len(base) else m.end()
-                if to - at >= SHORTEST and self.is_random(text[at:to]):
-                    found.append((at, 3, to))
+                a, b = trimmed(text, at, to)
+                if b - a >= SHORTEST and self.is_random(text[a:b]):
+                    found.append((a, 3, b))
                 if to == m.end():
                     break
                 at = base[j][1]
@@ -141,6 +166,12 @@ class Scanner:
         return sorted(found)
 
 
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without the dots around it."""
+    part = text[start:end]
+    return start + len(part) - len(part.lstrip(".")), end - (len(part) - len(part.rstrip(".")))
+
+
 def scanner() -> Scanner:
     """One per Python worker, kept between tasks."""
     return held(("secrets",), lambda: Scanner(labelled_samples()))
