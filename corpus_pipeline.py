@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from srcquarry.llm import bpe, decontamination, ngram_join, secrets, toxicity
 from srcquarry.llm.common import stored, table
 from srcquarry.llm.queries import BYTE_BPE
+from srcquarry.sources.scratch import delete_paths, noted_tables
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``.  Of the shared folder it keeps the last stage's table only: what a
+    stage wrote on its way, and its input, go as soon as its result is written.
+
+    Every stage takes null and repeated ids, null, empty and very long texts, an empty table and further columns, which all but
+    the last one keep; ``n_chars`` is the text's after secrets were masked, whatever column of that name there was.
+    """
     docs = table(spark, sf_dir, "documents")
+    spent: list[str] = []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with noted_tables() as made:
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        delete_paths(spark, [*spent, *(p for p in made if p != docs.scratch_path)])
+        spent = [docs.scratch_path]
     return docs

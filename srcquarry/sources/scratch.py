@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="srcquarry-")
         spark.conf.set("spark.checkpoint.dir", known)
+        spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
 
 
 _lock = threading.Lock()
 #: By session: how many writes are under way, and the setting before the first of them.
 _writes: dict[int, tuple[int, str]] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 @contextmanager
@@ -53,10 +56,21 @@ def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(CLEANUP, before)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: lineage ends there, and lost executors cost nothing."""
+    """``df`` written as Parquet and read again: lineage ends there, and lost executors cost nothing.
+
+    The shuffle files behind it are not needed any more and go at once, so disk holds one step's and not all steps'.
+    """
     spark = df.sparkSession
-    path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
+    path, schema = scratch(spark, name), df.schema
     with cleaned_shuffles(spark):
         df.write.parquet(path)
     read = spark.read.schema(schema).parquet(path)
@@ -64,8 +78,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return read
 
 
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """The paths that ``scratch`` and ``stored`` take meanwhile, in this thread and context."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*spent: DataFrame) -> None:
     """Delete tables of ``stored`` that no later step reads."""
     for df in spent:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete_paths(df.sparkSession, [df.scratch_path])
