@@ -1,63 +1,17 @@
-"""Helpers that the corpus operators share: shared scratch tables, word splitting, bounded memo tables."""
+"""Helpers that the corpus operators share: scratch tables, Arrow batches, bounded memo tables."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcquarry.sources.scratch import discard, scratch, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a new local one where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        known = spark.sparkContext.getCheckpointDir()
-    if not known:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        known = tempfile.mkdtemp(prefix="srcquarry-")
-        spark.conf.set("spark.checkpoint.dir", known)
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Spark's setting by which the shuffle files of a query go when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: later steps survive lost executors.
-
-    The shuffle files behind it are not needed any more and go at once, so disk holds one step's and not all steps'.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    schema = df.schema
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    read = spark.read.schema(schema).parquet(path)
-    read.scratch_path = path
-    return read
-
-
-def discard(*spent: DataFrame) -> None:
-    """Delete tables of ``stored`` that no later step reads."""
-    for df in spent:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Memo", "chunks", "discard", "held", "keyed_text", "map_rows", "pa_schema", "released", "scratch", "slices", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,3 +26,31 @@ def test_stages_keep_columns(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs.limit(0), sf)
         assert (out.columns == docs.columns) == (name != "encoding") and out.count() == 0
+
+
+def test_awkward_documents(spark, sf, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, repeated rows and extra columns, through all stages."""
+    import os
+    import shutil
+
+    from pyspark.sql import functions as F
+
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, near), (2, near + " end"), (2, near + " end"), (2, "another text of id two, clean and short"), (None, near), (None, "no id at all, and clean"), (3, None), (4, ""), (5, " \n"), (6, "word " * 60_000), (7, "password = abcdefgh1 stays otherwise"), (7, "password = abcdefgh1 stays otherwise")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("row", "node", "sig", "ids", "hits", "score", "doc")} | {"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.lit(0).cast("long")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.stored(stage(spark, kept, str(tmp_path)), "awkward")
+        assert kept.columns == docs.columns
+    got = sorted(((r.doc_id if r.doc_id is not None else -1, r.text) for r in kept.collect()), key=repr)
+    # of the near copies the row with the least id stays, of equal rows one; nulls and texts without words are linked with nothing
+    want = [(-1, "no id at all, and clean"), (1, near), (2, "another text of id two, clean and short"), (3, None), (4, ""), (5, " \n"), (6, "word " * 60_000), (7, "[SECRET] stays otherwise")]
+    assert got == sorted(want, key=repr)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect()) == sorted(k for k, _ in want)
+    assert [p.split("-")[0] for p in set(os.listdir(shared)) - before] == ["stage"]
