@@ -13,6 +13,7 @@ from srcquarry.plans import report, rules
 from srcquarry.plans.resolve import Repositories
 from srcquarry.sources.declarations import Project, declarations, project_of
 from srcquarry.sources.python_source import read_files
+from srcquarry.sources.scratch import stored
 
 
 def repositories(files: DataFrame, project: Project = Project(), declared: DataFrame | None = None) -> Repositories:
@@ -31,8 +32,8 @@ def open_folder(spark: SparkSession, folder: str, section: str = "srcquarry", pr
 
 
 def analyze(r: Repositories) -> DataFrame:
-    """All findings; see ``plans.rules`` for their columns and ``plans.report`` for what to make of them."""
-    return rules.findings(r)
+    """All findings, worked out once; see ``plans.rules`` for their columns and ``plans.report`` for what to make of them."""
+    return stored(rules.findings(r), "findings")
 
 
 def changed_since(spark: SparkSession, folder: str, ref: str, repo: str = "repo", ignore: tuple[str, ...] = ()) -> DataFrame | None:

@@ -9,23 +9,35 @@ from pyspark.sql import functions as F
 
 from srcquarry.functions import text
 from srcquarry.operators import graph
+from srcquarry.operators.similar import similar
 from srcquarry.plans.resolve import Repositories
+from srcquarry.sources.declarations import normal
 from srcquarry.sources.scratch import stored
 
-BUCKETS = ("safe", "hallucinated", "cycle", "boundary", "missing_dependency")
+BUCKETS = ("safe", "review_needed", "hallucinated", "cycle", "boundary", "missing_dependency")
+#: Packages that an unknown name may well mean.
+COMMON_PACKAGES = "bs4 celery click django fastapi flask httpx numpy pandas pydantic pytest requests sqlalchemy typer".split()
+#: How alike names must be that are suggested.
+MODULE_CUTOFF, SYMBOL_CUTOFF = 0.6, 0.45
 
 
 def verify_imports(r: Repositories, planned: DataFrame) -> DataFrame:
-    """(repo, importer, raw, target_module, symbol, bucket) of planned (repo, importer, raw), e.g. ``a.b.name as x``.
+    """(repo, importer, raw, target_module, symbol, bucket, distribution, similar) of planned (repo, importer, raw), e.g.
+    ``a.b.name as x``, ``..sibling`` or ``a.b.*``.
 
-    ``raw`` is the longest known module and at most one name of it.  hallucinated: no such module or name; cycle: the target
-    reaches the importer; boundary: a rule forbids it; missing_dependency: neither local, nor standard, nor declared.
+    ``raw`` is the longest known module and at most one name of it.  hallucinated: no such module or name, ``similar`` then has
+    up to three that are alike; review_needed: a star; cycle: the target reaches the importer; boundary: a rule forbids it;
+    missing_dependency: neither local, nor standard, nor declared, but a package that is known or mapped.
     """
-    name, _ = text.import_spec(F.col("raw"))
-    p = planned.select("repo", "importer", "raw", name.alias("name")).distinct()
+    spec, _ = text.import_spec(F.trim("raw"))
+    own = r.modules.select("repo", F.col("module").alias("importer"), F.col("is_package").alias("inits"))
+    p = planned.select("repo", "importer", "raw", spec.alias("spec")).distinct().join(own, ["repo", "importer"], "left")
+    package = F.when(F.coalesce("inits", F.lit(False)), F.col("importer")).otherwise(F.regexp_replace("importer", r"\.?[^.]*$", ""))
+    name = F.coalesce(text.absolute_name(F.col("spec"), package), F.regexp_replace("spec", r"^\.+", ""))
+    p = p.withColumn("name", F.coalesce(name, F.lit(""))).withColumn("star", F.col("name").endswith(".*")).withColumn("name", F.regexp_replace("name", r"\.\*$", "")).drop("spec", "inits")
     asked = p.select("repo", "importer", "raw", "name", F.posexplode(text.prefixes(F.col("name"))).alias("rank", "module"))
     hit = asked.join(r.modules.select("repo", "module", "path"), ["repo", "module"]).groupBy("repo", "importer", "raw").agg(F.min_by(F.struct("module", "path"), "rank").alias("hit"))
-    p = p.join(hit, ["repo", "importer", "raw"], "left").select("repo", "importer", "raw", "name", F.col("hit.module").alias("target_module"), F.col("hit.path").alias("target_path"))
+    p = p.join(hit, ["repo", "importer", "raw"], "left").select("repo", "importer", "raw", "name", "star", F.col("hit.module").alias("target_module"), F.col("hit.path").alias("target_path"))
     p = p.withColumn("symbol", F.when(F.col("target_module") != F.col("name"), F.substring("name", F.length("target_module") + 2, F.length("name"))))
     names = r.symbols.select("repo", F.col("module").alias("target_module"), F.col("name").alias("symbol"))
     passed = r.imports.where("is_package").select("repo", F.col("module").alias("target_module"), F.coalesce("alias", "symbol", "raw").alias("symbol"))
@@ -43,23 +55,38 @@ def verify_imports(r: Repositories, planned: DataFrame) -> DataFrame:
     for b in r.project.boundaries:
         forbidden = forbidden | F.coalesce(hits(b.sources, "importer_path", "importer") & hits(b.disallow, "target_path", "target_module"), F.lit(False))
     top = F.substring_index("name", ".", 1)
-    local_tops = r.modules.select("repo", F.substring_index("module", ".", 1).alias("top")).distinct().withColumn("local", F.lit(True))
-    p = p.withColumn("top", top).join(local_tops, ["repo", "top"], "left").withColumn("package", text.package_name(top))
+    mapped = F.lit(None).cast("string")
+    for known_name, package_name in sorted(r.project.import_map.items(), key=lambda x: len(x[0])):
+        mapped = F.when((F.col("name") == known_name) | F.col("name").startswith(f"{known_name}."), normal(package_name)).otherwise(mapped)
+    p = p.withColumn("top", top).withColumn("package", F.coalesce(mapped, text.package_name(top)))
     if r.declared is not None:
         p = p.join(r.declared.where("scope <> 'script'").select("repo", F.col("name").alias("package")).distinct().withColumn("declared", F.lit(True)), ["repo", "package"], "left")
     else:
         p = p.withColumn("declared", F.lit(None).cast("boolean"))
+    packages = {*COMMON_PACKAGES, *(normal(x) for pair in r.project.import_map.items() for x in pair)}
+    outside = F.col("target_module").isNull()
     missing_name = F.col("symbol").isNotNull() & F.col("known").isNull()
     bucket = (
-        F.when(F.col("target_module").isNotNull() & missing_name, "hallucinated")
-        .when(F.col("target_module").isNull() & F.coalesce("local", F.lit(False)), "hallucinated")
-        .when(F.col("target_module").isNull() & (top.isin(*sorted(sys.stdlib_module_names)) | F.coalesce("declared", F.lit(False))), "safe")
-        .when(F.col("target_module").isNull(), "missing_dependency")
+        F.when(F.col("name") == "", "hallucinated")
+        .when(F.col("star"), "review_needed")
+        .when(~outside & missing_name, "hallucinated")
+        .when(outside & (top.isin(*sorted(sys.stdlib_module_names)) | F.coalesce("declared", F.lit(False))), "safe")
+        .when(outside & (F.col("package").isin(*sorted(packages)) | text.package_name(top).isin(*sorted(packages))), "missing_dependency")
+        .when(outside, "hallucinated")
         .when(F.coalesce("closes", F.lit(False)), "cycle")
         .when(forbidden, "boundary")
         .otherwise("safe")
     )
-    return p.select("repo", "importer", "raw", "target_module", "symbol", bucket.alias("bucket"))
+    p = stored(p.withColumn("bucket", bucket), "verified")
+    lost = p.where("bucket = 'hallucinated' AND name <> ''")
+    module = lost.where("target_module IS NULL").select("repo", F.lit("").alias("inside"), "name", F.lit(MODULE_CUTOFF).alias("cutoff"))
+    symbol = lost.where("target_module IS NOT NULL").select("repo", F.col("target_module").alias("inside"), F.col("symbol").alias("name"), F.lit(SYMBOL_CUTOFF).alias("cutoff"))
+    here = names.unionByName(stars).select("repo", F.col("target_module").alias("inside"), F.col("symbol").alias("name"))
+    here = here.unionByName(r.modules.select("repo", F.lit("").alias("inside"), F.col("module").alias("name")))
+    close = similar(module.unionByName(symbol), here, ["repo", "inside"]).select("repo", "inside", F.col("name").alias("wanted"), F.col("close").alias("similar"))
+    p = p.withColumn("inside", F.coalesce("target_module", F.lit(""))).withColumn("wanted", F.when(F.col("bucket") == "hallucinated", F.when(outside, F.col("name")).otherwise(F.col("symbol"))))
+    p = p.join(close, ["repo", "inside", "wanted"], "left").withColumn("distribution", F.when(outside & ~top.isin(*sorted(sys.stdlib_module_names)), F.col("package")))
+    return p.select("repo", "importer", "raw", "target_module", "symbol", "bucket", "distribution", F.coalesce("similar", F.array().cast("array<string>")).alias("similar"))
 
 
 def reaching(edges: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -138,42 +138,105 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.select("id", "rule").distinct().withColumn("place", F.row_number().over(Window.orderBy("id", "rule")) - 1)
 
 
-def sarif_results(findings: DataFrame) -> DataFrame:
-    """(value): each finding as a SARIF result, in order."""
+def source_lines(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(repo, path, line, text) of the ``wanted`` (repo, path, line) that the files (repo, path, text) have."""
+    asked = wanted.select("repo", "path", "line").distinct()
+    own = files.join(asked.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    rows = own.select("repo", "path", F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    return rows.join(asked, ["repo", "path", "line"], "left_semi")
+
+
+def with_line_hashes(findings: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Adds ``line_hash``: SHA-1 of the finding's source line with white space folded, or of its place where the line is gone."""
+    at = F.greatest(F.lit(1), F.coalesce("line", F.lit(1)))
+    gone = F.sha1(F.concat_ws(":", F.coalesce("path", F.lit(".")), at.cast("string"), "rule", F.coalesce("symbol", F.lit(""))))
+    if files is None:
+        return findings.withColumn("line_hash", gone)
+    found = findings.withColumn("line", at)
+    text = source_lines(files, found).withColumn("here", F.sha1(F.trim(F.regexp_replace("text", r"\s+", " ")))).select("repo", "path", "line", "here")
+    return found.join(text, ["repo", "path", "line"], "left").withColumn("line_hash", F.coalesce("here", gone)).drop("here")
+
+
+#: What evidence holds that SARIF shows as further places.
+PLACES = "import_lines array<struct<`from`: string, to: string, path: string, line: int>>, fragments array<struct<path: string, first: int, last: int>>"
+
+
+def related_places(limit: int) -> Column:
+    """Array of SARIF locations: the imports of a cycle, the fragments of a duplicate, the first ``limit`` of them."""
+    seen = F.from_json("evidence", PLACES)
+    cycle = F.transform(seen["import_lines"], lambda x: F.struct(F.concat(x["from"], F.lit(" imports "), x["to"]).alias("text"), x["path"].alias("path"), x["line"].alias("first"), x["line"].alias("last")))
+    copies = F.transform(seen["fragments"], lambda x: F.struct(F.lit("The same code").alias("text"), x["path"].alias("path"), x["first"].alias("first"), x["last"].alias("last")))
+    places = F.slice(F.coalesce(cycle, copies), 1, max(0, limit)) if limit > 0 else F.slice(copies, 1, 0)
+
+    def location(x: Column, i: Column) -> Column:
+        region = F.struct(x["first"].alias("startLine"), x["last"].alias("endLine")).alias("region")
+        physical = F.struct(F.struct(x["path"].alias("uri")).alias("artifactLocation"), region)
+        return F.struct((i + 1).alias("id"), F.struct(x["text"]).alias("message"), physical.alias("physicalLocation"))
+
+    return F.transform(places, location)
+
+
+def sarif_results(findings: DataFrame, files: DataFrame | None = None, related: int = 20) -> DataFrame:
+    """(value): each finding as a SARIF result, in order; ``files`` give the hashes of lines."""
     level = F.coalesce(*(F.when(F.col("severity") == k, v) for k, v in LEVELS.items()), F.lit("warning"))
-    region = F.struct(F.greatest(F.lit(1), F.coalesce("line", F.lit(1))).alias("startLine"))
+    line = F.greatest(F.lit(1), F.coalesce("line", F.lit(1)))
+    region = F.struct(line.alias("startLine"), F.greatest(line, F.coalesce("end_line", line)).alias("endLine"))
     location = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    return findings.join(F.broadcast(sarif_rules(findings)), ["id", "rule"]).orderBy(*order()).select(
+    marks = F.struct(F.col("fingerprint").alias("stable"), F.col("line_hash").alias("primaryLocationLineHash"))
+    hashed = with_line_hashes(findings, files).withColumn("related", related_places(related))
+    return hashed.join(F.broadcast(sarif_rules(findings)), ["id", "rule"]).orderBy(*order()).select(
         as_object(
             F.col("id").alias("ruleId"), F.col("place").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
-            F.struct(F.col("fingerprint").alias("stable")).alias("partialFingerprints"), F.array(location).alias("locations"),
+            marks.alias("partialFingerprints"), F.array(location).alias("locations"), F.coalesce("related", F.from_json(F.lit("[]"), hashed.schema["related"].dataType)).alias("relatedLocations"),
+            F.struct("rule", "confidence", "category").alias("properties"),
         )
     )
 
 
-def sarif_parts(findings: DataFrame) -> Iterator[str]:
+def sarif_parts(findings: DataFrame, files: DataFrame | None = None, related: int = 20) -> Iterator[str]:
     rules = [{"id": r.id, "name": r.rule} for r in sarif_rules(findings).orderBy("place").collect()]
     yield f'{{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{{"tool": {{"driver": {{"name": "srcquarry", "rules": {json.dumps(rules)}}}}}, "results": '
-    yield from listed(lines(sarif_results(findings)))
+    yield from listed(lines(sarif_results(findings, files, related)))
     yield "}]}"
 
 
-def as_sarif(findings: DataFrame) -> dict:
+def as_sarif(findings: DataFrame, files: DataFrame | None = None, related: int = 20) -> dict:
     """A SARIF 2.1.0 log; rules are the sorted ones that occur, results point to them by place."""
-    return json.loads("".join(sarif_parts(findings)))
+    return json.loads("".join(sarif_parts(findings, files, related)))
+
+
+#: What to look at before acting on a finding, by category.
+HINTS = {
+    "parse": "Parse the file with the Python version that the project runs on.",
+    "config": "Compare the setting with the section it belongs to.",
+    "imports": "Look for the module in other source roots, and for a name that a call makes at run time.",
+    "architecture": "Find the least concept that both sides share and let it stand alone.",
+    "dead-code": "Search templates, settings and entry point tables for the name.",
+    "suppressions": "See whether the finding that the comment named was mended or renamed.",
+    "dependencies": "Tell a package of another name from one that is really missing or unused.",
+    "duplication": "Tell code with one purpose from code that only looks alike.",
+    "complexity": "Test what the function does before cutting it into parts.",
+}
 
 
-def plan_items(findings: DataFrame) -> DataFrame:
-    """(bucket, value): what to do about each finding, bucket by bucket in order."""
-    item = as_object("rule", F.col("path").alias("file"), "line", "symbol", "fingerprint", F.col("message").alias("one_liner"))
+def plan_items(findings: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """(bucket, value): what to do about each finding and why, bucket by bucket in order, with its patch if there is one."""
+    hint = F.create_map(*(F.lit(x) for pair in HINTS.items() for x in pair))[F.col("category")]
+    if patches is None:
+        findings = findings.withColumn("patch", F.lit(None).cast("string"))
+    else:
+        keys = ["repo", "path", "line"]
+        fix = patches.select(*keys, "patch").withColumn("rule", F.lit("stale-suppression"))
+        findings = findings.join(fix, [*keys, "rule"], "left")
+    item = as_object("rule", F.col("path").alias("file"), "line", "symbol", "fingerprint", F.col("message").alias("one_liner"), "rationale", hint.alias("hint"), F.col("patch").alias("minimal_patch"))
     return findings.where(F.col("decision").isin(*BUCKETS)).orderBy(ranked(F.col("decision"), BUCKETS), *order()).select(F.col("decision").alias("bucket"), item)
 
 
-def plan_parts(findings: DataFrame) -> Iterator[str]:
+def plan_parts(findings: DataFrame, patches: DataFrame | None = None) -> Iterator[str]:
     sizes = {r.bucket: r.n for r in buckets(findings).collect()}
     yield f'{{"summary": {json.dumps({"total": findings.count(), **{f"{b}_count": sizes[b] for b in BUCKETS}})}'
     left = list(BUCKETS)
-    for bucket, items in groupby(plan_items(findings).toLocalIterator(), key=lambda r: r.bucket):
+    for bucket, items in groupby(plan_items(findings, patches).toLocalIterator(), key=lambda r: r.bucket):
         while left[0] != bucket:
             yield f', "{left.pop(0)}": []'
         yield f', "{left.pop(0)}": '
@@ -182,9 +245,9 @@ def plan_parts(findings: DataFrame) -> Iterator[str]:
     yield "}"
 
 
-def fix_plan(findings: DataFrame) -> dict:
+def fix_plan(findings: DataFrame, patches: DataFrame | None = None) -> dict:
     """The four buckets, always all there, with what to do about each finding."""
-    return json.loads("".join(plan_parts(findings)))
+    return json.loads("".join(plan_parts(findings, patches)))
 
 
 def graph_lines(edges: DataFrame, kind: str = "mermaid") -> DataFrame:

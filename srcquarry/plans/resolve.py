@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from srcquarry.functions import text
 from srcquarry.operators import graph, joins
 from srcquarry.sources.declarations import Project
-from srcquarry.sources.python_source import extract, facts
+from srcquarry.sources.python_source import extract, facts, tokenized
 from srcquarry.sources.scratch import stored
 
 #: File names by which a module is started.
@@ -49,10 +49,13 @@ class Repositories:
     project: Project = Project()
     declared: DataFrame | None = None  # (repo, scope, name, source)
 
+    @cached_property
+    def sources(self) -> DataFrame:
+        return self.files.where(F.col("path").endswith(".py") & ~text.matches_path(F.col("path"), *self.project.ignore))
+
     @cached_property
     def raw(self) -> DataFrame:
-        files = self.files.where(F.col("path").endswith(".py") & ~text.matches_path(F.col("path"), *self.project.ignore))
-        return stored(extract(files, self.project.strict_duplicates, self.project.markers), "facts")
+        return stored(extract(self.sources, self.project.markers), "facts")
 
     @cached_property
     def all_modules(self) -> tuple[DataFrame, DataFrame]:
@@ -266,7 +269,8 @@ class Repositories:
         """(repo, digest, fragments): accepted groups of equal token windows, in the order of their acceptance."""
         from srcquarry.plans.duplicates import accepted, candidates
 
-        rows = self.raw.join(self.modules.where("NOT generated AND parse_error IS NULL" + ("" if self.project.include_tests else " AND NOT is_test")).select("repo", "path"), ["repo", "path"], "left_semi")
+        code = self.sources.join(self.modules.where("NOT generated AND parse_error IS NULL" + ("" if self.project.include_tests else " AND NOT is_test")).select("repo", "path"), ["repo", "path"], "left_semi")
+        rows = tokenized(code, self.project.strict_duplicates)
         return stored(accepted(candidates(rows, self.project.min_tokens, self.project.min_lines), self.project.max_groups), "duplicates")
 
     @cached_property

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from srcquarry.functions import text
 from srcquarry.operators import aggregates
 from srcquarry.plans.resolve import CONFIDENCES, Repositories, node, rank
+from srcquarry.sources.python_source import marker_pattern
 
 #: Number and category of each rule.
 RULES = {
@@ -31,15 +32,19 @@ ALIASES = {
     "undeclared-optional-dependency": ["optional-dependency-used-in-runtime"],
     "expected-unused": ["unused-module", "unused-symbol"],
 }
-COLUMNS = ("repo", "rule", "severity", "confidence", "path", "line", "symbol", "module", "message", "target", "flags")
+COLUMNS = ("repo", "rule", "severity", "confidence", "path", "line", "end_line", "symbol", "module", "message", "target", "flags", "evidence")
 
 
 def finding(df: DataFrame, rule: str | Column, severity: str | Column, confidence: str | Column, message: Column, **more: Column) -> DataFrame:
-    """``df`` as findings; ``target`` is what a fingerprint names, ``flags`` what the classification asks for."""
+    """``df`` as findings; ``target`` is what a fingerprint names, ``flags`` what the classification asks for, ``evidence`` a
+    struct that becomes JSON."""
     none = F.lit(None).cast("string")
-    known = {"rule": rule, "severity": severity, "confidence": confidence, "message": message, "target": none, "symbol": none, "module": F.col("module") if "module" in df.columns else none, "line": F.lit(1), "flags": F.array().cast("array<string>"), "path": F.col("path") if "path" in df.columns else none} | more
+    own = {c: F.col(c) if c in df.columns else none for c in ("module", "path")}
+    known = own | {"rule": rule, "severity": severity, "confidence": confidence, "message": message, "target": none, "symbol": none, "line": F.lit(1), "flags": F.array().cast("array<string>")} | more
+    known["end_line"] = more.get("end_line", known["line"])
+    known["evidence"] = F.to_json(more["evidence"]) if "evidence" in more else none
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return df.select("repo", *(lit(known[c]).alias(c) for c in COLUMNS[1:])).withColumn("line", F.col("line").cast("int"))
+    return df.select("repo", *(lit(known[c]).alias(c) for c in COLUMNS[1:])).withColumns({c: F.col(c).cast("int") for c in ("line", "end_line")})
 
 
 def case(*pairs: tuple[Column, str], otherwise: str) -> Column:
@@ -78,8 +83,10 @@ def circular(r: Repositories) -> DataFrame:
     """One finding for each cycle, with a way round it; its place is the first import of the way in its first file."""
     names = F.transform("members", lambda m: F.substring_index(m, ":", -1))
     typed = F.when(F.exists("steps", lambda s: s["typed"]), F.array(F.lit("typed"))).otherwise(F.array().cast("array<string>"))
+    imports = F.transform("steps", lambda x: F.struct(x["importer"].alias("from"), x["target"].alias("to"), x["path"].alias("path"), x["line"].alias("line")))
+    evidence = F.struct(imports.alias("import_lines"), F.exists("steps", lambda x: x["typed"]).alias("type_checking_imports_contributed"))
     c = r.cycle_paths.withColumn("at", F.col("steps")[0]).withColumnRenamed("path", "way")
-    return finding(c, "circular-dependency", "warning", "high", F.concat(F.lit("Import cycle: "), F.array_join("way", " -> ")), path=F.array_min(F.transform("steps", lambda s: s["path"])), line=F.col("at.line"), module=names[0], target=F.array_join(names, ","), flags=typed)
+    return finding(c, "circular-dependency", "warning", "high", F.concat(F.lit("Import cycle: "), F.array_join("way", " -> ")), path=F.array_min(F.transform("steps", lambda s: s["path"])), line=F.col("at.line"), module=names[0], target=F.array_join(names, ","), flags=typed, evidence=evidence)
 
 
 def unused_modules(r: Repositories) -> DataFrame:
@@ -115,7 +122,17 @@ def unused_symbols(r: Repositories) -> DataFrame:
         unused = unused & ~F.col("is_test")
     s = s.where(~skipped & unused & ~F.col("generated") & ~F.col("is_migration") & F.col("parse_error").isNull()).dropDuplicates(["repo", "module", "name", "line"])
     confidence = case((assigned | F.col("decorated") | F.col("reexported") | (F.col("type_only") > 0) | (F.col("tests") > 0), "low"), otherwise="medium")
-    return finding(s, "unused-symbol", F.when(confidence == "medium", "warning").otherwise("info"), confidence, F.concat(F.lit("Nothing uses "), "name"), line=F.col("line"), symbol=name)
+    s = s.join(r.states.select("repo", "module", "reachable", "entrypoint_managed", "dynamic_uncertain"), ["repo", "module"])
+    state = {
+        "framework_managed": F.col("framework_managed"),
+        "entrypoint_managed": F.coalesce("entry", F.lit(False)) & name.isin(*p.entry_symbols),
+        "public_api": F.col("reexported") | F.col("listed"),
+        "dynamic_uncertain": F.col("dynamic_uncertain"),
+    }
+    evidence = F.struct("kind", "public_confidence", F.struct("reachable", *(c.alias(k) for k, c in state.items())).alias("state"))
+    flags = F.array_compact(F.array(*(F.when(c, k) for k, c in state.items())))
+    severity = F.when(confidence == "medium", "warning").otherwise("info")
+    return finding(s, "unused-symbol", severity, confidence, F.concat(F.lit("Nothing uses "), "name"), line=F.col("line"), end_line=F.col("end_line"), symbol=name, flags=flags, evidence=evidence)
 
 
 def dependencies(r: Repositories) -> DataFrame:
@@ -143,13 +160,13 @@ def dependencies(r: Repositories) -> DataFrame:
     severity = case((F.col("rule").isin("missing-runtime-dependency", "dev-dependency-used-in-runtime"), "error"), (F.col("rule").isin("missing-test-dependency", "missing-type-dependency", "runtime-dependency-used-only-for-types"), "info"), otherwise="warning")
     confidence = case(((F.col("rule") == "missing-runtime-dependency") & ~F.col("at.guarded"), "high"), (severity == "info", "low"), otherwise="medium")
     declared = F.col("rule").isin("unused-runtime-dependency", "runtime-dependency-used-only-in-tests", "runtime-dependency-used-only-for-types")
-    return finding(x, F.col("rule"), severity, confidence, F.concat_ws(": ", "rule", "distribution"), path=F.when(declared, F.col("source")).otherwise(F.col("at.path")), line=F.when(declared, 1).otherwise(F.col("at.line")), module=F.when(~declared, F.col("at.module")), target=F.col("distribution"))
+    return finding(x, F.col("rule"), severity, confidence, F.concat_ws(": ", "rule", "distribution"), path=F.when(declared, F.col("source")).otherwise(F.col("at.path")), line=F.when(declared, 1).otherwise(F.col("at.line")), module=F.when(~declared, F.col("at.module")), target=F.col("distribution"), evidence=F.struct("distribution", "policy", "uses"))
 
 
 def duplicates(r: Repositories) -> DataFrame:
     first = F.col("fragments")[0]
     others = F.array_join(F.array_distinct(F.transform("fragments", lambda f: f["path"])), ", ")
-    return finding(r.duplicates, "duplicate-code", "warning", "high" if r.project.strict_duplicates else "medium", F.concat(F.lit("The same code stands in "), others), path=first["path"], line=first["first"], target=F.col("digest"))
+    return finding(r.duplicates, "duplicate-code", "warning", "high" if r.project.strict_duplicates else "medium", F.concat(F.lit("The same code stands in "), others), path=first["path"], line=first["first"], end_line=first["last"], target=F.col("digest"), evidence=F.struct("fragments"))
 
 
 def boundaries(r: Repositories) -> DataFrame | None:
@@ -161,35 +178,40 @@ def boundaries(r: Repositories) -> DataFrame | None:
     if broken is None:
         return None
     e = e.select("*", F.inline(broken))
-    return finding(e, "boundary-violation", F.col("severity"), "high", F.concat(F.lit("Rule "), "name", F.lit(" forbids the import of "), "target"), module=F.col("importer"), line=F.col("line"), target=F.col("target"))
+    return finding(e, "boundary-violation", F.col("severity"), "high", F.concat(F.lit("Rule "), "name", F.lit(" forbids the import of "), "target"), module=F.col("importer"), line=F.col("line"), target=F.col("target"), evidence=F.struct("name", "target", "target_path"))
 
 
 def complexity(r: Repositories) -> DataFrame:
     p = r.project
     f = r.functions if p.include_tests else r.functions.where("NOT is_test")
-    of = lambda rows, rule, severity, value: finding(rows, rule, severity, "high", F.format_string(f"%s: {rule} (%d)", "name", value), line=F.col("line"), symbol=F.col("name"))
+
+    def of(rule: str, severity: str, value: str, most: int) -> DataFrame:
+        message = F.format_string(f"%s: {rule} (%d)", "name", value)
+        evidence = F.struct(F.col(value).alias("value"), F.lit(most).alias("threshold"))
+        return finding(f.where(F.col(value) > most), rule, severity, "high", message, line=F.col("line"), end_line=F.col("end_line"), symbol=F.col("name"), evidence=evidence)
+
     return (
-        of(f.where(F.col("cyclomatic") > p.max_cyclomatic), "high-cyclomatic-complexity", "warning", F.col("cyclomatic"))
-        .unionByName(of(f.where(F.col("cognitive") > p.max_cognitive), "high-cognitive-complexity", "warning", F.col("cognitive")))
-        .unionByName(of(f.where(F.col("lines") > p.max_function_lines), "large-function", "info", F.col("lines")))
+        of("high-cyclomatic-complexity", "warning", "cyclomatic", p.max_cyclomatic)
+        .unionByName(of("high-cognitive-complexity", "warning", "cognitive", p.max_cognitive))
+        .unionByName(of("large-function", "info", "lines", p.max_function_lines))
         .unionByName(finding(r.modules.where((F.col("line_count") > p.max_file_lines) & (F.lit(p.include_tests) | ~F.col("is_test"))), "large-file", "info", "high", F.format_string("%d lines", "line_count")))
     )
 
 
-def hotspots(r: Repositories, others: DataFrame) -> DataFrame:
-    """Files by a score of size, complexity, fan-out, duplicates, cycles and boundary violations; ``others``: the findings so far."""
+def hotspots(r: Repositories, violations: DataFrame | None) -> DataFrame:
+    """Files by a score of size, complexity, fan-out, duplicates, cycles and boundary ``violations``."""
     inner = F.greatest(F.col("cyclomatic") - 1, F.lit(0)) + F.greatest(F.col("cognitive") - 1, F.lit(0)) + F.floor(F.col("lines") / 40)
     own = r.functions.groupBy("repo", "path").agg(F.sum(inner).alias("own"))
     fan = aggregates.degrees(r.edges).select("node", "fan_out")
     cyclic = r.cycles.select("node").withColumn("cyclic", F.lit(15))
     doubled = r.duplicates.select("repo", F.explode(F.array_distinct(F.transform("fragments", lambda f: f["path"]))).alias("path")).distinct().withColumn("doubled", F.lit(12))
-    broken = others.where("rule = 'boundary-violation'").select("repo", "path").distinct().withColumn("broken", F.lit(15))
+    broken = (r.modules.limit(0) if violations is None else violations).select("repo", "path").distinct().withColumn("broken", F.lit(15))
     m = r.modules.where("parse_error IS NULL" + ("" if r.project.include_tests else " AND NOT is_test")).withColumn("node", node())
     m = m.join(own, ["repo", "path"], "left").join(fan, "node", "left").join(cyclic, "node", "left").join(doubled, ["repo", "path"], "left").join(broken, ["repo", "path"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     score = F.when(F.col("line_count") > r.project.max_file_lines, 10).otherwise(0) + zero("own") + F.least(F.lit(20), 2 * zero("fan_out")) + zero("doubled") + zero("cyclic") + zero("broken")
     m = m.withColumn("score", score.cast("int")).where(F.col("score") >= r.project.hotspot_score)
-    return finding(m, "risky-hotspot", "warning", "medium", F.format_string("Hotspot score %d", "score"))
+    return finding(m, "risky-hotspot", "warning", "medium", F.format_string("Hotspot score %d", "score"), evidence=F.struct("score", F.lit(r.project.hotspot_score).alias("threshold")))
 
 
 def with_suppressions(findings: DataFrame, r: Repositories) -> DataFrame:
@@ -197,26 +219,52 @@ def with_suppressions(findings: DataFrame, r: Repositories) -> DataFrame:
     s = r.of_modules("suppressions").select("repo", "path", "module", "seq", F.col("line").alias("at"), F.col("rule").alias("names"), "file_wide", "text")
     allowed = F.create_map(*(F.lit(x) for pair in ((k, v) for k, v in ALIASES.items()) for x in pair))[F.col("names")]
     named = (F.col("names") == "*") | (F.col("names") == F.col("rule")) | F.coalesce(F.array_contains(allowed, F.col("rule")), F.lit(False))
-    f = findings.withColumn("fid", F.xxhash64(*(c for c in COLUMNS if c != "flags")))
+    f = findings.withColumn("fid", F.xxhash64(*COLUMNS))
     hits = f.join(s.drop("module"), ["repo", "path"]).where(named & (F.col("file_wide") | (F.col("at") == F.col("line"))))
     taken = hits.groupBy("repo", "path", "fid").agg(F.min("seq").alias("seq"))
     active = f.join(taken.select("repo", "path", "fid"), ["repo", "path", "fid"], "left_anti").drop("fid")
     stale = s.join(taken.select("repo", "path", "seq").distinct(), ["repo", "path", "seq"], "left_anti")
-    return active.unionByName(finding(stale, "stale-suppression", "info", "high", F.lit("Nothing is suppressed here"), line=F.col("at"), target=F.col("names")))
+    comment = F.regexp_extract_all("text", F.lit(marker_pattern(r.project.markers).replace("?P<", "?<")), 0)
+    first = s.groupBy("repo", "path", "at").agg(F.min("seq").alias("first"))
+    stale = stale.join(first, ["repo", "path", "at"]).withColumn("comment", F.get(comment, F.col("seq") - F.col("first")))
+    evidence = F.struct(F.col("text").alias("line_text"), F.col("comment").alias("suppression"), F.col("names").alias("rules"), "file_wide")
+    return active.unionByName(finding(stale, "stale-suppression", "info", "high", F.lit("Nothing is suppressed here"), line=F.col("at"), target=F.col("names"), evidence=evidence))
+
+
+#: States that speak against editing a symbol, the most telling first, and why.
+REASONS = {
+    "framework_managed": "A framework seems to use this symbol; look before editing.",
+    "entrypoint_managed": "An entry point may use this symbol; look before editing.",
+    "public_api": "The symbol may be public; look at callers elsewhere before editing.",
+    "dynamic_uncertain": "Dynamic access cannot be ruled out, so nothing is removed automatically.",
+}
 
 
 def classified(findings: DataFrame) -> DataFrame:
-    """Adds ``decision``: auto_safe, review_needed, blocking or manual_only."""
-    rule, low = F.col("rule"), F.col("confidence") == "low"
-    return findings.withColumn("decision", case(
-        (rule.isin("parse-error", "config-error", "unresolved-import", "missing-runtime-dependency", "dev-dependency-used-in-runtime"), "blocking"),
-        ((rule == "circular-dependency") & ~F.array_contains("flags", "typed"), "blocking"),
-        ((rule == "boundary-violation") & (F.col("severity") == "error"), "blocking"),
-        (rule == "stale-suppression", "auto_safe"),
-        (rule.isin("unused-symbol", "unused-module") & low, "manual_only"),
-        (rule == "framework-entrypoint-detected", "manual_only"),
-        otherwise="review_needed",
-    ))
+    """Adds ``decision`` (auto_safe, review_needed, blocking or manual_only) and ``rationale``; the states of a symbol decide
+    before its confidence does, unless that is low."""
+    rule, confidence = F.col("rule"), F.col("confidence")
+    low, symbol = confidence == "low", rule == "unused-symbol"
+    flag = lambda name: F.array_contains("flags", name)
+    cases = [
+        (rule.isin("parse-error", "config-error", "unresolved-import", "missing-runtime-dependency", "dev-dependency-used-in-runtime"), "blocking", "The structure is broken for certain; mend it before a commit."),
+        ((rule == "circular-dependency") & flag("typed"), "review_needed", "Imports for types take part in the cycle; look before changing what runs."),
+        (rule == "circular-dependency", "blocking", "Modules that run import one another; break the cycle or waive it."),
+        ((rule == "boundary-violation") & (F.col("severity") == "error"), "blocking", "A boundary that is enforced is crossed."),
+        (rule == "boundary-violation", "review_needed", "A boundary that only advises is crossed."),
+        (rule == "stale-suppression", "auto_safe", "The comment suppresses nothing; removing it changes no code."),
+        (symbol & low, "manual_only", "The signal is weak; take it as context."),
+        *((symbol & flag(s), "review_needed", REASONS[s]) for s in REASONS),
+        (symbol & (confidence == "high"), "auto_safe", "Nothing uses the symbol and no state speaks against its removal."),
+        (symbol, "review_needed", "Nothing was found that uses the symbol; look before removing it."),
+        ((rule == "unused-module") & low, "manual_only", "The signal is weak; take it as context."),
+        (rule == "unused-module", "review_needed", "No entry point reaches the module statically; look before removing it."),
+        (rule == "framework-entrypoint-detected", "manual_only", "This only informs about a framework."),
+    ]
+    what = F.struct(F.lit("review_needed").alias("decision"), F.lit("Take the finding into the review of the change.").alias("rationale"))
+    for fits, decision, reason in reversed(cases):
+        what = F.when(fits, F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("rationale"))).otherwise(what)
+    return findings.withColumn("_why", what).select("*", "_why.*").drop("_why")
 
 
 def fingerprinted(findings: DataFrame) -> DataFrame:
@@ -232,9 +280,10 @@ def findings(r: Repositories) -> DataFrame:
     """All findings: (COLUMNS, id, category, fingerprint, decision)."""
     parts = [parse_errors(r), *(e for e in [config_errors(r)] if e is not None), import_findings(r), *([] if r.project.include_tests else [production_imports_tests(r)]), circular(r), unused_modules(r), unused_symbols(r)]
     parts += [dependencies(r)] if r.declared is not None else []
-    parts += [duplicates(r), *(b for b in [boundaries(r)] if b is not None), complexity(r)]
+    broken = boundaries(r)
+    parts += [duplicates(r), *([] if broken is None else [broken]), complexity(r)]
     found = reduce(DataFrame.unionByName, parts)
-    found = found.unionByName(hotspots(r, found))
+    found = found.unionByName(hotspots(r, broken))
     if r.project.disabled:
         found = found.where(~F.col("rule").isin(*r.project.disabled))
     return classified(fingerprinted(with_suppressions(found, r)))

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcquarry.plans import rules
+from srcquarry.plans import patches, report, rules
 from srcquarry.plans.graph_queries import REACH_SQL
 from srcquarry.plans.resolve import Repositories
 from srcquarry.plans.tables import EDGES_SQL, edges, table
@@ -164,6 +164,28 @@ def source_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("repo").alias("brand"), F.size(files).cast("long").alias("files"), number_of(files[0]).alias("first_part"))
 
 
+def suppressed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier a file with a stale comment on a line of its own, after code, or none."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    second = F.when(k % 3 == 0, "# srcquarry: ignore[large-file]\n").when(k % 3 == 1, F.format_string("b = %d  # srcquarry: ignore[large-file] for now\n", k)).otherwise("b = 2\n")
+    return s.select(F.format_string("nation%d", "s_nationkey").alias("repo"), F.format_string("src/s%d.py", k).alias("path"), F.concat(F.lit("a = 1\n"), second, F.lit("c = 3")).alias("text"))
+
+
+def source_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diffs that take stale comments away."""
+    files = suppressed_files(spark, sf_dir)
+    r = Repositories(files, PROJECT)
+    found = rules.classified(rules.with_suppressions(rules.parse_errors(r), r))
+    return patches.unified(patches.stale_comments(found), files).select("repo", "path", "patch")
+
+
+def source_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hashes of the lines at which the parts' functions are found too complex."""
+    files = part_files(spark, sf_dir)
+    found = rules.complexity(Repositories(files, PROJECT))
+    return report.with_line_hashes(found, files).select(F.col("repo").alias("brand"), "path", "line", "line_hash")
+
+
 def number_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d+)\.py$", 1).cast("long")
 
@@ -191,6 +213,12 @@ QUERIES = {
     source_reached_views: STATE_SQL + " SELECT n AS node, n IN (SELECT n FROM runs) AS runs, true AS known FROM reach",
     source_reference_counts: """SELECT 'r' || n_regionkey || '.impl' AS module, 'N' || n_nationkey AS name, count(c_custkey) FILTER (c_custkey % 3 <> 1) AS uses
         FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""",
+    source_patches: r"""SELECT 'nation' || s_nationkey AS repo, f AS path, '--- a/' || f || chr(10) || '+++ b/' || f || chr(10) || CASE s_suppkey % 3
+        WHEN 0 THEN concat_ws(chr(10), '@@ -1,3 +1,2 @@', ' a = 1', '-# srcquarry: ignore[large-file]', ' c = 3', '\ No newline at end of file', '')
+        ELSE concat_ws(chr(10), '@@ -1,3 +1,3 @@', ' a = 1', '-b = ' || s_suppkey || '  # srcquarry: ignore[large-file] for now', '+b = ' || s_suppkey || '  # for now', ' c = 3', '\ No newline at end of file', '') END AS patch
+        FROM (SELECT *, 'src/s' || s_suppkey || '.py' AS f FROM supplier) WHERE s_suppkey % 3 < 2""",
+    source_line_hashes: """SELECT p_brand AS brand, 'src/app/p' || p_partkey || '.py' AS path, 1 AS line, sha1('def work(value):') AS line_hash
+        FROM part WHERE 1 + p_size % 7 > 4""",
     source_duplicates: """WITH p AS (SELECT p_brand AS brand, p_size % 5 AS k, 'src/app/p' || p_partkey || '.py' AS path FROM part),
         sets AS (SELECT brand, list(path ORDER BY path) AS paths FROM p GROUP BY brand, k UNION SELECT brand, list(path ORDER BY path) FROM p WHERE k < 2 GROUP BY brand)
         SELECT brand, len(paths) AS files, regexp_extract(paths[1], '(\\d+)\\.py$', 1)::BIGINT AS first_part FROM sets WHERE len(paths) > 1""",

@@ -11,7 +11,7 @@ import io
 import keyword
 import re
 import tokenize
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,8 +33,8 @@ exports array<struct<name: string, line: int, whole: boolean>>,
 functions array<struct<name: string, line: int, end_line: int>>,
 nodes array<struct<func: string, func_line: int, kind: string, nesting: int, arity: int>>,
 name_refs array<string>, attr_refs array<struct<base: string, attr: string, line: int>>,
-tokens array<struct<tok: string, first: int, last: int>>,
 suppressions array<struct<seq: int, line: int, rule: string, file_wide: boolean, text: string>>"""
+TOKENS = "repo string, path string, tokens array<struct<tok: string, first: int, last: int>>"
 
 
 def dotted(node: ast.AST | None) -> str:
@@ -253,7 +253,7 @@ def suppressions_of(lines: list[str], marker: re.Pattern) -> list[dict]:
     return out
 
 
-def read_file(repo: str | None, path: str, text: str, strict: bool, marker: re.Pattern) -> dict:
+def read_file(repo: str | None, path: str, text: str, marker: re.Pattern) -> dict:
     lines, head = text.splitlines(), text[:2048].lower()
     name = path.rpartition("/")[2].lower()
     row = dict(repo=repo, path=path, line_count=len(lines), generated="generated by" in head or "do not edit" in head or name.endswith(("_pb2.py", "_pb2_grpc.py")), dynamic_hints=0, suppressions=suppressions_of(lines, marker))
@@ -263,27 +263,43 @@ def read_file(repo: str | None, path: str, text: str, strict: bool, marker: re.P
         r.visit(tree)
     except (SyntaxError, ValueError, RecursionError) as e:
         return row | dict(parse_error=str(getattr(e, "msg", e)), error_line=getattr(e, "lineno", None) or 1, error_column=getattr(e, "offset", None) or 1)
-    return row | dict(dynamic_hints=r.dynamic, framework_hints=sorted(r.hints), imports=r.imports, symbols=r.symbols, exports=r.exports, functions=r.functions, nodes=r.nodes, name_refs=sorted(r.names), attr_refs=r.attrs, tokens=tokens_of(text, strict))
+    return row | dict(dynamic_hints=r.dynamic, framework_hints=sorted(r.hints), imports=r.imports, symbols=r.symbols, exports=r.exports, functions=r.functions, nodes=r.nodes, name_refs=sorted(r.names), attr_refs=r.attrs)
 
 
 def marker_pattern(markers: tuple[str, ...]) -> str:
     return rf"#\s*(?:{'|'.join(map(re.escape, markers))}):\s*(?P<kind>ignore(?:\[(?P<rule>[a-z0-9_-]+)\])?|expected-unused)"
 
 
-def extract(files: DataFrame, strict: bool = False, markers: tuple[str, ...] = ("srcquarry",)) -> DataFrame:
+def extract(files: DataFrame, markers: tuple[str, ...] = ("srcquarry",)) -> DataFrame:
     """One nested row for each file of (repo, path, text); null text counts as empty."""
+    pattern = marker_pattern(markers)
+
+    def start():
+        marker = re.compile(pattern)
+        return lambda repo, path, text: read_file(repo, path, text, marker)
+
+    return each_file(files, SCHEMA, start)
+
+
+def tokenized(files: DataFrame, strict: bool = False) -> DataFrame:
+    """(repo, path, tokens) of the files, with names and literals as they stand if ``strict``."""
+    return each_file(files, TOKENS, lambda: lambda repo, path, text: dict(repo=repo, path=path, tokens=tokens_of(text, strict)))
+
+
+def each_file(files: DataFrame, ddl: str, start: Callable[[], Callable[[str, str, str], dict]]) -> DataFrame:
+    """``start()(repo, path, text)`` of every file as a row; it is called once for each task."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema, pattern = to_arrow_schema(StructType.fromDDL(SCHEMA)), marker_pattern(markers)
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    empty = dict.fromkeys(schema.names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marker = re.compile(pattern)
+        read = start()
         for b in batches:
-            rows = zip(*(c.to_pylist() for c in b.columns))
-            yield pa.RecordBatch.from_pylist([{n: None for n in schema.names} | read_file(*r, strict, marker) for r in rows], schema=schema)
+            yield pa.RecordBatch.from_pylist([empty | read(*r) for r in zip(*(c.to_pylist() for c in b.columns))], schema=schema)
 
-    return files.select("repo", "path", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
+    return files.select("repo", "path", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ddl)
 
 
 def read_files(spark: SparkSession, folder: str, repo: str = "repo", ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from srcquarry.functions import text
-from srcquarry.operators import aggregates, graph, greedy, joins, windows
+from srcquarry.operators import aggregates, graph, greedy, joins, similar, windows
 from srcquarry.plans import resolve
 from srcquarry.sources import scratch
 from srcquarry.streaming import evidence
@@ -168,3 +168,16 @@ def test_writes_at_once_leave_the_setting(spark):
     with ThreadPoolExecutor(6) as pool:
         list(pool.map(lambda n: scratch.stored(spark.range(n), "many").count(), range(1, 13)))
     assert spark.conf.get(scratch.CLEANUP, "false") == before
+
+
+def test_similar_equals_comparing_all(spark):
+    import difflib
+
+    r = random.Random(14)
+    stems = ["get", "user", "name", "load", "path", "core", "http", "x", "__", "é"]
+    name = lambda: "".join(r.choice(stems) for _ in range(r.randint(1, 5)))
+    known = [(r.choice("ab"), name()) for _ in range(300)]
+    asked = [(r.choice("abc"), name()[r.randint(0, 1) :], r.choice([0.45, 0.6, 0.8])) for _ in range(150)] + [("a", None, 0.6), ("a", "", 0.6)]
+    got = similar.similar(spark.createDataFrame(asked, "repo string, name string, cutoff double"), spark.createDataFrame(known, "repo string, name string"), ["repo"]).collect()
+    want = {(k, n, c): difflib.get_close_matches(n, sorted({x for q, x in known if q == k}), 3, c) for k, n, c in asked if n}
+    assert {(g.repo, g.name, g.cutoff): g.close for g in got} == want and len(got) == len(want)

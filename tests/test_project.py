@@ -137,7 +137,7 @@ def test_documents_hold_everything(spark, found, tmp_path):
     many = spark.range(10_050).selectExpr(
         "'a' AS repo", f"{rule} AS rule", f"{rule} AS id", "concat('p', id % 7, '.py') AS path", "IF(id % 5 = 0, NULL, CAST(id % 900 AS INT)) AS line", "IF(id % 3 = 0, NULL, 's') AS symbol",
         "concat('say \"é\" ', id) AS message", "'high' AS confidence", "element_at(array('error', 'warning', 'info'), CAST(id % 3 + 1 AS INT)) AS severity", "concat('f', id) AS fingerprint",
-        "IF(id < 10, 'blocking', 'manual_only') AS decision", "'imports' AS category",
+        "IF(id < 10, 'blocking', 'manual_only') AS decision", "'imports' AS category", "'why' AS rationale", "CAST(NULL AS INT) AS end_line", "CAST(NULL AS STRING) AS evidence",
     )
     whole = json.loads(report.as_json(many))
     assert len({x["fingerprint"] for x in whole["issues"]}) == len(whole["issues"]) == whole["summary"]["total_issues"] == 10_050 and not whole["truncated"]
@@ -161,9 +161,12 @@ def test_documents_hold_everything(spark, found, tmp_path):
 
 
 def test_planned_imports(spark, repos):
-    plans = [("shop.right", "shop.main"), ("shop.one", "shop.store.nothing"), ("shop.one", "shop.left.VALUE as v"), ("shop.core.logic", "shop.store.db.connect"), ("shop.one", "json"), ("shop.one", "declaredthing"), ("shop.one", "otherthing.x"), ("shop.store.db", "shop.core.logic"), ("shop.one", "shop.Public")]
-    got = {(r.importer, r.raw): r.bucket for r in predict.verify_imports(repos, spark.createDataFrame([("a", i, n) for i, n in plans], "repo string, importer string, raw string")).collect()}
-    assert [got[p] for p in plans] == ["cycle", "hallucinated", "safe", "boundary", "safe", "safe", "missing_dependency", "cycle", "safe"]
+    plans = [("shop.right", "shop.main"), ("shop.one", "shop.store.nothing"), ("shop.one", "shop.left.VALUE as v"), ("shop.core.logic", "shop.store.db.connect"), ("shop.one", "json"), ("shop.one", "declaredthing"), ("shop.one", "otherthing.x"), ("shop.store.db", "shop.core.logic"), ("shop.one", "shop.Public"), ("shop.one", "requests"), ("shop.one", ".left"), ("shop.core.logic", "..two.*"), ("shop.one", "shopp.core.logic"), ("shop.one", "shop.core.logic.decided"), ("shop.one", "yaml")]
+    rows = {(r.importer, r.raw): r for r in predict.verify_imports(repos, spark.createDataFrame([("a", i, n) for i, n in plans], "repo string, importer string, raw string")).collect()}
+    want = "cycle hallucinated safe boundary safe safe hallucinated cycle safe missing_dependency safe review_needed hallucinated hallucinated missing_dependency"
+    assert [rows[p].bucket for p in plans] == want.split()
+    assert rows["shop.one", "shopp.core.logic"].similar[0] == "shop.core.logic" and rows["shop.one", "shop.core.logic.decided"].similar == ["decide"]
+    assert rows["shop.one", "yaml"].distribution == "pyyaml" and rows["shop.one", "shop.left.VALUE as v"].similar == []
     assert predict.cycle_path(repos, "a", "shop.store.db", "shop.main") == ["shop.store.db", "shop.main", "shop.core.logic", "shop.store.db"]
 
 
@@ -337,3 +340,64 @@ def test_accepted_settings_have_an_effect(spark):
     frameworks = lambda r: {x.framework for x in r.frameworks.collect()}
     assert frameworks(plain) == {"flask", "celery"} and frameworks(look("frameworks = ['flask']\n")) == {"flask"}
     assert frameworks(look("framework_heuristics = false\n")) == frameworks(look("frameworks = 'none'\n")) == set()
+
+
+COMMENTED = {
+    "src/app/one.py": "# srcquarry: ignore[unused-symbol]\n\ndef main():\n    return 1\n",
+    "src/app/two.py": "import os\n" + "".join(f"v{i} = {i}\n" for i in range(20)) + "x = 1  # srcquarry: ignore[large-file]  # srcquarry: ignore[parse-error] why\ny = 2\n# srcquarry: ignore[large-file]",
+    "src/app/only.py": "# srcquarry: ignore[large-file]\n",
+    "src/app/win.py": "a = 1\r\nb = 2  # srcquarry: ignore[large-file]\r\n",
+    "src/app/none.py": "a = 1\n",
+}
+
+
+def test_patches_apply(spark, tmp_path):
+    import subprocess
+
+    from srcquarry.plans import patches
+
+    files = spark.createDataFrame([("a", p, t) for p, t in COMMENTED.items()], "repo string, path string, text string")
+    found = api.analyze(api.repositories(files, Project(entry=("src/app/one.py",))))
+    edits = patches.stale_comments(found)
+    got = {r.path: r.patch for r in patches.unified(edits, files).collect()}
+    assert set(got) == set(COMMENTED) - {"src/app/none.py"}
+    for p, t in COMMENTED.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_bytes(t.encode())
+    for text in got.values():
+        done = subprocess.run(["git", "apply", "-"], input=text.encode(), cwd=tmp_path, capture_output=True)
+        assert done.returncode == 0, (text, done.stderr)
+    after = {p: (tmp_path / p).read_bytes().decode() if (tmp_path / p).exists() else None for p in COMMENTED}
+    assert after["src/app/one.py"] == "\ndef main():\n    return 1\n"
+    assert after["src/app/two.py"] == COMMENTED["src/app/two.py"].split("x = 1")[0] + "x = 1    # why\ny = 2\n"
+    assert after["src/app/only.py"] in ("", None) and after["src/app/none.py"] == COMMENTED["src/app/none.py"]
+    assert after["src/app/win.py"] == "a = 1\r\nb = 2\r\n"
+    plan = report.fix_plan(found, patches.as_patches(edits))
+    assert {(json.loads(x["minimal_patch"])["type"], x["file"].rpartition("/")[2]) for x in plan["auto_safe"]} >= {("delete_line", "one.py"), ("replace_line", "win.py")}
+    assert all(x["rationale"] and x["hint"] for bucket in report.BUCKETS for x in plan[bucket])
+
+
+def test_sarif_places_and_line_hashes(spark, repos, found):
+    import hashlib
+
+    results = report.as_sarif(found.where("repo = 'a'"), repos.files, related=2)["runs"][0]["results"]
+    by = {r["properties"]["rule"]: r for r in results}
+    line = textwrap.dedent(FILES["src/shop/core/logic.py"]).lstrip("\n").split("\n")[3]
+    assert by["high-cyclomatic-complexity"]["partialFingerprints"]["primaryLocationLineHash"] == hashlib.sha1(line.encode()).hexdigest()
+    assert by["high-cyclomatic-complexity"]["locations"][0]["physicalLocation"]["region"] == {"startLine": 4, "endLine": 14}
+    gone = by["unused-runtime-dependency"]
+    assert len(gone["partialFingerprints"]["primaryLocationLineHash"]) == 40 and gone["relatedLocations"] == []
+    ways = by["circular-dependency"]["relatedLocations"]
+    assert [w["message"]["text"] for w in ways] == ["shop.left imports shop.right", "shop.right imports shop.left"] and [w["id"] for w in ways] == [1, 2]
+    copies = by["duplicate-code"]["relatedLocations"]
+    assert {c["physicalLocation"]["artifactLocation"]["uri"] for c in copies} == {"src/shop/one.py", "src/shop/two.py"}
+
+
+def test_states_decide_about_symbols(spark):
+    base = dict.fromkeys(rules.COLUMNS) | {"repo": "a", "rule": "unused-symbol", "severity": "warning", "confidence": "medium", "message": "m"}
+    cases = [([], "medium", "review_needed"), ([], "high", "auto_safe"), ([], "low", "manual_only"), (["public_api"], "high", "review_needed"), (["dynamic_uncertain"], "high", "review_needed"), (["framework_managed"], "low", "manual_only")]
+    kinds = ", ".join(f"{c} {'array<string>' if c == 'flags' else 'int' if 'line' in c else 'string'}" for c in base)
+    rows = [tuple((base | {"flags": f, "confidence": c, "symbol": str(n)}).values()) for n, (f, c, _) in enumerate(cases)]
+    got = {r.symbol: r for r in rules.classified(spark.createDataFrame(rows, kinds)).collect()}
+    assert [got[str(n)].decision for n in range(len(cases))] == [d for *_, d in cases]
+    assert "public" in got["3"].rationale and "framework" not in got["5"].rationale.lower()
