@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcquarry.plans import patches, report, rules
+from srcquarry.plans import evidence, patches, report, rules
 from srcquarry.plans.graph_queries import REACH_SQL
 from srcquarry.plans.resolve import Repositories
 from srcquarry.plans.tables import EDGES_SQL, edges, table
@@ -186,6 +186,29 @@ def source_line_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.with_line_hashes(found, files).select(F.col("repo").alias("brand"), "path", "line", "line_hash")
 
 
+def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each customer the report of a run with an item for each order: a plan, a list of issues, or a text that breaks off."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    severity = F.when(F.col("o_orderstatus") == "F", "error").when(F.col("o_orderstatus") == "O", "warning").otherwise("info")
+    item = F.struct(F.col("o_orderpriority").alias("rule"), severity.alias("severity"), F.when(F.col("o_totalprice") > 150000, "high").otherwise("low").alias("confidence"), F.col("o_orderkey").cast("string").alias("fingerprint"))
+    each = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(item).alias("items")).join(c, "c_custkey")
+    text = F.when(F.col("c_custkey") % 3 == 0, F.to_json(F.struct(F.col("items").alias("blocking")))).otherwise(F.to_json(F.struct(F.col("items").alias("issues"))))
+    text = F.when(F.col("c_custkey") % 10 == 1, F.substring(text, 1, 25)).otherwise(text)
+    return each.select(F.format_string("nation%d", "c_nationkey").alias("repo"), F.col("c_custkey").cast("string").alias("report"), text.alias("text"))
+
+
+def evidence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, unread = evidence.findings_of(run_reports(spark, sf_dir))
+    lost = unread.groupBy("repo").agg(F.count("*").alias("n")).select(F.lit("unread").alias("what"), F.col("repo").alias("value"), "n")
+    return evidence.counters(found).unionByName(lost)
+
+
+def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events as findings of their users: which were not seen in the last day of all events."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("repo"), F.col("event_type").alias("fingerprint"), F.col("ts").cast("timestamp").alias("seen"))
+    return evidence.states(e, "1 day").select("repo", "fingerprint", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "runs", "status")
+
+
 def number_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d+)\.py$", 1).cast("long")
 
@@ -217,6 +240,17 @@ QUERIES = {
         WHEN 0 THEN concat_ws(chr(10), '@@ -1,3 +1,2 @@', ' a = 1', '-# srcquarry: ignore[large-file]', ' c = 3', '\ No newline at end of file', '')
         ELSE concat_ws(chr(10), '@@ -1,3 +1,3 @@', ' a = 1', '-b = ' || s_suppkey || '  # srcquarry: ignore[large-file] for now', '+b = ' || s_suppkey || '  # for now', ' c = 3', '\ No newline at end of file', '') END AS patch
         FROM (SELECT *, 'src/s' || s_suppkey || '.py' AS f FROM supplier) WHERE s_suppkey % 3 < 2""",
+    evidence_counters: """WITH f AS (SELECT o_orderpriority AS rule, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE 'info' END AS severity,
+            CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS confidence, 'nation' || c_nationkey AS repo, o_custkey AS c
+            FROM orders JOIN customer ON o_custkey = c_custkey),
+        g AS (SELECT *, CASE WHEN c % 3 = 0 OR severity = 'error' OR (severity = 'warning' AND confidence = 'high') THEN 'blocking' WHEN severity = 'info' THEN 'auto_safe' ELSE 'review_needed' END AS bucket
+            FROM f WHERE c % 10 <> 1)
+        SELECT 'rule' AS what, rule AS value, count(*) AS n FROM g GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM g GROUP BY 2
+        UNION ALL SELECT 'confidence', confidence, count(*) FROM g GROUP BY 2 UNION ALL SELECT 'repo', repo, count(*) FROM g GROUP BY 2
+        UNION ALL SELECT 'bucket', bucket, count(*) FROM g GROUP BY 2 UNION ALL SELECT 'unread', repo, count(DISTINCT c) FROM f WHERE c % 10 = 1 GROUP BY 2""",
+    evidence_states: """SELECT user_id::VARCHAR AS repo, event_type AS fingerprint, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS runs,
+        CASE WHEN max(ts) < (SELECT max(ts) FROM events) - INTERVAL 1 DAY THEN 'resolved' ELSE 'open' END AS status
+        FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY user_id, event_type""",
     source_line_hashes: """SELECT p_brand AS brand, 'src/app/p' || p_partkey || '.py' AS path, 1 AS line, sha1('def work(value):') AS line_hash
         FROM part WHERE 1 + p_size % 7 > 4""",
     source_duplicates: """WITH p AS (SELECT p_brand AS brand, p_size % 5 AS k, 'src/app/p' || p_partkey || '.py' AS path FROM part),

@@ -30,3 +30,36 @@ def event_counts(spark: SparkSession, path: str, width: str = "1 hour", late: st
     events = spark.readStream.schema(kind).parquet(path)
     ts = F.col("ts").cast("timestamp")
     return events.withColumn("at", ts).withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+STATE = "repo string, fingerprint string, first_seen timestamp, last_seen timestamp, runs long, status string"
+
+
+def lifecycles(findings: DataFrame, expiry_ms: int, late: str = "0 seconds") -> DataFrame:
+    """A stream of states of each (repo, fingerprint): open whenever it is seen, resolved once event time has passed its last
+    sight by ``expiry_ms``; then its state is dropped.  The last row of a key is its state, as ``plans.evidence.states`` has it.
+    """
+
+    def update(key, frames, state):
+        import pandas as pd
+
+        def row(first, last, runs, status):
+            stamp = lambda ms: pd.Timestamp(ms, unit="ms")
+            return pd.DataFrame({"repo": [key[0]], "fingerprint": [key[1]], "first_seen": [stamp(first)], "last_seen": [stamp(last)], "runs": [runs], "status": [status]})
+
+        if state.hasTimedOut:
+            first, last, runs = state.get
+            state.remove()
+            yield row(first, last, runs, "resolved")
+            return
+        first, last, runs = state.get if state.exists else (None, None, 0)
+        for f in frames:
+            ms = f["seen"].astype("datetime64[ms]").astype("int64")
+            first, last, runs = min(ms.min(), first if first is not None else ms.min()), max(ms.max(), last if last is not None else ms.max()), runs + len(f)
+        first, last = int(first), int(last)
+        state.update((first, last, runs))
+        state.setTimeoutTimestamp(max(last + expiry_ms, state.getCurrentWatermarkMs() + 1))
+        yield row(first, last, runs, "open")
+
+    known = findings.where("fingerprint IS NOT NULL AND seen IS NOT NULL").select("repo", "fingerprint", "seen").withWatermark("seen", late)
+    return known.groupBy("repo", "fingerprint").applyInPandasWithState(update, STATE, "first long, last long, runs long", "update", "EventTimeTimeout")

@@ -181,3 +181,60 @@ def test_similar_equals_comparing_all(spark):
     got = similar.similar(spark.createDataFrame(asked, "repo string, name string, cutoff double"), spark.createDataFrame(known, "repo string, name string"), ["repo"]).collect()
     want = {(k, n, c): difflib.get_close_matches(n, sorted({x for q, x in known if q == k}), 3, c) for k, n, c in asked if n}
     assert {(g.repo, g.name, g.cutoff): g.close for g in got} == want and len(got) == len(want)
+
+
+def test_reports_of_many_runs(spark, tmp_path):
+    import json
+
+    from srcquarry.plans import evidence as together
+
+    plan = {"blocking": [{"rule": "r1", "severity": "error", "fingerprint": "f1", "file": "a.py", "one_liner": "say"}, 3], "review_needed": [], "issues": [{"rule": "no"}]}
+    plain = {"issues": [{"code": "r2", "severity": "Warning", "confidence": "HIGH", "path": "b.py"}, {"severity": "info"}, {"rule": "r1"}, "x", None]}
+    (tmp_path / "deep").mkdir()
+    for name, text in (("p.json", json.dumps(plan)), ("deep/q.json", json.dumps(plain)), ("deep/bad.json", "{"), ("list.json", "[1]"), ("empty.json", "{}"), ("other.txt", json.dumps(plan))):
+        (tmp_path / name).write_text(text)
+    found, unread = together.findings_of(together.report_files(spark, str(tmp_path), repo="o/n"))
+    got = sorted((r.report.rpartition("/")[2], r.bucket, r.rule, r.severity, r.confidence, r.file, r.message) for r in found.collect())
+    assert got == [
+        ("p.json", "blocking", "r1", "error", "unknown", "a.py", "say"),
+        ("q.json", "auto_safe", "unknown", "info", "unknown", "", ""),
+        ("q.json", "blocking", "r2", "Warning", "HIGH", "b.py", ""),
+        ("q.json", "review_needed", "r1", "unknown", "unknown", "", ""),
+    ]
+    assert sorted(r.report.rpartition("/")[2] for r in unread.collect()) == ["bad.json", "list.json"]
+    assert {(r.what, r.value): r.n for r in together.counters(found).collect()}[("rule", "r1")] == 2
+    text = together.summary_markdown(found, unread)
+    assert "- `r1`: 2" in text and "- o/n: skipped" in text and "- Findings observed: 4" in text
+    many = found.crossJoin(spark.range(30)).drop("id")
+    lines = list(together.comment(many))
+    assert "### blocking (60)" in lines and "- ... 40 more" in lines and list(together.comment(found.limit(0)))[-1] == "Nothing was found."
+
+
+def test_lifecycles_of_a_replayed_stream(spark, tmp_path):
+    """The last state of each key is what the batch says, however the runs are dealt over batches."""
+    import json
+
+    from srcquarry.plans import evidence as together
+
+    r = random.Random(16)
+    rows = [{"repo": r.choice("ab"), "fingerprint": r.choice(["f1", "f2", "f3", "f4", None]), "seen": f"2024-01-{day:02} {r.randint(10, 20)}:00:00"} for day in range(1, 13) for _ in range(6)]
+    rows += [{"repo": "a", "fingerprint": "early", "seen": "2024-01-01 09:00:00"}, {"repo": "z", "fingerprint": "last", "seen": "2024-01-30 00:00:00"}, {"repo": "z", "fingerprint": "last", "seen": "2024-01-30 01:00:00"}]
+    source = tmp_path / "in"
+    source.mkdir()
+    kind = "repo string, fingerprint string, seen timestamp"
+    q = evidence.lifecycles(spark.readStream.schema(kind).json(str(source)), 5 * 86_400_000).writeStream.outputMode("update").format("memory").queryName("lifecycles").option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        for n, k in enumerate(range(0, len(rows), 15)):
+            (source / f"{n:03}.json").write_text("\n".join(map(json.dumps, sorted(rows, key=lambda x: x["seen"])[k : k + 15])))
+            q.processAllAvailable()
+        got = {}
+        for row in spark.table("lifecycles").collect():
+            key = (row.repo, row.fingerprint)
+            if key not in got or (row.last_seen, row.status == "resolved") >= (got[key].last_seen, got[key].status == "resolved"):
+                got[key] = row
+    finally:
+        q.stop()
+    want = together.states(spark.read.schema(kind).json(str(source)), "5 days").collect()
+    assert {k: (v.last_seen, v.status) for k, v in got.items()} == {(w.repo, w.fingerprint): (w.last_seen, w.status) for w in want}
+    whole = {(w.repo, w.fingerprint): (w.first_seen, w.runs) for w in want}
+    assert all(whole[k] == (v.first_seen, v.runs) for k, v in got.items())
