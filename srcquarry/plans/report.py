@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from srcquarry.functions.text import ranked
 from srcquarry.operators import aggregates, joins
+from srcquarry.plans.resolve import Repositories
 from srcquarry.plans.rules import ALIASES, CONFIDENCES, RULES, SEVERITIES
 
 BUCKETS = ("auto_safe", "review_needed", "blocking", "manual_only")
@@ -78,6 +79,12 @@ def compared(findings: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataF
     return joins.missing(findings, baseline, "repo", "fingerprint"), joins.matching(findings, baseline, "repo", "fingerprint"), joins.missing(baseline, findings, "repo", "fingerprint").select("repo", "fingerprint").distinct()
 
 
+def with_baseline_status(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``findings`` with ``baseline_status``: existing or new."""
+    known = baseline.select("repo", "fingerprint").distinct().withColumn("_known", F.lit(True))
+    return findings.join(known, ["repo", "fingerprint"], "left").withColumn("baseline_status", F.when(F.col("_known"), "existing").otherwise("new")).drop("_known")
+
+
 def buckets(findings: DataFrame) -> DataFrame:
     return aggregates.in_buckets(findings, F.col("decision"), BUCKETS)
 
@@ -122,6 +129,53 @@ def json_parts(findings: DataFrame) -> Iterator[str]:
     yield "}"
 
 
+LIMITATIONS = (
+    "Sources are parsed and never run: what is imported, called or registered by computed names is not seen.",
+    "Frameworks are told by names and decorators, so unusual registrations look unused.",
+    "Packages are known by name; their versions and what they bring along are not read.",
+    "Equal code is told by windows of tokens, not by what it does.",
+)
+
+
+def ambiguities(r: Repositories) -> DataFrame:
+    """(repo, module, selected_path, shadowed_path) of files whose module another file, first by path, already has."""
+    return r.shadowed.select("repo", "module", F.col("kept_path").alias("selected_path"), F.col("path").alias("shadowed_path"))
+
+
+def metrics(r: Repositories) -> DataFrame:
+    """A row for each repository: functions, mean (two places) and greatest complexity, modules, lines and imports."""
+    f = r.functions.groupBy("repo").agg(F.count("*").alias("functions"), F.round(F.avg("cyclomatic"), 2).alias("mean_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"), F.round(F.avg("cognitive"), 2).alias("mean_cognitive"), F.max("cognitive").alias("max_cognitive"))
+    m = r.modules.groupBy("repo").agg(F.count("*").alias("modules"), F.sum("line_count").alias("lines"))
+    i = r.imports.groupBy("repo").agg(F.count("*").alias("imports"))
+    return m.join(f, "repo", "left").join(i, "repo", "left").na.fill(0)
+
+
+def module_rows(r: Repositories) -> DataFrame:
+    """Every module with its place, states, degrees over distinct neighbours and instability (three places, 0 without edges)."""
+    d = aggregates.degrees(r.edges)
+    m = r.states.join(r.modules.select("repo", "module", "path", "line_count", "is_test"), ["repo", "module"]).withColumn("node", F.concat_ws(":", "repo", "module")).join(d, "node", "left").drop("node")
+    both = F.coalesce("fan_in", F.lit(0)) + F.coalesce("fan_out", F.lit(0))
+    return m.na.fill(0, ["fan_in", "fan_out"]).withColumn("instability", F.coalesce(F.round(F.try_divide(F.coalesce("fan_out", F.lit(0)), both), 3), F.lit(0.0)))
+
+
+def whole_json_parts(r: Repositories, findings: DataFrame) -> Iterator[str]:
+    """The findings with what they rest on: modules, edges, cycles, ambiguous names, frameworks, measures and limits."""
+    yield f'{{"summary": {json.dumps(summary(findings).first().asDict(), sort_keys=True)}, "truncated": false, "issues": '
+    yield from listed(lines(json_items(findings)))
+    tables = {
+        "modules": (module_rows(r), ["repo", "module"]),
+        "edges": (r.edges.select("repo", F.col("importer").alias("from"), F.col("target").alias("to"), "path", "line", "symbol", "type_checking"), ["repo", "from", "to", "line", "symbol"]),
+        "cycles": (r.cycle_paths.select("repo", "scc_id", "path", "steps"), ["scc_id"]),
+        "module_ambiguities": (ambiguities(r), ["repo", "module", "shadowed_path"]),
+        "frameworks": (r.frameworks, ["repo", "framework"]),
+        "metrics": (metrics(r), ["repo"]),
+    }
+    for name, (df, keys) in tables.items():
+        yield f', "{name}": '
+        yield from listed(lines(df.orderBy(*keys).select(as_object(*df.columns))))
+    yield f', "limitations": {json.dumps(LIMITATIONS)}}}'
+
+
 def as_json(findings: DataFrame) -> str:
     return "".join(json_parts(findings))
 
@@ -283,6 +337,26 @@ def context(modules: DataFrame, edges: DataFrame, findings: DataFrame, k: int =
     }
 
 
+def context_json(tables: dict[str, DataFrame]) -> dict[str, list[dict]]:
+    """The small tables of ``context`` as lists."""
+    return {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in tables.items()}
+
+
+def context_markdown(tables: dict[str, DataFrame]) -> str:
+    """The same for readers."""
+    out = ["# Code base"]
+    for name, rows in context_json(tables).items():
+        out += ["", f"## {name.replace('_', ' ').replace('-', ' ').capitalize()}"]
+        for r in rows:
+            if "rule" in r:
+                out.append(f"- `{r['rule']}` {r['path']}:{r['line']} {r['message']}")
+            else:
+                key, *rest = r.items()
+                out.append(f"- {key[1]}: " + ", ".join(f"{k} {v}" for k, v in rest))
+        out += [] if rows else ["- none"]
+    return "\n".join(out) + "\n"
+
+
 def explained(findings: DataFrame, fingerprint: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """(the finding, up to ``k`` others of its file)."""
     one = findings.where(F.col("fingerprint") == fingerprint)

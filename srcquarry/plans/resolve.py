@@ -21,6 +21,9 @@ from srcquarry.sources.scratch import stored
 #: File names by which a module is started.
 ENTRY_FILES = "__main__.py main.py app.py manage.py asgi.py wsgi.py server.py cli.py worker.py".split()
 
+#: Folders that hold sources where none are set.
+SOURCE_DIRS = "src app backend server service".split()
+
 #: Frameworks that imports and declarations name, and file names that belong to one.
 FRAMEWORKS = "celery click django fastapi flask pydantic pytest sqlalchemy typer".split()
 DJANGO_FILES = "settings.py urls.py asgi.py wsgi.py".split()
@@ -61,15 +64,18 @@ class Repositories:
     def all_modules(self) -> tuple[DataFrame, DataFrame]:
         """(modules, shadowed files): of the files with one module name the first path counts."""
         roots = sorted((r.strip("/") for r in self.project.roots), key=len, reverse=True)
-        inner, path = F.col("path"), F.col("path")
+        raw, inner, path = self.raw, F.col("path"), F.col("path")
         for r in reversed(roots):  # the deepest root that holds the file
             if r not in ("", "."):
                 inner = F.when(path.startswith(f"{r}/"), F.substring(path, len(r) + 2, 1 << 20)).otherwise(inner)
+        if not roots:
+            raw, inner = raw.join(found_roots(raw), "repo").where("root OR array_contains(dirs, substring_index(path, '/', 1))"), below_found(path)
         name = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, r"\.py$", ""), r"(^|/)__init__$", ""), "/", ".")
-        rows = self.raw.select("repo", "path", name.alias("module"), F.substring_index("path", "/", -1).alias("file"), "line_count", "generated", "parse_error", "error_line", "error_column", "dynamic_hints", F.coalesce("framework_hints", F.array().cast("array<string>")).alias("framework_hints"), is_test(path).alias("is_test"), path.rlike("(^|/)migrations/").alias("is_migration"))
+        rows = raw.select("repo", "path", name.alias("module"), F.substring_index("path", "/", -1).alias("file"), "line_count", "generated", "parse_error", "error_line", "error_column", "dynamic_hints", F.coalesce("framework_hints", F.array().cast("array<string>")).alias("framework_hints"), is_test(path).alias("is_test"), path.rlike("(^|/)migrations/").alias("is_migration"))
         rows = rows.withColumn("is_package", F.col("file") == "__init__.py").where("module <> ''")
         if not self.project.namespace_packages:
-            rows = in_packages(rows.withColumn("inner", inner)).drop("inner")
+            below = raw.select("repo", "path", inner.alias("inner"))
+            rows = in_packages(rows.join(below, ["repo", "path"])).drop("inner")
         return tuple(stored(x, "modules") for x in joins.first_rows(rows, ["repo", "module"], "path"))
 
     @property
@@ -278,6 +284,21 @@ class Repositories:
         return self.all_modules[1]
 
 
+def found_roots(files: DataFrame) -> DataFrame:
+    """(repo, dirs, root): which of the usual source folders each repository has, and whether its own folder is a root too: it
+    holds files or packages, or there is no such folder."""
+    nested, top = F.contains("path", F.lit("/")), F.substring_index("path", "/", 1)
+    own = F.some(~nested | F.col("path").rlike(r"^[^/.][^/]*/__init__\.py$"))
+    each = files.groupBy("repo").agg(F.collect_set(F.when(nested & top.isin(*SOURCE_DIRS), top)).alias("dirs"), own.alias("own"))
+    return each.select("repo", "dirs", (F.col("own") | (F.size("dirs") == 0)).alias("root"))
+
+
+def below_found(path: Column) -> Column:
+    """The path below the root that holds it, the deepest one."""
+    top = F.substring_index(path, "/", 1)
+    return F.when(F.contains(path, F.lit("/")) & F.array_contains(F.col("dirs"), top), F.substring(path, F.length(top) + 2, F.length(path))).otherwise(path)
+
+
 def in_packages(rows: DataFrame) -> DataFrame:
     """Of modules with their path ``inner`` below the root, those all of whose folders there hold an ``__init__.py``.
 

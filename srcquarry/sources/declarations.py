@@ -37,7 +37,7 @@ class Boundary:
 class Project:
     """What an analysis may be told; the same for all repositories of a run."""
 
-    roots: tuple[str, ...] = ("src", ".")
+    roots: tuple[str, ...] = ()  # none: found in each repository
     entry: tuple[str, ...] = ()
     include_tests: bool = False
     entry_symbols: tuple[str, ...] = ENTRY_SYMBOLS

@@ -153,9 +153,9 @@ def test_documents_hold_everything(spark, found, tmp_path):
     assert '  m_a7["m.a7"] --> m_b7["m.b7"]' in report.graph_text(edges) and '  "m.a7" -> "m.b7";' in report.graph_text(edges, "dot")
     shown = [r.asDict() for r in found.orderBy(*report.order()).collect()]
     assert json.loads(report.as_json(found))["issues"] == json.loads(json.dumps(shown))
-    from srcquarry.__main__ import FORMATS, emit
+    from srcquarry.__main__ import emit
 
-    emit(FORMATS["sarif"](many), str(tmp_path / "log.sarif"))
+    emit(report.sarif_parts(many), str(tmp_path / "log.sarif"))
     assert len(json.loads((tmp_path / "log.sarif").read_text(encoding="utf-8"))["runs"][0]["results"]) == 10_050
     assert report.as_text(many).endswith("... 9850 more")
 
@@ -401,3 +401,46 @@ def test_states_decide_about_symbols(spark):
     got = {r.symbol: r for r in rules.classified(spark.createDataFrame(rows, kinds)).collect()}
     assert [got[str(n)].decision for n in range(len(cases))] == [d for *_, d in cases]
     assert "public" in got["3"].rationale and "framework" not in got["5"].rationale.lower()
+
+
+def test_roots_are_found(spark):
+    paths = {
+        "one": ["src/a/x.py", "docs/conf.py"],
+        "two": ["backend/b.py", "setup.py", "tests/t.py"],
+        "three": ["pkg/__init__.py", "pkg/m.py", "app/c.py"],
+        "four": ["lib/d.py"],
+    }
+    files = spark.createDataFrame([(r, p, "x = 1\n") for r, ps in paths.items() for p in ps], "repo string, path string, text string")
+    got = {(m.repo, m.path): m.module for m in api.repositories(files, Project()).modules.collect()}
+    assert got == {
+        ("one", "src/a/x.py"): "a.x",
+        ("two", "backend/b.py"): "b", ("two", "setup.py"): "setup", ("two", "tests/t.py"): "tests.t",
+        ("three", "pkg/__init__.py"): "pkg", ("three", "pkg/m.py"): "pkg.m", ("three", "app/c.py"): "c",
+        ("four", "lib/d.py"): "lib.d",
+    }
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from srcquarry.__main__ import main
+
+    for p, t in {**COMMENTED, "src/alt/one.py": "x = 1\n", "alt/one.py": "y = 1\n", "pyproject.toml": "[tool.srcquarry]\nroots = ['src', '.']\nentry = ['src/app/two.py']\n"}.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(t, newline="")
+    folder = str(tmp_path)
+    assert main(["analyze", folder, "--format", "json", "--output", str(tmp_path / "out.json")]) == 0
+    whole = json.loads((tmp_path / "out.json").read_text(encoding="utf-8"))
+    assert len(whole["issues"]) == whole["summary"]["total_issues"] and whole["limitations"]
+    assert whole["module_ambiguities"] == [{"repo": "repo", "module": "alt.one", "selected_path": "alt/one.py", "shadowed_path": "src/alt/one.py"}]
+    assert {m["module"] for m in whole["modules"]} >= {"app.one", "app.two"} and whole["metrics"][0]["functions"] == 1
+    assert main(["agent-context", folder]) == 0 and "## Overview" in capsys.readouterr().out
+    assert main(["agent-context", folder, "--format", "json"]) == 0 and json.loads(capsys.readouterr().out)["overview"][0]["modules"] >= 5
+    assert main(["patch", folder]) == 0 and "-# srcquarry: ignore[large-file]" in capsys.readouterr().out
+    assert main(["baseline", folder]) == 0
+    assert main(["compare", folder, "--fail-on", "any"]) == 0 and "new 0," in capsys.readouterr().err
+    (tmp_path / "src/app/fresh.py").write_text("def unused():\n    return 1\n")
+    assert main(["compare", folder, "--fail-on", "any", "--format", "json"]) == 1
+    assert {x["baseline_status"] for x in json.loads(capsys.readouterr().out)["issues"]} == {"new", "existing"}
+    assert main(["analyze", str(tmp_path / "nothing")]) == 2 and main(["analyze", folder, "--baseline", str(tmp_path / "none")]) == 2
+    with pytest.raises(SystemExit) as stop:
+        main(["--version"])
+    assert stop.value.code == 0
