@@ -11,7 +11,7 @@ from srcquarry.plans import evidence, patches, report, rules
 from srcquarry.plans.graph_queries import REACH_SQL
 from srcquarry.plans.resolve import Repositories
 from srcquarry.plans.tables import EDGES_SQL, edges, table
-from srcquarry.sources.declarations import Project
+from srcquarry.sources.declarations import Boundary, Project, declarations
 
 PROJECT = Project(roots=("src",), entry=("src/app/n0.py",), min_lines=4, min_tokens=12, max_cyclomatic=4, max_cognitive=100, hotspot_score=1000)
 
@@ -56,8 +56,8 @@ def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each customer whose key three divides, in the repository of its nation, three modules that import one another in a ring."""
-    c = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0")
+    """For each customer, in the repository of its nation, three modules that import one another in a ring."""
+    c = table(spark, sf_dir, "customer")
     rows = c.select(F.format_string("nation%d", "c_nationkey").alias("repo"), "c_custkey", F.inline(F.expr("array(struct('a' AS m, 'from app import k%d_c, k%d_b' AS t), struct('b' AS m, 'import app.k%d_c' AS t), struct('c' AS m, 'from app import k%d_a, k%d_a' AS t))")))
     return rows.select("repo", F.format_string("src/app/k%d_%s.py", "c_custkey", "m").alias("path"), F.replace("t", F.lit("%d"), F.col("c_custkey").cast("string")).alias("text"))
 
@@ -209,6 +209,46 @@ def evidence_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.states(e, "1 day").select("repo", "fingerprint", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us"), "runs", "status")
 
 
+def dependent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier a file, every fourth one a test, that imports one of five packages; each nation declares two and one more."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    repo = F.format_string("nation%d", "s_nationkey").alias("repo")
+    path = F.when(k % 4 == 0, F.format_string("tests/test_s%d.py", k)).otherwise(F.format_string("src/s%d.py", k))
+    code = s.select(repo, path.alias("path"), F.format_string("import pkg%d\n", k % 5).alias("text"))
+    return code.unionByName(s.select(repo).distinct().select("repo", F.lit("requirements.txt").alias("path"), F.lit("pkg0>=1\npkg1\npkg9 # idle\n").alias("text")))
+
+
+def source_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared against used packages."""
+    files = dependent_files(spark, sf_dir)
+    return rules.dependencies(Repositories(files, PROJECT, declarations(files))).select("repo", "rule", F.col("target").alias("package"), "severity")
+
+
+def source_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complexity findings that no comment suppresses, and comments of even parts that suppress nothing."""
+    comment = F.when(F.regexp_extract("path", r"(\d+)\.py$", 1).cast("int") % 2 == 0, "  # srcquarry: ignore[high-complexity]").otherwise("")
+    files = part_files(spark, sf_dir).withColumn("text", F.concat(F.lit("def work(value):"), comment, F.substring("text", 17, 10_000)))
+    r = Repositories(files, PROJECT)
+    return rules.with_suppressions(rules.complexity(r), r).select(F.col("repo").alias("brand"), number_of(F.col("path")).alias("p_partkey"), "rule")
+
+
+def source_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of nations 20 to 24 by nations 10 to 19."""
+    rule = Boundary("tens", ("app.n1?",), ("src/app/n2?.py",), "error")
+    found = rules.boundaries(Repositories(nation_files(spark, sf_dir), replace(PROJECT, boundaries=(rule,))))
+    return found.select(number("module").cast("int").alias("src"), number("target").cast("int").alias("dst"), "severity").distinct()
+
+
+def source_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complexity findings against those of odd parts under a lower limit."""
+    files = part_files(spark, sf_dir)
+    now = rules.fingerprinted(rules.complexity(Repositories(files, PROJECT)))
+    odd = files.where(F.regexp_extract("path", r"(\d+)\.py$", 1).cast("int") % 2 == 1)
+    before = report.baseline_of(rules.fingerprinted(rules.complexity(Repositories(odd, replace(PROJECT, max_cyclomatic=3)))))
+    new, existing, resolved = (df.groupBy(F.col("repo").alias("brand")).agg(F.count("*").alias("n")) for df in report.compared(now, before))
+    return new.withColumn("status", F.lit("new")).unionByName(existing.withColumn("status", F.lit("existing"))).unionByName(resolved.withColumn("status", F.lit("resolved")))
+
+
 def number_of(path: Column) -> Column:
     return F.regexp_extract(path, r"(\d+)\.py$", 1).cast("long")
 
@@ -224,7 +264,7 @@ QUERIES = {
     source_complexity: "SELECT p_brand AS brand, p_partkey, (1 + p_size % 7)::INT AS cyclomatic, (p_size % 7)::INT AS cognitive, (2 + 2 * (p_size % 7))::INT AS lines FROM part",
     source_findings: "SELECT p_brand AS brand, 'high-cyclomatic-complexity' AS rule, count(*) AS n FROM part WHERE 1 + p_size % 7 > 4 GROUP BY 1",
     source_cycle_paths: """SELECT 'nation' || c_nationkey AS repo, printf('app.k%d_a -> app.k%d_b -> app.k%d_c -> app.k%d_a', c_custkey, c_custkey, c_custkey, c_custkey) AS way,
-        3::INT AS steps, 3::INT AS members FROM customer WHERE c_custkey % 3 = 0""",
+        3::INT AS steps, 3::INT AS members FROM customer""",
     source_exports: """WITH own AS (SELECT 'r' || n_regionkey AS region, 'N' || n_nationkey AS name, n_regionkey % 2 = 1 AS complete FROM nation)
         SELECT module, name, 'star-reexport' AS source, region || '.impl' AS origin_module, name AS origin_symbol, 'low' AS confidence, complete, false AS explicit
         FROM (SELECT *, region AS module FROM own UNION ALL SELECT *, 'world' FROM own UNION ALL SELECT *, 'ring' FROM own)""",
@@ -240,6 +280,16 @@ QUERIES = {
         WHEN 0 THEN concat_ws(chr(10), '@@ -1,3 +1,2 @@', ' a = 1', '-# srcquarry: ignore[large-file]', ' c = 3', '\ No newline at end of file', '')
         ELSE concat_ws(chr(10), '@@ -1,3 +1,3 @@', ' a = 1', '-b = ' || s_suppkey || '  # srcquarry: ignore[large-file] for now', '+b = ' || s_suppkey || '  # for now', ' c = 3', '\ No newline at end of file', '') END AS patch
         FROM (SELECT *, 'src/s' || s_suppkey || '.py' AS f FROM supplier) WHERE s_suppkey % 3 < 2""",
+    source_dependencies: """WITH u AS (SELECT 'nation' || s_nationkey AS repo, 'pkg' || s_suppkey % 5 AS package, bool_and(s_suppkey % 4 = 0) AS tests FROM supplier GROUP BY 1, 2),
+        d AS (SELECT DISTINCT 'nation' || s_nationkey AS repo, unnest(['pkg0', 'pkg1', 'pkg9']) AS package FROM supplier),
+        x AS (SELECT repo, package, CASE WHEN d.package IS NULL AND NOT tests THEN 'missing-runtime-dependency' WHEN u.package IS NULL THEN 'unused-runtime-dependency'
+            WHEN d.package IS NOT NULL AND tests THEN 'runtime-dependency-used-only-in-tests' END AS rule FROM u FULL JOIN d USING (repo, package))
+        SELECT repo, rule, package, CASE WHEN rule LIKE 'missing%' THEN 'error' ELSE 'warning' END AS severity FROM x WHERE rule IS NOT NULL""",
+    source_suppressions: """SELECT p_brand AS brand, p_partkey, CASE WHEN p_partkey % 2 = 1 THEN 'high-cyclomatic-complexity' ELSE 'stale-suppression' END AS rule
+        FROM part WHERE (p_partkey % 2 = 1) = (1 + p_size % 7 > 4)""",
+    source_boundaries: f"WITH {EDGES_SQL} SELECT DISTINCT src, dst, 'error' AS severity FROM edges WHERE src BETWEEN 10 AND 19 AND dst BETWEEN 20 AND 24",
+    source_baseline: """WITH p AS (SELECT p_brand AS brand, p_partkey % 2 = 1 AS odd, 1 + p_size % 7 AS c FROM part)
+        SELECT brand, count(*) AS n, CASE WHEN c <= 4 THEN 'resolved' WHEN odd THEN 'existing' ELSE 'new' END AS status FROM p WHERE c > 4 OR (odd AND c > 3) GROUP BY 1, 3""",
     evidence_counters: """WITH f AS (SELECT o_orderpriority AS rule, CASE o_orderstatus WHEN 'F' THEN 'error' WHEN 'O' THEN 'warning' ELSE 'info' END AS severity,
             CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS confidence, 'nation' || c_nationkey AS repo, o_custkey AS c
             FROM orders JOIN customer ON o_custkey = c_custkey),
