@@ -96,7 +96,8 @@ def source_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Repositories(framework_files(spark, sf_dir), Project(include_tests=True)).frameworks
+    """Tests stand beside ``src``, so the repository's own folder is a root too; roots that are found would leave them out."""
+    return Repositories(framework_files(spark, sf_dir), Project(roots=("src", "."), include_tests=True)).frameworks
 
 
 def state_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -420,6 +420,16 @@ def test_roots_are_found(spark):
     }
 
 
+def test_frameworks_told_by_tests_beside_sources(spark, tmp_path):
+    """Nation 1 has source files and a test, nation 2 a test only, nation 3 neither."""
+    from srcquarry.plans.catalog import queries
+
+    keys = [(11, 1), (12, 1), (4, 1), (1, 2), (5, 3)]
+    spark.createDataFrame(keys, "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(tuple(r) for r in queries()["source_frameworks"](spark, str(tmp_path)).collect())
+    assert got == [("nation1", "django"), ("nation1", "pytest"), ("nation2", "pytest")]
+
+
 def test_command_line(spark, tmp_path, capsys):
     from srcquarry.__main__ import main
 
