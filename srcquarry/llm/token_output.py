@@ -16,7 +16,6 @@ empty table gives an empty table; a null doc_id comes first.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from array import array
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcquarry.llm.bpe import byte_alphabet
-from srcquarry.llm.common import Memo, held, keyed_text, map_rows, pa_schema, scratch, stored
+from srcquarry.llm.common import Memo, chunks, held, keyed_text, map_rows, pa_schema, scratch, stored
 
 BLOCK_IDS = 1 << 16
 BLOCK = "part int, start long, docs array<long>, lengths array<long>, control binary, data binary"
@@ -66,8 +65,39 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: Classes of the first 256 code points, and their lower case with white space made alike.
+OTHER, SPACE, LETTER, DIGIT = range(4)
+CLASSES = np.array([SPACE if c in "\t\n\v\f\r \x85\xa0" else LETTER if c.isalpha() else DIGIT if c in "0123456789²³¹¼½¾" else OTHER for c in map(chr, range(256))], np.uint8)
+LOWER = bytes(32 if CLASSES[c] == SPACE else ord(chr(c).lower()) for c in range(256))
+ENDINGS = np.array([c in b"stmd" for c in range(256)])
+TWO_LETTERS = [int.from_bytes(x) for x in (b"re", b"ve", b"ll")]
+
+
+def piece_starts(letters: np.ndarray) -> np.ndarray:
+    """Where the pretokens of lower-cased Latin-1 text start: runs of letters and of other signs, single digits, and the endings
+    's 't 're 've 'm 'll 'd, unless other signs stand right before them."""
+    kind = CLASSES[letters]
+    start = np.empty(len(kind), bool)
+    start[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == DIGIT
+    start &= kind != SPACE
+    at = np.flatnonzero((letters == 0x27) & start)
+    after = np.concatenate([letters, np.full(3, 32, np.uint8)])
+    one = ENDINGS[after[at + 1]]
+    two = ~one & np.isin(after[at + 1].astype(np.int32) << 8 | after[at + 2], TWO_LETTERS)
+    start[at[one | two] + 1] = False
+    for ends in (at[one] + 2, at[two] + 3):
+        start[ends[CLASSES[after[ends]] == LETTER]] = True
+    return np.flatnonzero(start)
+
+
 class WordEncoder:
-    """The tokenizers library, asked once for each distinct pretoken of ordinary text and for odd texts as a whole."""
+    """The tokenizers library, asked once for each distinct pretoken of ordinary text and for odd texts as a whole.
+
+    The pretokens of many texts are found by numpy and made distinct by Arrow, so that Python meets each once for
+    half a million characters.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -82,27 +112,55 @@ class WordEncoder:
         flags = {x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")}
         self.simple = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"] == PRE_TOKENIZER and flags <= {False}
         self.of = {b: c for c, b in byte_alphabet().items()}
-        self.word = Memo(self._word, 400_000)  # words and the pieces of words with punctuation
-        #: The pretokens of this vocabulary, for lower-cased text of the first 256 code points.
-        self.pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\\t-\\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-
-    def _word(self, word: str) -> bytes:
-        pieces = self.pieces.findall(word)
-        if len(pieces) != 1:
-            return b"".join(map(self.word.__getitem__, pieces))
-        piece = pieces[0]
-        letters = piece if piece.isascii() and piece.isprintable() else "".join(map(self.of.__getitem__, piece.encode()))  # printable ASCII stands for itself
-        return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+        self.tokenize = self.library.model.tokenize
+        self.piece = Memo(self._piece, 400_000)
+
+    def _piece(self, piece: bytes) -> bytes:
+        letters = piece.decode("latin-1")
+        if not piece.isalpha() and not (piece.isascii() and letters.isprintable()):  # printable ASCII stands for itself
+            letters = "".join(map(self.of.__getitem__, letters.encode()))
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
+
+    def ordinary(self, text: str) -> bytes | None:
+        """The lower case of text below code point 256, which is in NFC and whose lower case does not depend on the neighbours."""
+        if not self.simple or any(s in text for s in self.special):
+            return None
+        try:
+            return text.encode("latin-1").translate(LOWER)
+        except UnicodeEncodeError:
+            return None
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.simple and not any(s in text for s in self.special) and not any(c in text for c in "\x1c\x1d\x1e\x1f"):  # split() takes these for space
-            try:  # below code point 256 text is in NFC, and lower case does not depend on the neighbours
-                text.encode("latin-1")
-                return b"".join(map(self.word.__getitem__, text.lower().split()))
-            except UnicodeEncodeError:
-                pass
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for some in chunks(texts, 1 << 19) for ids in self._encode(some)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.ordinary(t) for t in texts]
+        text = b" ".join(p for p in plain if p is not None)
+        starts = piece_starts(np.frombuffer(text, np.uint8))
+        ends = np.cumsum([0] + [len(p) + 1 for p in plain if p is not None])
+        # each piece reaches to the next one, white space included
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(text)).astype(np.int32)), pa.py_buffer(text)]).dictionary_encode()
+        which = np.frombuffer(pieces.indices.buffers()[1], np.int32, len(starts))  # to_numpy would load pandas, to_pylist is slow
+        _, at, distinct = pieces.dictionary.buffers()
+        at, distinct = np.frombuffer(at, np.int32, len(pieces.dictionary) + 1).tolist(), distinct.to_pybytes()
+        known = [self.piece[distinct[a:b].rstrip(b" ")] for a, b in zip(at, at[1:])]
+        pool, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        n = sizes[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat((np.cumsum(sizes) - sizes)[which] - upto[:-1], n) + np.arange(upto[-1])]
+        cuts = iter(upto[np.searchsorted(starts, ends)].tolist())
+        out, a = [], next(cuts)
+        for t, p in zip(texts, plain):
+            if p is None:
+                out.append(array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes())
+            else:
+                a, b = next(cuts), a
+                out.append(ids[b:a].tobytes())
+        return out
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -116,7 +174,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, key: str, text: str) -> D
     def start():
         e = word_encoder(path)
         kind, end = "<u2" if e.size <= 1 << 16 else "<u4", end_id.to_bytes(4, "little")
-        return lambda keys, texts: {key: keys, "ids": [np.frombuffer(e.encode(t) + end, "<u4").astype(kind).tobytes() for t in texts]}
+        return lambda keys, texts: {key: keys, "ids": [np.frombuffer(ids + end, "<u4").astype(kind).tobytes() for ids in e.encode_all(texts)]}
 
     return map_rows(keyed_text(docs, key, text), f"{key} long, ids binary", start, key, text)
 

@@ -63,6 +63,21 @@ def test_word_encoder(texts):
         assert own.encode(t or "") == array("I", library.encode(t or "", add_special_tokens=False).ids).tobytes(), t
 
 
+def test_word_encoder_of_many_texts(texts):
+    """Each pretoken of a batch is asked for once, however often it stands there and however little the memo holds."""
+    own = token_output.WordEncoder(WORD)
+    make, own.piece.limit, asked = own.piece.make, 4, Counter()
+    own.piece.make = lambda piece: asked.update([piece]) or make(piece)
+    endings = ["it's", "IT'LL", "!'s", "''s", "x's's", "a'reb", "don'trust", "'d", "'", "a1²b", "é\x85É\xa0\x1c", "  ", "", "x'l", "x'v"]
+    r = np.random.default_rng(3)
+    drawn = ["".join(map(chr, r.integers(0, 256, 12))) for _ in range(300)]
+    batch = [*ODD, *texts.values(), *endings, *drawn]
+    assert own.encode_all([t or "" for t in batch]) == [array("I", own.library.encode(t or "", add_special_tokens=False).ids).tobytes() for t in batch]
+    asked.clear()
+    own.encode_all(["one two three, four! five. six seven"] * 50)
+    assert asked and max(asked.values()) <= 2  # with and without a space behind it
+
+
 def test_token_files(spark, docs):
     own = token_output.word_encoder(WORD)
     rows = sorted(((r.doc_id, own.encode(r.text or "") + (1).to_bytes(4, "little")) for r in docs.select("doc_id", "text").collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
