@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcquarry.sources.scratch import discard, scratch, stored
+from srcquarry.sources import scratch as tables
+from srcquarry.sources.scratch import discard, scratch
 
 __all__ = ["Memo", "chunks", "discard", "held", "keyed_text", "map_rows", "pa_schema", "released", "scratch", "slices", "stored", "table"]
 
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` with joins as Spark plans them: what the operators join with is small by its files too."""
+    return tables.stored(df, name, measured=False)
+
+
 def keyed_text(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
     """Just the columns an operator needs; a null text counts as empty."""
     return df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text), F.lit("")).alias(text), *more)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcquarry.sources.scratch import stored
+from srcquarry.sources.scratch import discard, stored
 
 
 def reachable(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -48,13 +48,14 @@ def reachable_views(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def least_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the least label of all nodes that reach each node along (src, dst), its own included."""
-    front = now = stored(labels, "labels")
+    now = stored(labels.select("node", "label", F.lit(True).alias("fresh")), "labels")
     while True:
-        sent = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        front = stored(now.join(sent, "node").where("new < label").select("node", F.col("new").alias("label")), "labels")
-        if front.isEmpty():
-            return now
-        now = stored(now.join(front.withColumnRenamed("label", "new"), "node", "left").select("node", F.least("label", "new").alias("label")), "labels")
+        sent = now.where("fresh").join(edges, F.col("node") == edges.src).groupBy(F.col("dst").alias("at")).agg(F.min("label").alias("new"))
+        after = now.join(sent, now.node == sent.at, "left").select("node", F.least("label", "new").alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("fresh"))
+        now, before = stored(after, "labels"), now
+        discard(before)
+        if now.where("fresh").isEmpty():
+            return now.drop("fresh")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

@@ -229,7 +229,8 @@ class Repositories:
     def cycle_paths(self) -> DataFrame:
         """(scc_id, repo, members, path, steps): a way round each cycle from its first member, and the first edge of each step."""
         inside = self.edges.join(self.cycles.select(F.col("node").alias("src"), "scc_id"), "src").join(self.cycles.select(F.col("node").alias("dst"), F.col("scc_id").alias("other")), "dst").where("scc_id = other")
-        walks = graph.round_trips(inside.select("scc_id", F.col("importer").alias("src"), F.col("target").alias("dst")))
+        inside = stored(inside.select("scc_id", "importer", "target", "path", "line", "symbol", "type_checking"), "inside")
+        walks = stored(graph.round_trips(inside.select("scc_id", F.col("importer").alias("src"), F.col("target").alias("dst"))), "walks")
         step = F.posexplode(F.zip_with(F.slice("path", F.lit(1), F.size("path") - 1), F.slice("path", F.lit(2), F.size("path") - 1), lambda a, b: F.struct(a.alias("importer"), b.alias("target"))))
         steps = walks.select("scc_id", step.alias("at", "step")).select("scc_id", "at", "step.importer", "step.target")
         edge = inside.groupBy("scc_id", "importer", "target").agg(F.min_by(F.struct("path", "line"), F.struct("path", "line", "symbol")).alias("e"), F.some("type_checking").alias("typed"))

@@ -55,9 +55,14 @@ def source_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in as many partitions as a shuffle makes: a small file of keys is one task, and much text comes of it."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def ring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer, in the repository of its nation, three modules that import one another in a ring."""
-    c = table(spark, sf_dir, "customer")
+    c = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     rows = c.select(F.format_string("nation%d", "c_nationkey").alias("repo"), "c_custkey", F.inline(F.expr("array(struct('a' AS m, 'from app import k%d_c, k%d_b' AS t), struct('b' AS m, 'import app.k%d_c' AS t), struct('c' AS m, 'from app import k%d_a, k%d_a' AS t))")))
     return rows.select("repo", F.format_string("src/app/k%d_%s.py", "c_custkey", "m").alias("path"), F.replace("t", F.lit("%d"), F.col("c_custkey").cast("string")).alias("text"))
 

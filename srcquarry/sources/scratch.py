@@ -29,31 +29,56 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+#: The size up to which Spark broadcasts a side of a join: by the sizes of files when it plans, and by measured rows afterwards.
+PLANNED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
 _lock = threading.Lock()
-#: By session: how many writes are under way, and the setting before the first of them.
-_writes: dict[int, tuple[int, str]] = {}
+#: By session and setting: how many writes hold it, and the session's own value (none: unset).
+_writes: dict[tuple[int, str], tuple[int, str | None]] = {}
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
+def value_of(spark: SparkSession, key: str) -> str | None:
+    """The session's value now; none where it leaves the size measured to the one planned with."""
+    return spark.conf.get(key) if key == PLANNED else spark.conf.get(key, "false" if key == CLEANUP else None)
+
+
 @contextmanager
-def cleaned_shuffles(spark: SparkSession) -> Iterator[None]:
-    """``CLEANUP`` holds while a write is under way; the last of several at once puts the session's own setting back."""
-    key = spark._jsparkSession.hashCode()
+def holding(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` hold while a write is under way; the last of several at once puts the session's own back."""
+    session = spark._jsparkSession.hashCode()
     with _lock:
-        n, before = _writes.get(key, (0, ""))
-        if not n:
-            before = spark.conf.get(CLEANUP, "false")
-            spark.conf.set(CLEANUP, "true")
-        _writes[key] = (n + 1, before)
+        for key, value in settings.items():
+            n, before = _writes.get((session, key), (0, None))
+            if not n:
+                before = value_of(spark, key)
+                spark.conf.set(key, value)
+            _writes[session, key] = (n + 1, before)
     try:
         yield
     finally:
         with _lock:
-            n, before = _writes.pop(key)
-            if n > 1:
-                _writes[key] = (n - 1, before)
-            else:
-                spark.conf.set(CLEANUP, before)
+            for key in settings:
+                n, before = _writes.pop((session, key))
+                if n > 1:
+                    _writes[session, key] = (n - 1, before)
+                elif before is None:
+                    spark.conf.unset(key)
+                else:
+                    spark.conf.set(key, before)
+
+
+def own_value(spark: SparkSession, key: str) -> str | None:
+    """The session's value of ``key``, whatever writes under way hold."""
+    session = spark._jsparkSession.hashCode()
+    with _lock:
+        return _writes[session, key][1] if (session, key) in _writes else value_of(spark, key)
+
+
+def write_settings(spark: SparkSession, measured: bool) -> dict[str, str]:
+    """Shuffle files go with their query.  If ``measured``, joins broadcast only what a shuffle has found small enough: packed files
+    of keys and nested facts are up to a hundred times as large as rows, and the driver holds every row it broadcasts."""
+    return {CLEANUP: "true"} | ({PLANNED: "-1", MEASURED: own_value(spark, MEASURED) or own_value(spark, PLANNED)} if measured else {})
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -64,14 +89,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: lineage ends there, and lost executors cost nothing.
+def stored(df: DataFrame, name: str, measured: bool = True) -> DataFrame:
+    """``df`` written as Parquet and read again: lineage ends there, and lost executors cost nothing.  ``measured``: see
+    ``write_settings``.
 
     The shuffle files behind it are not needed any more and go at once, so disk holds one step's and not all steps'.
     """
     spark = df.sparkSession
     path, schema = scratch(spark, name), df.schema
-    with cleaned_shuffles(spark):
+    with holding(spark, write_settings(spark, measured)):
         df.write.parquet(path)
     read = spark.read.schema(schema).parquet(path)
     read.scratch_path = path

@@ -238,3 +238,20 @@ def test_lifecycles_of_a_replayed_stream(spark, tmp_path):
     assert {k: (v.last_seen, v.status) for k, v in got.items()} == {(w.repo, w.fingerprint): (w.last_seen, w.status) for w in want}
     whole = {(w.repo, w.fingerprint): (w.first_seen, w.runs) for w in want}
     assert all(whole[k] == (v.first_seen, v.runs) for k, v in got.items())
+
+
+def test_writes_broadcast_by_rows_not_by_files(spark):
+    """Files of many like rows are small; their rows, which the driver would hold, are not."""
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = [spark.conf.get(planned), spark.conf.get(measured, None)]
+    spark.conf.set(planned, "1m")
+    try:
+        asked, many = (scratch.stored(spark.range(n).selectExpr("id", f"repeat('{c}', 60) AS {c}"), "many") for n, c in ((90_000, "a"), (100_000, "b")))
+        assert scratch.stored(asked.join(many, "id"), "joined").count() == 90_000
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        done = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plan = next(p for k in range(done.size() - 1, -1, -1) if "Join" in (p := done.apply(k).physicalPlanDescription()))
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert [spark.conf.get(planned), spark.conf.get(measured, None)] == ["1m", before[1]]
+    finally:
+        spark.conf.set(planned, before[0])
