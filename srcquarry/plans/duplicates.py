@@ -1,4 +1,4 @@
-"""Duplicate token windows of source files: candidates as joins, the final choice by rounds over the lines they claim."""
+"""Duplicate token windows of source files: groups of equal windows as joins, the final choice by the places they claim."""
 
 from __future__ import annotations
 
@@ -10,39 +10,29 @@ from srcquarry.operators.windows import top_per_group
 from srcquarry.sources.scratch import stored
 
 
-def windows(rows: DataFrame, size: int, min_lines: int) -> DataFrame:
-    """(repo, digest, path, first, last) of windows of ``size`` tokens, half a window apart, that span enough lines."""
-    hop = max(1, size // 2)
-    w = rows.where(F.size("tokens") >= size).select("repo", "path", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - size, F.lit(hop))).alias("at"))
-    part = F.slice("tokens", F.col("at") + 1, size)
-    w = w.select("repo", "path", F.substring(F.sha1(F.array_join(part["tok"], " ")), 1, 20).alias("digest"), part[0]["first"].alias("first"), F.element_at(part["last"], -1).alias("last"))
-    return w.where(F.col("last") - F.col("first") + 1 >= min_lines)
+def accepted(found: DataFrame, code: DataFrame, most: int) -> DataFrame:
+    """(repo, digest, fragments) of the groups of windows in at least two files that a pass in order of lines (most first), path,
+    start and digest takes, each by its first fragment: without those whose set of files was taken or that touch a taken line; of
+    each repository the first ``most``.  ``found`` is the result of ``windowed``, ``code`` (repo, path) the files that count.
 
-
-def candidates(rows: DataFrame, size: int, min_lines: int) -> DataFrame:
-    """(repo, digest, fragments) of windows in at least two files.
-
-    In each file the windows of one digest that overlap an earlier kept one go; this fold runs over one file's windows, then
-    files meet.
-    """
-    keep = """aggregate(array_sort(collect_list(struct(first, last))), CAST(array() AS array<struct<first: int, last: int>>),
-        (a, x) -> CASE WHEN size(a) > 0 AND x.first <= element_at(a, -1).last THEN a ELSE concat(a, array(x)) END)"""
-    each = windows(rows, size, min_lines).groupBy("repo", "digest", "path").agg(F.expr(keep).alias("kept"))
-    found = each.groupBy("repo", "digest").agg(F.count("*").alias("paths"), F.array_sort(F.flatten(F.collect_list(F.transform("kept", lambda k: F.struct(F.col("path").alias("path"), k["first"].alias("first"), k["last"].alias("last")))))).alias("fragments"))
-    return found.where("paths >= 2").select("repo", "digest", "fragments")
-
-
-def accepted(found: DataFrame, most: int) -> DataFrame:
-    """The groups that a pass in order of lines (most first), path, start and digest takes, each by its first fragment: without
-    those whose set of files was taken or that touch a taken line; of each repository the first ``most``.
-
-    A group claims its lines and its set of files; ``first_fit`` settles the claims of all repositories at once.
+    Files of one profile have the same windows, so they are in the same groups and lose lines together: the choice is made among
+    profiles, with the first path of each, and files come back for the groups that it took.
     """
-    first = F.col("fragments")[0]
-    order = F.struct((first["first"] - first["last"]).alias("lines"), first["path"].alias("path"), first["first"].alias("first"), F.col("digest").alias("digest"))
-    g = stored(found.select("repo", "digest", "fragments", order.alias("o")), "groups")
-    lines = g.select("repo", "digest", "o", F.inline("fragments")).select("repo", "digest", "o", "path", F.explode(F.sequence("first", "last")).alias("line"))
-    files = F.md5(F.array_join(F.array_sort(F.array_distinct(F.transform("fragments", lambda f: f["path"]))), "\0"))
-    claims = lines.unionByName(g.select("repo", "digest", "o", files.alias("path"), F.lit(0).alias("line")))
-    kept = first_fit(claims, ["repo", "digest"], ["repo", "path", "line"], "o")
-    return top_per_group(g.join(kept, ["repo", "digest"], "left_semi"), ["repo"], most, F.col("o")).select("repo", "digest", "fragments")
+    files = found.select("repo", "path", "profile").join(code, ["repo", "path"], "left_semi").groupBy("repo", "path").agg(F.min("profile").alias("profile"))
+    files = stored(files, "files")
+    classes = files.groupBy("repo", "profile").agg(F.count("*").alias("files"), F.min("path").alias("path"))
+    once = found.where("windows IS NOT NULL").groupBy("profile").agg(F.first("windows").alias("windows"))
+    each = stored(classes.join(once, "profile").select("repo", "profile", "files", "path", F.inline("windows")), "profiles")
+
+    head = F.struct((F.col("ranges")[0]["first"] - F.col("ranges")[0]["last"]).alias("lines"), "path", F.col("ranges")[0]["first"].alias("first"), "digest")
+    profiles = F.md5(F.array_join(F.array_sort(F.collect_list("profile")), " "))
+    g = each.groupBy("repo", "digest").agg(F.sum("files").alias("files"), F.min_by(head, "path").alias("o"), profiles.alias("profiles"))
+    g = stored(g.where("files >= 2").select("repo", "digest", "o", "profiles"), "groups")
+    claims = each.join(g, ["repo", "digest"]).select("repo", "digest", "o", "profile", F.explode("places").alias("place"))
+    claims = claims.unionByName(g.select("repo", "digest", "o", F.col("profiles").alias("profile"), F.lit(-1).alias("place")))
+    kept = first_fit(claims, ["repo", "digest"], ["repo", "profile", "place"], "o", "repo")
+    taken = stored(top_per_group(g.join(kept, ["repo", "digest"], "left_semi"), ["repo"], most, F.col("o")).select("repo", "digest", "o"), "taken")
+
+    parts = each.join(taken, ["repo", "digest"]).select("repo", "digest", "o", "profile", "ranges").join(files, ["repo", "profile"])
+    parts = parts.groupBy("repo", "digest", "o").agg(F.array_sort(F.flatten(F.collect_list(F.transform("ranges", lambda r: F.struct(F.col("path").alias("path"), r["first"].alias("first"), r["last"].alias("last")))))).alias("fragments"))
+    return parts.repartition("repo").sortWithinPartitions("repo", "o").select("repo", "digest", "fragments")

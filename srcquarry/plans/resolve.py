@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from srcquarry.functions import text
 from srcquarry.operators import graph, joins
 from srcquarry.sources.declarations import Project
-from srcquarry.sources.python_source import extract, facts, tokenized
+from srcquarry.sources.python_source import extract, facts, windowed
 from srcquarry.sources.scratch import stored
 
 #: File names by which a module is started.
@@ -274,11 +274,13 @@ class Repositories:
     @cached_property
     def duplicates(self) -> DataFrame:
         """(repo, digest, fragments): accepted groups of equal token windows, in the order of their acceptance."""
-        from srcquarry.plans.duplicates import accepted, candidates
+        from srcquarry.plans.duplicates import accepted
 
-        code = self.sources.join(self.modules.where("NOT generated AND parse_error IS NULL" + ("" if self.project.include_tests else " AND NOT is_test")).select("repo", "path"), ["repo", "path"], "left_semi")
-        rows = tokenized(code, self.project.strict_duplicates)
-        return stored(accepted(candidates(rows, self.project.min_tokens, self.project.min_lines), self.project.max_groups), "duplicates")
+        p = self.project
+        code = self.modules.where("NOT generated AND parse_error IS NULL" + ("" if p.include_tests else " AND NOT is_test")).select("repo", "path")
+        sources = self.sources if p.include_tests else self.sources.where(~is_test(F.col("path")))
+        found = stored(windowed(sources, p.min_tokens, p.min_lines, p.strict_duplicates).where("profile IS NOT NULL"), "windows")
+        return stored(accepted(found, code, p.max_groups), "duplicates")
 
     @cached_property
     def shadowed(self) -> DataFrame:

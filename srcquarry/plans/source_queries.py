@@ -157,7 +157,7 @@ def source_reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each part a file in the repository of its brand: thirty lines that parts of one size modulo 5 share, and forty that
     those with remainder 0 or 1 share."""
-    p, k = table(spark, sf_dir, "part"), F.col("p_size") % 5
+    p, k = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey"), F.col("p_size") % 5
     own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("a"), k.cast("string"), F.lit("_"), i.cast("string"), F.lit(" = b * "), i.cast("string"))), "\n")
     both = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("c"), i.cast("string"), F.lit(" = (\n    d + "), i.cast("string"), F.lit("\n)"))), "\n")
     return p.select(F.col("p_brand").alias("repo"), F.format_string("src/app/p%d.py", "p_partkey").alias("path"), F.concat(own, F.lit("\n"), F.when(k < 2, both).otherwise("")).alias("text"))

@@ -255,3 +255,45 @@ def test_writes_broadcast_by_rows_not_by_files(spark):
         assert [spark.conf.get(planned), spark.conf.get(measured, None)] == ["1m", before[1]]
     finally:
         spark.conf.set(planned, before[0])
+
+
+def test_duplicates_equal_the_sorted_pass(spark, monkeypatch):
+    """Files of shared stretches and copies, also in other repositories, by a plain pass; a long copied stretch takes no more steps."""
+    import hashlib
+
+    from srcquarry import api
+    from srcquarry.sources.declarations import Project
+    from srcquarry.sources.python_source import tokens_of
+
+    r = random.Random(17)
+    stretch = lambda n: "".join(r.choice([f"a{k} = b + {k}\n", f"c{k} = (\n    d\n)\n", f"e(f, {k})\n"]) for k in range(n))
+    pieces = [stretch(n) for n in (6, 9, 12, 20, 90)]
+    files = [(repo, f"f{n}.py", "".join(r.choice([r.choice(pieces), stretch(r.randint(1, 6))]) for _ in range(3))) for repo in "ab" for n in range(8)]
+    files += [("a", f"copy{n}.py", files[n % 3][2]) for n in range(5)] + [("b", "g_pb2.py", pieces[4]), ("b", "tests/t.py", pieces[4]), ("b", "bad.py", pieces[4] + "(")]
+    p = Project(roots=("",), min_tokens=10, min_lines=3, strict_duplicates=True, max_groups=7)
+    want = []
+    for repo in "ab":
+        groups: dict[str, list] = {}
+        for _, path, text in (f for f in files if f[0] == repo and f[1] not in ("g_pb2.py", "tests/t.py", "bad.py")):
+            toks, kept = tokens_of(text, True), {}
+            for at in range(0, len(toks) - 9, 5):
+                first, last, digest = toks[at]["first"], toks[at + 9]["last"], hashlib.sha1(" ".join(t["tok"] for t in toks[at : at + 10]).encode()).hexdigest()[:20]
+                if last - first >= 2 and first > kept.get(digest, 0):
+                    kept[digest] = last
+                    groups.setdefault(digest, []).append((path, first, last))
+        sets, lines, taken = set(), set(), []
+        for _, digest, parts in sorted(((v[0][1] - v[0][2], v[0][0], v[0][1], d), d, v) for d, v in ((d, sorted(v)) for d, v in groups.items())):
+            paths, own = frozenset(x for x, *_ in parts), {(x, n) for x, a, b in parts for n in range(a, b + 1)}
+            if len(paths) > 1 and paths not in sets and not own & lines:
+                sets.add(paths)
+                lines |= own
+                taken.append((repo, digest, parts))
+        want += taken[:7]
+    assert len(want) > 7
+    rows = spark.createDataFrame(files, "repo string, path string, text string")
+    for few in (greedy.FEW, 0):
+        monkeypatch.setattr(greedy.first_fit, "__defaults__", (None, few))
+        with scratch.noted_tables() as made:
+            got = api.repositories(rows, p).duplicates.collect()
+        assert sorted((g.repo, g.digest, [tuple(f) for f in g.fragments]) for g in got) == sorted(want)
+        assert not few or len(made) < 16
