@@ -19,7 +19,8 @@ def matches_glob(value: Column, *patterns: str) -> Column:
 
 def matches_path(path: Column, *patterns: str) -> Column:
     """True if a pattern matches the whole path or its last part, or is ``prefix/**`` of it."""
-    found = matches_glob(path, *patterns) | matches_glob(F.substring_index(path, "/", -1), *patterns)
+    last = [p for p in patterns if "/" not in p or "[" in p]  # others ask for a slash, which the last part has none of
+    found = matches_glob(path, *patterns) | matches_glob(F.substring_index(path, "/", -1), *last)
     for p in patterns:
         if p.endswith("/**"):
             found = found | (path == p[:-3]) | path.startswith(p[:-2])

@@ -69,8 +69,13 @@ def with_status(current: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
     return current.join(known, key, "left").withColumn("baseline_status", F.when(F.col("_known"), "existing").otherwise("new")).drop("_known")
 
 
+def ranked_rows(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The rows with their number ``_n`` among those of their key, and the first one's ``order`` columns as ``kept_*``."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_n", F.row_number().over(w)).select("*", *(F.first(c).over(w).alias(f"kept_{c}") for c in order))
+
+
 def first_rows(df: DataFrame, keys: list[str], *order: str) -> tuple[DataFrame, DataFrame]:
     """(the first row of each key, the other rows with the first one's ``order`` columns as ``kept_*``)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_n", F.row_number().over(w)).select("*", *(F.first(c).over(w).alias(f"kept_{c}") for c in order))
+    ranked = ranked_rows(df, keys, *order)
     return ranked.where("_n = 1").select(df.columns), ranked.where("_n > 1").drop("_n")

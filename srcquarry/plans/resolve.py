@@ -76,7 +76,8 @@ class Repositories:
         if not self.project.namespace_packages:
             below = raw.select("repo", "path", inner.alias("inner"))
             rows = in_packages(rows.join(below, ["repo", "path"])).drop("inner")
-        return tuple(stored(x, "modules") for x in joins.first_rows(rows, ["repo", "module"], "path"))
+        ranked = stored(joins.ranked_rows(rows, ["repo", "module"], "path"), "modules")
+        return ranked.where("_n = 1").select(rows.columns), ranked.where("_n > 1").drop("_n")
 
     @property
     def modules(self) -> DataFrame:
@@ -94,11 +95,11 @@ class Repositories:
         package = F.when(F.col("is_package"), F.col("module")).otherwise(F.regexp_replace("module", r"\.?[^.]*$", ""))
         dots = F.repeat(F.lit("."), F.col("level"))
         base = F.when(F.col("level") == 0, F.col("raw")).otherwise(text.absolute_name(F.concat(dots, "raw"), package))
-        i = i.withColumn("base", F.coalesce(base, F.lit("")))
+        i = stored(i.withColumn("base", F.coalesce(base, F.lit(""))), "imports")
         asked = i.where("base <> '' AND literal").select("repo", "base", F.coalesce("symbol", F.lit("")).alias("sym")).distinct()
         ordered = F.concat(F.when(~F.col("sym").isin("", "*"), F.array(F.concat_ws(".", "base", "sym"))).otherwise(F.array().cast("array<string>")), text.prefixes(F.col("base")))
         found = asked.select("repo", "base", "sym", F.posexplode(ordered).alias("rank", "module")).join(self.modules.select("repo", "module"), ["repo", "module"])
-        found = found.groupBy("repo", "base", "sym").agg(F.min_by(F.struct("module"), "rank").alias("hit")).select("repo", "base", "sym", F.col("hit.module").alias("target_module"))
+        found = found.groupBy("repo", "base", "sym").agg(F.min("rank").alias("rank")).withColumn("target_module", F.get(ordered, "rank")).drop("rank")
         i = i.withColumn("sym", F.coalesce("symbol", F.lit(""))).join(found, ["repo", "base", "sym"], "left")
         submodule = F.col("target_module") == F.concat_ws(".", "base", "symbol")
         exact = F.col("target_module") == F.col("base")
@@ -120,7 +121,7 @@ class Repositories:
         if not self.project.include_tests:
             tests = self.modules.where("is_test").select("repo", F.col("module").alias("target"))
             e = e.where("NOT is_test").join(tests, ["repo", "target"], "left_anti")
-        e = e.groupBy("repo", "importer", "target", "line", "symbol").agg(F.min("path").alias("path"), F.every("type_checking").alias("type_checking"))
+        e = e.groupBy("repo", "importer", "target", "path", "line", "symbol").agg(F.every("type_checking").alias("type_checking"))  # a module has one path
         return stored(e.withColumn("src", node("importer")).withColumn("dst", node("target")), "edges")
 
     @cached_property
