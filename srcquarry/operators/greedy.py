@@ -31,10 +31,11 @@ def first_fit(claims: DataFrame, group: list[str], places: list[str], order: str
     while True:
         if apart:
             small = stored(left.groupBy(apart).agg(F.count("*").alias("n")).where(F.col("n") <= few).select(apart), "small")
-            done = stored(sorted_pass(left.join(small, apart, "left_semi"), group, places, order, apart), "won")
+            whole = stored(left.join(small, apart, "left_semi"), "claims")
+            done = stored(sorted_pass(whole, group, places, order, apart), "won")
             taken = done if taken is None else taken.unionByName(done)
             rest = stored(left.join(small, apart, "left_anti"), "claims")
-            discard(left, small)
+            discard(left, small, whole)
             left = rest
             if left.isEmpty():
                 return taken
@@ -52,7 +53,11 @@ def first_fit(claims: DataFrame, group: list[str], places: list[str], order: str
 
 
 def sorted_pass(claims: DataFrame, group: list[str], places: list[str], order: str, apart: str) -> DataFrame:
-    """The ``group`` keys that are taken in ``order``; the claims of each value of ``apart`` are read as a stream by one task."""
+    """The ``group`` keys that are taken in ``order``; the claims of each value of ``apart`` are read as a stream by one task.
+
+    ``claims`` must be a stored table: behind a join by ``apart`` Spark leaves the repartition out, and a join that it then turns
+    into a broadcast deals the rows of a value over many tasks.
+    """
     rows = claims.repartition(apart).sortWithinPartitions(apart, order, *group)
     schema = rows.select(*group).schema
     at_group, at_places, at_apart = ([rows.columns.index(c) for c in names] for names in (group, places, [apart]))

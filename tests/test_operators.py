@@ -297,3 +297,27 @@ def test_duplicates_equal_the_sorted_pass(spark, monkeypatch):
             got = api.repositories(rows, p).duplicates.collect()
         assert sorted((g.repo, g.digest, [tuple(f) for f in g.fragments]) for g in got) == sorted(want)
         assert not few or len(made) < 16
+
+
+def test_one_pass_sees_all_claims_of_its_value(spark):
+    """However joins are planned when they run, the claims of a value of ``apart`` come to one task."""
+    r = random.Random(18)
+    rows, want = [], set()
+    for repo in range(5):
+        taken: set[int] = set()
+        for n, places in enumerate({r.randint(0, 900) for _ in range(4)} for _ in range(400)):
+            rows += [(f"r{repo}", n, p) for p in places]
+            if not places & taken:
+                taken |= places
+                want.add((f"r{repo}", n))
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        claims = spark.createDataFrame(rows, "repo string, n int, place int").repartition(40).withColumn("o", F.col("n"))
+        got = greedy.first_fit(claims, ["repo", "n"], ["repo", "place"], "o", "repo").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(g.repo, g.n) for g in got} == want and len(got) == len(want)
